@@ -19,7 +19,8 @@ def js_round(value: Column) -> Column:
 def clamp(value: Column, low, high) -> Column:
     low = low if isinstance(low, Column) else F.lit(low)
     high = high if isinstance(high, Column) else F.lit(high)
-    return F.least(F.greatest(value, low), high)
+    # greatest and least pass over nulls, so null is kept by hand
+    return F.when(value.isNotNull(), F.least(F.greatest(value, low), high))
 
 
 def byte_store(value: Column) -> Column:
@@ -28,8 +29,11 @@ def byte_store(value: Column) -> Column:
 
 
 def byte_round(value: Column) -> Column:
-    """Nearest byte for resampled values, limited to 0..255."""
-    return clamp(js_round(value), F.lit(0).cast("bigint"), F.lit(255).cast("bigint")).cast("int")
+    """Nearest byte of a weighted mean, limited to 0..255.
+
+    Halves within 1e-9 go up, so the byte does not hang on the order in which terms were added.
+    """
+    return clamp(js_round(value + dbl(1e-9)), F.lit(0).cast("bigint"), F.lit(255).cast("bigint")).cast("int")
 
 
 def int_div(value: Column, by) -> Column:

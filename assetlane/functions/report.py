@@ -23,23 +23,64 @@ NUMBER_WORDS = [
 ]
 
 
-def _unit_text(value: Column, unit: str) -> Column:
-    if unit == "B":
-        return F.format_string("%.0f B", value)
-    return (
-        F.when(value < dbl(10), F.format_string(f"%.2f {unit}", value))
-        .when(value < dbl(100), F.format_string(f"%.1f {unit}", value))
-        .otherwise(F.format_string(f"%.0f {unit}", value))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def to_fixed(value: Column, digits: Column | int) -> Column:
+    """A double with ``digits`` (0 to 3) decimals, rounded by its exact binary value, ties upwards.
+
+    ``format_string`` rounds the shortest decimal form instead (1.035, stored a little below that,
+    would print as 1.04). The product with 2 * 10^digits is compared in two exact halves.
+    """
+    digits = digits if isinstance(digits, Column) else F.lit(digits)
+    unit = F.element_at(F.array(*[F.lit(10**d).cast("bigint") for d in range(4)]), digits + 1)
+
+    def settle(v: Column) -> Column:
+        high = F.floor(v["size"] * dbl(1 << 20)).cast("double") / dbl(1 << 20)
+        twice = dbl(2) * v["unit"].cast("double")
+        past = lambda limit: (high * twice - limit.cast("double")) + (v["size"] - high) * twice
+        near = v["near"]
+        return (
+            F.when(past(near * 2 - 1) < 0, near - 1).when(past(near * 2 + 1) >= 0, near + 1)
+            .otherwise(near)
+        )
+
+    def text(n: Column) -> Column:
+        whole = F.floor(n / unit).cast("bigint").cast("string")
+        rest = F.concat(F.lit("."), F.lpad((n % unit).cast("string"), digits, F.lit("0")))
+        return F.concat(F.when(value < 0, "-").otherwise(""), whole, F.when(digits > 0, rest).otherwise(""))
+
+    size = F.abs(value)
+    parts = F.struct(
+        size.alias("size"), unit.alias("unit"), js_round(size * unit.cast("double")).alias("near")
     )
+    return F.when(value.isNotNull(), let(let(parts, settle), text))
 
 
 def format_bytes(size: Column) -> Column:
     """SI size: ``948 B``, ``12.4 kB``, ``1.24 MB``."""
     n = size.cast("double")
-    chain = F.when(size.isNull() | F.isnan(n) | (n <= 0) | (n == dbl(float("inf"))), "0 B")
-    for power, unit in enumerate(UNITS[:-1]):
-        chain = chain.when(n < dbl(1000.0 ** (power + 1)), _unit_text(n / dbl(1000.0**power), unit))
-    return chain.otherwise(_unit_text(n / dbl(1000.0 ** (len(UNITS) - 1)), UNITS[-1]))
+    limits = [dbl(1000.0 ** (i + 1)) for i in range(len(UNITS) - 1)]
+
+    def pick(options: list) -> Column:
+        chain = F.when(n < limits[0], options[0])
+        for limit, option in zip(limits[1:], options[1:-1], strict=True):
+            chain = chain.when(n < limit, option)
+        return chain.otherwise(options[-1])
+
+    scaled, value = [n], n
+    for _ in UNITS[1:]:
+        value = value / dbl(1000)
+        scaled.append(value)
+
+    def text(v: Column) -> Column:
+        digits = F.when((n < limits[0]) | (v >= 100), 0).when(v < 10, 2).otherwise(1)
+        return F.concat(to_fixed(v, digits), F.lit(" "), pick(UNITS))
+
+    empty = size.isNull() | F.isnan(n) | (n <= 0) | (n == dbl(float("inf")))
+    return F.when(empty, "0 B").otherwise(let(pick(scaled), text))
 
 
 def _signed(percent: Column, minus: str) -> Column:
@@ -70,12 +111,12 @@ def format_progress(fraction: Column) -> Column:
 
 
 def format_ssim(ssim: Column) -> Column:
-    return F.when(ssim.isNull() | F.isnan(ssim), DASH).otherwise(F.format_string("%.3f", ssim))
+    return F.when(ssim.isNull() | F.isnan(ssim), DASH).otherwise(to_fixed(ssim, 3))
 
 
 def format_seconds(ms: Column) -> Column:
     n = ms.cast("double")
-    return F.when(ms.isNull() | (n <= 0), "0.0").otherwise(F.format_string("%.1f", n / dbl(1000)))
+    return F.when(ms.isNull() | (n <= 0), "0.0").otherwise(to_fixed(n / dbl(1000), 1))
 
 
 def format_dimensions(width: Column, height: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json as jsonlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,151 +39,146 @@ def _text(value) -> str:
 
 
 def option_types() -> Column:
-    """encoder -> option key -> primitive type, as one constant map."""
-    return F.create_map(
-        *[
-            part
-            for enc in ENCODER_IDS
-            for part in (
-                F.lit(enc),
-                F.create_map(
-                    *[F.lit(x) for k, v in DEFAULT_OPTIONS[enc].items() for x in (k, _kind(v))]
-                ) if DEFAULT_OPTIONS[enc] else F.expr("cast(map() as map<string,string>)"),
-            )
-        ]
-    )
+    """encoder -> option key -> primitive type; a constant, folded by the optimizer."""
+    table = {e: {k: _kind(v) for k, v in opts.items()} for e, opts in DEFAULT_OPTIONS.items()}
+    return F.from_json(F.lit(jsonlib.dumps(table)), "map<string,map<string,string>>")
 
 
 def default_entries() -> Column:
-    """encoder -> array of (key, type, default text), as one constant map."""
-    def entry(k, v):
-        return F.struct(
-            F.lit(k).alias("key"), F.lit(_kind(v)).alias("type"), F.lit(_text(v)).alias("value")
-        )
-
-    empty = F.expr("cast(array() as array<struct<key:string,type:string,value:string>>)")
-    return F.create_map(
-        *[
-            part
-            for enc in ENCODER_IDS
-            for part in (
-                F.lit(enc),
-                F.array(*[entry(k, v) for k, v in DEFAULT_OPTIONS[enc].items()])
-                if DEFAULT_OPTIONS[enc] else empty,
-            )
-        ]
+    """encoder -> array of (key, type, default text); a constant, folded by the optimizer."""
+    table = {
+        e: [{"key": k, "type": _kind(v), "value": _text(v)} for k, v in opts.items()]
+        for e, opts in DEFAULT_OPTIONS.items()
+    }
+    return F.from_json(
+        F.lit(jsonlib.dumps(table)), "map<string,array<struct<key:string,type:string,value:string>>>"
     )
 
 
+# ------------------------------------------------------------------- one pass over the document
+#
+# A document is parsed once into a VARIANT, and its two objects become maps of (kind, text). All
+# rules below are look-ups in those maps.
+
+
 def json_kind(value: Column) -> Column:
-    """'object', 'array', 'string', 'number', 'boolean', 'null' of a VARIANT; null when missing."""
-    name = F.schema_of_variant(value)
-    return F.when(
-        value.isNotNull(),
-        F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array")
-        .when(name == "STRING", "string").when(name == "BOOLEAN", "boolean")
-        .when(name.isin("VOID"), "null").otherwise("number"),
+    """'string', 'boolean', 'null', 'object', 'array' or 'number' of a VARIANT."""
+    name = F.split_part(F.schema_of_variant(value), F.lit("<"), F.lit(1))
+    return F.when(name.isin("STRING", "BOOLEAN", "OBJECT", "ARRAY"), F.lower(name)).when(
+        name == "VOID", "null"
+    ).otherwise("number")
+
+
+def typed_members(value: Column, path: str) -> Column:
+    """The object at ``path`` as map<string, struct<kind, text>>; null when it is no object."""
+    found = F.try_variant_get(value, path, "map<string,variant>")
+    return F.transform_values(
+        found,
+        lambda _k, v: F.struct(
+            json_kind(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")
+        ),
     )
 
 
-def part(value: Column, path: str) -> Column:
-    return F.try_variant_get(value, path, "variant")
+def settings_parts(df: DataFrame, doc: str = "__v", at: str = "$") -> DataFrame:
+    """``+__enc, +__opts, +__resize`` of the settings at ``at`` in a VARIANT column."""
+    v = F.col(doc)
+    return df.withColumns(
+        {
+            "__enc": F.try_variant_get(v, f"{at}.encoderId", "string"),
+            "__opts": typed_members(v, f"{at}.encoderOptions"),
+            "__resize": typed_members(v, f"{at}.processorState.resize"),
+        }
+    )
 
 
-def as_text(value: Column) -> Column:
-    """The string inside a VARIANT string, else null."""
-    return F.when(json_kind(value) == "string", F.try_variant_get(value, "$", "string"))
+def parse(df: DataFrame, source: str) -> DataFrame:
+    return df.withColumn("__v", F.try_parse_json(F.col(source)))
 
 
-def as_number(value: Column) -> Column:
-    """The finite double inside a VARIANT number, else null."""
-    n = F.when(json_kind(value) == "number", F.try_variant_get(value, "$", "double"))
-    return F.when(~F.isnan(n) & (F.abs(n) < dbl(float("inf"))), n)
+PARTS = ["__v", "__enc", "__opts", "__resize"]
 
 
-def as_flag(value: Column) -> Column:
-    return F.when(json_kind(value) == "boolean", F.try_variant_get(value, "$", "boolean"))
+def _finite(text: Column) -> Column:
+    """A finite double, else null."""
+    n = text.try_cast("double")
+    return F.when(~F.isnan(n) & (F.abs(n) < dbl(float("inf"))), n)
 
 
-def members(value: Column) -> Column:
-    """An object VARIANT as map<string, variant>."""
-    return F.when(json_kind(value) == "object", F.try_variant_get(value, "$", "map<string,variant>"))
+def member(members: str, key: str, kind: str) -> Column:
+    """The text of one member when it is of that kind, else null."""
+    found = F.try_element_at(F.col(members), F.lit(key))
+    return F.when(found["kind"] == kind, found["text"])
 
 
-def parse(json_text: Column) -> Column:
-    return F.try_parse_json(json_text)
+def _not(condition: Column) -> Column:
+    return ~F.coalesce(condition, F.lit(False))
 
 
 # ---------------------------------------------------------------------------------- validation
 
 
-def shape_reason(v: Column) -> Column:
-    """Why a VARIANT is not recognisably settings; null when it is."""
-    resize = part(v, "$.processorState.resize")
+def shape_reason() -> Column:
+    """Why the parts are not recognisably settings; null when they are."""
+    given = lambda key, kind: _not(F.try_element_at(F.col("__resize"), F.lit(key))["kind"] == kind)
     return (
-        F.when(v.isNull() | (json_kind(v) != "object"), "not-an-object")
-        .when(~F.coalesce(as_text(part(v, "$.encoderId")).isin(ENCODER_IDS), F.lit(False)),
-              "unknown-encoder")
-        .when(_not(json_kind(part(v, "$.encoderOptions")) == "object"), "options-missing")
-        .when(_not(json_kind(part(v, "$.processorState")) == "object"), "processor-missing")
-        .when(_not(json_kind(resize) == "object"), "resize-missing")
-        .when(as_flag(part(resize, "$.enabled")).isNull(), "resize-enabled")
-        .when(
-            _not(json_kind(part(resize, "$.width")) == "number")
-            | _not(json_kind(part(resize, "$.height")) == "number"), "resize-size",
-        )
-        .when(_not(json_kind(part(resize, "$.method")) == "string"), "resize-method")
+        F.when(F.col("__v").isNull(), "not-an-object")
+        .when(_not(F.col("__enc").isin(ENCODER_IDS)), "unknown-encoder")
+        .when(F.col("__opts").isNull(), "options-missing")
+        .when(F.col("__resize").isNull(), "resize-missing")
+        .when(given("enabled", "boolean"), "resize-enabled")
+        .when(given("width", "number") | given("height", "number"), "resize-size")
+        .when(given("method", "string"), "resize-method")
     )
 
 
-def _not(condition: Column) -> Column:
-    return ~F.coalesce(condition, F.lit(False))
-
-
-def option_reason(v: Column) -> Column:
+def option_reason() -> Column:
     """Unknown option keys, then values of another type or not finite; null when all fit."""
-    options = members(part(v, "$.encoderOptions"))
-    types = F.try_element_at(option_types(), as_text(part(v, "$.encoderId")))
-    entries = F.map_entries(options)
-    unknown = F.exists(entries, lambda e: F.try_element_at(types, e["key"]).isNull())
+    types = F.try_element_at(option_types(), F.col("__enc"))
+    entries = F.map_entries("__opts")
+    unknown = F.exists(F.map_keys("__opts"), lambda k: F.try_element_at(types, k).isNull())
 
     def wrong(e: Column) -> Column:
-        want = F.try_element_at(types, e["key"])
-        return _not(json_kind(e["value"]) == want) | (
-            (want == "number") & as_number(e["value"]).isNull()
+        kind = e["value"]["kind"]
+        return (kind != F.try_element_at(types, e["key"])) | (
+            (kind == "number") & _finite(e["value"]["text"]).isNull()
         )
 
     return F.when(unknown, "unknown-option").when(F.exists(entries, wrong), "option-type")
 
 
-def settings_reason(v: Column) -> Column:
-    return F.coalesce(shape_reason(v), option_reason(v))
+def _judge(df: DataFrame, reason: Column) -> DataFrame:
+    judged = df.withColumn("reject_reason", reason).drop(*PARTS)
+    return judged.withColumn("valid", F.col("reject_reason").isNull())
 
 
 def validate_settings(df: DataFrame, json: str = "settings_json") -> DataFrame:
     """V1: ``+valid, +reject_reason``, strict (no unknown keys, no type changes)."""
-    df = df.withColumn("__v", parse(F.col(json)))
-    df = df.withColumn("reject_reason", settings_reason(F.col("__v")))
-    return df.withColumn("valid", F.col("reject_reason").isNull()).drop("__v")
+    return _judge(settings_parts(parse(df, json)), F.coalesce(shape_reason(), option_reason()))
 
 
-def validate_presets(df: DataFrame, json: str = "preset_json") -> DataFrame:
-    """V3: version 1, a non-empty string name, and V1 on ``side``."""
-    df = df.withColumn("__v", parse(F.col(json)))
-    df = df.withColumn("reject_reason", preset_reason(F.col("__v")))
-    return df.withColumn("valid", F.col("reject_reason").isNull()).drop("__v")
-
-
-def preset_reason(v: Column) -> Column:
-    name = as_text(part(v, "$.name"))
+def preset_reason(df: DataFrame) -> Column:
+    """V3 on rows that went through ``preset_parts``."""
+    top = lambda key, kind: member("__top", key, kind)
     return F.coalesce(
-        F.when(v.isNull() | (json_kind(v) != "object"), "not-an-object")
-        .when(_not(as_number(part(v, "$.v")) == dbl(PRESET_VERSION)), "version")
-        .when(_not(F.length(name) > 0), "name"),
-        settings_reason(part(v, "$.side")),
+        F.when(F.col("__top").isNull(), "not-an-object")
+        .when(_not(_finite(top("v", "number")) == dbl(PRESET_VERSION)), "version")
+        .when(_not(F.length(top("name", "string")) > 0), "name"),
+        shape_reason(), option_reason(),
     )
 
 
+def preset_parts(df: DataFrame) -> DataFrame:
+    """Parts of the preset in ``__v``: its own members in ``__top``, its settings as usual."""
+    return settings_parts(df.withColumn("__top", typed_members(F.col("__v"), "$")), "__v", "$.side")
+
+
+def validate_presets(df: DataFrame, json: str = "preset_json") -> DataFrame:
+    """V3: version 1, a non-empty string name, and V1 on ``side``."""
+    rows = preset_parts(parse(df, json))
+    return _judge(rows, preset_reason(rows)).drop("__top")
+
+
 # ---------------------------------------------------------------------------------- rebuilding
 
 
@@ -191,74 +188,64 @@ def sanitise_settings(df: DataFrame, json: str = "settings_json") -> DataFrame:
 
     ``options`` is map<string,string> with every option of the encoder.
     """
-    df = df.withColumn("__v", parse(F.col(json)))
-    df = df.withColumn("__ok", shape_reason(F.col("__v")).isNull())
-    v, ok = F.col("__v"), F.col("__ok")
-    encoder = as_text(part(v, "$.encoderId"))
-    raw = members(part(v, "$.encoderOptions"))
+    rows = settings_parts(parse(df, json)).withColumn("__ok", shape_reason().isNull())
+    raw, ok = F.col("__opts"), F.col("__ok")
 
     def kept(e: Column) -> Column:
         given = F.try_element_at(raw, e["key"])
-        text = F.when(e["type"] == "number", plain_number(as_number(given))).otherwise(
-            as_flag(given).cast("string")
+        text = F.when(
+            given["kind"] == e["type"],
+            F.when(e["type"] == "number", plain_number(_finite(given["text"]))).otherwise(given["text"]),
         )
         return F.struct(e["key"].alias("key"), F.coalesce(text, e["value"]).alias("value"))
 
-    options = F.map_from_entries(F.transform(F.try_element_at(default_entries(), encoder), kept))
+    options = F.map_from_entries(
+        F.transform(F.try_element_at(default_entries(), F.col("__enc")), kept)
+    )
 
     def size(name: str) -> Column:
-        n = as_number(part(v, f"$.processorState.resize.{name}"))
-        return F.coalesce(
-            F.greatest(F.lit(1).cast("bigint"), js_round(n)),
-            F.lit(DEFAULT_RESIZE[name]).cast("bigint"),
-        )
+        whole = js_round(_finite(member("__resize", name, "number")))
+        default = F.lit(DEFAULT_RESIZE[name]).cast("bigint")
+        return F.when(whole >= 1, whole).when(whole.isNotNull(), F.lit(1)).otherwise(default)
 
     def flag(name: str) -> Column:
         return F.coalesce(
-            as_flag(part(v, f"$.processorState.resize.{name}")), F.lit(DEFAULT_RESIZE[name])
+            member("__resize", name, "boolean").cast("boolean"), F.lit(DEFAULT_RESIZE[name])
         )
 
     def choice(name: str, allowed: list[str]) -> Column:
-        text = as_text(part(v, f"$.processorState.resize.{name}"))
+        text = member("__resize", name, "string")
         return F.when(text.isin(allowed), text).otherwise(DEFAULT_RESIZE[name])
 
-    def only(column: Column) -> Column:
-        return F.when(ok, column)
-
-    return df.withColumns(
-        {
-            "encoder": only(encoder),
-            "options": only(options),
-            "enabled": only(flag("enabled")),
-            "width": only(size("width")),
-            "height": only(size("height")),
-            "method": only(choice("method", RESIZE_METHODS)),
-            "premultiply": only(flag("premultiply")),
-            "linear_rgb": only(flag("linearRGB")),
-            "fit": only(choice("fitMethod", FIT_METHODS)),
-        }
-    ).drop("__v", "__ok")
+    fields = {
+        "encoder": F.col("__enc"), "options": options, "enabled": flag("enabled"),
+        "width": size("width"), "height": size("height"),
+        "method": choice("method", RESIZE_METHODS), "premultiply": flag("premultiply"),
+        "linear_rgb": flag("linearRGB"), "fit": choice("fitMethod", FIT_METHODS),
+    }
+    return rows.withColumns({k: F.when(ok, v) for k, v in fields.items()}).drop(*PARTS, "__ok")
 
 
 def sanitise_app_settings(df: DataFrame, json: str = "app_json") -> DataFrame:
     """V4: ``+default_encoder, +keep_exif, +worker_threads``."""
-    df = df.withColumn("__v", parse(F.col(json)))
-    v = F.col("__v")
-    encoder = as_text(part(v, "$.defaultEncoder"))
-    threads = part(v, "$.workerThreads")
-    fallback = F.lit(APP_DEFAULTS["workerThreads"]).cast("bigint")
+    rows = parse(df, json).withColumn("__top", typed_members(F.col("__v"), "$"))
+    encoder = member("__top", "defaultEncoder", "string")
+    threads = js_round(_finite(member("__top", "workerThreads", "number")))
     low, high = (F.lit(n).cast("bigint") for n in THREAD_RANGE)
-    return df.withColumns(
+    return rows.withColumns(
         {
             "default_encoder": F.when(encoder.isin(ENCODER_IDS), encoder).otherwise(
                 APP_DEFAULTS["defaultEncoder"]
             ),
             "keep_exif": F.coalesce(
-                as_flag(part(v, "$.keepExif")), F.lit(APP_DEFAULTS["keepExif"])
+                member("__top", "keepExif", "boolean").cast("boolean"),
+                F.lit(APP_DEFAULTS["keepExif"]),
+            ),
+            "worker_threads": F.coalesce(
+                clamp(threads, low, high), F.lit(APP_DEFAULTS["workerThreads"]).cast("bigint")
             ),
-            "worker_threads": F.coalesce(clamp(js_round(as_number(threads)), low, high), fallback),
         }
-    ).drop("__v")
+    ).drop("__v", "__top")
 
 
 def share_tokens(df: DataFrame, url: str = "url", param: str = "p") -> DataFrame:
@@ -292,17 +279,14 @@ def share_tokens(df: DataFrame, url: str = "url", param: str = "p") -> DataFrame
 # ------------------------------------------------------------------------------------ equality
 
 
-def _entry_key(options: Column) -> Column:
-    """Sorted ``key=type:value`` text of an object's members."""
+def _entry_key(members: Column) -> Column:
+    """Sorted ``key=kind:text`` of an object's members, numbers in one form."""
     def one(e: Column) -> Column:
-        v = e["value"]
-        value = F.coalesce(
-            plain_number(as_number(v)), as_flag(v).cast("string"),
-            F.try_variant_get(v, "$", "string"), F.lit("null"),
-        )
-        return F.concat(e["key"], F.lit("="), json_kind(v), F.lit(":"), value)
+        kind, text = e["value"]["kind"], e["value"]["text"]
+        number = F.when(kind == "number", plain_number(text.try_cast("double")))
+        return F.concat(e["key"], F.lit("="), kind, F.lit(":"), F.coalesce(number, text, F.lit("null")))
 
-    return F.array_join(F.array_sort(F.transform(F.map_entries(options), one)), "\x1e")
+    return F.array_join(F.array_sort(F.transform(F.map_entries(members), one)), "\x1e")
 
 
 def settings_keys(df: DataFrame, json: str = "settings_json") -> DataFrame:
@@ -310,18 +294,13 @@ def settings_keys(df: DataFrame, json: str = "settings_json") -> DataFrame:
 
     A disabled resize is one token, whatever sizes sit behind the switch.
     """
-    df = df.withColumn("__v", parse(F.col(json)))
-    v = F.col("__v")
-    resize = part(v, "$.processorState.resize")
-    return df.withColumns(
+    on = F.coalesce(member("__resize", "enabled", "boolean") == "true", F.lit(False))
+    return settings_parts(parse(df, json)).withColumns(
         {
-            "encoder_key": as_text(part(v, "$.encoderId")),
-            "options_key": _entry_key(members(part(v, "$.encoderOptions"))),
-            "resize_key": F.when(_not(as_flag(part(resize, "$.enabled"))), "off").otherwise(
-                _entry_key(members(resize))
-            ),
+            "encoder_key": F.col("__enc"), "options_key": _entry_key(F.col("__opts")),
+            "resize_key": F.when(on, _entry_key(F.col("__resize"))).otherwise("off"),
         }
-    ).drop("__v")
+    ).drop(*PARTS)
 
 
 def fingerprint(df: DataFrame, settings: str = "settings_json", fp: str = "fp") -> DataFrame:

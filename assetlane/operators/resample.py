@@ -73,13 +73,15 @@ def kernel(method: str, t: Column) -> Column:
         return F.greatest(dbl(0), dbl(1) - d)
     if method in CUBIC:
         b, c = CUBIC[method]
-        near = (
-            dbl(12 - 9 * b - 6 * c) * d * d * d + dbl(-18 + 12 * b + 6 * c) * d * d + dbl(6 - 2 * b)
-        ) / dbl(6)
-        far = (
-            dbl(-b - 6 * c) * d * d * d + dbl(6 * b + 30 * c) * d * d
-            + dbl(-12 * b - 48 * c) * d + dbl(8 * b + 24 * c)
-        ) / dbl(6)
+
+        def cubic(*terms: float) -> Column:
+            total = dbl(terms[0] / 6)
+            for term in terms[1:]:
+                total = total * d + dbl(term / 6)
+            return total
+
+        near = cubic(12 - 9 * b - 6 * c, -18 + 12 * b + 6 * c, 0, 6 - 2 * b)
+        far = cubic(-b - 6 * c, 6 * b + 30 * c, -12 * b - 48 * c, 8 * b + 24 * c)
         return F.when(d < 1, near).when(d < 2, far).otherwise(dbl(0))
     if method == "lanczos3":
         arc = d * dbl(math.pi)
@@ -114,8 +116,9 @@ def _axis(df: DataFrame, method: str, at: str, side: str, start: str, span: str,
     targets = _range((middle - reach) / scale - dbl(1.5), (middle + reach) / scale + dbl(0.5), F.col(out))
     rows = df.withColumn("__d", F.explode(targets))
     centre = (F.col("__d").cast("double") + dbl(0.5)) * scale
-    weight = kernel(method, (middle - centre) / stretch)
-    rows = rows.withColumn("__k", weight).where(F.col("__k") != 0)
+    # the distance is a column of its own, so the kernel does not repeat its arithmetic
+    rows = rows.withColumn("__t", F.abs(middle - centre) / stretch)
+    rows = rows.where(F.col("__t") < RADIUS[method]).withColumn("__k", kernel(method, F.col("__t")))
     k = F.col("__k")
     return rows.groupBy(
         "image_id", "width", "height", "__ow", "__oh", "__sx", "__sy", "__sw", "__sh", *other,

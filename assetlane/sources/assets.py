@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlane.functions.paths import basename
-from assetlane.functions.settings import part, preset_reason
+from assetlane.functions.settings import PARTS, member, preset_parts, preset_reason
 from assetlane.operators.intake import MAX_DEPTH
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -61,13 +61,14 @@ def read_presets(spark: SparkSession, path: str, layout: str = "document") -> Da
         )
     else:
         rows = text.withColumn("pos", F.monotonically_increasing_id())
-    v = F.col("__v")
-    reason = preset_reason(v)
-    return rows.select(
-        "file", "pos", F.try_variant_get(part(v, "$.name"), "$", "string").alias("name"),
-        F.to_json(v).alias("preset_json"), reason.isNull().alias("valid"),
-        reason.alias("reject_reason"),
-    )
+    rows = preset_parts(rows)
+    rows = rows.withColumns(
+        {
+            "name": member("__top", "name", "string"), "preset_json": F.to_json("__v"),
+            "reject_reason": preset_reason(rows),
+        }
+    ).drop(*PARTS, "__top")
+    return rows.withColumn("valid", F.col("reject_reason").isNull())
 
 
 def write_presets(presets: DataFrame, path: str, json: str = "preset_json") -> None:
