@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assetlane.functions.filetypes import looks_like_image
 from assetlane.functions.numbers import dbl
@@ -150,40 +151,39 @@ def drop_superseded_batch(events: DataFrame, chunk_rows: int = 1_000_000) -> Dat
     ).drop("__newest")
 
 
-def drop_superseded(stream: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
-    """T4 on a stream: keeps the newest start per (session, side) in state, with a time to live.
+def drop_superseded(
+    stream: DataFrame, ttl_ms: int = 3_600_000, watermark: str = "1 minute"
+) -> DataFrame:
+    """T4 on a stream: the newest start per (session, side) is kept in state.
 
-    Needs the RocksDB state store. Rows of one side are taken in ``seq`` order within a trigger.
-    """
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    class NewestStart(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            schema = StructType([StructField("start_seq", LongType())])
-            self.newest = handle.getValueState("newest", schema, ttlDurationMs=ttl_ms)
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            held = self.newest.get()
-            newest = held[0] if held is not None else None
-            frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
-            keep = []
-            for kind, start in zip(frame.kind, frame.start_seq, strict=True):
-                if kind == "start":
-                    newest = int(start) if newest is None else max(newest, int(start))
-                keep.append(kind == "result" and (newest is None or start >= newest))
-            if newest is not None:
-                self.newest.update((newest,))
-            yield frame[keep]
-
-        def close(self) -> None:
-            pass
+    Input also has ``ts``; a side is forgotten ``ttl_ms`` of event time after its last event.
 
+    A side's events of one trigger are taken in ``seq`` order; how many there can be is set by the
+    source's per-trigger limit. Stored events of any size belong in :func:`drop_superseded_batch`.
+    """
     columns = ["session", "side", "seq", "kind", "start_seq"]
-    return stream.select(*columns).groupBy("session", "side").transformWithStateInPandas(
-        statefulProcessor=NewestStart(),
-        outputStructType=stream.select(*columns).schema,
-        outputMode="Append", timeMode="ProcessingTime",
+    rows = stream.withWatermark("ts", watermark).select(*columns, "ts")
+
+    def keep_current(_key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        newest = state.get[0] if state.exists else None
+        frame = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        keep = []
+        for kind, start in zip(frame.kind, frame.start_seq, strict=True):
+            if kind == "start":
+                newest = int(start) if newest is None else max(newest, int(start))
+            keep.append(kind == "result" and (newest is None or start >= newest))
+        if newest is not None:
+            state.update((newest,))
+            last = int(frame.ts.max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl_ms)
+        yield frame.loc[keep, columns]
+
+    return rows.groupBy("session", "side").applyInPandasWithState(
+        keep_current, stream.select(*columns).schema, "start_seq bigint", "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 

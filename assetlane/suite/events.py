@@ -10,6 +10,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from assetlane.functions.filetypes import resolve_mime
 from assetlane.operators.reuse import recent_results
 from assetlane.session import ensure_checkpoint_dir
 from assetlane.streaming import jobs
@@ -165,7 +166,7 @@ def _(spark, sf_dir):
 # a side's results belong to the newest start, or to the one before it for every third event
 def _side_events(events):
     return events.where("event_type IN ('view', 'purchase')").selectExpr(
-        "user_id AS session", "CAST(event_id % 2 AS INT) AS side", "event_id AS seq",
+        "user_id AS session", "CAST(event_id % 2 AS INT) AS side", "event_id AS seq", "ts",
         "CASE WHEN event_type = 'view' THEN 'start' ELSE 'result' END AS kind",
         "CASE WHEN event_type = 'view' THEN event_id ELSE event_id - (event_id % 3) * 400 END AS start_seq",
     )
@@ -179,19 +180,12 @@ _SUPERSEDED = """WITH e AS (SELECT user_id AS session, CAST(event_id % 2 AS INTE
 
 @case("drop_superseded", _SUPERSEDED)
 def _(spark, sf_dir):
-    return jobs.drop_superseded_batch(_side_events(_events(spark, sf_dir)), chunk_rows=1000)
+    return jobs.drop_superseded_batch(_side_events(_events(spark, sf_dir)), chunk_rows=1000).drop("ts")
 
 
 @case("drop_superseded_stream", _SUPERSEDED)
 def _(spark, sf_dir):
-    """Keyed state on RocksDB; the provider setting is put back afterwards."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        return drain(jobs.drop_superseded(_side_events(_stream(spark, sf_dir))))
-    finally:
-        spark.conf.set(key, before)
+    return drain(jobs.drop_superseded(_side_events(_stream(spark, sf_dir))))
 
 
 def _calls(events):
@@ -246,14 +240,17 @@ def _(spark, sf_dir):
 
 @case("intake_stream")
 def _(spark, sf_dir):
-    """The documents laid out as files of a landing folder, watched once."""
+    """The pages laid out as files of a landing folder, watched once."""
     folder = tempfile.mkdtemp(prefix="landing-", dir=ensure_checkpoint_dir(spark))
-    labels = read(spark, sf_dir, "pages").select(
+    pages = read(spark, sf_dir, "pages").select(
         F.col("html").alias("value"), (F.col("page_id") % 8).alias("shard")
     )
-    labels.repartition("shard").write.mode("overwrite").partitionBy("shard").text(folder)
-    landed = jobs.intake_stream(spark, folder)
-    return drain(landed.select("rel_path", "depth", "bytes", "name"))
+    (
+        pages.repartition("shard").write.mode("overwrite").partitionBy("shard")
+        .option("extension", "svg").csv(folder)
+    )
+    typed = resolve_mime(jobs.intake_stream(spark, folder).withColumn("declared", F.lit("")))
+    return drain(typed.select("rel_path", "depth", "bytes", "mime", "mime_source"))
 
 
 @case(

@@ -356,7 +356,7 @@ def _(spark, sf_dir):
 @case(
     "presets_io",
     f"""{_PRESETS}, r AS (SELECT preset_json, {_PRESET_REASON} AS reject_reason FROM v_presets JOIN reasons ON id = row_id)
- SELECT CASE WHEN json_valid(preset_json) THEN json_extract_string(preset_json, '$.name') END AS name, reject_reason IS NULL AS valid, reject_reason, count(*) AS n FROM r GROUP BY ALL""",
+ SELECT CASE WHEN json_valid(preset_json) AND json_type(preset_json, '$.name') = 'VARCHAR' THEN json_extract_string(preset_json, '$.name') END AS name, reject_reason IS NULL AS valid, reject_reason, count(*) AS n FROM r GROUP BY ALL""",
 )
 def _(spark, sf_dir):
     """Write all presets, read them back, count by name and verdict."""
