@@ -28,8 +28,8 @@ def _targets(px: DataFrame, targets: DataFrame) -> DataFrame:
     )
     rows = px.join(t, "image_id", "left").withColumns(
         {
-            "__ow": F.coalesce(F.greatest(F.lit(1), F.col("__ow").cast("int")), F.col("width")),
-            "__oh": F.coalesce(F.greatest(F.lit(1), F.col("__oh").cast("int")), F.col("height")),
+            "__ow": F.greatest(F.lit(1), F.coalesce(F.col("__ow").cast("int"), F.col("width"))),
+            "__oh": F.greatest(F.lit(1), F.coalesce(F.col("__oh").cast("int"), F.col("height"))),
             "__fit": F.coalesce("__fit", F.lit("stretch")),
         }
     )
