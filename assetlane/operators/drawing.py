@@ -20,14 +20,31 @@ IDENTITY = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]
 MATRIX = "array<double>"
 
 
-def identity() -> Column:
-    return F.array(*[dbl(v) for v in IDENTITY])
+PLAIN = f"array<{MATRIX}>"
+STARTS = f"array<struct<chunk:bigint,ctm:{MATRIX},stack:{PLAIN}>>"
+DRAWS = f"array<struct<op_no:bigint,name:string,m:{MATRIX}>>"
+_IDENTITY = f"cast(array({', '.join(f'{v}D' for v in IDENTITY)}) AS {MATRIX})"
+
+
+def _product(m: str, n: str) -> str:
+    """SQL of ``m`` applied first, then ``n`` (row vectors)."""
+    a, b, c, d, e, f = (f"get({m}, {i})" for i in range(6))
+    g, h, i, j, k, p = (f"get({n}, {x})" for x in range(6))
+    return (
+        f"array({a}*{g}+{b}*{i}, {a}*{h}+{b}*{j}, {c}*{g}+{d}*{i}, {c}*{h}+{d}*{j}, "
+        f"{e}*{g}+{f}*{i}+{k}, {e}*{h}+{f}*{j}+{p})"
+    )
 
 
 def multiply(m: Column, n: Column) -> Column:
     """``m`` applied first, then ``n`` (row vectors)."""
+    pair = F.struct(m.cast(MATRIX).alias("m"), n.cast(MATRIX).alias("n"))
+    return F.get(F.transform(F.array(pair), lambda v: _product_of(v["m"], v["n"])), 0)
+
+
+def _product_of(m: Column, n: Column) -> Column:
     a, b, c, d, e, f = (F.get(m, i) for i in range(6))
-    g, h, i, j, k, p = (F.get(n, i) for i in range(6))
+    g, h, i, j, k, p = (F.get(n, x) for x in range(6))
     return F.array(
         a * g + b * i, a * h + b * j, c * g + d * i, c * h + d * j,
         e * g + f * i + k, e * h + f * j + p,
@@ -41,106 +58,43 @@ def _operand(args: Column) -> Column:
     return F.when((F.size(args) >= 6), F.when(ok, tail))
 
 
-def _typed(fields: dict[str, tuple[Column, str]]) -> Column:
-    return F.struct(*[c.cast(t).alias(n) for n, (c, t) in fields.items()])
-
-
-def _last(items: Column) -> Column:
-    return F.get(items, F.size(items) - 1)
-
-
-def _drop_last(items: Column) -> Column:
-    return F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0)))
-
-
-_PLAIN = "array<array<double>>"
-
-
-def _empty(kind: str) -> Column:
-    return F.array().cast(kind)
-
-
-def _summary(ops: Column) -> Column:
-    """``segs``: net matrix between unmatched restores; ``stack``: saves left open, both relative."""
-    def step(s: Column, op: Column) -> Column:
-        now, kind = _last(s["segs"]), op["op"]
-        held = F.size(s["stack"]) > 0
-        swap = lambda m: F.concat(_drop_last(s["segs"]), F.array(m))
-        segs = (
-            F.when((kind == "cm") & op["m"].isNotNull(), swap(multiply(op["m"], now)))
-            .when((kind == "Q") & held, swap(_last(s["stack"])))
-            .when(kind == "Q", F.concat(s["segs"], F.array(identity())))
-            .otherwise(s["segs"])
-        )
-        stack = (
-            F.when(kind == "q", F.concat(s["stack"], F.array(now)))
-            .when((kind == "Q") & held, _drop_last(s["stack"])).otherwise(s["stack"])
-        )
-        return _typed({"segs": (segs, _PLAIN), "stack": (stack, _PLAIN)})
-
-    start = _typed({"segs": (F.array(identity()), _PLAIN), "stack": (_empty(_PLAIN), _PLAIN)})
-    return F.aggregate(ops, start, step)
-
-
-def _chain(chunks: Column) -> Column:
-    """Starting state of every chunk from the ordered chunk summaries of a stream."""
-    out_type = f"array<struct<chunk:bigint,ctm:{MATRIX},stack:{_PLAIN}>>"
-
-    def segment(s: Column, seg: Column) -> Column:
-        # every segment but the first follows a restore, which is void on an empty stack
-        restore = ~s["first"] & (F.size(s["stack"]) > 0)
-        base = F.when(restore, _last(s["stack"])).otherwise(s["ctm"])
-        stack = F.when(restore, _drop_last(s["stack"])).otherwise(s["stack"])
-        return _typed(
-            {
-                "ctm": (multiply(seg, base), MATRIX), "base": (base, MATRIX),
-                "stack": (stack, _PLAIN), "first": (F.lit(False), "boolean"),
-            }
-        )
-
-    def step(s: Column, c: Column) -> Column:
-        here = _typed({"chunk": (c["chunk"], "bigint"), "ctm": (s["ctm"], MATRIX),
-                       "stack": (s["stack"], _PLAIN)})
-        opened = F.aggregate(
-            c["s"]["segs"],
-            _typed({"ctm": (s["ctm"], MATRIX), "base": (s["ctm"], MATRIX),
-                    "stack": (s["stack"], _PLAIN), "first": (F.lit(True), "boolean")}),
-            segment,
-        )
-        saved = F.transform(c["s"]["stack"], lambda m: multiply(m, opened["base"]))
-        return _typed(
-            {
-                "ctm": (opened["ctm"], MATRIX), "stack": (F.concat(opened["stack"], saved), _PLAIN),
-                "out": (F.concat(s["out"], F.array(here)), out_type),
-            }
-        )
-
-    start = _typed({"ctm": (identity(), MATRIX), "stack": (_empty(_PLAIN), _PLAIN),
-                    "out": (_empty(out_type), out_type)})
-    return F.aggregate(chunks, start, step, lambda s: s["out"])
-
-
-def _replay(ops: Column, ctm: Column, stack: Column) -> Column:
-    """Draws of one chunk from its starting state."""
-    out_type = f"array<struct<op_no:bigint,name:string,m:{MATRIX}>>"
-
-    def step(s: Column, op: Column) -> Column:
-        kind, held = op["op"], F.size(s["stack"]) > 0
-        now = (
-            F.when((kind == "cm") & op["m"].isNotNull(), multiply(op["m"], s["ctm"]))
-            .when((kind == "Q") & held, _last(s["stack"])).otherwise(s["ctm"])
-        )
-        saves = (
-            F.when(kind == "q", F.concat(s["stack"], F.array(s["ctm"])))
-            .when((kind == "Q") & held, _drop_last(s["stack"])).otherwise(s["stack"])
-        )
-        draw = F.struct(op["op_no"].cast("bigint").alias("op_no"), op["name"].alias("name"),
-                        s["ctm"].alias("m"))
-        out = F.when((kind == "Do") & op["name"].isNotNull(), F.concat(s["out"], F.array(draw))).otherwise(s["out"])
-        return _typed({"ctm": (now, MATRIX), "stack": (saves, _PLAIN), "out": (out, out_type)})
-
-    start = _typed({"ctm": (ctm, MATRIX), "stack": (stack, _PLAIN), "out": (_empty(out_type), out_type)})
-    return F.aggregate(ops, start, step, lambda s: s["out"])
+def _record(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+_TOP = "element_at({0}.stack, -1)"
+_REST = "slice({0}.stack, 1, size({0}.stack) - 1)"
+
+# What a chunk does to any state it starts from. ``segs``: net matrix between restores that find
+# nothing saved inside the chunk; ``stack``: saves it leaves open, relative to the last segment.
+SUMMARY = f"""aggregate(ops, {_record(done=f"cast(array() AS {PLAIN})", now=_IDENTITY, stack=f"cast(array() AS {PLAIN})")},
+ (s, o) -> CASE o.op
+  WHEN 'cm' THEN {_record(done="s.done", now=_product("o.m", "s.now"), stack="s.stack")}
+  WHEN 'q' THEN {_record(done="s.done", now="s.now", stack="concat(s.stack, array(s.now))")}
+  WHEN 'Q' THEN CASE WHEN size(s.stack) > 0 THEN {_record(done="s.done", now=_TOP.format("s"), stack=_REST.format("s"))}
+   ELSE {_record(done="concat(s.done, array(s.now))", now=_IDENTITY, stack="s.stack")} END
+  ELSE s END,
+ s -> {_record(segs="concat(s.done, array(s.now))", stack="s.stack")})"""
+
+# Starting state of every chunk of a stream. Every segment but the first follows a restore, which
+# is void on an empty stack.
+_SEGMENT = f"""transform(array(CASE WHEN NOT t.first AND size(t.stack) > 0 THEN {_record(base=_TOP.format("t"), stack=_REST.format("t"))}
+ ELSE {_record(base="t.ctm", stack="t.stack")} END), b -> {_record(ctm=_product("seg", "b.base"), base="b.base", stack="b.stack", first="false")})[0]"""
+CHAIN = f"""aggregate(chunks, {_record(ctm=_IDENTITY, stack=f"cast(array() AS {PLAIN})", out=f"cast(array() AS {STARTS})")},
+ (s, c) -> transform(array(aggregate(c.s.segs, {_record(ctm="s.ctm", base="s.ctm", stack="s.stack", first="true")}, (t, seg) -> {_SEGMENT})),
+  w -> {_record(ctm="w.ctm", stack=f"concat(w.stack, transform(c.s.stack, m -> {_product('m', 'w.base')}))",
+                out="concat(s.out, array(" + _record(chunk="c.chunk", ctm="s.ctm", stack="s.stack") + "))")})[0],
+ s -> s.out)"""
+
+# Draws of one chunk from its starting state.
+REPLAY = f"""aggregate(ops, {_record(ctm=f"coalesce(ctm, {_IDENTITY})", stack=f"coalesce(stack, cast(array() AS {PLAIN}))", out=f"cast(array() AS {DRAWS})")},
+ (s, o) -> CASE o.op
+  WHEN 'cm' THEN {_record(ctm=_product("o.m", "s.ctm"), stack="s.stack", out="s.out")}
+  WHEN 'q' THEN {_record(ctm="s.ctm", stack="concat(s.stack, array(s.ctm))", out="s.out")}
+  WHEN 'Q' THEN CASE WHEN size(s.stack) > 0 THEN {_record(ctm=_TOP.format("s"), stack=_REST.format("s"), out="s.out")} ELSE s END
+  WHEN 'Do' THEN {_record(ctm="s.ctm", stack="s.stack", out="concat(s.out, array(" + _record(op_no="o.op_no", name="o.name", m="s.ctm") + "))")}
+  ELSE s END,
+ s -> s.out)"""
 
 
 def stream_draws(ops: DataFrame, chunk_ops: int = CHUNK_OPS) -> DataFrame:
@@ -148,26 +102,24 @@ def stream_draws(ops: DataFrame, chunk_ops: int = CHUNK_OPS) -> DataFrame:
 
     ``ops`` holds (doc_id, owner, op_no, op, args array<double>, name) with op_no from 0.
     """
-    wanted = ops.where(F.col("op").isin("q", "Q", "cm", "Do")).select(
+    kept = ops.withColumn("m", F.when(F.col("op") == "cm", _operand(F.col("args")))).where(
+        F.col("op").isin("q", "Q") | F.col("m").isNotNull()
+        | ((F.col("op") == "Do") & F.col("name").isNotNull())
+    ).select(
         "doc_id", "owner", F.floor(F.col("op_no") / F.lit(chunk_ops)).cast("bigint").alias("chunk"),
-        F.struct(
-            F.col("op_no").cast("bigint").alias("op_no"), "op", _operand(F.col("args")).alias("m"),
-            "name",
-        ).alias("o"),
-    )
-    chunks = wanted.groupBy("doc_id", "owner", "chunk").agg(F.array_sort(F.collect_list("o")).alias("ops"))
-    long = ops.where(F.col("op_no") >= chunk_ops).select("doc_id", "owner").distinct()
-    summed = chunks.join(long, ["doc_id", "owner"], "left_semi").select(
-        "doc_id", "owner", F.struct("chunk", _summary(F.col("ops")).alias("s")).alias("c")
+        F.struct(F.col("op_no").cast("bigint").alias("op_no"), "op", "m", "name").alias("o"),
     )
-    starts = summed.groupBy("doc_id", "owner").agg(
-        _chain(F.array_sort(F.collect_list("c"), lambda p, q: (p["chunk"] - q["chunk"]).cast("int"))).alias("e")
-    ).select("doc_id", "owner", F.explode("e").alias("e")).select("doc_id", "owner", "e.*")
-    joined = chunks.join(starts, ["doc_id", "owner", "chunk"], "left")
-    draws = _replay(
-        F.col("ops"), F.coalesce("ctm", identity()), F.coalesce(F.col("stack"), _empty(_PLAIN))
+    stream = ["doc_id", "owner"]
+    chunks = kept.groupBy(*stream, "chunk").agg(F.array_sort(F.collect_list("o")).alias("ops"))
+    long = ops.where(F.col("op_no") >= chunk_ops).select(*stream).distinct()
+    summed = chunks.join(long, stream, "left_semi").select(
+        *stream, F.struct("chunk", F.expr(SUMMARY).alias("s")).alias("c")
     )
-    return joined.select("doc_id", "owner", F.explode(draws).alias("d")).select("doc_id", "owner", "d.*")
+    starts = summed.groupBy(*stream).agg(F.array_sort(F.collect_list("c")).alias("chunks")).select(
+        *stream, F.explode(F.expr(CHAIN)).alias("e")
+    ).select(*stream, "e.*")
+    joined = chunks.join(starts, [*stream, "chunk"], "left")
+    return joined.select(*stream, F.explode(F.expr(REPLAY)).alias("d")).select(*stream, "d.*")
 
 
 def ctm_walk(

@@ -198,13 +198,16 @@ def window_size(side: str) -> Column:
 def ssim(ref_px: DataFrame, out_px: DataFrame) -> DataFrame:
     """P5: ``(image_id, ssim, error)``, mean SSIM over non-overlapping 8x8 luma windows.
 
-    Each side is packed to one row per (image, window, line of the window) by an aggregate that
-    mostly completes before the shuffle when pixels lie in raster order. Lines are hashed over the
-    cluster, so one huge image spreads like many small ones; after the pairing only per-window
-    sums (partially aggregated again) and one row per image move.
+    The two planes are stacked, not joined, and shuffled once by window. Pairing the pixels and
+    summing a window both follow from that partitioning, so neither shuffles again; what moves
+    afterwards is one partial sum per image and task. Windows are hashed over the cluster: one huge
+    image spreads like many small ones.
     """
+    return _judged(ref_px, out_px, _image_scores(_window_scores(ref_px, out_px)))
+
+
+def _judged(ref_px: DataFrame, out_px: DataFrame, scored: DataFrame) -> DataFrame:
     sizes = comparable(plane_sizes(ref_px), plane_sizes(out_px))
-    scored = _image_scores(_window_scores(ref_px, out_px))
     return sizes.join(scored, "image_id", "left").select(
         "image_id",
         F.when(F.col("error").isNull(), F.coalesce("ssim", dbl(1))).alias("ssim"),
@@ -212,18 +215,27 @@ def ssim(ref_px: DataFrame, out_px: DataFrame) -> DataFrame:
     )
 
 
-def _window_sums(ref_px: DataFrame, out_px: DataFrame) -> DataFrame:
-    keys = ["image_id", "width", "height", "x", "y"]
-    a = luma(ref_px).withColumnRenamed("l", "p")
-    b = luma(out_px).withColumnRenamed("l", "q")
+def _plane(px: DataFrame, is_ref: bool) -> DataFrame:
+    """Luma by window and place in the window; trailing partial windows are dropped."""
     ww, wh = window_size("width"), window_size("height")
-    pairs = a.join(b, keys).withColumns(
-        {"wx": int_div(F.col("x"), ww), "wy": int_div(F.col("y"), wh)}
+    x, y = F.col("x"), F.col("y")
+    return luma(px).select(
+        "image_id", "width", "height", int_div(x, ww).alias("wx"), int_div(y, wh).alias("wy"),
+        (y % wh * ww + x % ww).alias("at"), "l", F.lit(is_ref).alias("ref"),
     ).where(
         ((F.col("wx") + 1) * ww <= F.col("width")) & ((F.col("wy") + 1) * wh <= F.col("height"))
-    )
+    ).drop("width", "height")
+
+
+def _window_sums(ref_px: DataFrame, out_px: DataFrame) -> DataFrame:
+    window = ["image_id", "wx", "wy"]
+    both = _plane(ref_px, True).unionByName(_plane(out_px, False)).repartition(*window)
+    pairs = both.groupBy(*window, "at").agg(
+        F.max(F.when(F.col("ref"), F.col("l"))).alias("p"),
+        F.max(F.when(~F.col("ref"), F.col("l"))).alias("q"),
+    ).where(F.col("p").isNotNull() & F.col("q").isNotNull())
     p, q = F.col("p"), F.col("q")
-    return pairs.groupBy("image_id", "wx", "wy").agg(
+    return pairs.groupBy(*window).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(p).alias("sp"), F.sum(q).alias("sq"),
         F.sum(p * p).alias("spp"), F.sum(q * q).alias("sqq"), F.sum(p * q).alias("spq"),
     )
@@ -255,12 +267,7 @@ def measure_ssim(
     """P3 + P4 + P5: both sides reduced with one factor, then scored."""
     factor = metric_factor(F.col("width"), F.col("height"), max_pixels)
     small = box_downscale(ref_px, factor), box_downscale(out_px, factor)
-    sizes = comparable(plane_sizes(ref_px), plane_sizes(out_px))
-    scored = _image_scores(_window_scores(*small))
-    return sizes.join(scored, "image_id", "left").select(
-        "image_id",
-        F.when(F.col("error").isNull(), F.coalesce("ssim", dbl(1))).alias("ssim"), "error",
-    )
+    return _judged(ref_px, out_px, _image_scores(_window_scores(*small)))
 
 
 # ------------------------------------------------------------------------- P6-P7, P12 moving
