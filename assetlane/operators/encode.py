@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlane.functions.filetypes import magic_type
-from assetlane.operators.pixels import PX
 
 EncodeFn = Callable[[bytes, str], bytes]
 MetricFn = Callable[[bytes, bytes, int, int], float]
@@ -111,25 +110,3 @@ def custom_metric(pairs: DataFrame, fn: MetricFn) -> DataFrame:
         score, f"image_id {kind}, score double"
     )
     return scored.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
-
-
-def pack_gray(px: DataFrame, name: str) -> DataFrame:
-    """Gray pixel rows back to packed bytes, ``(image_id, width, height, <name>)``.
-
-    For images small enough to be one cell of a table; built line by line, so no aggregate holds
-    more than one line of loose pixels.
-    """
-    lines = px.select(*PX).groupBy("image_id", "width", "height", "y").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("x", "r"))), lambda p: F.lpad(F.hex(p["r"].cast("bigint")), 2, "0")
-            ), "",
-        ).alias("line")
-    )
-    return lines.groupBy("image_id", "width", "height").agg(
-        F.unhex(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("y", "line"))), lambda p: p["line"]), ""
-            )
-        ).alias(name)
-    )

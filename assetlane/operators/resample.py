@@ -106,8 +106,13 @@ def _from_linear(value: Column) -> Column:
     )
 
 
-def _axis(df: DataFrame, method: str, at: str, side: str, start: str, span: str, out: str, other: list[str]) -> DataFrame:
-    """One pass of the separable filter: scatter along an axis, then a weighted mean per target."""
+def _axis(
+    df: DataFrame, method: str, at: str, start: str, span: str, out: str, keep: list[str]
+) -> DataFrame:
+    """One pass of the separable filter: scatter along an axis, then a weighted mean per target.
+
+    ``keep`` names the columns, constant per target, that later steps still need.
+    """
     scale = F.col(span) / F.col(out).cast("double")
     stretch = F.greatest(scale, dbl(1))
     reach = stretch * dbl(RADIUS[method])
@@ -120,10 +125,7 @@ def _axis(df: DataFrame, method: str, at: str, side: str, start: str, span: str,
     rows = rows.withColumn("__t", F.abs(middle - centre) / stretch)
     rows = rows.where(F.col("__t") < RADIUS[method]).withColumn("__k", kernel(method, F.col("__t")))
     k = F.col("__k")
-    return rows.groupBy(
-        "image_id", "width", "height", "__ow", "__oh", "__sx", "__sy", "__sw", "__sh", *other,
-        F.col("__d").alias(f"__t_{at}"),
-    ).agg(*[(F.sum(F.col(c) * k) / F.sum(k)).alias(c) for c in "rgba"])
+    return rows.groupBy("image_id", F.col("__d").alias(f"__t_{at}"), *keep).agg(*[(F.sum(F.col(c) * k) / F.sum(k)).alias(c) for c in "rgba"])
 
 
 def _whole_box(rows: DataFrame) -> DataFrame:
@@ -154,8 +156,8 @@ def resize_kernel(
     if premultiply:
         tone = {c: v * alpha for c, v in tone.items()}
     rows = rows.withColumns({**tone, "a": alpha})
-    across = _axis(rows, method, "x", "width", "__sx", "__sw", "__ow", ["y"])
-    down = _axis(across, method, "y", "height", "__sy", "__sh", "__oh", ["__t_x"])
+    across = _axis(rows, method, "x", "__sx", "__sw", "__ow", ["y", "__ow", "__oh", "__sy", "__sh"])
+    down = _axis(across, method, "y", "__sy", "__sh", "__oh", ["__t_x", "__ow", "__oh"])
     a = F.col("a")
 
     def channel(c: str) -> Column:

@@ -21,6 +21,9 @@ class View:
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = read(spark, sf_dir, self.table)
+        if self.ranges:
+            # a small file is one scan task; spread its rows before they multiply
+            rows = rows.repartition(spark.sparkContext.defaultParallelism)
         for name, n in self.ranges.items():
             rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name))
         return rows.selectExpr(*self.columns)

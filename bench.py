@@ -39,6 +39,7 @@ def main() -> None:
             began = time.perf_counter()
             cases[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
             slot[name] = round(time.perf_counter() - began, 3)
+        print(name, first[name], times[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "first_run": first, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),

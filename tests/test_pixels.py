@@ -147,3 +147,14 @@ def test_nearest_upscale_then_same_size(spark):
     assert got == {(x, y): src[x // 2, y // 2] for x in range(6) for y in range(4)}
     none = up.where("false")
     assert sorted(resample.resize_nearest(px, none).collect()) == sorted(px.collect())
+
+
+@pytest.mark.parametrize("size,budget", [((17, 24), 10**6), ((6, 30), 10**6), ((40, 33), 200), ((9, 9), 0)])
+def test_packed_score_equals_the_pixel_table(spark, size, budget):
+    w, h = size
+    pixel = lambda seed: (lambda f: lambda x, y: f(x, y)[:3] + ((x * y * 31) % 256,))(noise(seed))
+    a, b = (raster(spark, w, h, pixel(s)) for s in (1, 2))
+    pack = lambda px: bytes(v for r in px.orderBy("y", "x").collect() for v in (r.r, r.g, r.b, r.a))
+    pairs = spark.createDataFrame([(1, w, h, pack(a), pack(b))], "image_id bigint, width int, height int, ref binary, out binary")
+    want = pixels.measure_ssim(a, b, budget).first().ssim
+    assert pixels.ssim_packed(pairs, budget).first().ssim == pytest.approx(want, abs=1e-9)
