@@ -238,9 +238,9 @@ def _page_ops(spark, sf_dir):
     """WITH l AS (SELECT l_orderkey AS doc_id, CAST(l_suppkey % 2 AS INTEGER) AS page, l_partkey AS part, l_quantity AS q, l_tax AS t,
   row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 2 ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS pos FROM lineitem),
  s AS (SELECT *, coalesce(sum(q) OVER w, 0) AS ox, coalesce(sum(t) OVER w, 0) AS oy FROM l WINDOW w AS (PARTITION BY doc_id, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- m AS (SELECT doc_id, page, part, q AS a, 0 AS b, 0 AS c, 2 AS d, t + ox AS e, 1 + oy AS f FROM s),
+ m AS (SELECT doc_id, page, part, q AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, 2::DOUBLE AS d, t + ox AS e, 1 + oy AS f FROM s),
  img AS (SELECT doc_id, page, 'Im0' AS name, 7 AS ref, a, b, c, d, e, f FROM m WHERE part % 3 = 0),
- frm AS (SELECT doc_id, page, 'Inner' AS name, 8 AS ref, 3 * a AS a, 0 AS b, 0 AS c, 3 * d AS d, 5 * a + e AS e, f FROM m WHERE part % 3 = 1)
+ frm AS (SELECT doc_id, page, 'Inner' AS name, 8 AS ref, 3 * a AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, 3 * d AS d, 5 * a + e AS e, f FROM m WHERE part % 3 = 1)
  SELECT doc_id, page, name, ref, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(d, 6) AS d, round(e, 6) AS e, round(f, 6) AS f FROM (FROM img UNION ALL FROM frm)""",
 )
 def _(spark, sf_dir):

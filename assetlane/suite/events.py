@@ -6,13 +6,11 @@ is an encoded side and an error a failed one. Events are minutes apart, so gaps
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from assetlane.functions.filetypes import resolve_mime
 from assetlane.operators.reuse import recent_results
-from assetlane.session import ensure_checkpoint_dir
+from assetlane.session import scratch_folder
 from assetlane.streaming import jobs
 from assetlane.suite.fixtures import read
 from assetlane.suite.registry import case
@@ -31,7 +29,7 @@ def _stream(spark, sf_dir):
 def drain(stream, mode: str = "append"):
     """Run a stream over what is there and read its output back."""
     spark = stream.sparkSession
-    folder = tempfile.mkdtemp(prefix="stream-", dir=ensure_checkpoint_dir(spark))
+    folder = scratch_folder(spark, "stream")
     query = (
         stream.writeStream.outputMode(mode).format("parquet").trigger(availableNow=True)
         .option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").start()
@@ -241,7 +239,7 @@ def _(spark, sf_dir):
 @case("intake_stream")
 def _(spark, sf_dir):
     """The pages laid out as files of a landing folder, watched once."""
-    folder = tempfile.mkdtemp(prefix="landing-", dir=ensure_checkpoint_dir(spark))
+    folder = scratch_folder(spark, "landing")
     pages = read(spark, sf_dir, "pages").select(
         F.col("html").alias("value"), (F.col("page_id") % 8).alias("shard")
     )

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import zlib
 
 from pyspark.sql import functions as F
 
 from assetlane.operators import batch
 from assetlane.operators.encode import run_encodes
-from assetlane.session import ensure_checkpoint_dir
+from assetlane.session import scratch_folder
 from assetlane.sources import assets
 from assetlane.suite.fixtures import read, view, with_views
 from assetlane.suite.registry import case
@@ -135,7 +134,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """Store results by encoder, read them back, count."""
-    folder = tempfile.mkdtemp(prefix="results-", dir=ensure_checkpoint_dir(spark))
+    folder = scratch_folder(spark, "results")
     rows = view(spark, sf_dir, "v_items").withColumn(
         "encoder", F.expr("CASE item_id % 3 WHEN 0 THEN 'avif' WHEN 1 THEN 'webp' ELSE 'jxl' END")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from assetlane.functions import report
@@ -11,7 +9,7 @@ from assetlane.functions import settings as S
 from assetlane.functions.encoders import DEFAULT_OPTIONS, ENCODERS, ENCODER_IDS
 from assetlane.operators import presets as P
 from assetlane.operators import reuse
-from assetlane.session import ensure_checkpoint_dir
+from assetlane.session import scratch_folder
 from assetlane.sources import assets
 from assetlane.suite.fixtures import read, view, with_views
 from assetlane.suite.registry import case
@@ -360,7 +358,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """Write all presets, read them back, count by name and verdict."""
-    folder = tempfile.mkdtemp(prefix="presets-", dir=ensure_checkpoint_dir(spark))
+    folder = scratch_folder(spark, "presets")
     assets.write_presets(view(spark, sf_dir, "v_presets"), folder)
     found = assets.read_presets(spark, folder, layout="lines")
     return found.groupBy("name", "valid", "reject_reason").agg(F.count(F.lit(1)).alias("n"))

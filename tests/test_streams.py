@@ -52,3 +52,15 @@ def test_one_endless_session_over_many_chunks(spark):
 def test_batch_intake_stream_query_types_pages(spark, sf):
     rows = load_cases()["intake_stream"].run(spark, sf).collect()
     assert rows and all(r.mime == "image/svg+xml" for r in rows)
+
+
+def test_latest_status_in_update_mode(spark, sf):
+    from assetlane.suite import events as E
+
+    query = (
+        jobs.latest_status(E._item_events(E._stream(spark, sf))).writeStream.outputMode("update").format("memory")
+        .queryName("latest_status_now").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = spark.table("latest_status_now").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, load_cases()["latest_status"].run(spark, sf).collect()))
