@@ -18,12 +18,14 @@ Nothing is shuffled: each partition packs what it reads, in blocks of about ``bl
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,22 +35,34 @@ PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "sequence_id bigint, offset bigint, sequence_tokens bigint"
 )
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 500_000
 _TOKENIZERS: dict[str, "WordTokens"] = {}
 
 
-class WordTokens:
-    """Token ids of texts, by a table of the words met so far.
+class WordTokens(dict):
+    """Token ids of words, packed as little-endian 32-bit numbers and kept once met.
 
     The tokenizer drops white space and never joins characters across it, so the ids of a text are
-    those of its white-space separated words in order.
+    those of its white-space separated words in order. Words of Latin letters, digits and marks are
+    cut by the tokenizer file's own pattern and go straight to its merge model; its normaliser does
+    nothing else to them than lower-casing. All other words take the whole tokenizer.
     """
 
+    _PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+    # fixed values: the pattern of the tokenizer file, and the bytes that stand for themselves in it
+    _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    _SAME = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.table: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+        spare = iter(range(256, 512))
+        same = set(self._SAME)
+        self.letter = [chr(b) if b in same else chr(next(spare)) for b in range(256)]
         names = self.tokenizer.get_vocab()
         #: by id: 2 where a sentence ends, 1 where a clause ends, else 0
         self.stop = np.zeros(max(names.values()) + 2, dtype=np.int8)
@@ -57,20 +71,33 @@ class WordTokens:
             if name.endswith("</w>") and bare:
                 self.stop[i] = 2 * (bare[-1] in ".!?") or int(bare[-1] in ",;:")
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.table) > _CACHE_WORDS:
-            self.table.clear()
-        new = list(words - self.table.keys())
-        texts = [w.decode("utf-8", "replace") for w in new]
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.table[word] = np.array(got.ids, dtype="<u4").tobytes()
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= _CACHE_WORDS:
+            self.clear()
+        text = word.decode("utf-8", "replace")
+        if self._PLAIN.fullmatch(text) and "<|" not in text:
+            ids = b"".join(map(self.piece, self._PIECE.findall(text.lower())))
+        else:
+            ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self[word] = ids
+        return ids
+
+    def piece(self, text: str) -> bytes:
+        ids = self.pieces.get(text)
+        if ids is None:
+            if len(self.pieces) >= _CACHE_WORDS:
+                self.pieces.clear()
+            letters = text if text.isascii() else "".join(self.letter[b] for b in text.encode())
+            ids = self.pieces[text] = packed([t.id for t in self.model.tokenize(letters)])
+        return ids
+
+    def ids(self, text: bytes, end_id: int) -> np.ndarray:
+        """Ids of a text, then ``end_id``."""
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())) + packed([end_id]), dtype="<u4")
 
-    def ids(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
-        """Ids of each text, then ``end_id``."""
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        get, last = self.table.__getitem__, np.array([end_id], dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join(map(get, words)) + last, dtype="<u4") for words in split]
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def word_tokens(path: str) -> WordTokens:
@@ -161,8 +188,6 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     columns are not read. A block is held in memory (4 bytes an id), or one document if longer.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from assetlane.llm.words import chunks
-
         tok, cuts = word_tokens(tokenizer_path), (sentence_cut, clause_cut, word_cut)
         sequence = TaskContext.get().partitionId() << 32
         names: list = []
@@ -170,16 +195,14 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         held = 0
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = [t or b"" for t in texts]
-            for lo, hi in chunks(texts):
-                for key, ids in zip(keys[lo:hi], tok.ids(texts[lo:hi], end_id)):
-                    names.append(key)
-                    parts.append(ids)
-                    held += len(ids)
-                    if held >= block:
-                        out, sequence = _pieces(names, parts, sequence, tok, window, cuts)
-                        yield out
-                        names, parts, held = [], [], 0
+            for key, text in zip(keys, texts):
+                names.append(key)
+                parts.append(tok.ids(text or b"", end_id))
+                held += len(parts[-1])
+                if held >= block:
+                    out, sequence = _pieces(names, parts, sequence, tok, window, cuts)
+                    yield out
+                    names, parts, held = [], [], 0
         if parts:
             yield _pieces(names, parts, sequence, tok, window, cuts)[0]
 
