@@ -75,7 +75,12 @@ class WordTokens(dict):
         if len(self) >= _CACHE_WORDS:
             self.clear()
         text = word.decode("utf-8", "replace")
-        if self._PLAIN.fullmatch(text) and "<|" not in text:
+        head = text if text.isalpha() else text[:-1]
+        if head.isalpha() and (text.isascii() and text[-1] > " " or self._PLAIN.fullmatch(text)):
+            ids = self.pieces.get(head.lower()) or self.piece(head.lower())
+            if head is not text:
+                ids += self.piece(text[-1])
+        elif "<|" not in text and self._PLAIN.fullmatch(text):
             ids = b"".join(map(self.piece, self._PIECE.findall(text.lower())))
         else:
             ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -87,8 +92,9 @@ class WordTokens(dict):
         if ids is None:
             if len(self.pieces) >= _CACHE_WORDS:
                 self.pieces.clear()
-            letters = text if text.isascii() else "".join(self.letter[b] for b in text.encode())
-            ids = self.pieces[text] = packed([t.id for t in self.model.tokenize(letters)])
+            letters = text if text.isascii() else "".join([self.letter[b] for b in text.encode()])
+            tokens = self.model.tokenize(letters)
+            ids = self.pieces[text] = packed([t.id for t in tokens])
         return ids
 
     def ids(self, text: bytes, end_id: int) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assetlane.llm.jaccard import near_duplicates
 from assetlane.llm.packing import pack
 from assetlane.llm.quality_rules import quality_rules
 from assetlane.llm.substring import substring_dedup
@@ -55,3 +56,25 @@ FROM w LEFT JOIN kept USING (doc_id)"""
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), os.path.join(TOKENIZERS, "word_bpe_49k.json"))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+SQL["op9_jaccard_join"] = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+       'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, t FROM (
+  SELECT doc_id, array_to_string(ws[i + 1:i + 5], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 4)) AS i FROM w WHERE len(ws) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') AS t FROM w WHERE len(ws) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+link AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN sh b ON a.t = b.t AND a.doc_id < b.doc_id
+         JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+         GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM reach r JOIN edge e ON e.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.lo AS component_id FROM documents d LEFT JOIN n USING (doc_id)
+JOIN (SELECT x, min(y) AS lo FROM reach GROUP BY x) c ON c.x = d.doc_id"""
