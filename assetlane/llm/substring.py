@@ -161,24 +161,24 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, size: int = SIZE, ancho
     texts = _texts(docs, id_col, text_col)
     stored = store(spark, paths(texts, size, anchor), "paths")
     rows = stored.select("doc_id", "key", F.inline("paths"))
-    shared = (rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-              .where("lo < hi").select("anchor"))
-    rows = store(spark, rows.join(shared, "anchor", "left_semi"), "repeated-anchors")
+    shared = store(spark, rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                   .where("lo < hi").select("anchor"), "shared-anchors")
+    rows = store(spark, rows.join(if_small(shared, 8), "anchor", "left_semi"), "repeated-anchors")
     path = ["anchor", "path", "proof"]
     compact = rows.groupBy(*path).agg(
         F.min("doc_id").alias("first"), F.min_by("key", "doc_id").alias("key"),
         F.min_by("start", "doc_id").alias("start"), F.max("edges").alias("edges"),
     ).withColumn("number", F.monotonically_increasing_id())
     compact = store(spark, compact, "compact-paths")
-    branching = compact.groupBy("anchor").count().where("count > 1").select("anchor")
+    branching = store(spark, compact.groupBy("anchor").count().where("count > 1").select("anchor"), "branching-anchors")
     asked = F.struct("key", "start", "edges", "path", "proof", "number")
-    wanted = store(spark, compact.join(branching, "anchor", "left_semi")
+    wanted = store(spark, compact.join(if_small(branching, 8), "anchor", "left_semi")
                    .groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(asked).alias("asked")),
                    "branching-paths")
     edges = store(spark, open_edges(texts, if_small(wanted, 56, "asked"), size), "edges")
-    merged = (edges.groupBy("edge", "edge_proof")
-              .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"))
-    late = (edges.join(merged, ["edge", "edge_proof"]).where("lo < doc_id")
+    merged = store(spark, edges.groupBy("edge", "edge_proof").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "shared-edges")
+    late = (edges.join(if_small(merged, 24), ["edge", "edge_proof"]).where("lo < doc_id")
             .groupBy("number").agg(F.collect_list("step").alias("steps")))
     known = compact.join(late, "number", "left").select(*path, "first", "steps")
 
