@@ -10,8 +10,7 @@ order gives the same, exact result; the list only decides how small the buckets
 1. Documents with one token set form a class; only classes are compared.
 2. Prefix tokens held by a single class are dropped.
 3. In each bucket (classes with one prefix token) all members meet one pivot. Candidates pass the
-   length filter and the positional filter, meet the suffix filter and are verified on their texts,
-   each pair once.
+   length, positional and suffix filters and are verified on their texts, each pair once.
 4. Members found linked are one component and need no further comparison with each other. Buckets
    within one component are done; this is what keeps a group of copies linear.
 5. Pivots are repeated while they merge much; then all remaining pairs across components
@@ -33,6 +32,8 @@ from assetlane.llm.tables import if_small, store
 from assetlane.llm.words import Spans, chunks, mix, split
 
 N, PERCENT, COMMON_BITS, BLOCK_TOKENS = 5, 80, 20, 4 << 20
+PART_BITS = 8
+PARTS = 1 << PART_BITS
 
 
 def token_sets(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +70,13 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
+def part_sizes(code: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many tokens of each set fall into each of ``PARTS`` parts by hash, at most 255."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    part = owner * PARTS + (code >> np.uint64(64 - PART_BITS)).astype(np.int64)
+    return np.minimum(np.bincount(part, minlength=PARTS * (len(first) - 1)), 255).astype(np.uint8).reshape(-1, PARTS)
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                        F.col(text_col).cast("binary").alias("text"))
@@ -128,16 +136,18 @@ def document_sets(spark: SparkSession, texts: DataFrame, n: int, percent: int, b
                 length = prefix_length(size, percent)
                 take = place < np.repeat(length, size)
                 k1, k2 = set_keys(code, first)
+                parts = part_sizes(code, first)
                 bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + hi - lo)), batch.column(0).slice(lo, hi - lo),
                      pa.array(size), pa.array(k1), pa.array(k2),
+                     pa.array([p.tobytes() for p in parts], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(bounds), pa.array(code[order][take].view(np.int64)))],
-                    ["row", "doc_id", "n", "k1", "k2", "prefix"])
+                    ["row", "doc_id", "n", "k1", "k2", "parts", "prefix"])
                 row += hi - lo
 
     return store(spark, texts.mapInArrow(
-        run, "row bigint, doc_id bigint, n bigint, k1 bigint, k2 bigint, prefix array<bigint>"), "sets")
+        run, "row bigint, doc_id bigint, n bigint, k1 bigint, k2 bigint, parts binary, prefix array<bigint>"), "sets")
 
 
 def may_link(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
@@ -147,6 +157,32 @@ def may_link(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Col
     return length & ((100 + percent) * most >= percent * (n + m))
 
 
+def suffix_filter(spark: SparkSession, pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sets can still reach the threshold by the sizes of their parts.
+
+    Tokens that differ between two parts differ between the sets, so the summed differences of the
+    part sizes bound the symmetric difference from below. ``parts`` has node, n and parts.
+    """
+    def side(name: str) -> DataFrame:
+        return parts.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("parts").alias(f"{name}_parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, PARTS)
+                    for i in (4, 5))
+            apart = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
+            good = pa.array((100 + percent) * ((n - apart) // 2) >= percent * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(good)
+
+    small = if_small(parts, 24 + PARTS)
+    joined = pairs.join(side("x") if small is parts else F.broadcast(side("x")), "x").join(
+        side("y") if small is parts else F.broadcast(side("y")), "y")
+    return joined.select("x", "y", "x_n", "y_n", "x_parts", "y_parts").mapInArrow(run, "x bigint, y bigint")
+
+
 def verify(spark: SparkSession, pairs: DataFrame, classes: DataFrame, texts: DataFrame,
            n: int, percent: int) -> DataFrame:
     """The pairs (x, y) of classes whose texts reach the threshold. ``pairs`` is a stored table."""
@@ -194,17 +230,11 @@ def _linked(x: list, y: list, keys: list, xs: pa.Array, ys: pa.Array, n: int, pe
         ends.append(side)
     code, first = token_sets(bodies, n)
     k1, k2 = set_keys(code, first)
-    parts = (code >> np.uint64(60)).astype(np.int64)
-    owner = np.repeat(np.arange(len(bodies)), np.diff(first))
-    table = np.bincount(owner * 16 + parts, minlength=16 * len(bodies)).reshape(-1, 16)
     good = []
     for i, (a, b) in enumerate(zip(*ends)):
         s, t = code[first[a]:first[a + 1]], code[first[b]:first[b + 1]]
         same = (k1[a], k2[a], k1[b], k2[b]) == (keys[0][i], keys[1][i], keys[2][i], keys[3][i])
-        # suffix filter: sizes of the parts bound how many tokens differ
-        apart = int(np.abs(table[a] - table[b]).sum())
-        most = (len(s) + len(t) - apart) // 2
-        if not same or (100 + percent) * most < percent * (len(s) + len(t)):
+        if not same or not len(s) or not len(t):
             good.append(False)
             continue
         at = np.minimum(np.searchsorted(t, s), len(t) - 1)
@@ -213,7 +243,7 @@ def _linked(x: list, y: list, keys: list, xs: pa.Array, ys: pa.Array, n: int, pe
     return pa.array(good, pa.bool_())
 
 
-def link_classes(spark: SparkSession, classes: DataFrame, entries: DataFrame, texts: DataFrame,
+def link_classes(spark: SparkSession, classes: DataFrame, entries: DataFrame, parts: DataFrame, texts: DataFrame,
                  n: int, percent: int, slack: int = 4) -> DataFrame:
     """Components (node, comp) of the classes, from ``entries`` (token, node, n, pos), a stored table."""
     done = links = None
@@ -226,7 +256,7 @@ def link_classes(spark: SparkSession, classes: DataFrame, entries: DataFrame, te
         size = todo.agg((F.sum(F.col("m") * F.col("m") - F.col("s")) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
         if not size["pairs"]:
             break
-        last = size["pairs"] <= slack * size["rows"] or (before is not None and size["pairs"] > 0.7 * before)
+        last = before is not None and (size["pairs"] <= slack * size["rows"] or size["pairs"] > 0.7 * before)
         before = size["pairs"]
         if last:
             a, b = live.alias("a"), live.alias("b")
@@ -243,7 +273,8 @@ def link_classes(spark: SparkSession, classes: DataFrame, entries: DataFrame, te
         if done is not None:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
         pairs = store(spark, pairs, "pairs")
-        found = verify(spark, pairs, classes, texts, n, percent)
+        close = store(spark, suffix_filter(spark, pairs, parts, percent), "close-pairs")
+        found = verify(spark, close, classes, texts, n, percent)
         done = pairs if done is None else done.union(pairs)
         links = found if links is None else links.union(found)
         comps = components(spark, links)
@@ -274,10 +305,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = N, percent: i
                     .agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id")), "classes")
     kept = sets.join(if_small(classes.select(F.col("node").alias("row")), 8), "row", "left_semi")
     entries = kept.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").count().where("count > 1").select("token")
-    entries = store(spark, entries.join(shared, "token", "left_semi"), "entries")
+    shared = store(spark, entries.groupBy("token").count().where("count > 1").select("token"), "shared-tokens")
+    entries = store(spark, entries.join(if_small(shared, 8), "token", "left_semi"), "entries")
+    met = entries.select(F.col("node").alias("row")).distinct()
+    parts = store(spark, sets.join(met, "row", "left_semi").select(F.col("row").alias("node"), "n", "parts"), "parts")
     texts = texts.where("doc_id IS NOT NULL")
-    comps = link_classes(spark, classes, entries, texts, n, percent)
+    comps = link_classes(spark, classes, entries, parts, texts, n, percent)
     named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = store(spark, named.join(least, "comp").select(
