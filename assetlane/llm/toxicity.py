@@ -6,7 +6,8 @@ unlabelled loss, and where that estimate of the negative risk falls below zero t
 
     risk(g) = p R_pos(+) + max(0, R_unl(-) - p R_pos(-)),   loss l(z) = sigmoid(-z)
 
-Features are hashed words (runs of letters, lower-cased). The ``features`` slots that stand out most
+Features are hashed words (runs of letters, lower-cased) and their first 4 to 7 bytes, so that forms
+of one stem share a feature. The ``features`` slots that stand out most
 among the positives are kept, as the logarithm of their count in the whole text; a linear model over
 them is fitted in numpy on the driver from at most ``max_positive`` positives and ``max_unlabelled``
 other documents. Scoring is one pass over all whole texts, without a shuffle.
@@ -22,16 +23,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlane.llm.learning import Adam, label_sample, remainder, sigmoid
-from assetlane.llm.words import chunks, split
+from assetlane.llm.words import chunks, codes_of, mix, split
 
+PREFIXES = (4, 5, 6, 7)
 SLOTS, FEATURES, MAX_POSITIVE, MAX_UNLABELLED, STEPS = 1 << 20, 512, 3000, 9000, 600
 
 
 def slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct word slots of each text in order, their counts, and where each text's begin."""
+    """Distinct word and stem slots of each text in order, their counts, and where each text's begin."""
     w = split(texts, fold=True, letters=True)
-    slot = (w.code % np.uint64(SLOTS)).astype(np.int64)
-    key, count = np.unique(w.doc * SLOTS + slot, return_counts=True)
+    size, owner = w.end - w.start, w.doc
+    codes, owners = [w.code], [owner]
+    for length in PREFIXES:
+        at = np.flatnonzero(size > length)
+        codes.append(codes_of(w.buf, w.start[at], w.start[at] + length) + np.uint64(length))
+        owners.append(owner[at])
+    slot = (mix(np.concatenate(codes)) % np.uint64(SLOTS)).astype(np.int64)
+    key, count = np.unique(np.concatenate(owners) * SLOTS + slot, return_counts=True)
     return key % SLOTS, count, np.searchsorted(key // SLOTS, np.arange(len(texts) + 1))
 
 
@@ -56,12 +64,12 @@ def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], features: i
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS,
-        decay: float = 1e-4) -> tuple[np.ndarray, float]:
+        decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk, by full-batch Adam."""
     p = {"w": np.zeros(positive.shape[1]), "b": np.array([-1.0])}
     adam = Adam(p, 0.05)
     for step in range(steps):
-        adam.rate = 0.05 * (1 - step / steps) + 0.001
+        adam.rate = 0.1 * (1 - step / steps) + 0.001
         sp, su = sigmoid(positive @ p["w"] + p["b"]), sigmoid(unlabelled @ p["w"] + p["b"])
         slope_p, slope_u = sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
         negative = su.mean() - prior * sp.mean()
@@ -77,7 +85,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 def _dense(rows: list[tuple[np.ndarray, np.ndarray]], chosen: np.ndarray) -> np.ndarray:
     place = np.full(SLOTS, -1)
     place[chosen] = np.arange(len(chosen))
-    out = np.zeros((len(rows), len(chosen)))
+    out = np.zeros((len(rows), len(chosen)), dtype=np.float32)
     for i, (slot, count) in enumerate(rows):
         at = place[slot]
         out[i, at[at >= 0]] = np.log1p(count[at >= 0])
