@@ -184,8 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, label_col: str =
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
-                   label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score and predicted of every row.
+                   label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
+                   carry: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row, and the columns named in ``carry``.
 
     Labels are learned only from ids whose crc32 modulo ``folds`` is not ``held``; nothing but the
     text makes a score. Null and empty texts are one passage without words and get its score; null
@@ -193,6 +194,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold
     every score is 0.5. An empty table gives no rows; other columns are not read.
     """
     texts = _texts(docs, id_col, text_col)
+    extra = [c for c in carry or [] if c != "doc_id"]
     model = spark.sparkContext.broadcast(train(texts, labels, remainder("doc_id", folds) != held, label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +202,14 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold
             bodies = [t or b"" for t in batch.column(1).to_pylist()]
             for lo, hi in chunks(bodies):
                 score = np.full(hi - lo, 0.5) if model.value is None else model.value.score(bodies[lo:hi])
+                rest = [batch.column(i).slice(lo, hi - lo) for i in range(2, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(score, pa.float64())], ["doc_id", "score"])
+                    [batch.column(0).slice(lo, hi - lo), pa.array(score, pa.float64()), *rest],
+                    ["doc_id", "score", *extra])
 
-    return texts.mapInArrow(run, "doc_id bigint, score double").select(
+    rows = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).cast("binary").alias("__text"),
+                       *[F.col(c) for c in extra])
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
+    return rows.mapInArrow(run, "doc_id bigint, score double" + carried).select(
         "doc_id", F.coalesce(remainder("doc_id", folds) == held, F.lit(False)).alias("held_out"),
-        "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+        "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *extra)

@@ -213,14 +213,16 @@ def _union(spans: str) -> Column:
 
 
 def remove_spans(docs: DataFrame, cuts: DataFrame, id_col: str = "doc_id",
-                 text_col: str = "text", texts: bool = True) -> DataFrame:
-    """Every row of ``docs`` as doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, text.
+                 text_col: str = "text", texts: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """Every row of ``docs`` as doc_id, n_words, n_removed, kept_sha256, with ``texts`` text, and the
+    columns named in ``carry``.
 
     ``text`` keeps the bytes of a document that loses nothing; of others it has the words that are
     kept, each with the white space that followed it. ``kept_sha256`` is of the kept words joined by
     one space. A null text has no words and stays null.
     """
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * texts
+    extra = list(carry or [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,11 +249,16 @@ def remove_spans(docs: DataFrame, cuts: DataFrame, id_col: str = "doc_id",
                            pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
                 if texts:
                     columns.append(pa.array(out, pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names)
+                columns += [batch.column(i).slice(lo, hi - lo) for i in range(3, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays(columns, names + extra)
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", text binary" * texts
-    joined = _texts(docs, id_col, text_col).join(if_small(cuts, 48, "cuts"), "doc_id", "left")
-    out = joined.select("doc_id", "text", "cuts").mapInArrow(run, schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).cast("binary").alias("__text"),
+                       *[F.col(c) for c in extra])
+    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("cuts").alias("__cuts"))
+    joined = rows.join(if_small(cuts, 48, "__cuts"), "__id", "left")
+    out = joined.select("__id", "__text", "__cuts", *extra).mapInArrow(run, schema)
     return out.withColumn("text", F.col("text").cast("string")) if texts else out
 
 
