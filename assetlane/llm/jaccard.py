@@ -8,9 +8,10 @@ has at most ``2 ** common_bits`` entries, whatever the corpus), all others count
 order gives the same, exact result; the list only decides how small the buckets are.
 
 1. Documents with one token set form a class; only classes are compared.
-2. Prefix tokens held by a single class are dropped.
-3. In each bucket (classes with one prefix token) all members meet one pivot. Candidates pass the
-   length, positional and suffix filters and are verified on their texts, each pair once.
+2. Prefix tokens held by a single class are dropped. Where a prefix holds all rare tokens of its set,
+   those of them found in no other prefix match nothing; too many, and the class cannot link.
+3. In each bucket (classes with one prefix token) all members meet one pivot, the one with the
+   fewest such tokens. Candidates pass the length, positional and suffix filters and are verified on their texts, each pair once.
 4. Members found linked are one component and need no further comparison with each other. Buckets
    within one component are done; this is what keeps a group of copies linear.
 5. Pivots are repeated while they merge much; then all remaining pairs across components
@@ -34,6 +35,7 @@ from assetlane.llm.words import Spans, chunks, mix, split
 N, PERCENT, COMMON_BITS, BLOCK_TOKENS = 5, 80, 20, 4 << 20
 PART_BITS = 8
 PARTS = 1 << PART_BITS
+USED = ("n", "pos", "whole", "c")
 
 
 def token_sets(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -137,24 +139,45 @@ def document_sets(spark: SparkSession, texts: DataFrame, n: int, percent: int, b
                 take = place < np.repeat(length, size)
                 k1, k2 = set_keys(code, first)
                 parts = part_sizes(code, first)
+                rare = np.bincount(owner, rank == 0, minlength=hi - lo).astype(np.int64)
                 bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + hi - lo)), batch.column(0).slice(lo, hi - lo),
-                     pa.array(size), pa.array(k1), pa.array(k2),
+                     pa.array(size), pa.array(rare), pa.array(k1), pa.array(k2),
                      pa.array([p.tobytes() for p in parts], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(bounds), pa.array(code[order][take].view(np.int64)))],
-                    ["row", "doc_id", "n", "k1", "k2", "parts", "prefix"])
+                    ["row", "doc_id", "n", "rare", "k1", "k2", "parts", "prefix"])
                 row += hi - lo
 
     return store(spark, texts.mapInArrow(
-        run, "row bigint, doc_id bigint, n bigint, k1 bigint, k2 bigint, parts binary, prefix array<bigint>"), "sets")
+        run, "row bigint, doc_id bigint, n bigint, rare bigint, k1 bigint, k2 bigint, parts binary, prefix array<bigint>"), "sets")
 
 
-def may_link(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
-    """Length and positional filters for sets of n and m tokens that share one at pos and at."""
-    length = (100 * n >= percent * m) & (100 * m >= percent * n)
-    most = F.least(pos, at) + 1 + F.least(n - pos, m - at) - 1
-    return length & ((100 + percent) * most >= percent * (n + m))
+def may_link(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """Length, positional and matchable-token filters for two entries of one token.
+
+    ``whole`` says that all rare tokens of a set are in its prefix. If that holds for both sets, a rare
+    token that no other prefix holds cannot be in both, so at most ``c`` tokens of each can match.
+    """
+    need = percent * (x["n"] + y["n"])
+    length = (100 * x["n"] >= percent * y["n"]) & (100 * y["n"] >= percent * x["n"])
+    most = F.least(x["pos"], y["pos"]) + 1 + F.least(x["n"] - x["pos"], y["n"] - y["pos"]) - 1
+    matchable = ~(x["whole"] & y["whole"]) | ((100 + percent) * F.least(x["c"], y["c"]) >= need)
+    return length & ((100 + percent) * most >= need) & matchable
+
+
+def with_matchable(spark: SparkSession, entries: DataFrame, percent: int) -> DataFrame:
+    """Entries with ``whole`` and ``c`` (see ``may_link``), without those that cannot link at all."""
+    whole = F.col("rare") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    counted = store(spark, entries.groupBy("node").agg(
+        F.first("n").alias("n"), F.first("rare").alias("rare"), F.sum((F.col("pos") < F.col("rare")).cast("bigint")).alias("met"))
+        .select("node", whole.alias("whole"), F.when(whole, F.col("n") - F.col("rare") + F.col("met")).otherwise(F.col("n")).alias("c")), "matchable")
+    out = entries.drop("rare").join(if_small(counted, 24), "node")
+    least = store(spark, out.groupBy("token").agg(F.min("n").alias("low"), F.min("whole").alias("all"), F.count(F.lit(1)).alias("m")), "buckets")
+    other = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    kept = out.join(if_small(least, 32), "token").where(
+        (F.col("m") > 1) & (~F.col("all") | ((100 + percent) * F.col("c") >= percent * (F.col("n") + other))))
+    return store(spark, kept.select("token", "node", "n", "pos", "whole", "c"), "entries")
 
 
 def suffix_filter(spark: SparkSession, pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -259,17 +282,22 @@ def link_classes(spark: SparkSession, classes: DataFrame, entries: DataFrame, pa
         last = before is not None and (size["pairs"] <= slack * size["rows"] or size["pairs"] > 0.7 * before)
         before = size["pairs"]
         if last:
-            a, b = live.alias("a"), live.alias("b")
+            # open tokens of each class, at most its prefix: a pair is made at its least common one only
+            own = store(spark, live.groupBy("node").agg(F.collect_list("token").alias("open")), "open-tokens")
+            wide = store(spark, live.join(if_small(own, 10, "open"), "node"), "open-entries")
+            a, b = wide.alias("a"), wide.alias("b")
             met = a.join(b, "token").where("a.node < b.node AND a.comp <> b.comp").where(
-                may_link(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), percent))
+                may_link(*({c: F.col(f"{t}.{c}") for c in USED} for t in "ab"), percent)).where(
+                F.array_min(F.array_intersect("a.open", "b.open")) == F.col("token"))
             pairs = met.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
         else:
-            pivot = live.groupBy("token").agg(
-                F.min("node").alias("x"), F.min_by("n", "node").alias("x_n"),
-                F.min_by("pos", "node").alias("x_pos"), F.min_by("comp", "node").alias("x_comp"))
-            met = live.join(pivot, "token").where("node <> x AND comp <> x_comp").where(
-                may_link(F.col("n"), F.col("pos"), F.col("x_n"), F.col("x_pos"), percent))
-            pairs = met.select("x", F.col("node").alias("y")).distinct()
+            # the set with the fewest tokens of its own is the likeliest centre of its copies
+            own = F.col("n") - F.col("c")
+            pivot = store(spark, live.groupBy("token").agg(
+                F.min_by("node", own).alias("x"), *[F.min_by(c, own).alias(f"x_{c}") for c in (*USED, "comp")]), "pivots")
+            met = live.join(if_small(pivot, 56), "token").where("node <> x AND comp <> x_comp").where(
+                may_link({c: F.col(c) for c in USED}, {c: F.col(f"x_{c}") for c in USED}, percent))
+            pairs = met.select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
         pairs = store(spark, pairs, "pairs")
@@ -282,12 +310,12 @@ def link_classes(spark: SparkSession, classes: DataFrame, entries: DataFrame, pa
             break
         named = (live.drop("comp").join(if_small(comps, 16), "node", "left")
                  .withColumn("comp", F.coalesce("comp", "node")))
-        if not last:
-            # the pivot has met its whole bucket
-            named = named.join(pivot.select("token", F.col("x").alias("node")), ["token", "node"], "left_anti")
+        # the pivot has met its whole bucket
+        named = named.join(if_small(pivot.select("token", F.col("x").alias("node")), 16), ["token", "node"], "left_anti")
         named = store(spark, named, "open-entries")
-        mixed = named.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
-        live = store(spark, named.join(mixed.select("token"), "token", "left_semi"), "open-entries")
+        mixed = store(spark, named.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
+                      .where("a < b").select("token"), "open-buckets")
+        live = store(spark, named.join(if_small(mixed, 8), "token", "left_semi"), "open-entries")
     return comps if comps is not None else spark.createDataFrame([], "node bigint, comp bigint")
 
 
@@ -304,9 +332,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = N, percent: i
     classes = store(spark, sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n")
                     .agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id")), "classes")
     kept = sets.join(if_small(classes.select(F.col("node").alias("row")), 8), "row", "left_semi")
-    entries = kept.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
+    entries = kept.select(F.col("row").alias("node"), "n", "rare", F.posexplode("prefix").alias("pos", "token"))
     shared = store(spark, entries.groupBy("token").count().where("count > 1").select("token"), "shared-tokens")
-    entries = store(spark, entries.join(if_small(shared, 8), "token", "left_semi"), "entries")
+    entries = store(spark, entries.join(if_small(shared, 8), "token", "left_semi"), "shared-entries")
+    entries = with_matchable(spark, entries, percent)
     met = entries.select(F.col("node").alias("row")).distinct()
     parts = store(spark, sets.join(met, "row", "left_semi").select(F.col("row").alias("node"), "n", "parts"), "parts")
     texts = texts.where("doc_id IS NOT NULL")
