@@ -280,13 +280,13 @@ def share_tokens(df: DataFrame, url: str = "url", param: str = "p") -> DataFrame
 
 
 def _entry_key(members: Column) -> Column:
-    """Sorted ``key=kind:text`` of an object's members, numbers in one form."""
+    """An object's members, sorted, as a JSON list of (key, kind, text); numbers in one form."""
     def one(e: Column) -> Column:
         kind, text = e["value"]["kind"], e["value"]["text"]
         number = F.when(kind == "number", plain_number(text.try_cast("double")))
-        return F.concat(e["key"], F.lit("="), kind, F.lit(":"), F.coalesce(number, text, F.lit("null")))
+        return F.struct(e["key"].alias("k"), kind.alias("t"), F.coalesce(number, text, F.lit("null")).alias("v"))
 
-    return F.array_join(F.array_sort(F.transform(F.map_entries(members), one)), "\x1e")
+    return F.to_json(F.array_sort(F.transform(F.map_entries(members), one)))
 
 
 def settings_keys(df: DataFrame, json: str = "settings_json") -> DataFrame:
@@ -306,7 +306,7 @@ def settings_keys(df: DataFrame, json: str = "settings_json") -> DataFrame:
 def fingerprint(df: DataFrame, settings: str = "settings_json", fp: str = "fp") -> DataFrame:
     """V6: ``+fp``, a 256-bit key that is equal exactly for equal settings; null if unreadable."""
     keyed = settings_keys(df, settings)
-    key = F.sha2(F.concat_ws("\x1f", "encoder_key", "options_key", "resize_key"), 256)
+    key = F.sha2(F.to_json(F.array("encoder_key", "options_key", "resize_key")), 256)
     return keyed.withColumn(fp, F.when(F.col("encoder_key").isNotNull(), key)).drop(
         "encoder_key", "options_key", "resize_key"
     )

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetlane.session import hand_over
 from assetlane.functions.numbers import dbl
 
 # Fixed value: how deep forms may nest.
@@ -130,8 +131,9 @@ def ctm_walk(
 
     ``page_ops(doc_id, page, ...)`` and ``form_ops(doc_id, form, ...)`` hold the operators;
     ``xobjects(doc_id, owner, name, kind, ref, matrix)`` resolves names, ``owner`` being
-    ``p<page>`` or ``f<form>``. Each form is replayed once; what a form draws in the end is built up
-    in ``max_depth`` rounds on the form tables alone, and pages meet the finished table once.
+    ``p<page>`` or ``f<form>``. Each form is replayed once and stored; what forms draw through forms
+    is added level by level on that table until a level is empty or ``max_depth`` is reached (forms
+    that draw each other would go on for ever), and pages meet the finished table once.
     """
     cols = ["doc_id", "owner", "op_no", "op", "args", "name"]
     pages = page_ops.withColumn("owner", F.concat(F.lit("p"), F.col("page").cast("string")))
@@ -151,11 +153,14 @@ def ctm_walk(
     def images(draws: DataFrame) -> DataFrame:
         return draws.where(F.col("kind") == "image").select("doc_id", "owner", "name", "ref", "m")
 
-    inside = resolved(forms)
-    direct, nested = images(inside), into_forms(inside)
-    reached = direct
+    inside = hand_over(resolved(forms), "form-draws")
+    nested = into_forms(inside)
+    level = reached = images(inside)
     for _ in range(max_depth - 1):
-        reached = direct.unionByName(_through(nested, reached))
+        level = hand_over(_through(nested, level), "form-level")
+        if level.isEmpty():
+            break
+        reached = reached.unionByName(level)
     drawn = resolved(pages)
     found = images(drawn).unionByName(_through(into_forms(drawn), reached))
     return found.select(

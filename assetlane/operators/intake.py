@@ -15,6 +15,8 @@ MAX_PDF_BYTES = 150 * 1024 * 1024
 MAX_FILES = 5000
 MAX_DEPTH = 16
 STALE_MS = 12 * 60 * 60 * 1000
+# Fixed value: what joins two notes on one drop. The sentences of ``route_drops`` are fixed too.
+NOTE_JOIN = " · "
 
 
 def taken_path(path: Column) -> Column:
@@ -22,27 +24,31 @@ def taken_path(path: Column) -> Column:
 
 
 def intake_filter(
-    manifest: DataFrame, max_files: int = MAX_FILES, max_depth: int = MAX_DEPTH,
-    max_bytes: int = MAX_FILE_BYTES, include_non_images: bool = False, folder_walk: bool = False,
+    manifest: DataFrame, max_files: int | None = None, max_depth: int | None = None,
+    max_bytes: int | None = None, include_non_images: bool = False, folder_walk: bool = False,
     chunk_rows: int = 1_000_000,
 ) -> DataFrame:
-    """The files a drop takes in, ``+taken_path``, first ``max_files`` per drop by ``seq``.
+    """The files a drop takes in, ``+taken_path, +oversize`` (over the image ceiling).
 
-    With ``folder_walk`` no folder on the way may be hidden or ignored, and files deeper than
-    ``max_depth`` are left out. The cut is by position in the drop, counted in chunks of ``seq``
-    (a drop of any size is spread over tasks).
+    With ``folder_walk`` no folder on the way may be hidden or ignored. Limits are off unless given:
+    ``max_bytes`` and, in a walk, ``max_depth`` leave files out, ``max_files`` keeps the first of
+    each drop by ``seq``, counted in chunks (a drop of any size is spread over tasks). The
+    application's own limits are ``MAX_FILE_BYTES``, ``MAX_DEPTH`` and ``MAX_FILES``.
     """
     path = taken_path(F.col("path"))
-    rows = manifest.withColumn("taken_path", path).where(
-        ~is_ignored(basename(F.col("taken_path"))) & (F.col("bytes") <= F.lit(max_bytes))
-    )
+    rows = manifest.withColumn("taken_path", path).where(~is_ignored(basename(F.col("taken_path"))))
+    rows = rows.withColumn("oversize", F.col("bytes") > F.lit(MAX_FILE_BYTES))
+    if max_bytes is not None:
+        rows = rows.where(F.col("bytes") <= F.lit(max_bytes))
     if not include_non_images:
         rows = rows.where(looks_like_image(F.col("declared"), F.col("taken_path")))
     if folder_walk:
         walked = F.filter(F.split(F.translate("path", "\\", "/"), "/"), lambda s: s != "")
-        rows = rows.where(
-            ~F.exists(walked, is_ignored) & (F.size(walked) - F.lit(1) <= F.lit(max_depth))
-        )
+        rows = rows.where(~F.exists(walked, is_ignored))
+        if max_depth is not None:
+            rows = rows.where(F.size(walked) - F.lit(1) <= F.lit(max_depth))
+    if max_files is None:
+        return rows
     placed = running_position(
         rows, ["drop_id"], [F.col("seq")], "__at", by_step("seq", chunk_rows)
     )
@@ -60,36 +66,26 @@ def partition_by_size(manifest: DataFrame, limit: int | None = None) -> DataFram
     return manifest.withColumn("accepted", F.col("bytes") <= cap)
 
 
-def oversize_notes(
-    manifest: DataFrame, names_per_note: int = 1000, chunk_rows: int = 1_000_000
-) -> DataFrame:
-    """S3: the note on files skipped for size, ``(drop_id, part, note)``.
+def oversize_names(manifest: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
+    """S3: the files skipped for size, ``(drop_id, position, name)`` in arrival order.
 
-    Names come in arrival order. A note holds at most ``names_per_note`` names; longer lists go on
-    in the next part, so the text of one drop never has to fit into one row or one task.
+    One row a name, however long the list: the note of a drop is its names joined by comma.
     """
     images = manifest.where(
         looks_like_image(F.col("declared"), basename(F.col("path")))
         & (F.col("bytes") > F.lit(MAX_FILE_BYTES))
     ).select("drop_id", "seq", basename(F.col("path")).alias("name"))
     placed = running_position(
-        images, ["drop_id"], [F.col("seq")], "__at", by_step("seq", chunk_rows)
-    )
-    parts = placed.withColumn("part", F.floor((F.col("__at") - 1) / F.lit(names_per_note)) + 1)
-    named = F.array_sort(F.collect_list(F.struct("seq", "name")))
-    return parts.groupBy("drop_id", "part").agg(
-        F.concat(
-            F.lit("Skipped (over 50 MB): "),
-            F.array_join(F.transform(named, lambda x: x["name"]), ", "),
-        ).alias("note")
+        images, ["drop_id"], [F.col("seq")], "position", by_step("seq", chunk_rows)
     )
+    return placed.select("drop_id", F.col("position").cast("bigint").alias("position"), "name")
 
 
 def route_drops(manifest: DataFrame) -> DataFrame:
     """``(drop_id, route, n_images, pdf, note)``.
 
-    One hash aggregate per drop, combined before the shuffle. The over-size part of the note lists
-    file names and is S3's own table; ``n_oversize`` tells how many there are.
+    One hash aggregate per drop, combined before the shuffle. A note joins what there is to say; its
+    over-size part says how many images were skipped, and their names are ``oversize_names``.
     """
     name = basename(F.col("path"))
     rows = manifest.select(
@@ -118,9 +114,15 @@ def route_drops(manifest: DataFrame) -> DataFrame:
                F.concat(F.lit("Skipped (over 150 MB): "), F.col("first_pdf.name")))
         .when(only_pdfs & (F.col("n_pdfs") > 1), "One PDF at a time — opened the first.")
         .when(only_pdfs, None)
-        .when(F.col("n_pdfs") > 0, "Drop a PDF on its own to compress it.")
-        .when((F.col("n_images") == 0) & (F.col("n_oversize") == 0),
-              "No readable images in that drop.")
+        .otherwise(F.coalesce(
+            F.nullif(F.concat_ws(
+                NOTE_JOIN,
+                F.when(F.col("n_pdfs") > 0, "Drop a PDF on its own to compress it."),
+                F.when(F.col("n_oversize") > 0, F.concat(
+                    F.lit("Skipped (over 50 MB): "), F.col("n_oversize").cast("string"))),
+            ), F.lit("")),
+            F.when(F.col("n_images") == 0, "No readable images in that drop."),
+        ))
     )
     return drops.select(
         "drop_id", route.alias("route"),

@@ -47,7 +47,8 @@ def explode_pixels(images: DataFrame, channels: str = "rgba", data: str = "data"
     """Row-major 8-bit samples to pixel rows; RGB and gray become RGBA with a = 255.
 
     ``data`` is an array column (exploded natively) or packed binary (unpacked in Arrow batches,
-    in bands, so that a large raster never becomes one large batch).
+    in bands, so that a large raster never becomes one large batch). Rasters with too few samples
+    give no rows here and are listed by :func:`explode_rejects`.
     """
     n = CHANNELS[channels]
     field = images.schema[data].dataType
@@ -55,7 +56,7 @@ def explode_pixels(images: DataFrame, channels: str = "rgba", data: str = "data"
         return _explode_packed(images, n, data)
     width = F.col("width")
     count = width.cast("bigint") * F.col("height")
-    grid = images.withColumn("__n", count).where(F.size(data) >= F.col("__n") * F.lit(n))
+    grid = images.withColumn("__n", count).where((F.col("__n") > 0) & (F.size(data) >= F.col("__n") * F.lit(n)))
     if n == 1:
         rows = grid.select("image_id", "width", "height", "__n", F.posexplode(data).alias("__p", "r"))
         rows = rows.where(F.col("__p") < F.col("__n"))
@@ -72,6 +73,17 @@ def explode_pixels(images: DataFrame, channels: str = "rgba", data: str = "data"
     )
 
 
+def explode_rejects(images: DataFrame, channels: str = "rgba", data: str = "data") -> DataFrame:
+    """``(image_id, width, height, samples, error)`` of rasters that give no pixel rows."""
+    field = images.schema[data].dataType
+    samples = F.length(data) if isinstance(field, T.BinaryType) else F.size(data)
+    samples = F.when(F.col(data).isNotNull(), samples)
+    want = F.col("width").cast("bigint") * F.col("height") * CHANNELS[channels]
+    error = (F.when(samples.isNull(), "no samples").when((F.col("width") <= 0) | (F.col("height") <= 0), "image has no area")
+             .when(samples < want, "too few samples"))
+    return images.select("image_id", "width", "height", samples.alias("samples"), error.alias("error")).where(F.col("error").isNotNull())
+
+
 def _explode_packed(images: DataFrame, n: int, data: str) -> DataFrame:
     key_type = images.schema["image_id"].dataType.simpleString()
 
@@ -79,7 +91,7 @@ def _explode_packed(images: DataFrame, n: int, data: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 w, h = row["width"], row["height"]
-                if w <= 0 or h <= 0 or len(row["data"]) < w * h * n:
+                if w <= 0 or h <= 0 or row["data"] is None or len(row["data"]) < w * h * n:
                     continue
                 raster = np.frombuffer(row["data"], np.uint8, w * h * n).reshape(h, w, n)
                 step = max(1, _BAND // w)
@@ -162,17 +174,25 @@ def metrics_factor(images: DataFrame, max_pixels: int = MAX_METRIC_PIXELS) -> Da
 def box_downscale(px: DataFrame, factor: Column | int) -> DataFrame:
     """Average factor x factor blocks per channel; the ragged right and bottom edge is dropped.
 
-    Needs ``factor <= min(width, height)``; see :func:`undersized` for images that break this.
+    An image narrower or lower than its box keeps one block on that side, with nothing counted for
+    the samples it lacks; :func:`undersized` lists such images.
     Blocks are combined before the shuffle, so it carries about 1/factor^2 of the rows.
     """
     f = factor if isinstance(factor, Column) else F.lit(factor)
     px = px.withColumn("__f", F.greatest(F.lit(1), F.floor(f.cast("double")).cast("int")))
-    step = F.col("__f")
-    w, h = int_div(F.col("width"), step), int_div(F.col("height"), step)
-    whole = px.where((F.col("x") < w * step) & (F.col("y") < h * step))
+    step, width, one = F.col("__f"), F.col("width"), F.lit(1)
+    w, h = (F.greatest(one, int_div(F.col(side), step)) for side in ("width", "height"))
+    # a block line is a run of samples from the start of a row; only in an image narrower than its
+    # box does it run on into the next rows, so that a pixel serves several of them
+    flat = F.col("y").cast("bigint") * width + F.col("x")
+    lowest = F.greatest(F.lit(0), F.ceil((flat - step + 1) / width).cast("int"))
+    serves = F.when(width < step, F.sequence(lowest, F.col("y"))).otherwise(F.array("y"))
+    whole = px.withColumns({"__flat": flat, "__row": F.explode(serves)}).withColumn(
+        "__at", (F.col("__flat") - F.col("__row").cast("bigint") * width).cast("int")
+    ).where((F.col("__at") < w * step) & (F.col("__row") < h * step))
     blocks = whole.groupBy(
-        "image_id", w.alias("width"), h.alias("height"), int_div(F.col("x"), step).alias("x"),
-        int_div(F.col("y"), step).alias("y"), "__f",
+        "image_id", w.alias("width"), h.alias("height"), int_div(F.col("__at"), step).alias("x"),
+        int_div(F.col("__row"), step).alias("y"), "__f",
     ).agg(*[F.sum(c).alias(c) for c in "rgba"])
     area = (step * step).cast("double")
     return blocks.select(*PX[:5], *[byte_store(F.col(c) / area).alias(c) for c in "rgba"])
@@ -202,10 +222,10 @@ def comparable(ref_sizes: DataFrame, out_sizes: DataFrame) -> DataFrame:
         F.when(F.col("a_n").isNull() | F.col("b_n").isNull(), "one side has no pixels")
         .when(
             (F.col("a_width") != F.col("b_width")) | (F.col("a_height") != F.col("b_height")),
-            F.concat(F.lit("SSIM needs identical dimensions: "), size("a"), F.lit(" vs "), size("b")),
+            F.concat(F.lit("sizes differ: "), size("a"), F.lit(" and "), size("b")),
         )
-        .when(want <= 0, "SSIM needs a non-empty image")
-        .when(F.least("a_n", "b_n") < want, "pixel buffer too short")
+        .when(want <= 0, "image has no area")
+        .when(F.least("a_n", "b_n") < want, "too few samples")
     )
     return joined.select("image_id", error.alias("error"))
 
@@ -229,8 +249,8 @@ def _judged(ref_px: DataFrame, out_px: DataFrame, scored: DataFrame) -> DataFram
     sizes = comparable(plane_sizes(ref_px), plane_sizes(out_px))
     return sizes.join(scored, "image_id", "left").select(
         "image_id",
-        F.when(F.col("error").isNull(), F.coalesce("ssim", dbl(1))).alias("ssim"),
-        "error",
+        F.when(F.col("error").isNull(), F.col("ssim")).alias("ssim"),
+        F.coalesce("error", F.when(F.col("ssim").isNull(), "no pixel of one side meets the other")).alias("error"),
     )
 
 
@@ -321,16 +341,17 @@ def _score_pair(w: int, h: int, ref: pa.Scalar, out: pa.Scalar, max_pixels: int)
     if ref.as_buffer() is None or out.as_buffer() is None:
         return None, "one side has no pixels"
     if w <= 0 or h <= 0:
-        return None, "SSIM needs a non-empty image"
+        return None, "image has no area"
     if min(ref.as_buffer().size, out.as_buffer().size) < w * h * 4:
-        return None, "pixel buffer too short"
+        return None, "too few samples"
     planes = [np.frombuffer(s.as_buffer(), np.uint8, w * h * 4).reshape(h, w, 4) for s in (ref, out)]
     factor = 1
     if max_pixels > 0 and w * h > max_pixels:
         factor = max(1, int(np.ceil(np.sqrt(w * h / max_pixels))))
+    width, height = max(1, w // factor), max(1, h // factor)
     if factor > min(w, h):
-        return None, "image is narrower than its box"
-    width, height = w // factor, h // factor
+        planes = [_narrow(plane, width, height, factor) for plane in planes]
+        factor = 1
     ww, wh = min(WINDOW, width), min(WINDOW, height)
     lines = max(1, _BAND // (width * wh)) * wh
     total, count = 0.0, 0
@@ -342,6 +363,17 @@ def _score_pair(w: int, h: int, ref: pa.Scalar, out: pa.Scalar, max_pixels: int)
     return max(-1.0, min(1.0, total / count)), None
 
 
+def _narrow(plane: np.ndarray, width: int, height: int, factor: int) -> np.ndarray:
+    """Boxes of an image smaller than a box: runs of samples from each row, none beyond the end."""
+    h, w, _ = plane.shape
+    flat = plane.reshape(-1, 4).astype(np.int64)
+    row, at = np.arange(height * factor)[:, None] * w, np.arange(width * factor)[None, :]
+    index = row + at
+    taken = np.where((index < w * h)[..., None], flat[np.minimum(index, w * h - 1)], 0)
+    sums = taken.reshape(height, factor, width, factor, 4).sum((1, 3))
+    return np.rint(sums / (factor * factor)).astype(np.uint8)
+
+
 def _band_luma(plane: np.ndarray, top: int, rows: int, width: int, factor: int) -> np.ndarray:
     band = plane[top * factor : (top + rows) * factor, : width * factor]
     if factor > 1:

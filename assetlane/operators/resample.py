@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetlane.functions.numbers import byte_round, clamp, dbl, js_round
-from assetlane.operators.pixels import source_box
+from assetlane.operators.pixels import PX, source_box
 
 # Kernel radius in source pixels at scale 1.
 RADIUS = {"triangle": 1.0, "catrom": 2.0, "mitchell": 2.0, "lanczos3": 3.0}
@@ -147,10 +147,13 @@ def resize_kernel(
 ) -> DataFrame:
     """Separable resample with triangle, catrom, mitchell or lanczos3.
 
+    An image without a target, or already of its size, passes unchanged.
     Weights are normalised over the source pixels that exist, so edges neither darken nor fade.
     Each pass is one map-side combined aggregate; the horizontal pass goes first.
     """
-    rows = _whole_box(_targets(px, targets))
+    sized = _targets(px, targets)
+    same = (F.col("__ow") == F.col("width")) & (F.col("__oh") == F.col("height"))
+    rows = _whole_box(sized.where(~same))
     alpha = F.col("a") / dbl(255)
     tone = {c: _to_linear(F.col(c)) if linear_rgb else F.col(c) / dbl(255) for c in "rgb"}
     if premultiply:
@@ -166,11 +169,12 @@ def resize_kernel(
             v = F.when(a <= 0, dbl(0)).otherwise(v / F.when(a > 0, a))
         return byte_round(_from_linear(v) if linear_rgb else v * dbl(255)).alias(c)
 
-    return down.select(
+    changed = down.select(
         "image_id", F.col("__ow").alias("width"), F.col("__oh").alias("height"),
         F.col("__t_x").alias("x"), F.col("__t_y").alias("y"),
         *[channel(c) for c in "rgb"], byte_round(a * dbl(255)).alias("a"),
     )
+    return changed.unionByName(sized.where(same).select(*PX))
 
 
 def resize(

@@ -107,7 +107,8 @@ def recommend(cells: DataFrame, quality_floor: int = UNMEASURED_FLOOR) -> DataFr
     done = (F.col("status") == "done") & size.isNotNull()
     measured = done & ssim.isNotNull()
     worth = saved_percent(F.col("original_bytes"), size) >= SAVINGS_FLOOR
-    good = measured & (ssim >= dbl(GOOD))
+    # NaN sorts above every number here, and is no match
+    good = measured & ~F.isnan(ssim) & (ssim >= dbl(GOOD))
     trusted = done & (F.col("lossless") | (F.col("step") >= quality_floor))
     picked = F.struct("encoder", "step", "size", "ssim")
     by_size = F.struct(
@@ -156,7 +157,7 @@ def lowest_quality(
     """The smallest quality step in range that reaches the SSIM target, per encoder."""
     return (
         cells.where(
-            (F.col("status") == "done") & ~F.col("lossless") & (F.col("ssim") >= dbl(target))
+            (F.col("status") == "done") & ~F.col("lossless") & (F.col("ssim") >= dbl(target)) & ~F.isnan("ssim")
             & F.col("step").between(low, high)
         )
         .groupBy("image_id", "encoder")

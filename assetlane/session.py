@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "assetlane", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,21 +30,44 @@ def build_session(name: str = "assetlane", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable on the workers, however the driver came by it."""
+    if getattr(spark.sparkContext, "_assetlane_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
+        for folder, _, names in sorted(os.walk(package)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    # the driver serves the file to the executors; it is not read back by path
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "assetlane.zip")
+    with open(path, "wb") as file:
+        file.write(packed.getvalue())
+    spark.sparkContext.addPyFile(path)
+    spark.sparkContext._assetlane_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and hand-over tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only when that is unset (tests, one machine) is
-    a temporary folder made.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local master gets a
+    temporary folder; a cluster is refused, as its executors would not see one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
@@ -50,3 +77,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     Only a name is made; Spark creates the folder, so any file system will do.
     """
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def hand_over(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, which cuts the lineage."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,39 +2,53 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlane.functions.paths import basename
 from assetlane.functions.settings import PARTS, member, preset_parts, preset_reason
-from assetlane.operators.intake import MAX_DEPTH
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def scan_assets(
-    spark: SparkSession, root: str, glob: str | None = None, max_depth: int = MAX_DEPTH
+    spark: SparkSession, root: str, glob: str | None = None, max_depth: int | None = None
 ) -> DataFrame:
     """Every file under ``root``, ``(path, rel_path, depth, bytes, mtime, content)``.
 
-    A file in the root has depth 0. Columns not used are pruned: without ``content`` (or a column
+    ``root`` may be relative or hold wildcards; paths are then relative to its fixed part. A file in
+    the root has depth 0; ``max_depth`` leaves out what lies deeper. Columns not used are pruned: without ``content`` (or a column
     made from it) no file is opened. To type files again and again, store a 32-byte ``head`` once.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return _relative(reader.load(root), root, max_depth)
+    return relative_paths(reader.load(root), root, max_depth)
+
+
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:/*"
+
+
+def fixed_root(spark: SparkSession, root: str) -> str:
+    """The part of ``root`` before any wildcard, as the file system itself names it."""
+    wild = re.search(r"[*?\[{]", root)
+    fixed = root[: wild.start()].rpartition("/")[0] or "/" if wild else root
+    path = spark._jvm.org.apache.hadoop.fs.Path(fixed)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
-def _relative(files: DataFrame, root: str, max_depth: int) -> DataFrame:
-    bare = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.\-]*:/*", "/")
-    base = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    rel = F.when(bare.startswith(base), F.substring(bare, len(base) + 1, 1 << 20)).otherwise(bare)
+def relative_paths(files: DataFrame, root: str, max_depth: int | None) -> DataFrame:
+    bare = F.regexp_replace("path", _SCHEME, "/")
+    base = ("/" + re.sub(_SCHEME, "", fixed_root(files.sparkSession, root)).strip("/")).rstrip("/") + "/"
+    rel = F.when(bare.startswith(base), F.substring(bare, len(base) + 1, 1 << 20)).otherwise(basename(bare))
     depth = F.size(F.split(rel, "/")) - 1
-    return files.select(
+    out = files.select(
         "path", rel.alias("rel_path"), depth.alias("depth"), F.col("length").alias("bytes"),
         F.col("modificationTime").alias("mtime"), "content",
-    ).where(F.col("depth") <= max_depth)
+    )
+    return out if max_depth is None else out.where(F.col("depth") <= max_depth)
 
 
 def with_name_and_head(assets: DataFrame, n: int = 32) -> DataFrame:
@@ -47,8 +61,8 @@ def with_name_and_head(assets: DataFrame, n: int = 32) -> DataFrame:
 def read_presets(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
     """Presets with ``valid`` and ``reject_reason``.
 
-    ``layout="document"``: each file is one JSON array, as users export it (files are read in
-    parallel). ``layout="lines"``: one preset per line, as :func:`write_presets` stores libraries
+    ``layout="document"``: each file is one JSON array, as users export it, or a single preset (files
+    are read in parallel); a file that is not JSON is one row with reason ``not-json``. ``layout="lines"``: one preset per line, as :func:`write_presets` stores libraries
     of any size. Returns (file, pos, name, preset_json, valid, reject_reason).
     """
     whole = layout == "document"
@@ -56,21 +70,33 @@ def read_presets(spark: SparkSession, path: str, layout: str = "document") -> Da
         F.input_file_name().alias("file"), F.try_parse_json("value").alias("__v")
     )
     if whole:
-        rows = text.select(
-            "file", F.posexplode(F.try_variant_get("__v", "$", "array<variant>")).alias("pos", "__v")
-        )
+        items = F.coalesce(F.try_variant_get("__v", "$", "array<variant>"),
+                           F.when(F.col("__v").isNotNull(), F.array("__v")))
+        rows = text.select("file", F.col("__v").isNull().alias("__bad"), F.posexplode_outer(items).alias("pos", "__v"))
+        rows = rows.where(F.col("__bad") | F.col("pos").isNotNull())
     else:
         rows = text.withColumn("pos", F.monotonically_increasing_id())
+    bad = F.col("__bad") if whole else F.lit(False)
     rows = preset_parts(rows)
     rows = rows.withColumns(
         {
             "name": member("__top", "name", "string"), "preset_json": F.to_json("__v"),
-            "reject_reason": preset_reason(rows),
+            "reject_reason": F.when(bad, F.lit("not-json")).otherwise(preset_reason(rows)),
         }
-    ).drop(*PARTS, "__top")
+    ).drop(*PARTS, "__top", "__bad")
     return rows.withColumn("valid", F.col("reject_reason").isNull())
 
 
+def export_presets(presets: DataFrame, path: str, json: str = "preset_json", library: str = "library_id") -> None:
+    """Each library as one file holding one JSON array, under ``path/library_id=<id>``.
+
+    A library is one document and so passes through one task; use :func:`write_presets` for more.
+    """
+    rows = presets.groupBy(library).agg(F.sort_array(F.collect_list(json)).alias("all"))
+    text = F.concat(F.lit("["), F.array_join("all", ","), F.lit("]"))
+    rows.select(library, text.alias("value")).repartition(library).write.mode("overwrite").partitionBy(library).text(path)
+
+
 def write_presets(presets: DataFrame, path: str, json: str = "preset_json") -> None:
     """Store preset JSON, one per line."""
     presets.select(F.col(json).alias("value")).write.mode("overwrite").text(path)

@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from assetlane.functions.filetypes import looks_like_image
+from assetlane.functions.filetypes import looks_like_image, resolve_mime
 from assetlane.functions.numbers import dbl
 from assetlane.functions.paths import basename, is_ignored
-from assetlane.operators.intake import MAX_FILE_BYTES
 from assetlane.plans.ordered import by_step, by_time, running_max, sessions
-from assetlane.sources.assets import BINARY_SCHEMA, _relative
+from assetlane.sources.assets import BINARY_SCHEMA, relative_paths
 
 # Worker budget in seconds and its ceiling.
 BUDGET_BASE, BUDGET_PER_MP, BUDGET_CEILING = 20.0, 4.0, 120.0
@@ -199,21 +198,21 @@ def call_budget(pixels: Column) -> Column:
 
 
 def overdue_calls(
-    starts: DataFrame, ends: DataFrame, ceiling: str = "120 seconds", watermark: str | None = "1 minute"
+    starts: DataFrame, ends: DataFrame, ceiling: str | None = "120 seconds", watermark: str | None = "1 minute"
 ) -> DataFrame:
     """``(call_id, deadline, status)`` of calls that ended late or never.
 
     ``starts(call_id, ts, pixels)``, ``ends(call_id, ts)``. On streams the state needs the constant
-    bound ``ceiling``; the per-call deadline is compared afterwards.
+    bound ``ceiling``; the per-call deadline is compared afterwards. Stored tables know no such bound:
+    an end however late is found, and only calls without one are hung.
     """
     a = starts.select("call_id", F.col("ts").alias("started"), "pixels")
     b = ends.select(F.col("call_id").alias("__id"), F.col("ts").alias("ended"))
     if watermark:
         a, b = a.withWatermark("started", watermark), b.withWatermark("ended", watermark)
-    within = (
-        (F.col("call_id") == F.col("__id")) & (F.col("ended") >= F.col("started"))
-        & (F.col("ended") <= F.col("started") + F.expr(f"interval {ceiling}"))
-    )
+    within = (F.col("call_id") == F.col("__id")) & (F.col("ended") >= F.col("started"))
+    if starts.isStreaming and ceiling:
+        within = within & (F.col("ended") <= F.col("started") + F.expr(f"interval {ceiling}"))
     deadline = F.timestamp_micros(
         F.unix_micros("started") + F.round(call_budget(F.col("pixels")) * dbl(1e6)).cast("bigint")
     )
@@ -224,53 +223,47 @@ def overdue_calls(
     )
 
 
-def attempt_outcomes(attempts: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
-    """``(call_id, outcome, attempts)`` under the one-silent-retry rule.
+def attempt_outcomes(attempts: DataFrame) -> DataFrame:
+    """``(bridge, call_id, outcome, attempts)`` from logged attempts.
 
-    Input (bridge, call_id, seq, load_failed, retryable), one row per call in ``seq`` order;
-    ``load_failed`` is whether its first attempt lost the worker while loading and
-    ``retry_failed`` whether a second one would. The first load failure of a bridge sets a latch
-    for good: that call is retried once if it may be; later failures surface at once.
+    Input (bridge, call_id, attempt, failed), one row per attempt that was made. The last attempt
+    decides: ``ok``, ``retried-ok`` after earlier failures, or ``load-error``. One aggregate,
+    combined before the shuffle.
     """
-    failed = F.when(F.col("load_failed"), F.lit(1).cast("int"))
-    marked = running_max(
-        attempts, ["bridge"], [F.col("seq")], failed, "__latched", by_step("seq", chunk_rows), before=True
-    )
-    latched = F.col("__latched").isNotNull()
-    first = F.col("load_failed") & ~latched & F.col("retryable")
-    outcome = (
-        F.when(~F.col("load_failed"), "ok")
-        .when(first & ~F.col("retry_failed"), "retried-ok")
-        .otherwise("load-error")
-    )
-    return marked.select(
-        "call_id", outcome.alias("outcome"), F.when(first, 2).otherwise(1).alias("attempts")
+    calls = attempts.groupBy("bridge", "call_id").agg(
+        F.count(F.lit(1)).cast("int").alias("attempts"), F.max_by("failed", "attempt").alias("lost")
     )
+    outcome = F.when(F.col("lost"), "load-error").when(F.col("attempts") > 1, "retried-ok").otherwise("ok")
+    return calls.select("bridge", "call_id", outcome.alias("outcome"), "attempts")
 
 
 # ------------------------------------------------------------------------------------ T8 intake
 
 
 def intake_stream(
-    spark: SparkSession, folder: str, watermark: str = "1 day", files_per_trigger: int = 1000
+    spark: SparkSession, folder: str, watermark: str = "1 day", files_per_trigger: int = 1000,
+    max_depth: int | None = None, max_bytes: int | None = None, images_only: bool = True,
 ) -> DataFrame:
-    """Files as they land in a folder: image candidates under the size limit, each once.
+    """Files as they land in a folder, each once: (path, rel_path, depth, bytes, mtime, name,
+    head, digest, declared, mime, mime_source).
 
-    Gives (path, rel_path, depth, bytes, mtime, name, head) for ``resolve_mime``. The per-drop file
-    cap does not apply to an unbounded stream.
+    Files are typed by ``resolve_mime``, head bytes first, and kept if an image by type or by name
+    (all of them without ``images_only``). Size and depth limits are off unless given.
     """
     landed = (
         spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger)
         .load(folder)
     )
-    rows = _relative(landed, folder, 16).withColumns(
-        {"name": basename(F.col("rel_path")), "head": F.substring("content", 1, 32)}
-    ).drop("content")
-    wanted = rows.where(
-        ~is_ignored(F.col("name")) & (F.col("bytes") <= MAX_FILE_BYTES)
-        & looks_like_image(F.lit(""), F.col("name"))
-    )
+    rows = relative_paths(landed, folder, max_depth).withColumns({
+        "name": basename(F.col("rel_path")), "head": F.substring("content", 1, 32),
+        "digest": F.sha2("content", 256), "declared": F.lit(""),
+    }).drop("content")
+    wanted = resolve_mime(rows.where(~is_ignored(F.col("name"))))
+    if max_bytes is not None:
+        wanted = wanted.where(F.col("bytes") <= max_bytes)
+    if images_only:
+        wanted = wanted.where(F.coalesce(F.col("mime"), F.lit("")).startswith("image/") | looks_like_image(F.lit(""), F.col("name")))
     return wanted.withWatermark("mtime", watermark).dropDuplicatesWithinWatermark(
         ["name", "bytes", "mtime"]
     )

@@ -264,7 +264,7 @@ def _(spark, sf_dir):
         F.struct(F.lit(1).alias("op_no"), F.lit("Do").alias("op"), none.alias("args"), F.lit("Inner").alias("name")),
     )
     forms = docs.select("doc_id", F.lit(9).alias("form"), F.explode(inner).alias("o")).select("doc_id", "form", "o.*")
-    found = drawing.ctm_walk(pages, forms, xobjects, max_depth=2, chunk_ops=16)
+    found = drawing.ctm_walk(pages, forms, xobjects, chunk_ops=16)
     return found.select("doc_id", "page", "name", "ref", *[F.round(c, 6).alias(c) for c in "abcdef"])
 
 

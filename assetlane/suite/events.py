@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assetlane.functions.filetypes import resolve_mime
 from assetlane.operators.reuse import recent_results
 from assetlane.session import scratch_folder
 from assetlane.streaming import jobs
+from assetlane.suite.files import PAGE_FILES, page_files
 from assetlane.suite.fixtures import read
 from assetlane.suite.registry import case
 
@@ -201,7 +201,8 @@ _OVERDUE = """WITH s AS (SELECT event_id AS call_id, ts, least(120, coalesce(20
  SELECT call_id, ts + to_seconds(budget) AS deadline, CASE WHEN took IS NULL THEN 'hung' ELSE 'late' END AS status FROM s WHERE took IS NULL OR took > budget"""
 
 
-@case("overdue_calls", _OVERDUE)
+# the stream's bound of 120 s is no part of the question on stored tables
+@case("overdue_calls", _OVERDUE.replace(" AND event_id * 37 % 200 <= 120", ""))
 def _(spark, sf_dir):
     return _naive(jobs.overdue_calls(*_calls(_events(spark, sf_dir)), watermark=None), "deadline")
 
@@ -224,31 +225,30 @@ def _doubled(df):
 
 @case(
     "attempt_outcomes",
-    """WITH c AS (SELECT user_id AS bridge, event_id AS call_id, event_type = 'error' AS failed, event_id % 4 <> 0 AS retryable, event_id % 3 = 0 AS again FROM events),
- l AS (SELECT *, coalesce(bool_or(failed) OVER (PARTITION BY bridge ORDER BY call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS latched FROM c)
- SELECT call_id, CASE WHEN NOT failed THEN 'ok' WHEN NOT latched AND retryable AND NOT again THEN 'retried-ok' ELSE 'load-error' END AS outcome, CASE WHEN failed AND NOT latched AND retryable THEN 2 ELSE 1 END AS attempts FROM l""",
+    """WITH a AS (SELECT user_id AS bridge, event_id AS call_id, 1 AS attempt, event_type = 'error' AS failed FROM events
+  UNION ALL SELECT user_id, event_id, 2, event_id % 3 = 0 FROM events WHERE event_type = 'error' AND event_id % 4 <> 0)
+ SELECT bridge, call_id, CASE WHEN arg_max(failed, attempt) THEN 'load-error' WHEN count(*) > 1 THEN 'retried-ok' ELSE 'ok' END AS outcome,
+  CAST(count(*) AS INTEGER) AS attempts FROM a GROUP BY ALL""",
 )
 def _(spark, sf_dir):
-    rows = _events(spark, sf_dir).selectExpr(
-        "user_id AS bridge", "event_id AS call_id", "event_id AS seq", "event_type = 'error' AS load_failed",
-        "event_id % 4 <> 0 AS retryable", "event_id % 3 = 0 AS retry_failed",
-    )
-    return jobs.attempt_outcomes(rows, chunk_rows=1000)
+    """A log of first attempts, and of second ones where the first was lost."""
+    rows = _events(spark, sf_dir)
+    first = rows.selectExpr("user_id AS bridge", "event_id AS call_id", "1 AS attempt", "event_type = 'error' AS failed")
+    second = rows.where("event_type = 'error' AND event_id % 4 <> 0").selectExpr(
+        "user_id AS bridge", "event_id AS call_id", "2 AS attempt", "event_id % 3 = 0 AS failed")
+    return jobs.attempt_outcomes(first.unionByName(second))
 
 
-@case("intake_stream")
+@case(
+    "intake_stream",
+    f"SELECT folder, CAST(1 AS INTEGER) AS depth, CAST(length(text) AS BIGINT) AS bytes, sha256(text) AS digest, '' AS mime, 'unknown' AS mime_source FROM ({PAGE_FILES})",
+)
 def _(spark, sf_dir):
     """The pages laid out as files of a landing folder, watched once."""
-    folder = scratch_folder(spark, "landing")
-    pages = read(spark, sf_dir, "pages").select(
-        F.col("html").alias("value"), (F.col("page_id") % 8).alias("shard")
-    )
-    (
-        pages.repartition("shard").write.mode("overwrite").partitionBy("shard")
-        .option("extension", "svg").csv(folder)
-    )
-    typed = resolve_mime(jobs.intake_stream(spark, folder).withColumn("declared", F.lit("")))
-    return drain(typed.select("rel_path", "depth", "bytes", "mime", "mime_source"))
+    folder = page_files(spark, sf_dir, "landing")
+    found = drain(jobs.intake_stream(spark, folder, images_only=False).where("name LIKE '%.txt'").select(
+        "rel_path", "depth", "bytes", "digest", "mime", "mime_source"))
+    return found.select(F.regexp_extract("rel_path", "^([^/]*)/[^/]*$", 1).alias("folder"), "depth", "bytes", "digest", "mime", "mime_source")
 
 
 @case(

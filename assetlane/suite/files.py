@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assetlane.functions import filetypes, paths
 from assetlane.functions.encoders import ENCODERS, encoder_dim, _FIELDS
 from assetlane.operators import intake
+from assetlane.session import scratch_folder
 from assetlane.sources.assets import scan_assets
 from assetlane.suite.fixtures import read, view, with_views
 from assetlane.suite.registry import case
@@ -20,28 +21,44 @@ _EXT_TYPES = "|".join(filetypes.TYPE_BY_EXTENSION)
 _IMAGE_NAME = f"regexp_matches({{0}}, '(?i)\\.({_EXT_TYPES})$')"
 
 
-@case("scan_assets")
+def page_files(spark, sf_dir, name):
+    """The pages as plain files of 8 folders, one file each: a page is a line."""
+    folder = scratch_folder(spark, name)
+    pages = read(spark, sf_dir, "pages").select(
+        F.lower(F.hex(F.encode("html", "utf-8"))).alias("value"), "page_id", (F.col("page_id") % 8).alias("shard"))
+    (pages.repartition("shard").sortWithinPartitions("shard", "page_id").select("value", "shard")
+     .write.partitionBy("shard").text(folder))
+    return folder
+
+
+PAGE_FILES = """SELECT concat('shard=', CAST(page_id % 8 AS VARCHAR)) AS folder,
+ string_agg(concat(lower(hex(encode(html))), chr(10)), '' ORDER BY page_id) AS text FROM pages GROUP BY page_id % 8"""
+
+
+@case("scan_assets", f"SELECT folder, CAST(1 AS INTEGER) AS depth, CAST(length(text) AS BIGINT) AS bytes, sha256(text) AS digest FROM ({PAGE_FILES})")
 def _(spark, sf_dir):
-    files = scan_assets(spark, sf_dir, glob="*.parquet")
-    return files.select("rel_path", "depth", "bytes")
+    """Files written from the pages, found and read again."""
+    files = scan_assets(spark, page_files(spark, sf_dir, "scan"), glob="*.txt")
+    return files.select(F.regexp_extract("rel_path", "^([^/]*)/[^/]*$", 1).alias("folder"), "depth", "bytes",
+                        F.sha2("content", 256).alias("digest"))
 
 
 _TAKEN = f"""{with_views('v_files')}, t AS (SELECT *, coalesce(nullif({_SAFE}, ''), path) AS taken_path FROM v_files),
  k AS (SELECT *, regexp_extract(taken_path, '([^/]*)$', 1) AS base FROM t),
  ok AS (SELECT * FROM k WHERE base NOT IN ('__MACOSX', '.DS_Store', 'Thumbs.db', 'desktop.ini') AND base NOT LIKE '.%'
-  AND (declared LIKE 'image/%' OR {_IMAGE_NAME.format('taken_path')}) AND bytes <= 52428800 {{extra}})
- SELECT seq, drop_id, path, declared, bytes, mtime_ms, taken_path FROM ok
- QUALIFY row_number() OVER (PARTITION BY drop_id ORDER BY seq) <= {{cap}}"""
+  AND (declared LIKE 'image/%' OR {_IMAGE_NAME.format('taken_path')}) {{extra}})
+ SELECT seq, drop_id, path, declared, bytes, mtime_ms, taken_path, bytes > 52428800 AS oversize FROM ok {{cap}}"""
+_FIRST = "QUALIFY row_number() OVER (PARTITION BY drop_id ORDER BY seq) <= 3"
 
 
-@case("intake_filter", _TAKEN.format(extra="", cap=5000))
+@case("intake_filter", _TAKEN.format(extra="", cap=""))
 def _(spark, sf_dir):
     return intake.intake_filter(view(spark, sf_dir, "v_files"))
 
 
-@case("intake_filter_capped", _TAKEN.format(extra="", cap=3))
+@case("intake_filter_capped", _TAKEN.format(extra="AND bytes <= 52428800", cap=_FIRST))
 def _(spark, sf_dir):
-    return intake.intake_filter(view(spark, sf_dir, "v_files"), max_files=3, chunk_rows=1000)
+    return intake.intake_filter(view(spark, sf_dir, "v_files"), max_files=3, max_bytes=intake.MAX_FILE_BYTES, chunk_rows=1000)
 
 
 @case(
@@ -49,7 +66,7 @@ def _(spark, sf_dir):
     _TAKEN.format(
         extra="AND NOT list_bool_or(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), "
         "lambda s: s LIKE '.%' OR s IN ('__MACOSX', '.DS_Store', 'Thumbs.db', 'desktop.ini')))",
-        cap=5000,
+        cap="",
     ),
 )
 def _(spark, sf_dir):
@@ -66,15 +83,14 @@ def _(spark, sf_dir):
 
 
 @case(
-    "oversize_notes",
+    "oversize_names",
     f"""{with_views('v_files')}, o AS (SELECT drop_id, seq, {_BASE} AS name FROM v_files
  WHERE bytes > 52428800 AND (declared LIKE 'image/%' OR {_IMAGE_NAME.format(_BASE)})),
- n AS (SELECT *, (row_number() OVER (PARTITION BY drop_id ORDER BY seq) - 1) // 3 + 1 AS part FROM o)
- SELECT drop_id, CAST(part AS BIGINT) AS part, concat('Skipped (over 50 MB): ', string_agg(name, ', ' ORDER BY seq)) AS note
- FROM n GROUP BY drop_id, part""",
+ n AS (SELECT *, row_number() OVER (PARTITION BY drop_id ORDER BY seq) AS position FROM o)
+ SELECT drop_id, position, name FROM n""",
 )
 def _(spark, sf_dir):
-    return intake.oversize_notes(view(spark, sf_dir, "v_files"), names_per_note=3, chunk_rows=1000)
+    return intake.oversize_names(view(spark, sf_dir, "v_files"), chunk_rows=1000)
 
 
 @case(
@@ -92,7 +108,9 @@ def _(spark, sf_dir):
   CASE WHEN only_pdf AND NOT big THEN first_name END AS pdf,
   CASE WHEN only_pdf AND big THEN concat('Skipped (over 150 MB): ', first_name)
    WHEN only_pdf AND np > 1 THEN 'One PDF at a time — opened the first.' WHEN only_pdf THEN NULL
-   WHEN np > 0 THEN 'Drop a PDF on its own to compress it.' WHEN ni = 0 AND no = 0 THEN 'No readable images in that drop.' END AS note FROM r""",
+   WHEN np > 0 AND no > 0 THEN concat('Drop a PDF on its own to compress it. · Skipped (over 50 MB): ', no)
+   WHEN np > 0 THEN 'Drop a PDF on its own to compress it.' WHEN no > 0 THEN concat('Skipped (over 50 MB): ', no)
+   WHEN ni = 0 THEN 'No readable images in that drop.' END AS note FROM r""",
 )
 def _(spark, sf_dir):
     return intake.route_drops(view(spark, sf_dir, "v_files"))

@@ -37,6 +37,16 @@ def _(spark, sf_dir):
     return pixels.explode_pixels(packed, "gray")
 
 
+@case(
+    "explode_pixels_rejects",
+    "SELECT vec_id AS image_id, CAST(8 + vec_id % 3 AS INTEGER) AS width, 8 AS height, 64 AS samples, 'too few samples' AS error FROM embeddings WHERE vec_id % 3 > 0",
+)
+def _(spark, sf_dir):
+    """Tiles declared wider than their samples reach."""
+    wide = _tiles(spark, sf_dir).withColumn("width", (F.lit(8) + F.col("image_id") % 3).cast("int"))
+    return pixels.explode_rejects(wide, "gray")
+
+
 _LUMA = "CASE WHEN a = 255 THEN 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b ELSE (0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b) * (a / 255::DOUBLE) + 255 * (1 - a / 255::DOUBLE) END"
 
 
@@ -67,8 +77,8 @@ def _ssim_sql(ref, out):
     return f"""pa AS (SELECT image_id, width, height, x, y, {_LUMA} AS p FROM {ref}), pb AS (SELECT image_id, width, height, x, y, {_LUMA} AS q FROM {out}),
  sa AS (SELECT image_id, any_value(width) AS aw, any_value(height) AS ah, count(*) AS n FROM {ref} GROUP BY image_id),
  sb AS (SELECT image_id, any_value(width) AS bw, any_value(height) AS bh, count(*) AS m FROM {out} GROUP BY image_id),
- e AS (SELECT image_id, CASE WHEN n IS NULL OR m IS NULL THEN 'one side has no pixels' WHEN aw <> bw OR ah <> bh THEN concat('SSIM needs identical dimensions: ', aw, 'x', ah, ' vs ', bw, 'x', bh)
-  WHEN least(n, m) < aw * ah THEN 'pixel buffer too short' END AS error FROM sa FULL JOIN sb USING (image_id)),
+ e AS (SELECT image_id, CASE WHEN n IS NULL OR m IS NULL THEN 'one side has no pixels' WHEN aw <> bw OR ah <> bh THEN concat('sizes differ: ', aw, 'x', ah, ' and ', bw, 'x', bh)
+  WHEN least(n, m) < aw * ah THEN 'too few samples' END AS error FROM sa FULL JOIN sb USING (image_id)),
  wz AS (SELECT pa.*, q, least(8, width) AS ww, least(8, height) AS wh FROM pa JOIN pb USING (image_id, width, height, x, y)),
  s AS (SELECT image_id, x // ww AS wx, y // wh AS wy, count(*) AS n, avg(p) AS mp, avg(q) AS mq, avg(p * p) AS pp, avg(q * q) AS qq, avg(p * q) AS pq FROM wz
   WHERE (x // ww + 1) * ww <= width AND (y // wh + 1) * wh <= height GROUP BY ALL),
@@ -99,8 +109,8 @@ _BOX2 = _BOX.replace("// 3", "// 2").replace("* 3", "* 2")
 @case(
     "measure_ssim",
     f"{_PAIR}, ra AS ({_BOX2.format('v_px')}), rb AS ({_BOX2.format('v_px_out')}), {_ssim_sql('ra', 'rb')}".replace(
-        "concat('SSIM needs identical dimensions: ', aw, 'x', ah, ' vs ', bw, 'x', bh)",
-        "'SSIM needs identical dimensions: 20x18 vs 19x18'",
+        "concat('sizes differ: ', aw, 'x', ah, ' and ', bw, 'x', bh)",
+        "'sizes differ: 20x18 and 19x18'",
     ),
 )
 def _(spark, sf_dir):
@@ -120,7 +130,7 @@ def _packed_pairs(spark, sf_dir):
     )
 
 
-_SHORT = "CASE WHEN image_id % 29 = 0 THEN 'pixel buffer too short' END"
+_SHORT = "CASE WHEN image_id % 29 = 0 THEN 'too few samples' END"
 
 
 @case("ssim_packed", f"{_PAIR}, {_ssim_sql('v_px', 'v_px_out').replace('SELECT image_id, CASE WHEN error IS NULL THEN round(ssim, 6) END AS ssim, error FROM e', f'SELECT image_id, CASE WHEN error IS NULL THEN round(ssim, 6) END AS ssim, {_SHORT} AS error FROM e')}")
@@ -211,7 +221,8 @@ def _split(text):
     return [p.strip() for p in text.split(", ")]
 
 
-_SMALL = "CAST(3 + image_id % 23 AS INTEGER) AS out_w, CAST(2 + image_id % 19 AS INTEGER) AS out_h, CASE WHEN image_id % 3 = 0 THEN 'contain' ELSE 'stretch' END AS fit"
+# some images are already of their target size
+_SMALL = "CAST(CASE WHEN image_id % 11 = 0 THEN 20 ELSE 3 + image_id % 23 END AS INTEGER) AS out_w, CAST(CASE WHEN image_id % 11 = 0 THEN 18 ELSE 2 + image_id % 19 END AS INTEGER) AS out_h, CASE WHEN image_id % 3 = 0 THEN 'contain' ELSE 'stretch' END AS fit"
 _BOXED = f"""i AS (SELECT p_partkey AS image_id FROM part), t AS (SELECT image_id, 20::DOUBLE AS w, 18::DOUBLE AS h, {_SMALL} FROM i),
  u AS (SELECT *, CASE WHEN fit = 'contain' AND w / h > CAST(out_w AS DOUBLE) / out_h THEN h * (CAST(out_w AS DOUBLE) / out_h) ELSE w END AS sw,
   CASE WHEN fit = 'contain' AND NOT w / h > CAST(out_w AS DOUBLE) / out_h THEN w / (CAST(out_w AS DOUBLE) / out_h) ELSE h END AS sh FROM t),
@@ -255,13 +266,14 @@ def _kernel_sql(method, linear, premultiply):
     weights = lambda name, n, lo, span, out: f"""{name} AS (SELECT image_id, d, s, {k} AS k FROM (SELECT image_id, d, s,
   abs((s + 0.5::DOUBLE - {lo} - (d + 0.5::DOUBLE) * ({span} / {out})) / greatest({span} / {out}, 1)) AS t FROM
   (SELECT *, unnest(range({n})) AS s FROM (SELECT *, unnest(range({out})) AS d FROM cut)) WHERE s >= {lo} AND s < {lo} + {span}) WHERE t < {radius} AND {k} <> 0)"""
-    return f"""{_PX}, {_BOXED}, cut AS (SELECT image_id, out_w, out_h, floor(sx + 0.5) AS sx, floor(sy + 0.5) AS sy, greatest(1, floor(sw + 0.5)) AS sw, greatest(1, floor(sh + 0.5)) AS sh FROM box),
+    return f"""{_PX}, {_BOXED}, cut AS (SELECT image_id, out_w, out_h, floor(sx + 0.5) AS sx, floor(sy + 0.5) AS sy, greatest(1, floor(sw + 0.5)) AS sw, greatest(1, floor(sh + 0.5)) AS sh FROM box WHERE out_w <> 20 OR out_h <> 18),
  {weights('wx', 20, 'sx', 'sw', 'out_w')}, {weights('wy', 18, 'sy', 'sh', 'out_h')},
  lin AS (SELECT image_id, x, y, ({tone.format('r')}){by_alpha} AS rv, ({tone.format('g')}){by_alpha} AS gv, ({tone.format('b')}){by_alpha} AS bv, a / 255::DOUBLE AS av FROM v_px),
  ax AS (SELECT l.image_id, d AS x, y, sum(rv * k) / sum(k) AS rv, sum(gv * k) / sum(k) AS gv, sum(bv * k) / sum(k) AS bv, sum(av * k) / sum(k) AS av FROM lin l JOIN wx ON wx.image_id = l.image_id AND wx.s = l.x GROUP BY ALL),
  ay AS (SELECT l.image_id, x, d AS y, sum(rv * k) / sum(k) AS rv, sum(gv * k) / sum(k) AS gv, sum(bv * k) / sum(k) AS bv, sum(av * k) / sum(k) AS av FROM ax l JOIN wy ON wy.image_id = l.image_id AND wy.s = l.y GROUP BY ALL)
  SELECT ay.image_id, out_w AS width, out_h AS height, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, {byte.format('rv')} AS r, {byte.format('gv')} AS g, {byte.format('bv')} AS b,
-  CAST(least(255, greatest(0, floor(av * 255 + 0.500000001::DOUBLE))) AS INTEGER) AS a FROM ay JOIN cut USING (image_id)"""
+  CAST(least(255, greatest(0, floor(av * 255 + 0.500000001::DOUBLE))) AS INTEGER) AS a FROM ay JOIN cut USING (image_id)
+ UNION ALL SELECT p.image_id, width, height, p.x, p.y, r, g, b, a FROM v_px p JOIN box USING (image_id) WHERE out_w = 20 AND out_h = 18"""
 
 
 def _kernel_case(method, premultiply, linear):

@@ -241,10 +241,10 @@ def _(spark, sf_dir):
 @case(
     "preset_match",
     f"""{with_views('v_settings', 'v_presets')}, {_KEYED.format('v_settings')}, {_KEYED.format('v_presets').replace('k AS (', 'lib AS (', 1)},
- n AS (SELECT fp, min(name) AS preset_name FROM lib WHERE row_id % 3 = 0 GROUP BY fp) SELECT row_id, preset_name FROM k LEFT JOIN n USING (fp)""",
+ n AS (SELECT fp, min(name) AS preset_name FROM lib GROUP BY fp) SELECT row_id, preset_name FROM k LEFT JOIN n USING (fp)""",
 )
 def _(spark, sf_dir):
-    library = view(spark, sf_dir, "v_presets").where("row_id % 3 = 0").select("name", "settings_json")
+    library = view(spark, sf_dir, "v_presets").select("name", "settings_json")
     return P.preset_match(view(spark, sf_dir, "v_settings"), library).select("row_id", "preset_name")
 
 
@@ -293,11 +293,12 @@ def _(spark, sf_dir):
     return P.seed_presets(current, seeded=seeded)
 
 
+_ALL = "SELECT library_id, name, seq, settings_json FROM v_presets QUALIFY row_number() OVER (PARTITION BY library_id, name ORDER BY seq) = 1"
 _LIBRARY = "SELECT library_id, name, seq, settings_json FROM v_presets WHERE row_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY library_id, name ORDER BY seq) = 1"
 
 
-def _library(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_presets").where("row_id % 2 = 0")
+def _library(spark, sf_dir, which="true"):
+    rows = view(spark, sf_dir, "v_presets").where(which)
     first = rows.groupBy("library_id", "name").agg(F.min(F.struct("seq", "settings_json")).alias("f"))
     return first.select("library_id", "name", "f.seq", "f.settings_json")
 
@@ -309,7 +310,7 @@ def _library(spark, sf_dir):
 )
 def _(spark, sf_dir):
     incoming = view(spark, sf_dir, "v_presets").where("row_id % 2 = 1").select("library_id", "name", "seq", "settings_json")
-    return P.in_name_order(P.upsert_presets(_library(spark, sf_dir), incoming))
+    return P.in_name_order(P.upsert_presets(_library(spark, sf_dir, "row_id % 2 = 0"), incoming))
 
 
 _MOVES = "library_id % 3 = 0 AND name LIKE '%1'"
@@ -317,7 +318,7 @@ _MOVES = "library_id % 3 = 0 AND name LIKE '%1'"
 
 @case(
     "rename_presets",
-    f"""{with_views('v_presets')}, cur AS ({_LIBRARY}), mv AS (SELECT *, concat(left(name, length(name) - 1), '2') AS new_name FROM cur WHERE {_MOVES}),
+    f"""{with_views('v_presets')}, cur AS ({_ALL}), mv AS (SELECT *, concat(left(name, length(name) - 1), '2') AS new_name FROM cur WHERE {_MOVES}),
  st AS (SELECT * FROM cur WHERE NOT EXISTS (SELECT 1 FROM mv WHERE mv.library_id = cur.library_id AND (mv.name = cur.name OR mv.new_name = cur.name)))
  SELECT library_id, name, seq, settings_json FROM st UNION ALL SELECT library_id, new_name, seq, settings_json FROM mv""",
 )
@@ -331,7 +332,7 @@ def _(spark, sf_dir):
 
 @case(
     "remove_presets",
-    f"{with_views('v_presets')}, cur AS ({_LIBRARY}) SELECT library_id, name, seq, settings_json FROM cur WHERE NOT ({_MOVES})",
+    f"{with_views('v_presets')}, cur AS ({_ALL}) SELECT library_id, name, seq, settings_json FROM cur WHERE NOT ({_MOVES})",
 )
 def _(spark, sf_dir):
     current = _library(spark, sf_dir)

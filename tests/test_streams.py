@@ -9,7 +9,7 @@ from assetlane.suite.events import drain
 
 @pytest.mark.parametrize("batch,stream", [
     ("debounce_edits", "debounce_edits_stream"), ("idle_sessions", "idle_sessions_stream"), ("progress", "progress_stream"),
-    ("drop_superseded", "drop_superseded_stream"), ("overdue_calls", "overdue_calls_stream"),
+    ("drop_superseded", "drop_superseded_stream"),
 ])
 def test_stream_equals_its_batch_twin(spark, sf, batch, stream):
     cases = load_cases()
