@@ -3,8 +3,8 @@
 Documents with J(x, y) >= threshold must share a token (n-gram) among the first
 ``n - ceil(t n) + 1`` of each when all tokens are put in one global order. Rare tokens come first:
 the order is by the octave of the token's frequency, then by its hash. Frequencies are counted over
-all documents in blocks; tokens frequent beyond 1 in ``2 ** common_bits`` are listed (so the list
-has at most ``2 ** common_bits`` entries, whatever the corpus), all others count as rare. Any fixed
+all documents, in blocks of which each adds the tokens it holds twice; the most frequent are listed,
+at most ``2 ** common_bits`` of them whatever the corpus, and all others count as rare. Any fixed
 order gives the same, exact result; the list only decides how small the buckets are.
 
 1. Documents with one token set form a class; only classes are compared.
@@ -32,7 +32,7 @@ from assetlane.llm.components import components
 from assetlane.llm.tables import if_small, store
 from assetlane.llm.words import Spans, chunks, mix, split
 
-N, PERCENT, COMMON_BITS, BLOCK_TOKENS = 5, 80, 20, 4 << 20
+N, PERCENT, COMMON_BITS, BLOCK_TOKENS = 5, 80, 21, 4 << 20
 PART_BITS = 8
 PARTS = 1 << PART_BITS
 USED = ("n", "pos", "whole", "c")
@@ -91,11 +91,9 @@ def common_tokens(spark: SparkSession, texts: DataFrame, n: int, bits: int) -> t
 
         def flush() -> pa.RecordBatch:
             code, count = np.unique(np.concatenate(held), return_counts=True)
-            total, again = int(count.sum()), count > 1
             held.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array([None, *code[again].view(np.int64).tolist()], pa.int64()),
-                 pa.array(np.append(total, count[again]))], ["token", "n"])
+                [pa.array(code[count > 1].view(np.int64)), pa.array(count[count > 1])], ["token", "n"])
 
         for batch in batches:
             bodies = [t or b"" for t in batch.column(0).to_pylist()]
@@ -108,9 +106,16 @@ def common_tokens(spark: SparkSession, texts: DataFrame, n: int, bits: int) -> t
 
     counted = store(spark, texts.select("text").mapInArrow(run, "token bigint, n bigint")
                     .groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
-    total = counted.where("token IS NULL").agg(F.sum("n")).first()[0] or 0
-    least = max(16, -(-total // (1 << bits)))
-    rows = counted.where((F.col("n") >= least) & F.col("token").isNotNull()).toPandas()
+    step = F.floor(F.log2("n") * 8).cast("int")
+    sizes = (counted.groupBy(step.alias("step")).count()
+             .orderBy(F.desc("step")).collect())  # some 8 rows an octave
+    least, held = None, 0
+    for r in sizes:
+        held += r["count"]
+        if held > 1 << bits:
+            break
+        least = r["step"]
+    rows = counted.where(step >= least if least is not None else F.lit(False)).toPandas()
     code = rows["token"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(code)
     return code[order], np.log2(rows["n"].to_numpy(dtype=float)[order] + 1).astype(np.uint8)
