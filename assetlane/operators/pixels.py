@@ -105,7 +105,7 @@ def _explode_packed(images: DataFrame, n: int, data: str) -> DataFrame:
                     size = rows * w
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([row["image_id"]] * size), pa.array(np.full(size, w, np.int32)),
+                            pa.array([row["image_id"]] * size, batch.schema.field("image_id").type), pa.array(np.full(size, w, np.int32)),
                             pa.array(np.full(size, h, np.int32)), pa.array(x),
                             pa.array(y + np.int32(top)), *[pa.array(c) for c in rgb], pa.array(alpha),
                         ],
