@@ -32,7 +32,7 @@ from assetlane.llm.components import components
 from assetlane.llm.tables import if_small, store
 from assetlane.llm.words import Spans, chunks, mix, split
 
-N, PERCENT, COMMON_BITS, BLOCK_TOKENS = 5, 80, 21, 4 << 20
+N, PERCENT, COMMON_BITS, BLOCK_TOKENS = 5, 80, 20, 4 << 20
 PART_BITS = 8
 PARTS = 1 << PART_BITS
 USED = ("n", "pos", "whole", "c")
@@ -115,10 +115,11 @@ def common_tokens(spark: SparkSession, texts: DataFrame, n: int, bits: int) -> t
         if held > 1 << bits:
             break
         least = r["step"]
-    rows = counted.where(step >= least if least is not None else F.lit(False)).toPandas()
-    code = rows["token"].to_numpy(dtype=np.int64).view(np.uint64)
+    listed = counted.where(step >= least if least is not None else F.lit(False)).select(
+        "token", F.floor(F.log2(F.col("n") + 1)).cast("tinyint").alias("octave")).toArrow()
+    code = listed["token"].to_numpy().view(np.uint64)
     order = np.argsort(code)
-    return code[order], np.log2(rows["n"].to_numpy(dtype=float)[order] + 1).astype(np.uint8)
+    return code[order], listed["octave"].to_numpy()[order].astype(np.uint8)
 
 
 def document_sets(spark: SparkSession, texts: DataFrame, n: int, percent: int, bits: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assetlane.session import scratch_folder
 
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def store(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
