@@ -194,36 +194,27 @@ def resolve_outcomes(
 SIGNATURE = ["width", "height", "bpc", "color_space", "filter", "smask_ref", "mask_ref", "decode"]
 
 
-def dedupe_images(objects: DataFrame, contents: str = "contents", verify: bool = True) -> DataFrame:
+def dedupe_images(objects: DataFrame, contents: str = "contents") -> DataFrame:
     """``(doc_id, dup_ref, canonical_ref)`` of equal image streams within a document.
 
-    Equal means the same signature, length and SHA-256. Digests, not streams, are shuffled and
-    combined on the map side. ``verify`` also compares the bytes of each pair, reading only streams
-    that have a twin.
+    Equal means the same signature, length, SHA-256 and SHA-512, both taken where a stream is read:
+    digests, never streams, are shuffled, and combined on the map side.
     """
     image = objects.where(F.col("subtype") == "/Image")
     have = [c for c in SIGNATURE if c in objects.columns]
-    body = F.col(contents)
+    body = F.col(contents).cast("binary")
     shape = F.to_json(F.struct(*have), {"ignoreNullFields": "false"})
     hashed = image.select(
-        "doc_id", "obj_no", F.sha2(shape, 256).alias("shape"),
-        F.octet_length(body).alias("len"), F.sha2(body.cast("binary"), 256).alias("digest"),
+        "doc_id", "obj_no", F.sha2(shape, 256).alias("shape"), F.octet_length(body).alias("len"),
+        F.sha2(body, 256).alias("digest"), F.substring(F.sha2(body, 512), 1, 32).alias("proof"),
     )
-    keys = ["doc_id", "shape", "len", "digest"]
+    keys = ["doc_id", "shape", "len", "digest", "proof"]
     groups = hashed.groupBy(*keys).agg(
         F.min("obj_no").alias("canonical_ref"), F.count(F.lit(1)).alias("__n")
     ).where(F.col("__n") > 1).drop("__n")
-    pairs = hashed.join(groups, keys).where(F.col("obj_no") != F.col("canonical_ref")).select(
+    return hashed.join(groups, keys).where(F.col("obj_no") != F.col("canonical_ref")).select(
         "doc_id", F.col("obj_no").alias("dup_ref"), "canonical_ref"
     )
-    if not verify:
-        return pairs
-    left = image.select("doc_id", F.col("obj_no").alias("dup_ref"), body.alias("__a"))
-    right = image.select("doc_id", F.col("obj_no").alias("canonical_ref"), body.alias("__b"))
-    return (
-        pairs.join(left, ["doc_id", "dup_ref"]).join(right, ["doc_id", "canonical_ref"])
-        .where(F.col("__a") == F.col("__b")).select("doc_id", "dup_ref", "canonical_ref")
-    )
 
 
 def repoint_refs(edges: DataFrame, dup_map: DataFrame) -> DataFrame:

@@ -124,20 +124,31 @@ def _explode_packed(images: DataFrame, n: int, data: str) -> DataFrame:
 def pack_pixels(px: DataFrame, name: str = "data", channels: str = "rgba") -> DataFrame:
     """Pixel rows back to one packed raster per image, ``(image_id, width, height, <name>)``.
 
-    Lines are put together first and images from lines. An image ends as one cell, as it is stored.
+    A pixel is one number; lines are put together first, images from lines, and bytes are made in
+    Arrow batches. An image ends as one cell, as it is stored.
     """
-    keys = ["image_id", "width", "height"]
-    sample = F.concat(
-        *[F.lpad(F.hex(F.col(c).cast("bigint")), 2, "0") for c in "rgba"[: CHANNELS[channels]]]
-    )
+    keys, n = ["image_id", "width", "height"], CHANNELS[channels]
+    level = lambda c: F.col(c).cast("bigint")
+    pixel = level("r") + F.shiftleft(level("g"), 8) + F.shiftleft(level("b"), 16) + F.shiftleft(level("a"), 24)
 
-    def joined(pairs: Column) -> Column:
-        return F.array_join(F.transform(F.array_sort(pairs), lambda p: p["text"]), "")
+    def ordered(at: str, value: Column) -> Column:
+        pairs = F.array_sort(F.collect_list(F.struct(F.col(at), value.alias("v"))))
+        return F.transform(pairs, lambda p: p["v"])
 
-    lines = px.groupBy(*keys, "y").agg(
-        joined(F.collect_list(F.struct("x", sample.alias("text")))).alias("text")
-    )
-    return lines.groupBy(*keys).agg(F.unhex(joined(F.collect_list(F.struct("y", "text")))).alias(name))
+    lines = px.groupBy(*keys, "y").agg(ordered("x", pixel).alias("line"))
+    rasters = lines.groupBy(*keys).agg(F.flatten(ordered("y", F.col("line"))).alias("samples"))
+
+    def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                samples = batch.column(3)[i].values.to_numpy().astype("<u4").view(np.uint8)
+                body = np.ascontiguousarray(samples.reshape(-1, 4)[:, :n]).tobytes()
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [*(row.column(k) for k in range(3)), pa.array([body], pa.binary())], [*keys, name])
+
+    kinds = ", ".join(f"{k} {px.schema[k].dataType.simpleString()}" for k in keys)
+    return rasters.mapInArrow(to_bytes, f"{kinds}, {name} binary")
 
 
 # --------------------------------------------------------------------------- P2-P5 measuring

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from assetlane.operators import pixels, resample
+from assetlane.operators import packed, pixels, resample
 from assetlane.operators.encode import custom_metric
 from assetlane.suite.fixtures import view, with_views
 from assetlane.suite.registry import case
@@ -290,6 +290,21 @@ for _method, _premultiply, _linear in (
     _kernel_case(_method, _premultiply, _linear)
 
 
+def _packed(spark, sf_dir):
+    return pixels.pack_pixels(view(spark, sf_dir, "v_px"))
+
+
+def _packed_case(method, premultiply, linear):
+    @case(f"resize_packed_{method}", _kernel_sql(method, linear, premultiply))
+    def run(spark, sf_dir):
+        out = packed.resize_packed(_packed(spark, sf_dir), _small(spark, sf_dir), method, premultiply, linear)
+        return pixels.explode_pixels(out)
+
+
+_packed_case("mitchell", True, False)
+_packed_case("lanczos3", True, True)
+
+
 @case(
     "apply_soft_mask",
     f"""{_PX}, {_TILES.removeprefix('WITH ')} SELECT p.image_id, p.width, p.height, p.x, p.y, p.r, p.g, p.b, coalesce(m.r, p.a) AS a FROM v_px p

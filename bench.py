@@ -21,7 +21,7 @@ HEADLINE = [
     "ssim", "recommend", "sweep_summary", "bar_percent", "effective_dpi", "resolve_outcomes",
     "dedupe_images", "ctm_walk", "reuse_hits", "validate_settings", "debounce_edits",
     "drop_superseded", "intake_filter", "archive_paths", "resolve_mime", "box_downscale",
-    "resize_lanczos3", "run_encodes",
+    "resize_lanczos3", "run_encodes", "ssim_packed", "resize_packed_lanczos3",
 ]
 
 

@@ -154,3 +154,46 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session())
+
+
+def test_packed_forms_equal_the_pixel_forms(spark):
+    from assetlane.operators import packed
+
+    rng = np.random.default_rng(5)
+    images = {i: rng.integers(0, 256, (h, w, 4)) for i, (h, w) in enumerate([(7, 9), (1, 5), (12, 4), (6, 6)], 1)}
+    px = None
+    for i, image in images.items():
+        rows = pixel_rows(spark, image, i)
+        px = rows if px is None else px.unionByName(rows)
+    rows = [(i, m.shape[1], m.shape[0], bytearray(m.astype(np.uint8).tobytes())) for i, m in images.items()]
+    whole = spark.createDataFrame(rows, "image_id int, width int, height int, data binary")
+    targets = spark.createDataFrame([(1, 4, 11, "contain"), (2, 3, 2, "stretch"), (3, 12, 3, "contain")], "image_id int, out_w int, out_h int, fit string")
+
+    def same(a, b):
+        b = pixels.explode_pixels(b)
+        assert sorted(map(tuple, a.select(*pixels.PX).collect())) == sorted(map(tuple, b.select(*pixels.PX).collect()))
+
+    for method in ("triangle", "catrom", "mitchell", "lanczos3", "browser-pixelated"):
+        same(resample.resize(px, targets, method), packed.resize_packed(whole, targets, method))
+    same(pixels.rotate(px, F.col("image_id") * 90), packed.rotate_packed(whole.withColumn("angle", F.col("image_id") * 90)))
+    rects = spark.createDataFrame([(1, 1.5, 2.0, 3.2, 90.0), (3, -4.0, 0.0, 0.0, 2.0)], "image_id int, rx double, ry double, rw double, rh double")
+    same(pixels.crop(px, rects), packed.crop_packed(whole, rects))
+    short = whole.withColumn("data", F.substring("data", 1, 3))
+    assert {r.data for r in packed.rotate_packed(short.withColumn("angle", F.lit(90))).collect()} == {None}
+
+
+def test_stream_bodies_are_not_shuffled(spark):
+    from assetlane.operators.pdf import dedupe_images
+
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(1, 1, "/Image", bytearray(b"x")), (1, 2, "/Image", bytearray(b"x")), (1, 3, "/Image", bytearray(b"y"))],
+                                   "doc_id int, obj_no int, subtype string, contents binary")
+        found = dedupe_images(df)
+        assert [tuple(r) for r in found.collect()] == [(1, 2, 1)]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange" in line or "Sort [" in line]
+        assert moved and not any("contents" in line for line in moved)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
