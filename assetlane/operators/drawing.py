@@ -8,11 +8,14 @@ draws. No stream, however long, is replayed in one piece.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetlane.session import hand_over
 from assetlane.functions.numbers import dbl
+from assetlane.session import hand_over
 
 # Fixed value: how deep forms may nest.
 MAX_FORM_DEPTH = 8
@@ -23,7 +26,6 @@ MATRIX = "array<double>"
 
 PLAIN = f"array<{MATRIX}>"
 STARTS = f"array<struct<chunk:bigint,ctm:{MATRIX},stack:{PLAIN}>>"
-DRAWS = f"array<struct<op_no:bigint,name:string,m:{MATRIX}>>"
 _IDENTITY = f"cast(array({', '.join(f'{v}D' for v in IDENTITY)}) AS {MATRIX})"
 
 
@@ -87,15 +89,44 @@ CHAIN = f"""aggregate(chunks, {_record(ctm=_IDENTITY, stack=f"cast(array() AS {P
                 out="concat(s.out, array(" + _record(chunk="c.chunk", ctm="s.ctm", stack="s.stack") + "))")})[0],
  s -> s.out)"""
 
-# Draws of one chunk from its starting state.
-REPLAY = f"""aggregate(ops, {_record(ctm=f"coalesce(ctm, {_IDENTITY})", stack=f"coalesce(stack, cast(array() AS {PLAIN}))", out=f"cast(array() AS {DRAWS})")},
- (s, o) -> CASE o.op
-  WHEN 'cm' THEN {_record(ctm=_product("o.m", "s.ctm"), stack="s.stack", out="s.out")}
-  WHEN 'q' THEN {_record(ctm="s.ctm", stack="concat(s.stack, array(s.ctm))", out="s.out")}
-  WHEN 'Q' THEN CASE WHEN size(s.stack) > 0 THEN {_record(ctm=_TOP.format("s"), stack=_REST.format("s"), out="s.out")} ELSE s END
-  WHEN 'Do' THEN {_record(ctm="s.ctm", stack="s.stack", out="concat(s.out, array(" + _record(op_no="o.op_no", name="o.name", m="s.ctm") + "))")}
-  ELSE s END,
- s -> s.out)"""
+def replay(chunks: DataFrame) -> DataFrame:
+    """Draws of every chunk from its starting state (``ctm``, ``stack``; null is the identity).
+
+    One pass over the operators of a chunk in Arrow batches; a chunk holds a bounded number of them.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, numbers, names, matrices = [], [], [], []
+            starts = batch.select(["ctm", "stack"]).to_pylist()
+            for i, start in enumerate(starts):
+                ops = batch.column("ops")[i].values
+                code, number = ops.field("op").to_pylist(), ops.field("op_no").to_numpy()
+                name, operand = ops.field("name").to_pylist(), ops.field("m").to_pylist()
+                now = tuple(start["ctm"] or IDENTITY)
+                stack = [tuple(m) for m in start["stack"] or ()]
+                for at, op in enumerate(code):
+                    if op == "cm":
+                        a, b, c, d, e, f = operand[at]
+                        g, h, p, j, k, q = now
+                        now = (a * g + b * p, a * h + b * j, c * g + d * p, c * h + d * j, e * g + f * p + k, e * h + f * j + q)
+                    elif op == "q":
+                        stack.append(now)
+                    elif op == "Q":
+                        now = stack.pop() if stack else now
+                    else:
+                        keep.append(i)
+                        numbers.append(int(number[at]))
+                        names.append(name[at])
+                        matrices.append(now)
+            index = pa.array(keep, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(index), batch.column("owner").take(index), pa.array(numbers, pa.int64()),
+                 pa.array(names, pa.string()), pa.array(matrices, pa.list_(pa.float64()))],
+                ["doc_id", "owner", "op_no", "name", "m"])
+
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+    return chunks.select("doc_id", "owner", "ops", "ctm", "stack").mapInArrow(
+        run, f"doc_id {kind}, owner string, op_no bigint, name string, m {MATRIX}")
 
 
 def stream_draws(ops: DataFrame, chunk_ops: int = CHUNK_OPS) -> DataFrame:
@@ -120,7 +151,7 @@ def stream_draws(ops: DataFrame, chunk_ops: int = CHUNK_OPS) -> DataFrame:
         *stream, F.explode(F.expr(CHAIN)).alias("e")
     ).select(*stream, "e.*")
     joined = chunks.join(starts, [*stream, "chunk"], "left")
-    return joined.select(*stream, F.explode(F.expr(REPLAY)).alias("d")).select(*stream, "d.*")
+    return replay(joined)
 
 
 def ctm_walk(
