@@ -181,7 +181,7 @@ def with_matchable(spark: SparkSession, entries: DataFrame, percent: int) -> Dat
     out = entries.drop("rare").join(if_small(counted, 24), "node")
     least = store(spark, out.groupBy("token").agg(F.min("n").alias("low"), F.min("whole").alias("all"), F.count(F.lit(1)).alias("m")), "buckets")
     other = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
-    kept = out.join(if_small(least, 32), "token").where(
+    kept = out.join(least, "token").where(
         (F.col("m") > 1) & (~F.col("all") | ((100 + percent) * F.col("c") >= percent * (F.col("n") + other))))
     return store(spark, kept.select("token", "node", "n", "pos", "whole", "c"), "entries")
 
@@ -206,9 +206,7 @@ def suffix_filter(spark: SparkSession, pairs: DataFrame, parts: DataFrame, perce
             good = pa.array((100 + percent) * ((n - apart) // 2) >= percent * n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(good)
 
-    small = if_small(parts, 24 + PARTS)
-    joined = pairs.join(side("x") if small is parts else F.broadcast(side("x")), "x").join(
-        side("y") if small is parts else F.broadcast(side("y")), "y")
+    joined = pairs.join(side("x"), "x").join(side("y"), "y")
     return joined.select("x", "y", "x_n", "y_n", "x_parts", "y_parts").mapInArrow(run, "x bigint, y bigint")
 
 
@@ -301,7 +299,7 @@ def link_classes(spark: SparkSession, classes: DataFrame, entries: DataFrame, pa
             own = F.col("n") - F.col("c")
             pivot = store(spark, live.groupBy("token").agg(
                 F.min_by("node", own).alias("x"), *[F.min_by(c, own).alias(f"x_{c}") for c in (*USED, "comp")]), "pivots")
-            met = live.join(if_small(pivot, 56), "token").where("node <> x AND comp <> x_comp").where(
+            met = live.join(pivot, "token").where("node <> x AND comp <> x_comp").where(
                 may_link({c: F.col(c) for c in USED}, {c: F.col(f"x_{c}") for c in USED}, percent))
             pairs = met.select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct()
         if done is not None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assetlane.session import scratch_folder
 
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def store(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -21,7 +21,8 @@ def if_small(stored: DataFrame, row_bytes: int, items: str | None = None) -> Dat
     """The table with a broadcast hint if it is counted to be below ``BROADCAST_BYTES``.
 
     ``row_bytes`` is the size of a row, or of one item of the array column ``items``. Beyond the
-    bound the table comes back as it is and Spark shuffles the join; results are the same.
+    bound the table comes back as it is and Spark shuffles the join; results are the same. Meant for
+    lists of keys and of places in texts; tables with payload are left to Spark's own size check.
     """
     size = F.count(F.lit(1)) if items is None else F.sum(F.size(items) + 1)
     n = stored.agg(size.alias("n")).first()["n"] or 0
