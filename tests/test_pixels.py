@@ -76,9 +76,9 @@ def test_ssim_sees_alpha_over_white(spark):
 
 def test_ssim_reports_mismatches(spark):
     a, b = raster(spark, 4, 4, gradient()), raster(spark, 5, 4, gradient())
-    assert score(a, b)["error"] == "SSIM needs identical dimensions: 4x4 vs 5x4"
+    assert score(a, b)["error"] == "sizes differ: 4x4 and 5x4"
     short = a.where("x < 3")
-    assert score(a, short)["error"] == "pixel buffer too short"
+    assert score(a, short)["error"] == "too few samples"
     assert score(a, b.where("false"))["error"] == "one side has no pixels"
 
 

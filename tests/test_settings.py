@@ -74,7 +74,7 @@ def test_preset_documents_are_read_whole(spark, tmp_path):
     (tmp_path / "mine.json").write_text(json.dumps(docs, indent=2))
     (tmp_path / "bad.json").write_text("{not json")
     got = [(r.pos, r.name, r.valid) for r in read_presets(spark, str(tmp_path)).orderBy("pos").collect()]
-    assert got == [(0, "a", True), (1, "b", False), (2, None, False)]
+    assert got == [(None, None, False), (0, "a", True), (1, "b", False), (2, None, False)]
 
 
 def test_threads_clamp(spark):

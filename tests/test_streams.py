@@ -49,9 +49,15 @@ def test_one_endless_session_over_many_chunks(spark):
     assert [r["count"] for r in starts] == [150, 50]
 
 
-def test_batch_intake_stream_query_types_pages(spark, sf):
-    rows = load_cases()["intake_stream"].run(spark, sf).collect()
-    assert rows and all(r.mime == "image/svg+xml" for r in rows)
+def test_intake_stream_types_by_head_and_name(spark, tmp_path):
+    from assetlane.suite.events import drain
+
+    for name, body in {"a.svg": b"<svg/>", "plain": b"\x89PNG\r\n\x1a\n0000", "b.txt": b"hello", "c.png": b"x"}.items():
+        (tmp_path / name).write_bytes(body)
+    rows = drain(jobs.intake_stream(spark, str(tmp_path)).select("name", "mime")).collect()
+    assert {(r.name, r.mime) for r in rows} == {("a.svg", "image/svg+xml"), ("plain", "image/png"), ("c.png", "image/png")}
+    every = drain(jobs.intake_stream(spark, str(tmp_path), images_only=False, max_bytes=5).select("name")).collect()
+    assert {r.name for r in every} == {"b.txt", "c.png"}
 
 
 def test_latest_status_in_update_mode(spark, sf):
