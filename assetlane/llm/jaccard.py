@@ -32,7 +32,7 @@ from assetlane.llm.components import components
 from assetlane.llm.tables import if_small, store
 from assetlane.llm.words import Spans, chunks, mix, split
 
-N, PERCENT, COMMON_BITS, BLOCK_TOKENS = 5, 80, 20, 4 << 20
+N, PERCENT, COMMON_BITS, BLOCK_TOKENS = 5, 80, 21, 4 << 20
 PART_BITS = 8
 PARTS = 1 << PART_BITS
 USED = ("n", "pos", "whole", "c")
@@ -155,8 +155,10 @@ def document_sets(spark: SparkSession, texts: DataFrame, n: int, percent: int, b
                     ["row", "doc_id", "n", "rare", "k1", "k2", "parts", "prefix"])
                 row += hi - lo
 
-    return store(spark, texts.mapInArrow(
+    sets = store(spark, texts.mapInArrow(
         run, "row bigint, doc_id bigint, n bigint, rare bigint, k1 bigint, k2 bigint, parts binary, prefix array<bigint>"), "sets")
+    common.unpersist()
+    return sets
 
 
 def may_link(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
