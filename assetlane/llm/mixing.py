@@ -14,22 +14,59 @@ are a keyed hash of the id: the same document is drawn alike on every run and in
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetlane.llm.words import SPACE, chunks
+
 OTHER = "*"
-WORD = r"[^\x20\x09-\x0D]+"
+_FORM = "struct<words:bigint,chars:bigint,symbols:bigint,figures:bigint,feeds:bigint>"
+
+
+def _marks(chars: bytes) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[list(chars)] = True
+    return table
+
+
+_SYMBOLS, _FIGURES, _FEEDS, _CHARS = _marks(b"#*$%&|<>"), _marks(b"0123456789"), _marks(b"\n"), ~_marks(bytes(range(0x80, 0xC0)))
 
 
-def topic_of(text: Column) -> Column:
-    """A plain topic by form: markup, figures, lines or prose; null for a null text."""
-    size = F.length(text)
+def form_counts(texts: list[bytes]) -> np.ndarray:
+    """Words, characters, symbols, figures and line feeds of each text, one row a text."""
+    offset = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    inside = ~SPACE[buf]
+    begins = inside & np.concatenate([[True], ~inside[:-1]])
 
-    def count(chars: str) -> Column:
-        return size - F.length(F.translate(text, chars, ""))
+    def per_text(flags: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+        return total[offset[1:]] - total[offset[:-1]]
+
+    counts = [per_text(x) for x in (begins, _CHARS[buf], _SYMBOLS[buf], _FIGURES[buf], _FEEDS[buf])]
+    counts[1] -= 1  # the space after each text
+    return np.stack(counts, axis=1)
+
+
+def with_form(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``+n_tokens`` (words) and ``+topic``, a plain topic by form: markup, figures, lines or prose.
+
+    One vectorised pass over the texts. A null text has no tokens and no topic. Columns of these
+    names are replaced.
+    """
+    @F.pandas_udf(_FORM)
+    def counted(column: pd.Series) -> pd.DataFrame:
+        texts = [t or b"" for t in column]
+        parts = [form_counts(texts[lo:hi]) for lo, hi in chunks(texts)]
+        table = np.concatenate(parts) if parts else np.zeros((0, 5), dtype=np.int64)
+        return pd.DataFrame(table, columns=["words", "chars", "symbols", "figures", "feeds"])
 
-    return (F.when(text.isNull(), F.lit(None).cast("string")).when(20 * count("#*$%&|<>") > size, "markup")
-            .when(50 * count("0123456789") > size, "figures").when(150 * count("\n") > size, "lines").otherwise("prose"))
+    out = docs.withColumn("__form", counted(F.col(text_col).cast("binary")))
+    n = {k: F.col(f"__form.{k}") for k in ("words", "chars", "symbols", "figures", "feeds")}
+    topic = (F.when(F.col(text_col).isNull(), F.lit(None).cast("string")).when(20 * n["symbols"] > n["chars"], "markup")
+             .when(50 * n["figures"] > n["chars"], "figures").when(150 * n["feeds"] > n["chars"], "lines").otherwise("prose"))
+    return out.withColumns({"n_tokens": n["words"], "topic": topic}).drop("__form")
 
 
 def rake(mass: np.ndarray, targets: list[np.ndarray], rounds: int = 1000, tolerance: float = 1e-12) -> np.ndarray:
@@ -75,22 +112,20 @@ def probabilities(mass: np.ndarray, targets: list[np.ndarray], budget: float, ro
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]], share: float,
-                tokens: Column | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with n_tokens, weight, probability and sampled.
+                tokens: str = "n_tokens", seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` with weight, probability and sampled (columns of these names are replaced).
 
-    ``targets`` maps a column of ``docs`` to shares of its values; what they leave of 1 goes to all
-    other values together. ``share`` is the part of all tokens to sample. A null text has no
-    tokens; a cell without tokens is sampled with probability 0 unless every document is wanted.
+    ``tokens`` names the column that counts a row's tokens, such as ``with_form`` adds. ``targets`` maps a column of ``docs`` to shares of its values; what they leave of 1 goes to all
+    other values together. ``share`` is the part of all tokens to sample. A null count is
+    none; a cell without tokens is sampled with probability 0 unless every document is wanted.
     Null ids draw by their text; repeated rows draw alike. An empty table gives no rows.
     """
     names = list(targets)
-    tokens = F.regexp_count(F.col(text_col), F.lit(WORD)) if tokens is None else tokens
     listed = {d: [*t, OTHER] for d, t in targets.items()}
     cell = [F.coalesce(F.when(F.col(d).isin(*t), F.col(d)), F.lit(OTHER)) for d, t in targets.items()]
-    counted = docs.withColumns({"n_tokens": F.coalesce(tokens, F.lit(0)).cast("bigint"),
-                                **{f"__cell{i}": c for i, c in enumerate(cell)}})
+    counted = docs.withColumns({f"__cell{i}": c for i, c in enumerate(cell)})
     keys = [f"__cell{i}" for i in range(len(names))]
-    sums = counted.groupBy(*keys).agg(F.sum("n_tokens").alias("n")).collect()  # bounded by the targets
+    sums = counted.groupBy(*keys).agg(F.sum(F.coalesce(tokens, F.lit(0))).alias("n")).collect()  # bounded by the targets
     mass = np.zeros([len(listed[d]) for d in names])
     for r in sums:
         mass[tuple(listed[d].index(r[k]) for d, k in zip(names, keys))] = r["n"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assetlane.llm.chat import conversation_digests, format_messages, read_messages, text_part
 from assetlane.llm.jaccard import near_duplicates
-from assetlane.llm.mixing import mix_sources, topic_of
+from assetlane.llm.mixing import mix_sources, with_form
 from assetlane.llm.packing import pack
 from assetlane.llm.pivots import top_products
 from assetlane.llm.quality_mil import quality_scores
@@ -65,8 +65,7 @@ TARGETS = {"source": {"src0": 0.15}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "
 
 @query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("topic", topic_of(F.col("text")))
-    return mix_sources(spark, docs, TARGETS, share=0.5).select(
+    return mix_sources(spark, with_form(table(spark, sf_dir, "documents")), TARGETS, share=0.5).select(
         "doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
 
 

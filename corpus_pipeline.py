@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlane.llm.jaccard import near_duplicates
-from assetlane.llm.mixing import mix_sources, topic_of
+from assetlane.llm.mixing import mix_sources, with_form
 from assetlane.llm.packing import pack
 from assetlane.llm.quality_mil import quality_scores
 from assetlane.llm.queries import TARGETS, TOKENIZERS
@@ -59,7 +59,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that operator 3 samples."""
-    mixed = mix_sources(spark, docs.withColumn("topic", topic_of(F.col("text"))), TARGETS, SHARE)
+    mixed = mix_sources(spark, with_form(docs), TARGETS, SHARE)
     return mixed.where("sampled").select(*COLUMNS)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 import __spark_entry__ as entry
 import corpus_pipeline
 from assetlane.llm.chat import PART, format_messages, read_messages
-from assetlane.llm.mixing import mix_sources, probabilities, rake
+from assetlane.llm.mixing import form_counts, mix_sources, probabilities, rake, with_form
 from assetlane.llm.packing import WordTokens, best_cuts, pack
 from assetlane.llm.pivots import top_products
 from assetlane.llm.warc import MemberScanner, archive_pages, member, parse, sha1_base32
@@ -66,6 +67,12 @@ def test_rake_meets_the_marginals():
     assert np.isclose(odds[0, 0, 0] * odds[1, 1, 0], odds[0, 1, 0] * odds[1, 0, 0])  # interactions are kept
 
 
+def test_form_counts():
+    texts = ["", "a 1\n", "é#  日\t\n\n<2 ", " "]
+    got = form_counts([t.encode() for t in texts]).tolist()
+    assert got == [[len(t.split()), len(t), sum(t.count(c) for c in "#*$%&|<>"), sum(c.isdigit() for c in t), t.count("\n")] for t in texts]
+
+
 def test_probabilities_hold_the_budget():
     mass = np.array([[1000.0, 10.0], [200.0, 0.0]])
     goals = [np.array([0.5, 0.5]), np.array([0.7, 0.3])]
@@ -76,8 +83,10 @@ def test_probabilities_hold_the_budget():
 
 def test_mixing_edges(spark, docs, no_docs, texts):
     targets = {"source": {"src0": 0.5}, "lang": {"en": 0.6, "xx": 0.1}}
+    docs, no_docs = with_form(docs), with_form(no_docs)
     rows = mix_sources(spark, docs, targets, 0.5).collect()
     assert len(rows) == len(texts) and all(0 <= r["probability"] <= 1 for r in rows)
+    assert all(r["n_tokens"] == len(re.findall("[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows)
     assert mix_sources(spark, no_docs, targets, 0.5).collect() == []
     assert all(r["sampled"] for r in mix_sources(spark, docs, targets, 1.0).collect() if r["n_tokens"])
     draws = defaultdict(set)
@@ -87,7 +96,7 @@ def test_mixing_edges(spark, docs, no_docs, texts):
 
 
 def test_mixing_moves_the_marginals(spark):
-    docs = spark.range(20000).selectExpr("id AS doc_id", "'a b c' AS text", "CASE WHEN id % 10 < 7 THEN 'x' ELSE 'y' END AS source")
+    docs = spark.range(20000).selectExpr("id AS doc_id", "'a b c' AS text", "3 AS n_tokens", "CASE WHEN id % 10 < 7 THEN 'x' ELSE 'y' END AS source")
     rows = mix_sources(spark, docs, {"source": {"x": 0.5, "y": 0.5}}, 0.4).where("sampled").groupBy("source").count().collect()
     assert all(abs(r["count"] - 4000) < 250 for r in rows) and len(rows) == 2
 
