@@ -87,22 +87,26 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def common_tokens(spark: SparkSession, texts: DataFrame, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent tokens, ascending, and the octave of their counts; at most ``2 ** bits`` tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        buffer, used = np.empty(BLOCK_TOKENS, dtype=np.uint64), 0
 
-        def flush() -> pa.RecordBatch:
-            code, count = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(code[count > 1].view(np.int64)), pa.array(count[count > 1])], ["token", "n"])
+        def twice(code: np.ndarray) -> pa.RecordBatch:
+            code.sort()
+            again, more = np.unique(code[1:][code[1:] == code[:-1]], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(again.view(np.int64)), pa.array(more + 1)], ["token", "n"])
 
         for batch in batches:
             bodies = [t or b"" for t in batch.column(0).to_pylist()]
             for lo, hi in chunks(bodies):
-                held.append(token_sets(bodies[lo:hi], n)[0])
-                if sum(map(len, held)) >= BLOCK_TOKENS:
-                    yield flush()
-        if held:
-            yield flush()
+                code = token_sets(bodies[lo:hi], n)[0]
+                if used + len(code) > BLOCK_TOKENS:
+                    yield twice(buffer[:used])
+                    used = 0
+                if len(code) > BLOCK_TOKENS:
+                    yield twice(code)
+                else:
+                    buffer[used:used + len(code)] = code
+                    used += len(code)
+        yield twice(buffer[:used])
 
     counted = store(spark, texts.select("text").mapInArrow(run, "token bigint, n bigint")
                     .groupBy("token").agg(F.sum("n").alias("n")), "token-counts")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 
 TILE = 1 << 20
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _MASK = (1 << 64) - 1
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _POWERS: dict[int, np.ndarray] = {}
