@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetlane.llm.tables import small_batches
 from assetlane.llm.words import SPACE, chunks
 
 OTHER = "*"
@@ -55,6 +56,8 @@ def with_form(docs: DataFrame, text_col: str = "text") -> DataFrame:
     One vectorised pass over the texts. A null text has no tokens and no topic. Columns of these
     names are replaced.
     """
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf(_FORM)
     def counted(column: pd.Series) -> pd.DataFrame:
         texts = [t or b"" for t in column]

@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assetlane.llm.tables import small_batches
+
 WINDOW = 2048
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -212,5 +214,6 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         if parts:
             yield _pieces(names, parts, sequence, tok, window, cuts)[0]
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                        F.col(text_col).cast("binary").alias("text")).mapInArrow(run, PIECES)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlane.llm.learning import Adam, bag_sum, label_sample, remainder, sigmoid
+from assetlane.llm.tables import small_batches
 from assetlane.llm.words import LETTER, chunks, mix, split
 
 PASSAGE, HASHED, HIDDEN, GATES = 64, 24, 24, 12
@@ -193,6 +194,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold
     ids are scored and not held out; repeated rows get equal scores. Without labels of both kinds
     every score is 0.5. An empty table gives no rows; other columns are not read.
     """
+    small_batches(spark)
     texts = _texts(docs, id_col, text_col)
     extra = [c for c in carry or [] if c != "doc_id"]
     model = spark.sparkContext.broadcast(train(texts, labels, remainder("doc_id", folds) != held, label_col))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetlane.llm.tables import small_batches
 from assetlane.llm.words import LETTER, chunks, codes_of, mix, split
 from assetlane.session import scratch_folder
 
@@ -195,6 +196,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, threshold: float = 0.5,
     like any other row; other columns are not read. An empty table gives no rows. Counts are stored
     in the shared folder once, as they are read for the model and for the verdicts.
     """
+    small_batches(spark)
     path = scratch_folder(spark, "quality-counts")
     text_counts(docs, id_col, text_col).write.parquet(path)
     return judge(spark.read.parquet(path), threshold)

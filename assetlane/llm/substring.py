@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlane.llm.tables import if_small, store
+from assetlane.llm.tables import if_small, small_batches, store
 from assetlane.llm.words import Spans, Words, chunks, mix, normal_text, split
 
 SIZE, ANCHOR = 50, 12
@@ -221,6 +221,7 @@ def remove_spans(docs: DataFrame, cuts: DataFrame, id_col: str = "doc_id",
     kept, each with the white space that followed it. ``kept_sha256`` is of the kept words joined by
     one space. A null text has no words and stays null.
     """
+    small_batches(docs.sparkSession)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * texts
     extra = list(carry or [])
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlane.llm.learning import Adam, label_sample, remainder, sigmoid
+from assetlane.llm.tables import small_batches
 from assetlane.llm.words import chunks, codes_of, mix, split
 
 PREFIXES = (4, 5, 6, 7)
@@ -138,6 +139,7 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, fol
     held out; repeated rows get equal scores. Where nothing is confirmed toxic, every score is 0.
     An empty table gives no rows; other columns are not read.
     """
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     model = spark.sparkContext.broadcast(train(spark, texts, labels, folds, held, label_col))
 
