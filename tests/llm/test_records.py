@@ -14,9 +14,10 @@ from hypothesis import strategies as st
 import __spark_entry__ as entry
 import corpus_pipeline
 from assetlane.llm.chat import PART, format_messages, read_messages
-from assetlane.llm.mixing import form_counts, mix_sources, probabilities, rake, with_form
+from assetlane.llm.mixing import form_counts, largest_share, marginal, mix_sources, mixing_report, probabilities, rake, with_form
 from assetlane.llm.packing import WordTokens, best_cuts, pack
 from assetlane.llm.pivots import top_products
+from assetlane.llm.queries import TARGETS
 from assetlane.llm.warc import MemberScanner, archive_pages, member, parse, sha1_base32
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -101,6 +102,32 @@ def test_mixing_moves_the_marginals(spark):
     assert all(abs(r["count"] - 4000) < 250 for r in rows) and len(rows) == 2
 
 
+def test_production_targets_are_fitted_and_reported(spark):
+    """Shares as in sf0.1; the targets do not hold at 0.5, nor at 0.8."""
+    own = {"source": {"src0": 0.048, "src1": 0.952}, "lang": {"en": 0.614, "de": 0.15, "fr": 0.148, "es": 0.088},
+           "topic": {"prose": 0.897, "lines": 0.024, "figures": 0.005, "markup": 0.074}}
+    rows = [(f"{s}{x}{t}", s, x, t, round(1e6 * a * b * c)) for s, a in own["source"].items()
+            for x, b in own["lang"].items() for t, c in own["topic"].items()]
+    docs = spark.createDataFrame(rows, "doc_id string, source string, lang string, topic string, n_tokens bigint")
+    for share in (0.5, 0.8):
+        with pytest.warns(UserWarning, match="cannot hold its targets"):
+            mixed = mix_sources(spark, docs, TARGETS, share, text_col="doc_id")
+        got = {(r["dimension"], r["value"]): r for r in mixing_report(mixed, TARGETS).collect()}
+        assert len(got) == 12 and not got["topic", "lines"]["met"]
+        for d, v in (("source", "src0"), ("topic", "lines"), ("topic", "figures")):  # what runs out is taken whole
+            assert np.isclose(got[d, v]["expected"], own[d][v] / share, rtol=0.01)
+        rise = got["topic", "prose"]["expected"] / 0.8  # what is to be held down grows by no more than the others
+        assert np.isclose(got["topic", "markup"]["expected"], 0.05 * rise, atol=1e-3) and rise < 1.15
+        assert np.isclose(sum(r["n_tokens"] * r["probability"] for r in mixed.collect()), share * sum(r[-1] for r in rows))
+    goals = [np.array([*t.values(), 1 - sum(t.values())]).clip(0) for t in TARGETS.values()]
+    mass = np.zeros((2, 5, 5))
+    for _, s, x, t, n in rows:
+        mass[int(s != "src0"), list(TARGETS["lang"]).index(x), list(TARGETS["topic"]).index(t)] = n
+    most = largest_share(mass, goals)
+    p = probabilities(mass, goals, most * mass.sum())
+    assert 0.05 < most < 0.12 and all(np.allclose(marginal(p * mass, d) / (p * mass).sum(), g, atol=2e-3) for d, g in enumerate(goals))
+
+
 # packing
 
 @settings(max_examples=150, deadline=None)
