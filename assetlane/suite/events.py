@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from assetlane.operators.reuse import recent_results
 from assetlane.session import scratch_folder
+from assetlane.sources.assets import scan_assets
 from assetlane.streaming import jobs
-from assetlane.suite.files import PAGE_FILES, page_files
+from assetlane.suite.files import PAGE_FILES, page_files, page_folders
 from assetlane.suite.fixtures import read
 from assetlane.suite.registry import case
 
@@ -244,11 +245,18 @@ def _(spark, sf_dir):
     f"SELECT folder, CAST(1 AS INTEGER) AS depth, CAST(length(text) AS BIGINT) AS bytes, sha256(text) AS digest, '' AS mime, 'unknown' AS mime_source FROM ({PAGE_FILES})",
 )
 def _(spark, sf_dir):
-    """The pages laid out as files of a landing folder, watched once."""
+    """The pages laid out as files of a landing folder, watched once; the files of a folder put together.
+
+    Contents are read again where path and digest are those that the stream found.
+    """
     folder = page_files(spark, sf_dir, "landing")
     found = drain(jobs.intake_stream(spark, folder, images_only=False).where("name LIKE '%.txt'").select(
         "rel_path", "depth", "bytes", "digest", "mime", "mime_source"))
-    return found.select(F.regexp_extract("rel_path", "^([^/]*)/[^/]*$", 1).alias("folder"), "depth", "bytes", "digest", "mime", "mime_source")
+    files = scan_assets(spark, folder, glob="*.txt").withColumn("digest", F.sha2("content", 256)).select("rel_path", "digest", "content")
+    texts = page_folders(files.join(found.select("rel_path", "digest"), ["rel_path", "digest"]))
+    at = F.regexp_extract("rel_path", "^([^/]*)/[^/]*$", 1).alias("folder")
+    sizes = found.groupBy(at, "depth", "mime", "mime_source").agg(F.sum("bytes").alias("bytes"))
+    return sizes.join(texts, "folder").select("folder", "depth", "bytes", "digest", "mime", "mime_source")
 
 
 @case(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from assetlane.functions import filetypes, paths
@@ -21,26 +24,59 @@ _EXT_TYPES = "|".join(filetypes.TYPE_BY_EXTENSION)
 _IMAGE_NAME = f"regexp_matches({{0}}, '(?i)\\.({_EXT_TYPES})$')"
 
 
+PAGES_PER_FILE = 256
+
+
 def page_files(spark, sf_dir, name):
-    """The pages as plain files of 8 folders, one file each: a page is a line."""
+    """The pages as plain files of 8 folders, at most ``PAGES_PER_FILE`` in each: a page is a line.
+
+    Files of a folder follow each other by task and file number (``page_folders``).
+    """
     folder = scratch_folder(spark, name)
-    pages = read(spark, sf_dir, "pages").select(
-        F.lower(F.hex(F.encode("html", "utf-8"))).alias("value"), "page_id", (F.col("page_id") % 8).alias("shard"))
-    (pages.repartition("shard").sortWithinPartitions("shard", "page_id").select("value", "shard")
-     .write.partitionBy("shard").text(folder))
+    pages = read(spark, sf_dir, "pages").select("html", "page_id", (F.col("page_id") % 8).alias("shard"))
+    (pages.repartitionByRange("shard", "page_id").sortWithinPartitions("shard", "page_id")
+     .select(F.lower(F.hex(F.encode("html", "utf-8"))).alias("value"), "shard")
+     .write.option("maxRecordsPerFile", PAGES_PER_FILE).partitionBy("shard").text(folder))
     return folder
 
 
+def _digests(batches):
+    """Rows (folder, content) sorted by folder to one digest of each folder; holds a running hash only."""
+    folder, running = None, None
+    for batch in batches:
+        for at, content in zip(batch.column("folder").to_pylist(), batch.column("content")):
+            if running is not None and at != folder:
+                yield pa.RecordBatch.from_pydict({"folder": [folder], "digest": [running.hexdigest()]})
+                running = None
+            folder, running = at, running or hashlib.sha256()
+            running.update(content.as_buffer())
+    if running is not None:
+        yield pa.RecordBatch.from_pydict({"folder": [folder], "digest": [running.hexdigest()]})
+
+
+def page_folders(files):
+    """Folders of ``page_files`` as one text each: (folder, digest), from rows (rel_path, content).
+
+    A SHA-256 is taken in order, so the files of a folder pass one task, as a sorted stream.
+    """
+    number = [F.regexp_extract("rel_path", p, 1).cast("bigint") for p in (r"/part-(\d+)-[^/]*$", r"\.c(\d+)\.txt$")]
+    rows = files.select(F.regexp_extract("rel_path", "^([^/]*)/[^/]*$", 1).alias("folder"), number[0].alias("task"),
+                        number[1].alias("nth"), "content")
+    ordered = rows.repartition("folder").sortWithinPartitions("folder", "task", "nth").select("folder", "content")
+    return ordered.mapInArrow(_digests, "folder string, digest string")
+
+
 PAGE_FILES = """SELECT concat('shard=', CAST(page_id % 8 AS VARCHAR)) AS folder,
  string_agg(concat(lower(hex(encode(html))), chr(10)), '' ORDER BY page_id) AS text FROM pages GROUP BY page_id % 8"""
 
 
 @case("scan_assets", f"SELECT folder, CAST(1 AS INTEGER) AS depth, CAST(length(text) AS BIGINT) AS bytes, sha256(text) AS digest FROM ({PAGE_FILES})")
 def _(spark, sf_dir):
-    """Files written from the pages, found and read again."""
+    """Files written from the pages, found and read again; the files of a folder put together."""
     files = scan_assets(spark, page_files(spark, sf_dir, "scan"), glob="*.txt")
-    return files.select(F.regexp_extract("rel_path", "^([^/]*)/[^/]*$", 1).alias("folder"), "depth", "bytes",
-                        F.sha2("content", 256).alias("digest"))
+    folder = F.regexp_extract("rel_path", "^([^/]*)/[^/]*$", 1).alias("folder")
+    sizes = files.groupBy(folder, "depth").agg(F.sum("bytes").alias("bytes"))
+    return sizes.join(page_folders(files), "folder").select("folder", "depth", "bytes", "digest")
 
 
 _TAKEN = f"""{with_views('v_files')}, t AS (SELECT *, coalesce(nullif({_SAFE}, ''), path) AS taken_path FROM v_files),

@@ -87,3 +87,24 @@ def test_stale_sessions(spark):
     now = F.lit(int("lr5o0000", 36) + intake.STALE_MS).cast("bigint")
     got = {r.name: r.stale for r in intake.sweep_stale_sessions(rows(spark, "name string", data), now, current="other").collect()}
     assert got == {"session-lr5o0000-a": False, "session-zz": True, "session-UPPER-x": True, "other": False}
+
+
+def test_page_files_are_bounded_and_their_folders_whole(spark, tmp_path):
+    import hashlib
+
+    from assetlane.sources.assets import scan_assets
+    from assetlane.suite import files as S
+    from assetlane.suite import load_cases
+
+    pages = [(i, f"page {i} " + "x" * (i % 50)) for i in range(3000)]
+    spark.createDataFrame(pages, "page_id bigint, html string").repartition(5).write.parquet(str(tmp_path / "pages.parquet"))
+    folder = S.page_files(spark, str(tmp_path), "bounded")
+    texts = [bytes(r.content) for r in scan_assets(spark, folder, glob="*.txt").select("content").collect()]
+    assert sum(t.count(b"\n") for t in texts) == 3000 and max(t.count(b"\n") for t in texts) <= S.PAGES_PER_FILE
+    want = {}
+    for k in range(8):
+        text = "".join(h.encode().hex() + "\n" for i, h in pages if i % 8 == k).encode()
+        want[f"shard={k}"] = (1, len(text), hashlib.sha256(text).hexdigest())
+    for name in ("scan_assets", "intake_stream"):
+        rows = load_cases()[name].run(spark, str(tmp_path)).collect()
+        assert {r.folder: (r.depth, r.bytes, r.digest) for r in rows} == want and len(rows) == 8
