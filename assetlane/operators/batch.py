@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetlane.functions.numbers import dbl, js_round
@@ -98,6 +98,30 @@ def _settle_family(_key, rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _links(names: DataFrame, chunk_rows: int) -> DataFrame:
+    """Natural names that read like copy ``n`` of another and that a copy can reach.
+
+    ``rank`` names of a parent have a smaller ``n``, and each lets the copies skip one number at most.
+    So name ``n`` needs ``n - 1 - rank`` waiting copies; all items of the parent wait only if it can
+    lose its own name, else all but one. Names beyond never clash, nor do those of larger ``n``.
+    """
+    stem, ext = _stem(F.col("path")), _extension(F.col("path"))
+    likely = names.where(stem.rlike(_SUFFIX)).select(
+        "run_id", "path", "seq", F.regexp_extract(stem, _SUFFIX, 2).cast("bigint").alias("n"),
+        F.concat(F.regexp_extract(stem, _SUFFIX, 1), ext).alias("parent"),
+        F.concat(F.regexp_replace(stem, r"( \(([2-9]|[1-9][0-9]{1,17})\))+\z", ""), ext).alias("root"),
+        F.length(stem).alias("depth"),
+    )
+    keys = ["run_id", "parent"]
+    parents = names.select("run_id", F.col("path").alias("parent"), F.col("count").alias("parent_count"))
+    waiting = F.col("parent_count") - F.when(_stem(F.col("parent")).rlike(_SUFFIX), 0).otherwise(1)
+    linked = likely.join(parents.where(waiting > 0), keys)
+    size = linked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__links"))
+    near = linked.join(size, keys).where(F.col("n") - 1 <= waiting + F.col("__links")).drop("__links")
+    ranked = running_position(near, keys, [F.col("n")], "rank", by_step("n", chunk_rows))
+    return ranked.withColumn("rank", F.col("rank") - 1).where(F.col("n") - 1 - F.col("rank") <= waiting)
+
+
 def archive_paths(items: DataFrame, path: str = "path", chunk_rows: int = 1_000_000) -> DataFrame:
     """``+entry_path`` within each ``run_id``, in ``seq`` order.
 
@@ -113,16 +137,7 @@ def archive_paths(items: DataFrame, path: str = "path", chunk_rows: int = 1_000_
     placed = running_position(rows, keys, [F.col("seq")], "__pos", by_step("seq", chunk_rows))
 
     names = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.min("seq").alias("seq"))
-    stem, ext = _stem(F.col("path")), _extension(F.col("path"))
-    likely = names.where(stem.rlike(_SUFFIX)).select(
-        "run_id", "path", "seq", F.regexp_extract(stem, _SUFFIX, 2).cast("bigint").alias("n"),
-        F.concat(F.regexp_extract(stem, _SUFFIX, 1), ext).alias("parent"),
-        F.concat(F.regexp_replace(stem, r"( \(([2-9]|[1-9][0-9]{1,17})\))+\z", ""), ext).alias("root"),
-        F.length(stem).alias("depth"),
-    )
-    parents = names.select("run_id", F.col("path").alias("parent"), F.col("count").alias("parent_count"))
-    by_n = Window.partitionBy("run_id", "parent").orderBy("n")
-    links = likely.join(parents, ["run_id", "parent"]).withColumn("rank", F.row_number().over(by_n) - 1)
+    links = _links(names, chunk_rows)
 
     first = F.greatest(F.lit(1).cast("bigint"), F.col("n") - 1 - F.col("rank"))
     last = F.least(F.col("parent_count"), F.col("n"))

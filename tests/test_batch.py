@@ -56,6 +56,15 @@ def test_archive_names_random_families(spark):
     assert got == want
 
 
+def test_archive_links_are_cut_to_what_copies_reach(spark):
+    dense = ["a.png"] + [f"a ({n}).png" for n in range(2, 400)]
+    far = ["b", "b", "b"] + [f"b ({n})" for n in (2, 4, 9, 10, 500, 10**17)]
+    names = dense + far
+    assert entries(spark, names) == place(names) and entries(spark, names[::-1]) == place(names[::-1])
+    counted = spark.createDataFrame([(1, p, names.count(p), names.index(p)) for p in set(names)], "run_id int, path string, count bigint, seq bigint")
+    assert sorted(r.path for r in batch._links(counted, 4).collect()) == ["b (2)", "b (4)"]
+
+
 def test_archive_clashing_query_matches_loop(spark, sf):
     rows = load_cases()["archive_paths_clashing"].run(spark, sf).toPandas().sort_values(["run_id", "seq"])
     for _run, group in rows.groupby("run_id"):
