@@ -78,7 +78,7 @@ class WordTokens(dict):
             self.clear()
         text = word.decode("utf-8", "replace")
         head = text if text.isalpha() else text[:-1]
-        if head.isalpha() and (text.isascii() and text[-1] > " " or self._PLAIN.fullmatch(text)):
+        if head.isalpha() and (text.isascii() and "!" <= text[-1] <= "~" or self._PLAIN.fullmatch(text)):
             ids = self.pieces.get(head.lower()) or self.piece(head.lower())
             if head is not text:
                 ids += self.piece(text[-1])

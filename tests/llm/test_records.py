@@ -145,6 +145,11 @@ def test_word_table_on_odd_texts(text):
     test_word_table_gives_the_tokenizers_ids.hypothesis.inner_test(text)
 
 
+@pytest.mark.parametrize("text", ["abc\x7f", "a\x7fb", "\x7f", "é\x7f", "abc\x7f.", "ab~ cd!"])
+def test_word_table_keeps_delete_characters(text):
+    test_word_table_gives_the_tokenizers_ids.hypothesis.inner_test(text)
+
+
 def least_cost(pos, penalty, window):
     powers = {1 << k for k in range(window.bit_length())}
     cost = [0] + [None] * (len(pos) - 1)
