@@ -70,7 +70,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates_stage), ("substrings", substrings),
           ("mixing", mixing), ("packing", packing)]
-#: models, raking and the tokenizer have no SQL form; tests compare the stages with brute force
+#: models, raking and the tokenizer have no SQL form; tests compare the operators, but no test calls run()
 ORACLE_SQL = None
 
 
