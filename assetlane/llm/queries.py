@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assetlane.llm.chat import conversation_digests, format_messages, read_messages, text_part
 from assetlane.llm.jaccard import near_duplicates
+from assetlane.llm.lexical import lexical_search
 from assetlane.llm.mixing import mix_sources, with_form
 from assetlane.llm.packing import pack
 from assetlane.llm.pivots import top_products
@@ -162,3 +163,27 @@ s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c
       FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, cr) AS k FROM s) WHERE k <= 5"""
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op11_lexical_search"] = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+     FROM documents WHERE doc_id IS NOT NULL),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+len AS (SELECT r, sum(tf) AS n FROM tf GROUP BY r),
+total AS (SELECT count(*) AS docs, sum(n) AS terms FROM len),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs),
+impact AS (SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + CAST((75 * n * docs) // terms AS BIGINT))) AS impact
+           FROM tf JOIN len USING (r), total),
+q AS (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+     FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT i, item_id, doc_id, CAST(sum(w * impact) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN impact USING (term)
+      GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS k FROM s WHERE score > 0) WHERE k <= 10"""
