@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from assetlane.llm.chat import conversation_digests, format_messages, read_messages, text_part
 from assetlane.llm.jaccard import near_duplicates
 from assetlane.llm.lexical import lexical_search
+from assetlane.llm.metric_join import metric_join
 from assetlane.llm.mixing import mix_sources, with_form
 from assetlane.llm.packing import pack
 from assetlane.llm.pivots import top_products
@@ -187,3 +188,22 @@ s AS (SELECT i, item_id, doc_id, CAST(sum(w * impact) AS BIGINT) AS score FROM q
       GROUP BY i, item_id, r, doc_id)
 SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS k FROM s WHERE score > 0) WHERE k <= 10"""
+
+
+@query
+def op13_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join(spark, table(spark, sf_dir, "embeddings"))
+
+
+SQL["op13_metric_join"] = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+f AS (SELECT *, sqrt(list_inner_product(e, e)) AS size FROM v
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+        AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.r AS x, b.r AS y FROM f a JOIN f b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+         WHERE list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.98),
+reach(x, y) AS (SELECT r, r FROM v UNION SELECT t.x, l.y FROM reach t JOIN link l ON l.x = t.y),
+c AS (SELECT x, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.y GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM v LEFT JOIN c ON c.x = v.r LEFT JOIN n ON n.x = v.r"""
