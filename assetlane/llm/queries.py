@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlane.llm.chat import conversation_digests, format_messages, read_messages, text_part
+from assetlane.llm.collocations import collocations
 from assetlane.llm.jaccard import near_duplicates
 from assetlane.llm.lexical import lexical_search
 from assetlane.llm.metric_join import metric_join
@@ -190,6 +191,33 @@ SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS k FROM s WHERE score > 0) WHERE k <= 10"""
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spark, table(spark, sf_dir, "documents"))
+
+
+SQL["op12_collocations"] = r"""
+WITH p AS (SELECT row_number() OVER () AS p, lang, ws FROM (
+  SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents))),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, ws[i:i + m - 1] AS ws
+      FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, ws, any_value(phrase) AS phrase, CAST(count(*) AS BIGINT) AS a FROM g GROUP BY lang, m, ws),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE m > 1 AND a >= 10),
+cut AS (SELECT c.lang, c.ws, c.phrase, c.m, c.a, k, l.a AS l, r.a AS r,
+               CAST((1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+        FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) c
+        JOIN f l ON l.lang = c.lang AND l.ws = c.ws[1:k] JOIN f r ON r.lang = c.lang AND r.ws = c.ws[k + 1:c.m]),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+inside AS (SELECT lang, part, max(a) AS a FROM (
+  SELECT lang, a, unnest([ws[1:2], ws[2:3]]) AS part FROM cand WHERE m = 3) GROUP BY lang, part),
+kept AS (SELECT low.* FROM low LEFT JOIN inside i ON i.lang = low.lang AND i.part = low.ws WHERE i.a IS NULL OR 100 * i.a < 50 * low.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 @query
 def op13_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join(spark, table(spark, sf_dir, "embeddings"))
