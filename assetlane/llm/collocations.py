@@ -9,13 +9,14 @@ to count only pairs of frequent units:
   and sent to the tasks; the rank is their address;
 * pairs of ranks fall into tiles of ``TILE`` x ``TILE``. Tiles with many pairs are counted by ``np.bincount`` into
   a dense array, all others as coordinates, sorted and run-length counted;
-* units beyond the head keep their 64-bit hash, and pairs with one of them are counted as coordinates.
+* units beyond the head keep their hash, and pairs with one of them are counted as coordinates.
   A bitmap of fixed size tells which units may be frequent; it errs on one side only, so infrequent
   ones cost work but nothing frequent is lost;
 * the partial counts are summed by Spark; pairs seen often enough are the frequent units of the next
   level and are ranked anew.
 
-Units are told apart by 64-bit hashes of their language and bytes, or of their two parts.
+Units are told apart by 63-bit hashes of their language and bytes, or of their two parts. Between tasks a
+unit is its rank, which packs well, or -1 - hash where it has none.
 """
 
 from __future__ import annotations
@@ -65,12 +66,12 @@ def read_words(texts: list[bytes], lang: str) -> Sequence:
     piece = np.cumsum(_BREAK[buf], dtype=np.int64)[start]
     name = np.frombuffer(lang.encode() or b" ", dtype=np.uint8)
     salt = codes_of(name, np.array([0]), np.array([len(name)]))[0] if lang else np.uint64(0)
-    return Sequence(buf, start, end, mix(codes_of(buf, start, end) ^ mix(np.array([salt]))), piece)
+    return Sequence(buf, start, end, mix(codes_of(buf, start, end) ^ mix(np.array([salt]))) >> np.uint64(1), piece)
 
 
 def join_codes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The hash of a unit made of two."""
-    return mix(mix(x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + y)
+    return mix(mix(x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + y) >> np.uint64(1)
 
 
 def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Sequence]]:
@@ -144,6 +145,13 @@ class Units:
         at[at == len(self.code)] = 0
         return np.where(self.code[at] == code, self.rank[at], -1)
 
+    def codes(self, unit: np.ndarray) -> np.ndarray:
+        """Hashes of units given as ranks, or -1 - hash."""
+        out = (-1 - unit).view(np.uint64)
+        ranked = unit >= 0
+        out[ranked] = self.by_rank[unit[ranked]]
+        return out
+
 
 def ranked_units(frequent: DataFrame, head: int) -> Units:
     """Head and bitmap of a table (code, n); both are bounded whatever the table."""
@@ -158,45 +166,56 @@ def ranked_units(frequent: DataFrame, head: int) -> Units:
     none = np.empty(0, np.uint64)
     code, rank, by_rank = none, none.astype(np.int64), none
     if floor is not None:
-        top = frequent.where(step >= floor).select("code", "n").toPandas()
-        have = top["code"].to_numpy(np.int64).view(np.uint64)
-        by_rank = have[np.lexsort((have, -top["n"].to_numpy(np.int64)))]
+        top = frequent.where(step >= floor).select("code", "n").toArrow()
+        have = top["code"].to_numpy().view(np.uint64)
+        by_rank = have[np.lexsort((have, -top["n"].to_numpy()))]
         order = np.argsort(by_rank)
         code, rank = by_rank[order], order
     slot = F.shiftrightunsigned("code", 6).bitwiseAND(F.lit(SLOTS - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("code").bitwiseAND(F.lit(63)).cast("int"))
-    words = frequent.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toPandas()  # at most SLOTS rows
+    words = frequent.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most SLOTS rows
     bits = np.zeros(SLOTS, dtype=np.uint64)
-    bits[words["slot"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    bits[words["slot"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return Units(code, rank, by_rank, bits)
 
 
+def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where equal rows of sorted columns begin, and how many there are."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(new)))
+
+
 def count_pairs(x: np.ndarray, y: np.ndarray, units: Units) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Distinct pairs of unit codes and their numbers: dense tiles, sparse tiles, and pairs beyond the head."""
+    """Distinct pairs of units (ranks, or -1 - hash) and their numbers: pairs beyond the head, dense tiles, sparse tiles."""
     i, j = units.ranks(x), units.ranks(y)
     tail = (i < 0) | (j < 0)
     if tail.any():
-        order = np.lexsort((y[tail], x[tail]))
-        a, b = x[tail][order], y[tail][order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        yield a[first], b[first], np.diff(np.append(first, len(a)))
+        a = np.where(i < 0, -1 - x.view(np.int64), i)[tail]
+        b = np.where(j < 0, -1 - y.view(np.int64), j)[tail]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first, n = runs(a, b)
+        yield a[first], b[first], n
         i, j = i[~tail], j[~tail]
     if not len(i):
         return
     side = -(-len(units.by_rank) // TILE)
     tile = (i // TILE) * side + j // TILE
     dense = np.bincount(tile, minlength=side * side) >= DENSE
-    here = dense[tile]
     for t in np.flatnonzero(dense):
         at = np.flatnonzero(tile == t)
         cells = np.bincount((i[at] % TILE) * TILE + j[at] % TILE, minlength=TILE * TILE)
         some = np.flatnonzero(cells)
-        yield units.by_rank[t // side * TILE + some // TILE], units.by_rank[t % side * TILE + some % TILE], cells[some]
-    if not here.all():
-        key = np.sort(i[~here] * len(units.by_rank) + j[~here])
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        at = key[first]
-        yield units.by_rank[at // len(units.by_rank)], units.by_rank[at % len(units.by_rank)], np.diff(np.append(first, len(key)))
+        yield t // side * TILE + some // TILE, t % side * TILE + some % TILE, cells[some]
+    sparse = ~dense[tile]
+    if sparse.any():
+        key = np.sort(i[sparse] * len(units.by_rank) + j[sparse])
+        first, n = runs(key)
+        yield key[first] // len(units.by_rank), key[first] % len(units.by_rank), n
 
 
 def adjacent_pairs(docs: DataFrame, levels: list[Units]) -> DataFrame:
@@ -204,8 +223,8 @@ def adjacent_pairs(docs: DataFrame, levels: list[Units]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(held: list) -> Iterator[pa.RecordBatch]:
             x, y = (np.concatenate(p) for p in zip(*held))
-            for a, b, n in count_pairs(x, y, levels[-1]):
-                yield pa.RecordBatch.from_arrays([as_long(a), as_long(b), pa.array(n)], ["x", "y", "n"])
+            for columns in count_pairs(x, y, levels[-1]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "y", "n"])
 
         held, size = [], 0
         for _, s in sequences(batches):
@@ -231,12 +250,13 @@ def adjacent_pairs(docs: DataFrame, levels: list[Units]) -> DataFrame:
     return docs.mapInArrow(run, "x bigint, y bigint, n bigint")
 
 
-def with_code(pairs: DataFrame) -> DataFrame:
-    """+code, the hash of the pair as a unit of the next level."""
+def with_code(pairs: DataFrame, units: Units) -> DataFrame:
+    """x and y as hashes, and code, the hash of the pair as a unit of the next level."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, as_long(join_codes(x, y))], ["x", "y", "n", "code"])
+            x, y = (units.codes(batch.column(i).to_numpy()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [as_long(x), as_long(y), batch.column(2), as_long(join_codes(x, y))], ["x", "y", "n", "code"])
 
     return pairs.mapInArrow(run, "x bigint, y bigint, n bigint, code bigint")
 
@@ -278,7 +298,7 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = 10, top: int
 
     def counted(name: str) -> DataFrame:
         pairs = adjacent_pairs(texts, levels).groupBy("x", "y").agg(F.sum("n").alias("n"))
-        return store(spark, with_code(pairs.where(F.col("n") >= least)), name)
+        return store(spark, with_code(pairs.where(F.col("n") >= least), levels[-1]), name)
 
     pairs = counted("word-pairs")
     levels.append(ranked_units(pairs, head))
