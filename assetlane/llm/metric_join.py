@@ -4,8 +4,8 @@ On unit vectors cosine >= t is Euclidean distance <= r = sqrt(2 - 2t), a metric,
 the space into cells:
 
 * equal vectors of a label are one *class* with a weight, so copies are never compared;
-* pivots are picked farthest-first from a bounded sample; they decide how much work is done, never
-  what is found. The class nearest to pivot p is *native* in cell p;
+* pivots are picked farthest-first from a bounded sample, as many as its replication makes worth while;
+  they decide how much work is done, never what is found. A class nearest to pivot p is *native* in cell p;
 * if x is native in p' and y within r of x, the triangle inequality gives d(y, p') <= d(y, p) + 2r and
   d(y, p') <= R(p') + r, with p the pivot nearest to y and R(p') the largest distance of a native from
   p'. In Euclidean space y also lies at most r beyond the plane halfway between p and p'. A class that
@@ -26,14 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlane.llm.components import components
 from assetlane.llm.pivots import pick_pivots
-from assetlane.llm.tables import small_batches, store
+from assetlane.llm.tables import if_small, small_batches, store
 
 BLOCK, SAMPLE, MOST_PIVOTS, ROWS = 2048, 2048, 256, 256
+#: what moving a vector costs against one comparison of two
+MOVE = 250
 #: distances are rounded; bounds are widened by this much, so they never drop a link
 SLACK = 1e-9
 
@@ -44,18 +46,23 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
+def whole_vector(vectors: DataFrame) -> Column:
+    """The vector as an array of double, or of float where it is one already."""
+    kind = dict(vectors.dtypes)["embedding"]
+    return F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
+
+
 def classes_of(vectors: DataFrame) -> DataFrame:
     """One row for each distinct vector of a label that can be compared: cls, label, v, n, low."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (vectors.where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL").where(fine)
             .where(F.exists("embedding", lambda x: x != 0))
-            .groupBy("label", v.alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("low"))
+            .groupBy("label", whole_vector(vectors).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("low"))
             .select(F.monotonically_increasing_id().alias("cls"), "label", "v", "n", "low"))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def by_length(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -80,9 +87,40 @@ def natives(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                     [*part.columns, pa.array([dim] * len(cell), pa.int32()), pa.array(cell.astype(np.int32)),
                      pa.array(far[np.arange(len(cell)), cell])], ["cls", "label", "v", "n", "dim", "cell", "far"])
 
-    kind = dict(classes.dtypes)["label"]
+    kind = dict(classes.dtypes)
     return classes.select("cls", "label", "v", "n").mapInArrow(
-        run, f"cls bigint, label {kind}, v array<double>, n bigint, dim int, cell int, far double")
+        run, f"cls bigint, label {kind['label']}, v {kind['v']}, n bigint, dim int, cell int, far double")
+
+
+def reachable(far: np.ndarray, own: np.ndarray, between: np.ndarray, radius: np.ndarray, r: float) -> np.ndarray:
+    """Which cells, besides its ``own``, may hold a neighbour of each row of a distance table."""
+    row = np.arange(len(own))
+    near = far[row, own][:, None]
+    reach = (far <= near + 2 * r + SLACK) & (far <= radius + r + SLACK)
+    reach &= far * far - near * near <= 2 * (r + SLACK) * between[own] + SLACK
+    reach[row, own] = False
+    return reach
+
+
+def choose_pivots(sample: np.ndarray, meets: float, r: float) -> np.ndarray:
+    """The first of the farthest-first pivots, as many as cost least by the sample's replication.
+
+    A vector meets ``meets`` others in one cell; with p cells and c of them reached, c / p of these.
+    """
+    pivots = pick_pivots(sample, MOST_PIVOTS)
+    far, between = distance_table(sample, pivots), distance_table(pivots, pivots)
+    best, least = 1, math.inf
+    p = 1
+    while p <= len(pivots):
+        own = far[:, :p].argmin(axis=1)
+        radius = np.full(p, -np.inf)
+        np.maximum.at(radius, own, far[np.arange(len(own)), own])
+        cells = 1 + reachable(far[:, :p], own, between[:p, :p], radius, r).sum(axis=1).mean()
+        cost = cells * (MOVE + meets / p)
+        if cost < least:
+            best, least = p, cost
+        p *= 2
+    return pivots[:best]
 
 
 def guests(placed: DataFrame, pivots: dict[int, np.ndarray], radius: dict[int, np.ndarray], r: float) -> DataFrame:
@@ -92,12 +130,7 @@ def guests(placed: DataFrame, pivots: dict[int, np.ndarray], radius: dict[int, n
             for dim, part in by_length(batch, 2):
                 p = pivots[dim]
                 far = distance_table(unit(matrix(part.column(2), dim)), p)
-                own = part.column(5).to_numpy()
-                near = far[np.arange(len(own)), own][:, None]
-                between = distance_table(p, p)[own]
-                reach = (far <= near + 2 * r + SLACK) & (far <= radius[dim] + r + SLACK)
-                reach &= far * far - near * near <= 2 * (r + SLACK) * between + SLACK
-                reach[np.arange(len(own)), own] = False
+                reach = reachable(far, part.column(5).to_numpy(), distance_table(p, p), radius[dim], r)
                 row, cell = np.nonzero(reach)
                 held = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
@@ -127,17 +160,20 @@ def linked(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     out = got >= least
     for i, j in zip(*np.nonzero(np.abs(got - least) < 1e-12)):
         p, q = x[i], y[j]
-        out[i, j] = p @ q / math.sqrt((p @ p) * (q @ q)) >= least
+        size = (p @ p) * (q @ q)
+        if 0 < size < math.inf:
+            out[i, j] = p @ q / math.sqrt(size) >= least
     return out
 
 
 def blocks_of(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """Members of cells in blocks of about ``block`` rows, and the number of blocks of each cell."""
     cell = ["label", "dim", "cell"]
-    sizes = members.groupBy(*cell).agg(F.count(F.lit(1)).alias("size")).select(
-        *cell, F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    part = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    held = members.join(sizes, cell).groupBy(*cell, part.alias("part")).agg(
+    sizes = store(members.sparkSession, members.groupBy(*cell).agg(F.count(F.lit(1)).alias("size")).select(
+        *cell, F.ceil(F.col("size") / block).cast("int").alias("blocks")), "cell-sizes")
+    large = if_small(sizes.where("blocks > 1"), 24)
+    part = F.pmod(F.xxhash64("cls"), F.coalesce("blocks", F.lit(1))).cast("int")
+    held = members.join(large, cell, "left").groupBy(*cell, part.alias("part")).agg(
         F.collect_list(F.struct("cls", "n", "v")).alias("held"))  # about ``block`` of them
     return held, sizes
 
@@ -146,7 +182,7 @@ def join_blocks(pairs: DataFrame, least: float) -> DataFrame:
     """What each pair of blocks says of its classes: links counted for natives, and a class reached."""
     def side(cell: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cls, n, v = cell.values.flatten()
-        return cls.to_numpy(), n.to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        return cls.to_numpy(), n.to_numpy(), matrix(v, dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,19 +217,19 @@ def metric_join(spark: SparkSession, vectors: DataFrame, least: float = 0.98, bl
     link with nothing. A row without an id links with nothing; its component_id is null, and it is
     kept. An empty table gives no rows. Other columns are not looked at.
 
-    ``pivots`` (default: an eighth of the square root of the number of classes, 256 at most) only decides
-    how the work is cut.
+    ``pivots`` only decides how the work is cut; by default the sample does.
     """
     small_batches(spark)
     r = math.sqrt(max(2 - 2 * least, 0))
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", "label")
     classes = store(spark, classes_of(rows), "vector-classes")
-    sizes = classes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes = classes.groupBy(F.size("v").alias("dim"), "label").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy(
+        "dim").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("meets")).collect()  # a row a vector length
     table = {}
     for s in sizes:
-        want = pivots or min(MOST_PIVOTS, 1 + math.isqrt(s["n"]) // 8)
-        sample = classes.where(F.size("v") == s["dim"]).orderBy(F.xxhash64("cls")).limit(SAMPLE).select("v").toPandas()
-        table[s["dim"]] = pick_pivots(unit(np.array(sample["v"].tolist(), dtype=np.float64)), want)
+        picked = classes.where(F.size("v") == s["dim"]).orderBy(F.xxhash64("cls")).limit(SAMPLE).select("v").toArrow()
+        sample = unit(matrix(picked["v"].combine_chunks(), s["dim"]))
+        table[s["dim"]] = pick_pivots(sample, pivots) if pivots else choose_pivots(sample, s["meets"], r)
     placed = store(spark, natives(classes, table), "vector-cells")
     radius = {d: np.full(len(p), -np.inf) for d, p in table.items()}
     for row in placed.groupBy("dim", "cell").agg(F.max("far").alias("far")).collect():
@@ -202,7 +238,8 @@ def metric_join(spark: SparkSession, vectors: DataFrame, least: float = 0.98, bl
     cell = ["label", "dim", "cell"]
     inner, inner_blocks = blocks_of(placed, block)
     inner = store(spark, inner, "native-blocks")
-    members, member_blocks = blocks_of(placed.union(guests(placed, table, radius, r)), block)
+    everyone = store(spark, placed.union(guests(placed, table, radius, r)), "vector-members")
+    members, member_blocks = blocks_of(everyone, block)
     members = store(spark, members, "member-blocks")
     numbers = inner_blocks.withColumnRenamed("blocks", "i").join(member_blocks.withColumnRenamed("blocks", "j"), cell).select(
         *cell, F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("i"), "j").select(
@@ -218,8 +255,7 @@ def metric_join(spark: SparkSession, vectors: DataFrame, least: float = 0.98, bl
     known = named.join(least_id, "comp").join(counts, "cls", "left").select(
         F.col("label").alias("__label"), F.col("v").alias("__v"), "component_id",
         (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    out = rows.withColumn("v", F.when(F.col("vec_id").isNotNull(), v)).join(
+    out = rows.withColumn("v", F.when(F.col("vec_id").isNotNull(), whole_vector(rows))).join(
         known, (F.col("label") == F.col("__label")) & (F.col("v") == F.col("__v")), "left")
     top = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
