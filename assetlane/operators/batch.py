@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from assetlane.functions.numbers import dbl, js_round
 from assetlane.functions.paths import basename, folder_of, safe_path
 from assetlane.functions.savings import saved_fraction
-from assetlane.plans.ordered import by_step, running_position, running_sum
+from assetlane.plans.ordered import running_position, running_sum
 
 # An extension, and a " (n)" suffix as the naming rule writes it (n from 2).
 _EXTENSION = r"(?s)(\.[^./\\]*)\z"
@@ -118,7 +118,7 @@ def _links(names: DataFrame, chunk_rows: int) -> DataFrame:
     linked = likely.join(parents.where(waiting > 0), keys)
     size = linked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__links"))
     near = linked.join(size, keys).where(F.col("n") - 1 <= waiting + F.col("__links")).drop("__links")
-    ranked = running_position(near, keys, [F.col("n")], "rank", by_step("n", chunk_rows))
+    ranked = running_position(near, keys, [F.col("n")], "rank", chunk_rows)
     return ranked.withColumn("rank", F.col("rank") - 1).where(F.col("n") - 1 - F.col("rank") <= waiting)
 
 
@@ -134,7 +134,7 @@ def archive_paths(items: DataFrame, path: str = "path", chunk_rows: int = 1_000_
     rows = items.withColumnRenamed(path, "__path") if path != "path" else items
     rows = rows.withColumn("path", F.col("__path")) if path != "path" else rows
     keys = ["run_id", "path"]
-    placed = running_position(rows, keys, [F.col("seq")], "__pos", by_step("seq", chunk_rows))
+    placed = running_position(rows, keys, [F.col("seq")], "__pos", chunk_rows)
 
     names = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.min("seq").alias("seq"))
     links = _links(names, chunk_rows)
@@ -178,7 +178,7 @@ def archive_manifest(items: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame
     rows = items.where((F.col("status") == "done") & F.col("out_size").isNotNull())
     total = rows.groupBy("run_id").agg(F.sum("out_size").cast("double").alias("__all"))
     summed = running_sum(
-        rows, ["run_id"], [F.col("seq")], F.col("out_size"), "__end", by_step("seq", chunk_rows)
+        rows, ["run_id"], [F.col("seq")], F.col("out_size"), "__end", chunk_rows
     ).join(total, "run_id")
     share = F.least(dbl(1), F.col("__end").cast("double") / F.nullif(F.col("__all"), dbl(0)))
     return summed.select(

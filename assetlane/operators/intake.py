@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assetlane.functions.filetypes import looks_like_image, looks_like_pdf
 from assetlane.functions.paths import basename, is_ignored, safe_path
-from assetlane.plans.ordered import by_step, running_position
+from assetlane.plans.ordered import running_position
 
 # Size ceilings, folder limits, retention.
 MAX_FILE_BYTES = 50 * 1024 * 1024
@@ -50,7 +50,7 @@ def intake_filter(
     if max_files is None:
         return rows
     placed = running_position(
-        rows, ["drop_id"], [F.col("seq")], "__at", by_step("seq", chunk_rows)
+        rows, ["drop_id"], [F.col("seq")], "__at", chunk_rows
     )
     return placed.where(F.col("__at") <= max_files).drop("__at")
 
@@ -76,7 +76,7 @@ def oversize_names(manifest: DataFrame, chunk_rows: int = 1_000_000) -> DataFram
         & (F.col("bytes") > F.lit(MAX_FILE_BYTES))
     ).select("drop_id", "seq", basename(F.col("path")).alias("name"))
     placed = running_position(
-        images, ["drop_id"], [F.col("seq")], "position", by_step("seq", chunk_rows)
+        images, ["drop_id"], [F.col("seq")], "position", chunk_rows
     )
     return placed.select("drop_id", F.col("position").cast("bigint").alias("position"), "name")
 

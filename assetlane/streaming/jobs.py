@@ -6,18 +6,15 @@ forms give the same rows from stored events and spread hot keys over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assetlane.functions.filetypes import looks_like_image, resolve_mime
 from assetlane.functions.numbers import dbl
 from assetlane.functions.paths import basename, is_ignored
-from assetlane.plans.ordered import by_step, by_time, running_max, sessions
+from assetlane.plans.ordered import CHUNK_ROWS, by_time, running_max, spans
 from assetlane.sources.assets import BINARY_SCHEMA, relative_paths
+from assetlane.streaming.timers import current_results, debounce_with_timer, watchdog
 
 # Worker budget in seconds and its ceiling.
 BUDGET_BASE, BUDGET_PER_MP, BUDGET_CEILING = 20.0, 4.0, 120.0
@@ -27,33 +24,43 @@ BUDGET_BASE, BUDGET_PER_MP, BUDGET_CEILING = 20.0, 4.0, 120.0
 
 
 def debounce_edits(
-    stream: DataFrame, key: str = "key", gap: str = "100 milliseconds", watermark: str = "1 minute"
+    stream: DataFrame, key: str = "key", gap: str = "100 milliseconds", watermark: str = "1 minute",
+    at_once: Column | None = None,
 ) -> DataFrame:
     """Edits closer than the gap coalesce to the last; ``(key, start, end, last_settings, n)``.
 
-    Input (key, ts, seq, settings). Split off events that fire at once with :func:`immediate`.
+    Input (key, ts, seq, settings). An event for which ``at_once`` holds (a new source) fires at once: it ends the
+    span it comes in, pending edits included, and what follows it begins anew. Without such events
+    the spans are session windows; with them a state machine with a timer keeps the pending events.
     """
-    return _spans(
-        stream.withWatermark("ts", watermark).groupBy(key, F.session_window("ts", gap))
-    ).select(key, "start", "end", "last_settings", "n")
+    if at_once is not None:
+        return debounce_with_timer(stream, key, gap, watermark, at_once)
+    return stream.withWatermark("ts", watermark).groupBy(key, F.session_window("ts", gap)).agg(
+        *[e.alias(n) for n, e in _edits().items()]).select(
+        key, "start", "end", F.col("last.settings").alias("last_settings"), "n")
 
 
-def _spans(grouped) -> DataFrame:
-    return grouped.agg(
-        F.min("ts").alias("start"), F.max("ts").alias("end"),
-        F.max_by("settings", F.struct("ts", "seq")).alias("last_settings"),
-        F.count(F.lit(1)).alias("n"),
-    )
+def _edits() -> dict[str, Column]:
+    return {
+        "start": F.min("ts"), "end": F.max("ts"),
+        "last": F.max_by(F.struct("ts", "seq", "settings"), F.struct("ts", "seq")), "n": F.count(F.lit(1)),
+    }
+
+
+def _edit_parts() -> dict[str, Column]:
+    return {
+        "start": F.min("start"), "end": F.max("end"),
+        "last": F.max_by("last", F.struct("last.ts", "last.seq")), "n": F.sum("n"),
+    }
 
 
 def debounce_edits_batch(
-    edits: DataFrame, key: str = "key", gap_seconds: float = 0.1, chunk_seconds: int = 3600
+    edits: DataFrame, key: str = "key", gap_seconds: float = 0.1, chunk_rows: int = CHUNK_ROWS,
+    at_once: Column | None = None,
 ) -> DataFrame:
-    """T1 over stored events; a key's events are cut by time, so no key is one task."""
-    marked = sessions(edits, [key], "ts", gap_seconds, chunk_seconds)
-    return _spans(marked.groupBy(key, "session_start")).select(
-        key, "start", "end", "last_settings", "n"
-    )
+    """T1 over stored events; a key's events are cut by rows, so no key is one task."""
+    found = spans(edits, [key], "ts", gap_seconds, _edits(), _edit_parts(), ["seq"], at_once, chunk_rows)
+    return found.select(key, "start", "end", F.col("last.settings").alias("last_settings"), "n")
 
 
 def immediate(events: DataFrame, at_once: Column, key: str = "key") -> DataFrame:
@@ -64,11 +71,12 @@ def immediate(events: DataFrame, at_once: Column, key: str = "key") -> DataFrame
     )
 
 
-def _life(grouped) -> DataFrame:
-    return grouped.agg(
-        F.min("ts").alias("start"), F.max("ts").alias("end"),
-        F.count(F.lit(1)).alias("calls"), F.sum("busy").alias("busy"),
-    )
+def _life() -> dict[str, Column]:
+    return {"start": F.min("ts"), "end": F.max("ts"), "calls": F.count(F.lit(1)), "busy": F.sum("busy")}
+
+
+def _life_parts() -> dict[str, Column]:
+    return {"start": F.min("start"), "end": F.max("end"), "calls": F.sum("calls"), "busy": F.sum("busy")}
 
 
 def idle_sessions(stream: DataFrame, gap: str = "10 seconds", watermark: str = "1 minute") -> DataFrame:
@@ -76,16 +84,12 @@ def idle_sessions(stream: DataFrame, gap: str = "10 seconds", watermark: str = "
 
     Input (worker, ts, busy). A worker lives on while calls come within the gap.
     """
-    return _life(
-        stream.withWatermark("ts", watermark).groupBy("worker", F.session_window("ts", gap))
-    ).select("worker", "start", "end", "calls", "busy")
+    return stream.withWatermark("ts", watermark).groupBy("worker", F.session_window("ts", gap)).agg(
+        *[e.alias(n) for n, e in _life().items()]).select("worker", *_life())
 
 
-def idle_sessions_batch(calls: DataFrame, gap_seconds: float = 10, chunk_seconds: int = 3600) -> DataFrame:
-    marked = sessions(calls, ["worker"], "ts", gap_seconds, chunk_seconds)
-    return _life(marked.groupBy("worker", "session_start")).select(
-        "worker", "start", "end", "calls", "busy"
-    )
+def idle_sessions_batch(calls: DataFrame, gap_seconds: float = 10, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    return spans(calls, ["worker"], "ts", gap_seconds, _life(), _life_parts(), chunk=chunk_rows)
 
 
 # --------------------------------------------------------------- T2 status, T3 rolling progress
@@ -134,16 +138,14 @@ def progress_stream(
 # --------------------------------------------------------------------------- T4 superseded work
 
 
-def drop_superseded_batch(events: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
+def drop_superseded_batch(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """T4 over stored events: results whose start is the newest of its side when they land.
 
     Input (session, side, seq, kind, start_seq): a 'start' opens work number ``start_seq``, a
     'result' ends it. Output: the result rows that still count.
     """
     opened = F.when(F.col("kind") == "start", F.col("start_seq"))
-    marked = running_max(
-        events, ["session", "side"], [F.col("seq")], opened, "__newest", by_step("seq", chunk_rows)
-    )
+    marked = running_max(events, ["session", "side"], [F.col("seq")], opened, "__newest", chunk_rows)
     return marked.where(
         (F.col("kind") == "result")
         & (F.col("__newest").isNull() | (F.col("start_seq") >= F.col("__newest")))
@@ -151,39 +153,14 @@ def drop_superseded_batch(events: DataFrame, chunk_rows: int = 1_000_000) -> Dat
 
 
 def drop_superseded(
-    stream: DataFrame, ttl_ms: int = 3_600_000, watermark: str = "1 minute"
+    stream: DataFrame, ttl: str = "1 hour", watermark: str = "1 minute"
 ) -> DataFrame:
     """T4 on a stream: the newest start per (session, side) is kept in state.
 
-    Input also has ``ts``; a side is forgotten ``ttl_ms`` of event time after its last event.
-
-    A side's events of one trigger are taken in ``seq`` order; how many there can be is set by the
-    source's per-trigger limit. Stored events of any size belong in :func:`drop_superseded_batch`.
+    Input also has ``ts``; a side is forgotten ``ttl`` of event time after its last event. A side's events
+    of one trigger are taken in ``seq`` order (see :class:`CurrentResults`).
     """
-    columns = ["session", "side", "seq", "kind", "start_seq"]
-    rows = stream.withWatermark("ts", watermark).select(*columns, "ts")
-
-    def keep_current(_key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        newest = state.get[0] if state.exists else None
-        frame = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        keep = []
-        for kind, start in zip(frame.kind, frame.start_seq, strict=True):
-            if kind == "start":
-                newest = int(start) if newest is None else max(newest, int(start))
-            keep.append(kind == "result" and (newest is None or start >= newest))
-        if newest is not None:
-            state.update((newest,))
-            last = int(frame.ts.max().timestamp() * 1000)
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl_ms)
-        yield frame.loc[keep, columns]
-
-    return rows.groupBy("session", "side").applyInPandasWithState(
-        keep_current, stream.select(*columns).schema, "start_seq bigint", "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    return current_results(stream, ttl, watermark)
 
 
 # ---------------------------------------------------------------- T6 overdue calls, T7 attempts
@@ -223,6 +200,22 @@ def overdue_calls(
     )
 
 
+def watch_calls(
+    starts: DataFrame, ends: DataFrame, watermark: str = "1 minute", forget: str = "1 day"
+) -> DataFrame:
+    """T6 with a timer for each call: ``(call_id, deadline, reported, status)``.
+
+    Streams ``starts(call_id, ts, pixels)`` and ``ends(call_id, ts)``. A call that has not ended by its own
+    deadline is ``hung`` and reported when event time passes it (``reported``), not when a common ceiling does. An end
+    that comes within ``forget`` after that adds a row ``late``, reported at its own time. Times of reports
+    are whole milliseconds, rounded up.
+    """
+    budget = F.round(call_budget(F.col("pixels")) * dbl(1e6)).cast("bigint")
+    a = starts.select("call_id", "ts", budget.alias("budget"))
+    b = ends.select("call_id", "ts", F.lit(None).cast("bigint").alias("budget"))
+    return watchdog(a.unionByName(b), watermark, forget)
+
+
 def attempt_outcomes(attempts: DataFrame) -> DataFrame:
     """``(bridge, call_id, outcome, attempts)`` from logged attempts.
 
@@ -273,5 +266,5 @@ __all__ = [
     "attempt_outcomes", "busy_sessions", "by_time", "call_budget", "debounce_edits",
     "debounce_edits_batch", "drop_superseded", "drop_superseded_batch", "idle_sessions",
     "idle_sessions_batch", "immediate", "intake_stream", "latest_status", "overdue_calls",
-    "progress_stream",
+    "progress_stream", "watch_calls",
 ]

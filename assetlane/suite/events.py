@@ -12,6 +12,7 @@ from assetlane.operators.reuse import recent_results
 from assetlane.session import scratch_folder
 from assetlane.sources.assets import scan_assets
 from assetlane.streaming import jobs
+from assetlane.streaming.timers import timers_enabled
 from assetlane.suite.files import PAGE_FILES, page_files, page_folders
 from assetlane.suite.fixtures import read
 from assetlane.suite.registry import case
@@ -31,10 +32,11 @@ def drain(stream, mode: str = "append"):
     """Run a stream over what is there and read its output back."""
     spark = stream.sparkSession
     folder = scratch_folder(spark, "stream")
-    query = (
-        stream.writeStream.outputMode(mode).format("parquet").trigger(availableNow=True)
-        .option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").start()
-    )
+    with timers_enabled(spark):
+        query = (
+            stream.writeStream.outputMode(mode).format("parquet").trigger(availableNow=True)
+            .option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").start()
+        )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
@@ -64,7 +66,7 @@ def _naive(df, *columns):
 
 @case("debounce_edits", _DEBOUNCED)
 def _(spark, sf_dir):
-    out = jobs.debounce_edits_batch(_edits(_events(spark, sf_dir)), gap_seconds=6 * 3600, chunk_seconds=48 * 3600)
+    out = jobs.debounce_edits_batch(_edits(_events(spark, sf_dir)), gap_seconds=6 * 3600, chunk_rows=1000)
     return _naive(out, "start", "end")
 
 
@@ -91,6 +93,34 @@ def _(spark, sf_dir):
     return _naive(jobs.immediate(rows, F.col("event_type") == "signup"), "start", "end")
 
 
+# a signup is a new source: it takes the pending clicks along and fires at once
+_AT_ONCE = """WITH e AS (SELECT * FROM events WHERE event_type IN ('click', 'signup')),
+ f AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR AND lag(event_type) OVER w = 'click' THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM f)
+ SELECT user_id AS key, min(ts) AS "start", max(ts) AS "end", arg_max(props, (ts, event_id)) AS last_settings, count(*) AS n FROM s GROUP BY user_id, s"""
+
+
+def _edits_and_sources(events):
+    return events.where("event_type IN ('click', 'signup')").selectExpr(
+        "user_id AS key", "ts", "event_id AS seq", "props AS settings", "event_type"
+    )
+
+
+@case("debounce_at_once", _AT_ONCE)
+def _(spark, sf_dir):
+    out = jobs.debounce_edits_batch(_edits_and_sources(_events(spark, sf_dir)), gap_seconds=6 * 3600, chunk_rows=1000,
+                                    at_once=F.col("event_type") == "signup")
+    return _naive(out, "start", "end")
+
+
+@case("debounce_at_once_stream", _AT_ONCE)
+def _(spark, sf_dir):
+    """The state machine with its timer; a last far-off event lets the watermark close every span."""
+    out = jobs.debounce_edits(_edits_and_sources(_flushed(_stream(spark, sf_dir))), gap="6 hours", watermark="1 hour",
+                              at_once=F.col("event_type") == "signup")
+    return _naive(drain(out).where("key >= 0"), "start", "end")
+
+
 _LIVES = _islands(
     "user_id", 3, "true", 'user_id AS worker, min(ts) AS "start", max(ts) AS "end", count(*) AS calls, round(sum(value), 4) AS busy'
 )
@@ -99,7 +129,7 @@ _LIVES = _islands(
 @case("idle_sessions", _LIVES)
 def _(spark, sf_dir):
     calls = _events(spark, sf_dir).selectExpr("user_id AS worker", "ts", "value AS busy")
-    out = jobs.idle_sessions_batch(calls, gap_seconds=3 * 3600, chunk_seconds=24 * 3600)
+    out = jobs.idle_sessions_batch(calls, gap_seconds=3 * 3600, chunk_rows=1000)
     return _naive(out.withColumn("busy", F.round("busy", 4)), "start", "end")
 
 
@@ -218,6 +248,21 @@ def _(spark, sf_dir):
     return _naive(out.where("call_id >= 0"), "deadline")
 
 
+_WATCHED = """WITH s AS (SELECT event_id AS call_id, ts, least(120, coalesce(20 + CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 40 END * 4, 120)) AS budget,
+  CASE WHEN event_id % 10 < 8 THEN event_id * 37 % 200 END AS took FROM events WHERE event_type <> 'signup'),
+ d AS (SELECT *, ts + to_seconds(budget) AS deadline, ts + to_seconds(took) AS ended FROM s WHERE took IS NULL OR took > budget),
+ r AS (SELECT call_id, deadline, deadline AS due, 'hung' AS status FROM d UNION ALL SELECT call_id, deadline, ended, 'late' FROM d WHERE ended IS NOT NULL)
+ SELECT call_id, deadline, date_trunc('millisecond', due + INTERVAL 999 MICROSECOND) AS reported, status FROM r"""
+
+
+@case("watch_calls_stream", _WATCHED)
+def _(spark, sf_dir):
+    """Each call is reported at its own deadline."""
+    starts, ends = _calls(_stream(spark, sf_dir))
+    out = drain(jobs.watch_calls(_doubled(starts), _doubled(ends)))
+    return _naive(out.where("call_id >= 0"), "deadline", "reported")
+
+
 def _doubled(df):
     both = F.array(F.struct(F.col("call_id").alias("c"), F.col("ts").alias("t")),
                    F.struct((-1 - F.col("call_id")).alias("c"), (F.col("ts") + F.expr("interval 400 days")).alias("t")))
