@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlane.operators.resample import CUBIC, RADIUS
-
+# Kernel radius in source pixels at scale 1.
+RADIUS = {"triangle": 1.0, "catrom": 2.0, "mitchell": 2.0, "lanczos3": 3.0}
+# Fixed values: (B, C) of the two cubic kernels.
+CUBIC = {"catrom": (0.0, 0.5), "mitchell": (1 / 3, 1 / 3)}
 _BAND = 1 << 18
 
 
@@ -80,14 +82,49 @@ def kernel_of(method: str, t: np.ndarray) -> np.ndarray:
     return np.where(t < 1, near, np.where(t < 2, far, 0.0))
 
 
-def axis_weights(method: str, span: int, out: int) -> np.ndarray:
-    """Weights of ``span`` source pixels for ``out`` targets, each row summing to 1."""
+def axis_bands(method: str, span: int, out: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``out`` targets the source pixels of ``span`` it is made of, and their weights.
+
+    Both are targets x taps, as many taps as the kernel reaches. Taps beyond the rim point at the rim
+    with weight 0. Weights are not normalised.
+    """
     scale = span / out
     stretch = max(scale, 1.0)
-    middle, centre = np.arange(span) + 0.5, (np.arange(out) + 0.5) * scale
-    t = np.abs(middle[None, :] - centre[:, None]) / stretch
-    weight = np.where(t < RADIUS[method], kernel_of(method, t), 0.0)
-    return weight / weight.sum(axis=1, keepdims=True)
+    reach = stretch * RADIUS[method]
+    centre = (np.arange(out) + 0.5) * scale
+    taps = np.floor(centre - reach - 0.5).astype(np.int64)[:, None] + np.arange(math.floor(2 * reach) + 3)
+    t = np.abs(taps + 0.5 - centre[:, None]) / stretch
+    weight = np.where((t < RADIUS[method]) & (taps >= 0) & (taps < span), kernel_of(method, t), 0.0)
+    return np.clip(taps, 0, span - 1), weight
+
+
+def along(values: np.ndarray, taps: np.ndarray, weight: np.ndarray, axis: int) -> np.ndarray:
+    """Weighted sums of slices of ``values`` along an axis (0 or 1), one tap at a time."""
+    total = 0.0
+    for k in range(taps.shape[1]):
+        if axis == 0:
+            total = total + weight[:, k, None, None] * values[taps[:, k]]
+        else:
+            total = total + weight[None, :, k, None] * values[:, taps[:, k]]
+    return total
+
+
+def tones(linear: bool) -> np.ndarray:
+    """The light of each byte."""
+    level = np.arange(256) / 255
+    return np.where(level <= 0.04045, level / 12.92, ((level + 0.055) / 1.055) ** 2.4) if linear else level
+
+
+def to_bytes(value: np.ndarray, premultiply: bool, linear: bool) -> np.ndarray:
+    """RGBA bytes of resampled light; halves within 1e-9 go up."""
+    alpha, colour = value[..., 3:], value[..., :3]
+    if premultiply:
+        colour = np.divide(colour, alpha, out=np.zeros_like(colour), where=alpha > 0)
+    if linear:
+        c = np.clip(colour, 0, 1)
+        colour = np.where(c <= 0.0031308, c * 12.92, 1.055 * c ** (1 / 2.4) - 0.055)
+    value = np.concatenate([colour, alpha], axis=-1) * 255
+    return np.clip(np.floor(value + 0.5 + 1e-9), 0, 255).astype(np.uint8)
 
 
 def _source(w: int, h: int, out_w: int, out_h: int, fit: str) -> tuple[int, int, int, int]:
@@ -107,31 +144,26 @@ def resample(raster: np.ndarray, out_w: int, out_h: int, fit: str, method: str,
         return raster
     left, top, right, bottom = _source(w, h, out_w, out_h, fit)
     box = raster[top:bottom, left:right]
-    across, down = axis_weights(method, right - left, out_w), axis_weights(method, bottom - top, out_h)
-    level = np.arange(256) / 255
-    tone = np.where(level <= 0.04045, level / 12.92, ((level + 0.055) / 1.055) ** 2.4) if linear else level
-    lines = np.empty((bottom - top, out_w, 4))
-    step = max(1, _BAND // (right - left))
-    for y in range(0, bottom - top, step):
-        band = box[y:y + step]
-        value = np.concatenate([tone[band[..., :3]], band[..., 3:] / 255], axis=2)
-        if premultiply:
-            value[..., :3] *= value[..., 3:]
-        lines[y:y + step] = np.einsum("ds,ysc->ydc", across, value, optimize=True)
+    x_taps, x_weight = axis_bands(method, right - left, out_w)
+    y_taps, y_weight = axis_bands(method, bottom - top, out_h)
+    x_weight /= x_weight.sum(axis=1, keepdims=True)
+    y_weight /= y_weight.sum(axis=1, keepdims=True)
+    tone = tones(linear)
     out = np.empty((out_h, out_w, 4), np.uint8)
-    step = max(1, _BAND // out_w)
-    for y in range(0, out_h, step):
-        value = np.einsum("ds,sxc->dxc", down[y:y + step], lines, optimize=True)
-        alpha = value[..., 3:]
-        colour = value[..., :3]
-        if premultiply:
-            colour = np.divide(colour, alpha, out=np.zeros_like(colour), where=alpha > 0)
-        if linear:
-            c = np.clip(colour, 0, 1)
-            colour = np.where(c <= 0.0031308, c * 12.92, 1.055 * c ** (1 / 2.4) - 0.055)
-        value = np.concatenate([colour, alpha], axis=2) * 255
-        # halves within 1e-9 go up, as in the pixel-table form
-        out[y:y + step] = np.clip(np.floor(value + 0.5 + 1e-9), 0, 255)
+    # bands of targets: each makes only the source lines it reaches, a part of them at a time
+    step = max(1, _BAND // max(out_w, math.ceil((right - left) * (bottom - top) / out_h)))
+    part = max(1, _BAND // (right - left))
+    for lo in range(0, out_h, step):
+        taps = y_taps[lo:lo + step]
+        first, last = int(taps.min()), int(taps.max()) + 1
+        lines = np.empty((last - first, out_w, 4))
+        for y in range(first, last, part):
+            rows = box[y:min(y + part, last)]
+            value = np.concatenate([tone[rows[..., :3]], rows[..., 3:] / 255], axis=2)
+            if premultiply:
+                value[..., :3] *= value[..., 3:]
+            lines[y - first:y - first + len(rows)] = along(value, x_taps, x_weight, 1)
+        out[lo:lo + step] = to_bytes(along(lines, taps - first, y_weight[lo:lo + step], 0), premultiply, linear)
     return out
 
 

@@ -1,25 +1,23 @@
 """Resampling of pixel tables.
 
-Both work by *scattering*: every source pixel is sent to the destination pixels it contributes to,
-a short range known from the sizes alone. No grid of destination pixels is built and the pixel
-table is never joined with a weight table; only the one-row-per-image target sizes are joined.
+Nearest neighbour *scatters*: every source pixel is sent to the destination pixels it serves, a short
+range known from the sizes alone. The kernels work on lines: the pixels of a line become one array
+before they are shuffled, lines go to the strips of destination lines they contribute to, and a strip is
+resampled along both axes with banded weights. No grid of destination pixels is built and no pixel is
+joined with a weight table; the one-row-per-image target sizes are joined with lines.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetlane.functions.numbers import byte_round, clamp, dbl, js_round
+from assetlane.functions.numbers import clamp, dbl, js_round
+from assetlane.operators.packed import RADIUS, along, axis_bands, to_bytes, tones
 from assetlane.operators.pixels import PX, source_box
 
-# Kernel radius in source pixels at scale 1.
-RADIUS = {"triangle": 1.0, "catrom": 2.0, "mitchell": 2.0, "lanczos3": 3.0}
-# Fixed values: (B, C) of the two cubic kernels.
-CUBIC = {"catrom": (0.0, 0.5), "mitchell": (1 / 3, 1 / 3)}
-
 
 def _targets(px: DataFrame, targets: DataFrame) -> DataFrame:
     """Attach ``out_w, out_h, fit``; images without a target keep their size."""
@@ -66,79 +64,73 @@ def resize_nearest(px: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def kernel(method: str, t: Column) -> Column:
-    """Published reconstruction kernels at distance ``t``; 0 outside the radius."""
-    d = F.abs(t)
-    if method == "triangle":
-        return F.greatest(dbl(0), dbl(1) - d)
-    if method in CUBIC:
-        b, c = CUBIC[method]
-
-        def cubic(*terms: float) -> Column:
-            total = dbl(terms[0] / 6)
-            for term in terms[1:]:
-                total = total * d + dbl(term / 6)
-            return total
-
-        near = cubic(12 - 9 * b - 6 * c, -18 + 12 * b + 6 * c, 0, 6 - 2 * b)
-        far = cubic(-b - 6 * c, 6 * b + 30 * c, -12 * b - 48 * c, 8 * b + 24 * c)
-        return F.when(d < 1, near).when(d < 2, far).otherwise(dbl(0))
-    if method == "lanczos3":
-        arc = d * dbl(math.pi)
-        third = arc / dbl(3)
-        return F.when(d == 0, dbl(1)).when(
-            d < 3, F.sin(arc) / arc * (F.sin(third) / third)
-        ).otherwise(dbl(0))
-    raise ValueError(f"unknown method {method!r}")
-
-
-def _to_linear(value: Column) -> Column:
-    c = value / dbl(255)
-    return F.when(c <= dbl(0.04045), c / dbl(12.92)).otherwise(
-        F.pow((c + dbl(0.055)) / dbl(1.055), dbl(2.4))
-    )
+#: source and destination pixels that a strip should not exceed
+STRIP_PIXELS = 1 << 18
 
 
-def _from_linear(value: Column) -> Column:
-    c = clamp(value, dbl(0), dbl(1))
-    return dbl(255) * F.when(c <= dbl(0.0031308), c * dbl(12.92)).otherwise(
-        dbl(1.055) * F.pow(c, dbl(1 / 2.4)) - dbl(0.055)
-    )
+def _lines(px: DataFrame) -> DataFrame:
+    """One row a line: the places and colours of its pixels, as far as they exist."""
+    colour = F.expr("CAST(r AS BIGINT) + 256 * CAST(g AS BIGINT) + 65536 * CAST(b AS BIGINT) + 16777216 * CAST(a AS BIGINT)")
+    return px.select("image_id", "width", "height", "y", F.struct(F.col("x"), colour.alias("c")).alias("p")).groupBy(
+        "image_id", "width", "height", "y").agg(F.collect_list("p").alias("line"))
 
 
-def _axis(
-    df: DataFrame, method: str, at: str, start: str, span: str, out: str, keep: list[str]
-) -> DataFrame:
-    """One pass of the separable filter: scatter along an axis, then a weighted mean per target.
-
-    ``keep`` names the columns, constant per target, that later steps still need.
-    """
-    scale = F.col(span) / F.col(out).cast("double")
-    stretch = F.greatest(scale, dbl(1))
-    reach = stretch * dbl(RADIUS[method])
-    middle = F.col(at).cast("double") + dbl(0.5) - F.col(start)
-    # outermost centres may lie up to one radius beyond the rim pixel
-    targets = _range((middle - reach) / scale - dbl(1.5), (middle + reach) / scale + dbl(0.5), F.col(out))
-    rows = df.withColumn("__d", F.explode(targets))
-    centre = (F.col("__d").cast("double") + dbl(0.5)) * scale
-    # the distance is a column of its own, so the kernel does not repeat its arithmetic
-    rows = rows.withColumn("__t", F.abs(middle - centre) / stretch)
-    rows = rows.where(F.col("__t") < RADIUS[method]).withColumn("__k", kernel(method, F.col("__t")))
-    k = F.col("__k")
-    return rows.groupBy("image_id", F.col("__d").alias(f"__t_{at}"), *keep).agg(*[(F.sum(F.col(c) * k) / F.sum(k)).alias(c) for c in "rgba"])
-
-
-def _whole_box(rows: DataFrame) -> DataFrame:
-    """Cut the source to its box in whole pixels, so nothing outside a contain fit bleeds in."""
+def _strips(lines: DataFrame, method: str) -> DataFrame:
+    """Lines beside the strips of destination lines they contribute to; boxes are cut to whole pixels."""
     one = F.lit(1).cast("bigint")
-    sides = {k: js_round(F.col(k)) for k in ("__sx", "__sy")}
-    spans = {k: F.greatest(one, js_round(F.col(k))) for k in ("__sw", "__sh")}
-    rows = rows.withColumns({k: v.cast("double") for k, v in {**sides, **spans}.items()})
-    x, y = F.col("x"), F.col("y")
-    return rows.where(
-        (x >= F.col("__sx")) & (x < F.col("__sx") + F.col("__sw"))
-        & (y >= F.col("__sy")) & (y < F.col("__sy") + F.col("__sh"))
-    )
+    box = {k: js_round(F.col(k)) for k in ("__sx", "__sy")} | {k: F.greatest(one, js_round(F.col(k))) for k in ("__sw", "__sh")}
+    rows = lines.withColumns({k: v.cast("int") for k, v in box.items()}).where("y >= __sy AND y < __sy + __sh")
+    scale = F.col("__sh") / F.col("__oh").cast("double")
+    reach = F.greatest(scale, dbl(1)) * dbl(RADIUS[method])
+    middle = F.col("y").cast("double") + dbl(0.5) - F.col("__sy").cast("double")
+    # outermost centres may lie up to one radius beyond the rim pixel
+    targets = _range((middle - reach) / scale - dbl(1.5), (middle + reach) / scale + dbl(0.5), F.col("__oh"))
+    each = F.greatest(F.col("__ow").cast("bigint"), F.ceil(F.col("__sw") * scale))
+    tall = F.greatest(one, F.floor(F.lit(STRIP_PIXELS) / each)).cast("int")
+    rows = rows.withColumn("__tall", tall).withColumn("__at", targets).where("__at IS NOT NULL")
+    first, last = (F.floor(F.element_at("__at", i) / F.col("__tall")).cast("int") for i in (1, -1))
+    return rows.withColumn("__strip", F.explode(F.sequence(first, last))).drop("__at")
+
+
+def resample_strip(lines: pa.Table, method: str, premultiply: bool, linear: bool) -> pa.Table:
+    """The destination pixels of one strip; those that no source pixel reaches are absent."""
+    p = {c: lines.column(c)[0].as_py() for c in ("__sx", "__sy", "__sw", "__sh", "__ow", "__oh", "__tall", "__strip")}
+    sw, ow = p["__sw"], p["__ow"]
+    lo, hi = p["__strip"] * p["__tall"], min(p["__oh"], (p["__strip"] + 1) * p["__tall"])
+    x_taps, x_weight = axis_bands(method, sw, ow)
+    y_taps, y_weight = (v[lo:hi] for v in axis_bands(method, p["__sh"], p["__oh"]))
+    first = int(y_taps.min())
+    across = np.zeros((int(y_taps.max()) + 1 - first, ow, 4))
+    there = np.zeros((*across.shape[:2], 1))
+    tone = tones(linear)
+    step = max(1, STRIP_PIXELS // sw)
+    ys = lines.column("y").to_numpy() - p["__sy"] - first
+    for a in range(0, len(ys), step):
+        line = lines.column("line").slice(a, step).combine_chunks()
+        n = line.value_lengths().to_numpy(zero_copy_only=False)
+        x, c = (v.to_numpy(zero_copy_only=False).astype(np.int64) for v in line.flatten().flatten())
+        x -= p["__sx"]
+        inside = (x >= 0) & (x < sw)
+        at, c = (np.repeat(np.arange(len(n)), n) * sw + x)[inside], c[inside]
+        alpha = (c >> 24) / 255
+        light = [tone[(c >> s) & 255] * (alpha if premultiply else 1) for s in (0, 8, 16)] + [alpha]
+        # a pixel that is there twice counts twice
+        count = np.bincount(at, minlength=len(n) * sw).reshape(len(n), sw, 1).astype(float)
+        value = np.stack([np.bincount(at, v, len(n) * sw).reshape(len(n), sw) for v in light], axis=2)
+        weight = along(count, x_taps, x_weight, 1)
+        some = weight != 0
+        y = ys[a:a + step]
+        kept = (y >= 0) & (y < len(across))
+        across[y[kept]] = np.divide(along(value, x_taps, x_weight, 1), weight, where=some, out=np.zeros((len(n), ow, 4)))[kept]
+        there[y[kept]] = some[kept]
+    weight = along(there, y_taps - first, y_weight, 0)
+    value = np.divide(along(across, y_taps - first, y_weight, 0), weight, where=weight != 0, out=np.zeros((hi - lo, ow, 4)))
+    row, col = np.nonzero(weight[..., 0])
+    rgba = to_bytes(value, premultiply, linear)[row, col].astype(np.int32)
+    fixed = [pa.array(np.full(len(row), v, np.int32)) for v in (ow, p["__oh"])]
+    image = pa.concat_arrays([pa.nulls(0, lines.column("image_id").type), *lines.column("image_id").slice(0, 1).chunks])
+    return pa.table([image.take(pa.array(np.zeros(len(row), np.int64))), *fixed, pa.array(col.astype(np.int32)),
+                     pa.array((row + lo).astype(np.int32)), *(pa.array(rgba[:, i]) for i in range(4))], names=PX)
 
 
 def resize_kernel(
@@ -149,32 +141,23 @@ def resize_kernel(
 
     An image without a target, or already of its size, passes unchanged.
     Weights are normalised over the source pixels that exist, so edges neither darken nor fade.
-    Each pass is one map-side combined aggregate; the horizontal pass goes first.
+    The horizontal pass goes first. A task holds a strip: the source lines that some destination lines reach,
+    of ``STRIP_PIXELS`` if one destination line does not reach more.
     """
-    sized = _targets(px, targets)
+    if method not in RADIUS:
+        raise ValueError(f"unknown method {method!r}")
     same = (F.col("__ow") == F.col("width")) & (F.col("__oh") == F.col("height"))
-    rows = _whole_box(sized.where(~same))
-    alpha = F.col("a") / dbl(255)
-    tone = {c: _to_linear(F.col(c)) if linear_rgb else F.col(c) / dbl(255) for c in "rgb"}
-    if premultiply:
-        tone = {c: v * alpha for c, v in tone.items()}
-    rows = rows.withColumns({**tone, "a": alpha})
-    across = _axis(rows, method, "x", "__sx", "__sw", "__ow", ["y", "__ow", "__oh", "__sy", "__sh"])
-    down = _axis(across, method, "y", "__sy", "__sh", "__oh", ["__t_x", "__ow", "__oh"])
-    a = F.col("a")
-
-    def channel(c: str) -> Column:
-        v = F.col(c)
-        if premultiply:
-            v = F.when(a <= 0, dbl(0)).otherwise(v / F.when(a > 0, a))
-        return byte_round(_from_linear(v) if linear_rgb else v * dbl(255)).alias(c)
-
-    changed = down.select(
-        "image_id", F.col("__ow").alias("width"), F.col("__oh").alias("height"),
-        F.col("__t_x").alias("x"), F.col("__t_y").alias("y"),
-        *[channel(c) for c in "rgb"], byte_round(a * dbl(255)).alias("a"),
-    )
-    return changed.unionByName(sized.where(same).select(*PX))
+    rows = _strips(_targets(_lines(px), targets).where(~same), method)
+    names = ["image_id", "y", "line", "__sx", "__sy", "__sw", "__sh", "__ow", "__oh", "__tall", "__strip"]
+
+    def work(lines: pa.Table) -> pa.Table:
+        return resample_strip(lines, method, premultiply, linear_rgb)
+
+    kind = px.schema["image_id"].dataType.simpleString()
+    changed = rows.select(*names).groupBy("image_id", "__strip").applyInArrow(
+        work, f"image_id {kind}, width int, height int, x int, y int, r int, g int, b int, a int")
+    kinds = {c: px.schema[c].dataType for c in PX}
+    return changed.select(*[F.col(c).cast(kinds[c]) for c in PX]).unionByName(_targets(px, targets).where(same).select(*PX))
 
 
 def resize(

@@ -263,14 +263,15 @@ def _kernel_sql(method, linear, premultiply):
     if linear:
         light = f"CASE WHEN {light} <= 0.0031308::DOUBLE THEN {light} * 12.92::DOUBLE ELSE 1.055::DOUBLE * pow({light}, 1 / 2.4::DOUBLE) - 0.055::DOUBLE END"
     byte = "CAST(least(255, greatest(0, floor(255 * (" + light + ") + 0.500000001::DOUBLE))) AS INTEGER)"
-    weights = lambda name, n, lo, span, out: f"""{name} AS (SELECT image_id, d, s, {k} AS k FROM (SELECT image_id, d, s,
-  abs((s + 0.5::DOUBLE - {lo} - (d + 0.5::DOUBLE) * ({span} / {out})) / greatest({span} / {out}, 1)) AS t FROM
-  (SELECT *, unnest(range({n})) AS s FROM (SELECT *, unnest(range({out})) AS d FROM cut)) WHERE s >= {lo} AND s < {lo} + {span}) WHERE t < {radius} AND {k} <> 0)"""
-    return f"""{_PX}, {_BOXED}, cut AS (SELECT image_id, out_w, out_h, floor(sx + 0.5) AS sx, floor(sy + 0.5) AS sy, greatest(1, floor(sw + 0.5)) AS sw, greatest(1, floor(sh + 0.5)) AS sh FROM box WHERE out_w <> 20 OR out_h <> 18),
+    # taps of a target are those its kernel reaches; every step is materialised, so that its cost hangs on no join order
+    weights = lambda name, n, lo, span, out: f"""{name} AS MATERIALIZED (SELECT image_id, d, s, {k} AS k FROM (SELECT image_id, d, s, abs((s + 0.5::DOUBLE - {lo} - c) / f) AS t FROM
+  (SELECT *, unnest(range(CAST(greatest({lo}, floor({lo} + c - {radius} * f - 1)) AS BIGINT), CAST(least({n}, {lo} + {span}, ceil({lo} + c + {radius} * f + 1)) AS BIGINT))) AS s FROM
+   (SELECT *, (d + 0.5::DOUBLE) * ({span} / {out}) AS c, greatest({span} / {out}, 1) AS f FROM (SELECT *, unnest(range({out})) AS d FROM cut)))) WHERE t < {radius} AND {k} <> 0)"""
+    return f"""{_PX}, {_BOXED}, cut AS MATERIALIZED (SELECT image_id, out_w, out_h, floor(sx + 0.5) AS sx, floor(sy + 0.5) AS sy, greatest(1, floor(sw + 0.5)) AS sw, greatest(1, floor(sh + 0.5)) AS sh FROM box WHERE out_w <> 20 OR out_h <> 18),
  {weights('wx', 20, 'sx', 'sw', 'out_w')}, {weights('wy', 18, 'sy', 'sh', 'out_h')},
- lin AS (SELECT image_id, x, y, ({tone.format('r')}){by_alpha} AS rv, ({tone.format('g')}){by_alpha} AS gv, ({tone.format('b')}){by_alpha} AS bv, a / 255::DOUBLE AS av FROM v_px),
- ax AS (SELECT l.image_id, d AS x, y, sum(rv * k) / sum(k) AS rv, sum(gv * k) / sum(k) AS gv, sum(bv * k) / sum(k) AS bv, sum(av * k) / sum(k) AS av FROM lin l JOIN wx ON wx.image_id = l.image_id AND wx.s = l.x GROUP BY ALL),
- ay AS (SELECT l.image_id, x, d AS y, sum(rv * k) / sum(k) AS rv, sum(gv * k) / sum(k) AS gv, sum(bv * k) / sum(k) AS bv, sum(av * k) / sum(k) AS av FROM ax l JOIN wy ON wy.image_id = l.image_id AND wy.s = l.y GROUP BY ALL)
+ lin AS MATERIALIZED (SELECT image_id, x, y, ({tone.format('r')}){by_alpha} AS rv, ({tone.format('g')}){by_alpha} AS gv, ({tone.format('b')}){by_alpha} AS bv, a / 255::DOUBLE AS av FROM v_px),
+ ax AS MATERIALIZED (SELECT l.image_id, d AS x, y, sum(rv * k) / sum(k) AS rv, sum(gv * k) / sum(k) AS gv, sum(bv * k) / sum(k) AS bv, sum(av * k) / sum(k) AS av FROM lin l JOIN wx ON wx.image_id = l.image_id AND wx.s = l.x GROUP BY ALL),
+ ay AS MATERIALIZED (SELECT l.image_id, x, d AS y, sum(rv * k) / sum(k) AS rv, sum(gv * k) / sum(k) AS gv, sum(bv * k) / sum(k) AS bv, sum(av * k) / sum(k) AS av FROM ax l JOIN wy ON wy.image_id = l.image_id AND wy.s = l.y GROUP BY ALL)
  SELECT ay.image_id, out_w AS width, out_h AS height, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, {byte.format('rv')} AS r, {byte.format('gv')} AS g, {byte.format('bv')} AS b,
   CAST(least(255, greatest(0, floor(av * 255 + 0.500000001::DOUBLE))) AS INTEGER) AS a FROM ay JOIN cut USING (image_id)
  UNION ALL SELECT p.image_id, width, height, p.x, p.y, r, g, b, a FROM v_px p JOIN box USING (image_id) WHERE out_w = 20 AND out_h = 18"""
