@@ -1,14 +1,16 @@
 """Replaying the matrix operators of content streams (D3).
 
 A stream is cut into chunks of operators. Each chunk is first summed up on its own: what it does
-to any matrix stack it might start with. The summaries of one stream are then chained (a short
-list), which gives every chunk its starting state, and the chunks are replayed in parallel to emit
-draws. No stream, however long, is replayed in one piece.
+to any matrix stack it might start with. Summaries can be merged (an associative operation), so those of a
+long stream are merged in levels of ``FAN``, and the starting states are handed down the same levels:
+a scan in which no task holds more than ``FAN`` summaries. Then the chunks are replayed in parallel to
+emit draws. No stream, however long, is replayed in one piece.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,18 +27,8 @@ MATRIX = "array<double>"
 
 
 PLAIN = f"array<{MATRIX}>"
-STARTS = f"array<struct<chunk:bigint,ctm:{MATRIX},stack:{PLAIN}>>"
-_IDENTITY = f"cast(array({', '.join(f'{v}D' for v in IDENTITY)}) AS {MATRIX})"
-
-
-def _product(m: str, n: str) -> str:
-    """SQL of ``m`` applied first, then ``n`` (row vectors)."""
-    a, b, c, d, e, f = (f"get({m}, {i})" for i in range(6))
-    g, h, i, j, k, p = (f"get({n}, {x})" for x in range(6))
-    return (
-        f"array({a}*{g}+{b}*{i}, {a}*{h}+{b}*{j}, {c}*{g}+{d}*{i}, {c}*{h}+{d}*{j}, "
-        f"{e}*{g}+{f}*{i}+{k}, {e}*{h}+{f}*{j}+{p})"
-    )
+#: summaries merged at once
+FAN = 64
 
 
 def multiply(m: Column, n: Column) -> Column:
@@ -61,33 +53,133 @@ def _operand(args: Column) -> Column:
     return F.when((F.size(args) >= 6), F.when(ok, tail))
 
 
-def _record(**fields: str) -> str:
-    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+def times(m: tuple, n: tuple) -> tuple:
+    """``m`` applied first, then ``n``."""
+    a, b, c, d, e, f = m
+    g, h, i, j, k, p = n
+    return (a * g + b * i, a * h + b * j, c * g + d * i, c * h + d * j, e * g + f * i + k, e * h + f * j + p)
+
+
+@dataclass
+class Effect:
+    """What operators do to any state they start from. ``segs``: net matrix between restores that find nothing
+    saved inside; ``stack``: saves left open, relative to the state in which the last segment began."""
+
+    segs: list[tuple]
+    stack: list[tuple]
+
+    def then(self, other: Effect) -> Effect:
+        """This effect followed by another."""
+        done, base, stack = self.segs[:-1], self.segs[-1], list(self.stack)
+        now = times(other.segs[0], base)
+        for seg in other.segs[1:]:
+            if stack:
+                base = stack.pop()
+            else:
+                done.append(now)
+                base = tuple(IDENTITY)
+            now = times(seg, base)
+        return Effect([*done, now], stack + [times(m, base) for m in other.stack])
+
+    def on(self, ctm: tuple, stack: list[tuple]) -> tuple[tuple, list[tuple]]:
+        """The state after it. A restore on an empty stack does nothing."""
+        base, stack = ctm, list(stack)
+        now = times(self.segs[0], ctm)
+        for seg in self.segs[1:]:
+            base = stack.pop() if stack else now
+            now = times(seg, base)
+        return now, stack + [times(m, base) for m in self.stack]
+
+
+def effect_of(codes: list[str], operands: list) -> Effect:
+    done, now, stack = [], tuple(IDENTITY), []
+    for op, m in zip(codes, operands):
+        if op == "cm":
+            now = times(m, now)
+        elif op == "q":
+            stack.append(now)
+        elif op == "Q" and stack:
+            now = stack.pop()
+        elif op == "Q":
+            done.append(now)
+            now = tuple(IDENTITY)
+    return Effect([*done, now], stack)
+
+
+def effects(chunks: DataFrame) -> DataFrame:
+    """(doc_id, owner, chunk, segs, stack) of every chunk."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for cell in batch.column("ops"):
+                ops = cell.values
+                found.append(effect_of(ops.field("op").to_pylist(), ops.field("m").to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *_arrays(found)], ["doc_id", "owner", "chunk", "segs", "stack"])
+
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+    return chunks.select("doc_id", "owner", "chunk", "ops").mapInArrow(
+        run, f"doc_id {kind}, owner string, chunk bigint, segs {PLAIN}, stack {PLAIN}")
+
+
+_LIST = pa.list_(pa.list_(pa.float64()))
+
+
+def _arrays(found: list[Effect]) -> list[pa.Array]:
+    return [pa.array([e.segs for e in found], _LIST), pa.array([e.stack for e in found], _LIST)]
 
 
-_TOP = "element_at({0}.stack, -1)"
-_REST = "slice({0}.stack, 1, size({0}.stack) - 1)"
+def _in_order(group: pa.Table) -> tuple[pa.Table, list[Effect]]:
+    group = group.sort_by("chunk")
+    lists = zip(group.column("segs").to_pylist(), group.column("stack").to_pylist())
+    return group, [Effect([tuple(m) for m in a], [tuple(m) for m in b]) for a, b in lists]
 
-# What a chunk does to any state it starts from. ``segs``: net matrix between restores that find
-# nothing saved inside the chunk; ``stack``: saves it leaves open, relative to the last segment.
-SUMMARY = f"""aggregate(ops, {_record(done=f"cast(array() AS {PLAIN})", now=_IDENTITY, stack=f"cast(array() AS {PLAIN})")},
- (s, o) -> CASE o.op
-  WHEN 'cm' THEN {_record(done="s.done", now=_product("o.m", "s.now"), stack="s.stack")}
-  WHEN 'q' THEN {_record(done="s.done", now="s.now", stack="concat(s.stack, array(s.now))")}
-  WHEN 'Q' THEN CASE WHEN size(s.stack) > 0 THEN {_record(done="s.done", now=_TOP.format("s"), stack=_REST.format("s"))}
-   ELSE {_record(done="concat(s.done, array(s.now))", now=_IDENTITY, stack="s.stack")} END
-  ELSE s END,
- s -> {_record(segs="concat(s.done, array(s.now))", stack="s.stack")})"""
 
-# Starting state of every chunk of a stream. Every segment but the first follows a restore, which
-# is void on an empty stack.
-_SEGMENT = f"""transform(array(CASE WHEN NOT t.first AND size(t.stack) > 0 THEN {_record(base=_TOP.format("t"), stack=_REST.format("t"))}
- ELSE {_record(base="t.ctm", stack="t.stack")} END), b -> {_record(ctm=_product("seg", "b.base"), base="b.base", stack="b.stack", first="false")})[0]"""
-CHAIN = f"""aggregate(chunks, {_record(ctm=_IDENTITY, stack=f"cast(array() AS {PLAIN})", out=f"cast(array() AS {STARTS})")},
- (s, c) -> transform(array(aggregate(c.s.segs, {_record(ctm="s.ctm", base="s.ctm", stack="s.stack", first="true")}, (t, seg) -> {_SEGMENT})),
-  w -> {_record(ctm="w.ctm", stack=f"concat(w.stack, transform(c.s.stack, m -> {_product('m', 'w.base')}))",
-                out="concat(s.out, array(" + _record(chunk="c.chunk", ctm="s.ctm", stack="s.stack") + "))")})[0],
- s -> s.out)"""
+def _merged(group: pa.Table) -> pa.Table:
+    """One effect for up to ``FAN`` neighbours."""
+    group, found = _in_order(group)
+    whole = found[0]
+    for e in found[1:]:
+        whole = whole.then(e)
+    first = group.slice(0, 1)
+    return pa.table([first.column("doc_id"), first.column("owner"), first.column("up"), *_arrays([whole])],
+                    names=["doc_id", "owner", "chunk", "segs", "stack"])
+
+
+def _started(group: pa.Table) -> pa.Table:
+    """The state each of up to ``FAN`` neighbours starts from, given that of the first."""
+    group, found = _in_order(group)
+    ctm = tuple(group.column("ctm")[0].as_py() or IDENTITY)
+    stack = [tuple(m) for m in group.column("saved")[0].as_py() or ()]
+    states = []
+    for e in found:
+        states.append((ctm, stack))
+        ctm, stack = e.on(ctm, stack)
+    return pa.table([*(group.column(c) for c in ("doc_id", "owner", "chunk")), pa.array([c for c, _ in states], pa.list_(pa.float64())),
+                     pa.array([s for _, s in states], _LIST)], names=["doc_id", "owner", "chunk", "ctm", "stack"])
+
+
+def starting_states(chunks: DataFrame, fan: int = FAN) -> DataFrame:
+    """(doc_id, owner, chunk, ctm, stack): the state every chunk of the streams starts from."""
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+    up = F.floor(F.col("chunk") / F.lit(fan)).cast("bigint").alias("up")
+    levels = [hand_over(effects(chunks), "effects")]
+    most = levels[0].agg(F.max("chunk").alias("n")).first()["n"] or 0
+    while most >= fan:
+        levels.append(hand_over(levels[-1].select("*", up).groupBy("doc_id", "owner", "up").applyInArrow(
+            _merged, f"doc_id {kind}, owner string, chunk bigint, segs {PLAIN}, stack {PLAIN}"), "effects"))
+        most //= fan
+    above = None
+    for level in reversed(levels):
+        rows = level.select("*", up)
+        if above is None:
+            rows = rows.withColumns({"ctm": F.lit(None).cast(MATRIX), "saved": F.lit(None).cast(PLAIN)})
+        else:
+            rows = rows.join(above.select("doc_id", "owner", F.col("chunk").alias("up"), "ctm", F.col("stack").alias("saved")),
+                             ["doc_id", "owner", "up"])
+        above = rows.groupBy("doc_id", "owner", "up").applyInArrow(
+            _started, f"doc_id {kind}, owner string, chunk bigint, ctm {MATRIX}, stack {PLAIN}")
+    return above
+
 
 def replay(chunks: DataFrame) -> DataFrame:
     """Draws of every chunk from its starting state (``ctm``, ``stack``; null is the identity).
@@ -106,9 +198,7 @@ def replay(chunks: DataFrame) -> DataFrame:
                 stack = [tuple(m) for m in start["stack"] or ()]
                 for at, op in enumerate(code):
                     if op == "cm":
-                        a, b, c, d, e, f = operand[at]
-                        g, h, p, j, k, q = now
-                        now = (a * g + b * p, a * h + b * j, c * g + d * p, c * h + d * j, e * g + f * p + k, e * h + f * j + q)
+                        now = times(operand[at], now)
                     elif op == "q":
                         stack.append(now)
                     elif op == "Q":
@@ -144,18 +234,46 @@ def stream_draws(ops: DataFrame, chunk_ops: int = CHUNK_OPS) -> DataFrame:
     stream = ["doc_id", "owner"]
     chunks = kept.groupBy(*stream, "chunk").agg(F.array_sort(F.collect_list("o")).alias("ops"))
     long = ops.where(F.col("op_no") >= chunk_ops).select(*stream).distinct()
-    summed = chunks.join(long, stream, "left_semi").select(
-        *stream, F.struct("chunk", F.expr(SUMMARY).alias("s")).alias("c")
-    )
-    starts = summed.groupBy(*stream).agg(F.array_sort(F.collect_list("c")).alias("chunks")).select(
-        *stream, F.explode(F.expr(CHAIN)).alias("e")
-    ).select(*stream, "e.*")
+    starts = starting_states(chunks.join(long, stream, "left_semi"))
     joined = chunks.join(starts, [*stream, "chunk"], "left")
     return replay(joined)
 
 
+def _followed(
+    page_ops: DataFrame, form_ops: DataFrame, xobjects: DataFrame, chunk_ops: int
+) -> tuple[DataFrame, DataFrame]:
+    """Draws of pages and of forms, each with what its name stands for; forms are stored."""
+    cols = ["doc_id", "owner", "op_no", "op", "args", "name"]
+    pages = page_ops.withColumn("owner", F.concat(F.lit("p"), F.col("page").cast("string")))
+    forms = form_ops.withColumn("owner", F.concat(F.lit("f"), F.col("form").cast("string")))
+    named = xobjects.select("doc_id", "owner", "name", "kind", "ref", "matrix")
+    drawn, inside = (
+        stream_draws(ops.select(*cols), chunk_ops).join(named, ["doc_id", "owner", "name"]) for ops in (pages, forms)
+    )
+    return drawn, hand_over(inside, "form-draws")
+
+
+def _edges(draws: DataFrame) -> DataFrame:
+    """Forms that streams draw, with the matrix a form starts from."""
+    base = F.when(F.col("matrix").isNotNull(), multiply(F.col("matrix"), F.col("m"))).otherwise(F.col("m"))
+    inner = F.concat(F.lit("f"), F.col("ref").cast("string"))
+    return draws.where(F.col("kind") == "form").select("doc_id", "owner", inner.alias("inner"), base.alias("base"))
+
+
+def _through(edges: DataFrame, reached: DataFrame, again: bool) -> DataFrame:
+    """Draws of ``reached`` forms seen from the streams that draw those forms, unless the stream is one of the forms
+    in between and must not come ``again``."""
+    inner = reached.select(
+        "doc_id", F.col("owner").alias("inner"), "name", "ref", F.col("m").alias("rel"), "path")
+    met = edges.join(inner, ["doc_id", "inner"])
+    if not again:
+        met = met.where(~F.array_contains("path", F.col("owner")))
+    path = F.array_append("path", F.col("owner")) if not again else F.col("path")
+    return met.select("doc_id", "owner", "name", "ref", multiply(F.col("rel"), F.col("base")).alias("m"), path.alias("path"))
+
+
 def ctm_walk(
-    page_ops: DataFrame, form_ops: DataFrame, xobjects: DataFrame, max_depth: int = MAX_FORM_DEPTH,
+    page_ops: DataFrame, form_ops: DataFrame, xobjects: DataFrame, max_depth: int | None = MAX_FORM_DEPTH,
     chunk_ops: int = CHUNK_OPS,
 ) -> DataFrame:
     """D3: image draws ``(doc_id, page, name, ref, a, b, c, d, e, f)`` with forms followed.
@@ -163,46 +281,65 @@ def ctm_walk(
     ``page_ops(doc_id, page, ...)`` and ``form_ops(doc_id, form, ...)`` hold the operators;
     ``xobjects(doc_id, owner, name, kind, ref, matrix)`` resolves names, ``owner`` being
     ``p<page>`` or ``f<form>``. Each form is replayed once and stored; what forms draw through forms
-    is added level by level on that table until a level is empty or ``max_depth`` is reached (forms
-    that draw each other would go on for ever), and pages meet the finished table once.
+    is added level by level on that table until a level is empty or ``max_depth`` is reached, and pages meet the
+    finished table once. ``max_depth=None`` follows forms to any depth, but none inside itself. What is not
+    followed is listed by :func:`cut_draws`.
     """
-    cols = ["doc_id", "owner", "op_no", "op", "args", "name"]
-    pages = page_ops.withColumn("owner", F.concat(F.lit("p"), F.col("page").cast("string")))
-    forms = form_ops.withColumn("owner", F.concat(F.lit("f"), F.col("form").cast("string")))
-    named = xobjects.select("doc_id", "owner", "name", "kind", "ref", "matrix")
-
-    def resolved(ops: DataFrame) -> DataFrame:
-        return stream_draws(ops.select(*cols), chunk_ops).join(named, ["doc_id", "owner", "name"])
-
-    def into_forms(draws: DataFrame) -> DataFrame:
-        base = F.when(F.col("matrix").isNotNull(), multiply(F.col("matrix"), F.col("m"))).otherwise(F.col("m"))
-        return draws.where(F.col("kind") == "form").select(
-            "doc_id", "owner", F.concat(F.lit("f"), F.col("ref").cast("string")).alias("inner"),
-            base.alias("base"),
-        )
+    drawn, inside = _followed(page_ops, form_ops, xobjects, chunk_ops)
+    again = max_depth is not None
 
     def images(draws: DataFrame) -> DataFrame:
-        return draws.where(F.col("kind") == "image").select("doc_id", "owner", "name", "ref", "m")
-
-    inside = hand_over(resolved(forms), "form-draws")
-    nested = into_forms(inside)
-    level = reached = images(inside)
-    for _ in range(max_depth - 1):
-        level = hand_over(_through(nested, level), "form-level")
+        path = F.array() if again else F.array("owner")
+        return draws.where(F.col("kind") == "image").select(
+            "doc_id", "owner", "name", "ref", "m", path.cast("array<string>").alias("path"))
+
+    nested, level = _edges(inside), images(inside)
+    reached, depth = level, 1
+    while max_depth is None or depth < max_depth:
+        level = hand_over(_through(nested, level, again), "form-level")
         if level.isEmpty():
             break
-        reached = reached.unionByName(level)
-    drawn = resolved(pages)
-    found = images(drawn).unionByName(_through(into_forms(drawn), reached))
+        reached, depth = reached.unionByName(level), depth + 1
+    found = images(drawn).unionByName(_through(_edges(drawn), reached, True))
     return found.select(
         "doc_id", F.substring("owner", 2, 20).cast("int").alias("page"), "name", "ref",
         *[F.get(F.col("m"), i).alias(c) for i, c in enumerate("abcdef")],
     )
 
 
-def _through(edges: DataFrame, reached: DataFrame) -> DataFrame:
-    """Draws of ``reached`` forms seen from the streams that draw those forms."""
-    inner = reached.select("doc_id", F.col("owner").alias("inner"), "name", "ref", F.col("m").alias("rel"))
-    return edges.join(inner, ["doc_id", "inner"]).select(
-        "doc_id", "owner", "name", "ref", multiply(F.col("rel"), F.col("base")).alias("m")
-    )
+def cut_draws(
+    page_ops: DataFrame, form_ops: DataFrame, xobjects: DataFrame, max_depth: int | None = MAX_FORM_DEPTH,
+    chunk_ops: int = CHUNK_OPS,
+) -> DataFrame:
+    """D3: ``(doc_id, page, form, inner)``: form draws that ``ctm_walk`` does not follow, each once.
+
+    ``form`` is followed on that page and draws ``inner``, which would lie beyond ``max_depth``; with ``max_depth=None``
+    those are the draws of a form inside itself. ``form`` is null where a page's own form is cut.
+    """
+    drawn, inside = _followed(page_ops, form_ops, xobjects, chunk_ops)
+    nested = hand_over(_edges(inside).select("doc_id", F.col("owner").alias("form"), "inner").distinct(), "form-edges")
+    number = lambda c: F.substring(c, 2, 20).cast("int")
+    path = F.array("inner") if max_depth is None else F.array().cast("array<string>")
+    level = _edges(drawn).select(
+        "doc_id", number("owner").alias("page"), F.lit(None).cast("string").alias("form"), "inner", path.alias("path")).distinct()
+    out, depth = None, 1
+    if max_depth is not None:
+        while depth <= max_depth:
+            step = hand_over(level, "form-level")
+            if step.isEmpty():
+                break
+            level = step.select("doc_id", "page", F.col("inner").alias("form"), "path").distinct().join(
+                nested, ["doc_id", "form"]).select("doc_id", "page", "form", "inner", "path").distinct()
+            depth += 1
+        out = level
+    while max_depth is None:
+        step = hand_over(level, "form-level")
+        met = step.select("doc_id", "page", F.col("inner").alias("form"), "path").join(nested, ["doc_id", "form"])
+        inside_itself = F.array_contains("path", F.col("inner"))
+        cut = met.where(inside_itself).select("doc_id", "page", "form", "inner")
+        out = cut if out is None else out.unionByName(cut)
+        level = met.where(~inside_itself).select(
+            "doc_id", "page", "form", "inner", F.array_append("path", F.col("inner")).alias("path")).distinct()
+        if step.isEmpty():
+            break
+    return out.select("doc_id", "page", number("form").alias("form"), number("inner").alias("inner")).distinct()

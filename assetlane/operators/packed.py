@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -82,11 +83,13 @@ def kernel_of(method: str, t: np.ndarray) -> np.ndarray:
     return np.where(t < 1, near, np.where(t < 2, far, 0.0))
 
 
+@lru_cache(64)
 def axis_bands(method: str, span: int, out: int) -> tuple[np.ndarray, np.ndarray]:
     """For each of ``out`` targets the source pixels of ``span`` it is made of, and their weights.
 
     Both are targets x taps, as many taps as the kernel reaches. Taps beyond the rim point at the rim
-    with weight 0. Weights are not normalised.
+    with weight 0. Weights are not normalised. The arrays are
+    shared, so copy before changing them.
     """
     scale = span / out
     stretch = max(scale, 1.0)
@@ -146,8 +149,8 @@ def resample(raster: np.ndarray, out_w: int, out_h: int, fit: str, method: str,
     box = raster[top:bottom, left:right]
     x_taps, x_weight = axis_bands(method, right - left, out_w)
     y_taps, y_weight = axis_bands(method, bottom - top, out_h)
-    x_weight /= x_weight.sum(axis=1, keepdims=True)
-    y_weight /= y_weight.sum(axis=1, keepdims=True)
+    x_weight = x_weight / x_weight.sum(axis=1, keepdims=True)
+    y_weight = y_weight / y_weight.sum(axis=1, keepdims=True)
     tone = tones(linear)
     out = np.empty((out_h, out_w, 4), np.uint8)
     # bands of targets: each makes only the source lines it reaches, a part of them at a time

@@ -233,12 +233,20 @@ def _page_ops(spark, sf_dir):
     )
 
 
-@case(
-    "ctm_walk",
-    """WITH l AS (SELECT l_orderkey AS doc_id, CAST(l_suppkey % 2 AS INTEGER) AS page, l_partkey AS part, l_quantity AS q, l_tax AS t,
+def _owners(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("p"), (F.col("l_suppkey") % 2).cast("int").cast("string")).alias("owner")).distinct()
+
+
+_DRAWN = """WITH l AS (SELECT l_orderkey AS doc_id, CAST(l_suppkey % 2 AS INTEGER) AS page, l_partkey AS part, l_quantity AS q, l_tax AS t,
   row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 2 ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS pos FROM lineitem),
  s AS (SELECT *, coalesce(sum(q) OVER w, 0) AS ox, coalesce(sum(t) OVER w, 0) AS oy FROM l WINDOW w AS (PARTITION BY doc_id, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- m AS (SELECT doc_id, page, part, q AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, 2::DOUBLE AS d, t + ox AS e, 1 + oy AS f FROM s),
+ m AS (SELECT doc_id, page, part, q AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, 2::DOUBLE AS d, t + ox AS e, 1 + oy AS f FROM s)"""
+
+
+@case(
+    "ctm_walk",
+    f"""{_DRAWN},
  img AS (SELECT doc_id, page, 'Im0' AS name, 7 AS ref, a, b, c, d, e, f FROM m WHERE part % 3 = 0),
  frm AS (SELECT doc_id, page, 'Inner' AS name, 8 AS ref, 3 * a AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, 3 * d AS d, 5 * a + e AS e, f FROM m WHERE part % 3 = 1)
  SELECT doc_id, page, name, ref, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(d, 6) AS d, round(e, 6) AS e, round(f, 6) AS f FROM (FROM img UNION ALL FROM frm)""",
@@ -246,14 +254,14 @@ def _page_ops(spark, sf_dir):
 def _(spark, sf_dir):
     """Im0 is an image, Im1 a form with a matrix that draws one, Im2 is unknown."""
     pages = _page_ops(spark, sf_dir)
-    keys = pages.select("doc_id", F.concat(F.lit("p"), F.col("page").cast("string")).alias("owner")).distinct()
+    keys = _owners(spark, sf_dir)
     shift = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 1, 5, 0)])
     none = F.lit(None).cast("array<double>")
     named = F.array(
         F.struct(F.lit("Im0").alias("name"), F.lit("image").alias("kind"), F.lit(7).alias("ref"), none.alias("matrix")),
         F.struct(F.lit("Im1").alias("name"), F.lit("form").alias("kind"), F.lit(9).alias("ref"), shift.alias("matrix")),
     )
-    docs = pages.select("doc_id").distinct()
+    docs = keys.select("doc_id").distinct()
     xobjects = keys.select("doc_id", "owner", F.explode(named).alias("x")).select("doc_id", "owner", "x.*").unionByName(
         docs.select("doc_id", F.lit("f9").alias("owner"), F.lit("Inner").alias("name"), F.lit("image").alias("kind"),
                     F.lit(8).alias("ref"), none.alias("matrix"))
@@ -264,10 +272,53 @@ def _(spark, sf_dir):
         F.struct(F.lit(1).alias("op_no"), F.lit("Do").alias("op"), none.alias("args"), F.lit("Inner").alias("name")),
     )
     forms = docs.select("doc_id", F.lit(9).alias("form"), F.explode(inner).alias("o")).select("doc_id", "form", "o.*")
-    found = drawing.ctm_walk(pages, forms, xobjects, chunk_ops=16)
+    found = drawing.ctm_walk(pages, forms, xobjects)
+    return found.select("doc_id", "page", "name", "ref", *[F.round(c, 6).alias(c) for c in "abcdef"])
+
+
+# Im1 is a form that draws a form that draws a form that draws the first again; each draws a picture
+def _nested(spark, sf_dir):
+    none, blank = F.lit(None).cast("array<double>"), F.lit(None).cast("string")
+    num = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    thing = lambda owner, name, kind, ref, matrix=none: F.struct(
+        owner.alias("owner"), F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(ref).alias("ref"), matrix.alias("matrix"))
+    op = lambda form, i, o, args=none, name=blank: F.struct(
+        F.lit(form).alias("form"), F.lit(i).alias("op_no"), F.lit(o).alias("op"), args.alias("args"), name.alias("name"))
+    keys = _owners(spark, sf_dir)
+    docs = keys.select("doc_id").distinct()
+    inner, things = [], []
+    for form, matrix, ref, then in ((9, num(3, 0, 0, 3, 0, 0), 8, 10), (10, num(2, 0, 0, 2, 0, 0), 10, 11), (11, num(1, 0, 0, 1, 0, 4), 12, 9)):
+        inner += [op(form, 0, "cm", matrix), op(form, 1, "Do", name=F.lit("Pic")), op(form, 2, "Do", name=F.lit("Next"))]
+        things += [thing(F.lit(f"f{form}"), "Pic", "image", ref), thing(F.lit(f"f{form}"), "Next", "form", then)]
+    forms = docs.select("doc_id", F.explode(F.array(*inner)).alias("o")).select("doc_id", "o.*")
+    first = keys.select("doc_id", thing(F.col("owner"), "Im1", "form", 9, num(1, 0, 0, 1, 5, 0)).alias("x"))
+    rest = docs.select("doc_id", F.explode(F.array(*things)).alias("x"))
+    return _page_ops(spark, sf_dir), forms, first.unionByName(rest).select("doc_id", "x.*")
+
+
+@case(
+    "ctm_walk_nested",
+    f"""{_DRAWN}, f AS (SELECT doc_id, page, a, d, 5 * a + e AS e, f FROM m WHERE part % 3 = 1)
+ SELECT doc_id, page, 'Pic' AS name, ref, round(k * a, 6) AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, round(k * d, 6) AS d, round(e, 6) AS e, round(CASE WHEN ref = 12 THEN 24 * d ELSE 0 END + f, 6) AS f
+ FROM f, (VALUES (8, 3), (10, 6), (12, 6)) AS pic(ref, k)""",
+)
+def _(spark, sf_dir):
+    """Forms three deep, to any depth but never inside themselves."""
+    found = drawing.ctm_walk(*_nested(spark, sf_dir), max_depth=None)
     return found.select("doc_id", "page", "name", "ref", *[F.round(c, 6).alias(c) for c in "abcdef"])
 
 
+@case(
+    "ctm_cut_draws",
+    f"""{_DRAWN} SELECT DISTINCT doc_id, page, form, inner_form AS "inner", reason FROM m, (VALUES (11, 9, 'inside itself'), (9, 10, 'below 4')) AS cut(form, inner_form, reason) WHERE part % 3 = 1""",
+)
+def _(spark, sf_dir):
+    """What is not followed without a depth limit, and with one of 4."""
+    tables = _nested(spark, sf_dir)
+    found = [drawing.cut_draws(*tables, max_depth=d).withColumn("reason", F.lit(r)) for d, r in ((None, "inside itself"), (4, "below 4"))]
+    return found[0].unionByName(found[1])
+
+
 @case(
     "matrix_product",
     f"""{with_views('v_pdf_placements')} SELECT doc_id, page, ref, max(a * 2 + b * 3) AS a, max(a * 5 + b * 7) AS b, max(c * 2 + d * 3) AS c,

@@ -66,7 +66,7 @@ def _naive(df, *columns):
 
 @case("debounce_edits", _DEBOUNCED)
 def _(spark, sf_dir):
-    out = jobs.debounce_edits_batch(_edits(_events(spark, sf_dir)), gap_seconds=6 * 3600, chunk_rows=1000)
+    out = jobs.debounce_edits_batch(_edits(_events(spark, sf_dir)), gap_seconds=6 * 3600)
     return _naive(out, "start", "end")
 
 
@@ -129,7 +129,7 @@ _LIVES = _islands(
 @case("idle_sessions", _LIVES)
 def _(spark, sf_dir):
     calls = _events(spark, sf_dir).selectExpr("user_id AS worker", "ts", "value AS busy")
-    out = jobs.idle_sessions_batch(calls, gap_seconds=3 * 3600, chunk_rows=1000)
+    out = jobs.idle_sessions_batch(calls, gap_seconds=3 * 3600)
     return _naive(out.withColumn("busy", F.round("busy", 4)), "start", "end")
 
 
@@ -209,7 +209,7 @@ _SUPERSEDED = """WITH e AS (SELECT user_id AS session, CAST(event_id % 2 AS INTE
 
 @case("drop_superseded", _SUPERSEDED)
 def _(spark, sf_dir):
-    return jobs.drop_superseded_batch(_side_events(_events(spark, sf_dir)), chunk_rows=1000).drop("ts")
+    return jobs.drop_superseded_batch(_side_events(_events(spark, sf_dir))).drop("ts")
 
 
 @case("drop_superseded_stream", _SUPERSEDED)

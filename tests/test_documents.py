@@ -70,6 +70,50 @@ def test_forms_nest_and_stop_at_depth(spark):
     assert sorted((r.ref, r.e) for r in found.collect()) == [(50, 1.0), (51, 16.0), (52, 116.0), (53, 1116.0)]
 
 
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_starting_states_over_many_levels(spark, fan):
+    """Chunks of 2 operators, merged 2, 3 or all at once; restores outnumber saves in places."""
+    rng = random.Random(fan)
+    streams = {(1, p): random_stream(rng, rng.randint(20, 150)) for p in range(8)}
+    rows = []
+    for (d, p), stream in streams.items():
+        kept = [(op, tuple(args[-6:]) if args and len(args) >= 6 else None, name) for op, args, name in stream]
+        kept = [o for o in kept if o[0] in "qQ" or o[1]]
+        rows += [(d, str(p), i // 2, i, op, list(m) if m else None, name) for i, (op, m, name) in enumerate(kept)]
+    ops = spark.createDataFrame(rows, "doc_id int, owner string, chunk bigint, op_no bigint, op string, m array<double>, name string")
+    chunks = ops.groupBy("doc_id", "owner", "chunk").agg(F.array_sort(F.collect_list(F.struct("op_no", "op", "m", "name"))).alias("ops"))
+    got = {(r.owner, r.chunk): (tuple(r.ctm), [tuple(m) for m in r.stack]) for r in drawing.starting_states(chunks, fan).collect()}
+    for owner in {r[1] for r in rows}:
+        ctm, stack = IDENTITY, []
+        for _, _, chunk, i, op, m, _ in sorted(r for r in rows if r[1] == owner):
+            if i % 2 == 0:
+                assert got[owner, chunk] == (ctm, stack)
+            if op == "q":
+                stack = [*stack, ctm]
+            elif op == "Q" and stack:
+                ctm, stack = stack[-1], stack[:-1]
+            elif op == "cm":
+                ctm = times(tuple(m), ctm)
+
+
+def test_what_is_cut_is_listed(spark):
+    """A cycle of two forms, a form beside it, and a form that no page draws."""
+    do = lambda *names: [("Do", None, n) for n in names]
+    pages = table(spark, {(1, 0): do("A", "C", "Pic"), (2, 5): do("A")})
+    forms = table(spark, {(1, 1): do("Pic", "B"), (1, 2): do("Pic", "A"), (1, 3): do("Pic"), (1, 4): do("A")}, FORM_OPS)
+    objects = [(d, o, n, "form", ref, None) for d, o, n, ref in
+               [(1, "p0", "A", 1), (1, "p0", "C", 3), (1, "f1", "B", 2), (1, "f2", "A", 1), (1, "f4", "A", 1)]]
+    objects += [(1, o, "Pic", "image", 7, None) for o in ("p0", "f1", "f2", "f3")]
+    objects = spark.createDataFrame(objects, XOBJECTS)
+    assert drawing.ctm_walk(pages, forms, objects, max_depth=None).count() == 4
+    assert drawing.ctm_walk(pages, forms, objects, max_depth=3).count() == 5
+    assert [tuple(r) for r in drawing.cut_draws(pages, forms, objects, max_depth=None).collect()] == [(1, 0, 2, 1)]
+    assert [tuple(r) for r in drawing.cut_draws(pages, forms, objects, max_depth=3).collect()] == [(1, 0, 1, 2)]
+    assert sorted(map(repr, (tuple(r) for r in drawing.cut_draws(pages, forms, objects, max_depth=0).collect()))) == ["(1, 0, None, 1)", "(1, 0, None, 3)"]
+    none = pages.where("false")
+    assert drawing.cut_draws(none, forms, objects, max_depth=None).count() == 0
+
+
 def test_a_form_that_draws_itself_ends(spark):
     pages = table(spark, {(1, 0): [("Do", None, "F")]})
     forms = table(spark, {(1, 1): [("Do", None, "F"), ("Do", None, "Pic")]}, FORM_OPS)

@@ -82,6 +82,8 @@ def test_stored_spans_scan_their_source_twice_at_most(spark, name, monkeypatch):
     plans = []
     real = ordered.hand_over
     monkeypatch.setattr(ordered, "hand_over", lambda df, at: (plans.append(scans(df)), real(df, at))[1])
+    cut = ordered.cut
+    monkeypatch.setattr(ordered, "cut", lambda df, order, chunk: cut(df, order, 500))
     load_cases()[name].run(spark, "/root/testdata/sf0.01")
     assert plans == [1]  # the quantiles are the other scan
 
