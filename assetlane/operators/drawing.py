@@ -12,7 +12,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,16 +93,29 @@ class Effect:
         return now, stack + [times(m, base) for m in self.stack]
 
 
-def effect_of(codes: list[str], operands: list) -> Effect:
+#: operators by number; all others draw
+CODES = pa.array(["cm", "q", "Q"])
+
+
+def _flat(ops: pa.Array) -> tuple[list[int], list[int], list[list[float]], pa.Array]:
+    """Where the operators of each chunk end, their numbers, the operands of all ``cm`` in order, and the records."""
+    ends = np.cumsum(ops.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    flat = ops.flatten()
+    codes = pc.index_in(flat.field("op"), CODES).fill_null(3).to_numpy(zero_copy_only=False)
+    operands = flat.field("m").filter(pa.array(codes == 0)).flatten().to_numpy(zero_copy_only=False).reshape(-1, 6)
+    return ends, codes.tolist(), operands.tolist(), flat
+
+
+def effect_of(codes: list[int], operands: Iterator) -> Effect:
     done, now, stack = [], tuple(IDENTITY), []
-    for op, m in zip(codes, operands):
-        if op == "cm":
-            now = times(m, now)
-        elif op == "q":
+    for op in codes:
+        if op == 0:
+            now = times(next(operands), now)
+        elif op == 1:
             stack.append(now)
-        elif op == "Q" and stack:
+        elif op == 2 and stack:
             now = stack.pop()
-        elif op == "Q":
+        elif op == 2:
             done.append(now)
             now = tuple(IDENTITY)
     return Effect([*done, now], stack)
@@ -110,10 +125,9 @@ def effects(chunks: DataFrame) -> DataFrame:
     """(doc_id, owner, chunk, segs, stack) of every chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for cell in batch.column("ops"):
-                ops = cell.values
-                found.append(effect_of(ops.field("op").to_pylist(), ops.field("m").to_pylist()))
+            ends, codes, operands, _ = _flat(batch.column("ops"))
+            matrix = iter(operands)
+            found = [effect_of(codes[lo:hi], matrix) for lo, hi in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *_arrays(found)], ["doc_id", "owner", "chunk", "segs", "stack"])
 
     kind = chunks.schema["doc_id"].dataType.simpleString()
@@ -188,31 +202,30 @@ def replay(chunks: DataFrame) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, numbers, names, matrices = [], [], [], []
-            starts = batch.select(["ctm", "stack"]).to_pylist()
-            for i, start in enumerate(starts):
-                ops = batch.column("ops")[i].values
-                code, number = ops.field("op").to_pylist(), ops.field("op_no").to_numpy()
-                name, operand = ops.field("name").to_pylist(), ops.field("m").to_pylist()
-                now = tuple(start["ctm"] or IDENTITY)
-                stack = [tuple(m) for m in start["stack"] or ()]
-                for at, op in enumerate(code):
-                    if op == "cm":
-                        now = times(operand[at], now)
-                    elif op == "q":
+            ends, codes, operands, ops = _flat(batch.column("ops"))
+            ctms, stacks = batch.column("ctm").to_pylist(), batch.column("stack").to_pylist()
+            keep, at, matrices, matrix, lo = [], [], [], iter(operands), 0
+            for i, hi in enumerate(ends):
+                now = tuple(ctms[i] or IDENTITY)
+                stack = [tuple(m) for m in stacks[i] or ()]
+                for k in range(lo, hi):
+                    op = codes[k]
+                    if op == 0:
+                        now = times(next(matrix), now)
+                    elif op == 1:
                         stack.append(now)
-                    elif op == "Q":
+                    elif op == 2:
                         now = stack.pop() if stack else now
                     else:
                         keep.append(i)
-                        numbers.append(int(number[at]))
-                        names.append(name[at])
+                        at.append(k)
                         matrices.append(now)
-            index = pa.array(keep, pa.int32())
+                lo = hi
+            index, place = pa.array(keep, pa.int32()), pa.array(at, pa.int64())
+            drawn = pa.FixedSizeListArray.from_arrays(pa.array(np.array(matrices, dtype=float).reshape(-1)), 6)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(index), batch.column("owner").take(index), pa.array(numbers, pa.int64()),
-                 pa.array(names, pa.string()), pa.array(matrices, pa.list_(pa.float64()))],
-                ["doc_id", "owner", "op_no", "name", "m"])
+                [batch.column("doc_id").take(index), batch.column("owner").take(index), ops.field("op_no").take(place),
+                 ops.field("name").take(place), drawn.cast(pa.list_(pa.float64()))], ["doc_id", "owner", "op_no", "name", "m"])
 
     kind = chunks.schema["doc_id"].dataType.simpleString()
     return chunks.select("doc_id", "owner", "ops", "ctm", "stack").mapInArrow(
@@ -232,11 +245,12 @@ def stream_draws(ops: DataFrame, chunk_ops: int = CHUNK_OPS) -> DataFrame:
         F.struct(F.col("op_no").cast("bigint").alias("op_no"), "op", "m", "name").alias("o"),
     )
     stream = ["doc_id", "owner"]
-    chunks = kept.groupBy(*stream, "chunk").agg(F.array_sort(F.collect_list("o")).alias("ops"))
-    long = ops.where(F.col("op_no") >= chunk_ops).select(*stream).distinct()
+    chunks = hand_over(kept.groupBy(*stream, "chunk").agg(F.array_sort(F.collect_list("o")).alias("ops")), "chunks")
+    long = chunks.where("chunk > 0").select(*stream).distinct()
+    if long.isEmpty():
+        return replay(chunks.withColumns({"ctm": F.lit(None).cast(MATRIX), "stack": F.lit(None).cast(PLAIN)}))
     starts = starting_states(chunks.join(long, stream, "left_semi"))
-    joined = chunks.join(starts, [*stream, "chunk"], "left")
-    return replay(joined)
+    return replay(chunks.join(starts, [*stream, "chunk"], "left"))
 
 
 def _followed(
