@@ -79,7 +79,7 @@ def explode_rejects(images: DataFrame, channels: str = "rgba", data: str = "data
     samples = F.length(data) if isinstance(field, T.BinaryType) else F.size(data)
     samples = F.when(F.col(data).isNotNull(), samples)
     want = F.col("width").cast("bigint") * F.col("height") * CHANNELS[channels]
-    error = (F.when(samples.isNull(), "no samples").when((F.col("width") <= 0) | (F.col("height") <= 0), "image has no area")
+    error = (F.when(samples.isNull(), "no samples").when(want.isNull(), "no size").when((F.col("width") <= 0) | (F.col("height") <= 0), "image has no area")
              .when(samples < want, "too few samples"))
     return images.select("image_id", "width", "height", samples.alias("samples"), error.alias("error")).where(F.col("error").isNotNull())
 
@@ -91,7 +91,7 @@ def _explode_packed(images: DataFrame, n: int, data: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 w, h = row["width"], row["height"]
-                if w <= 0 or h <= 0 or row["data"] is None or len(row["data"]) < w * h * n:
+                if not w or not h or w < 0 or h < 0 or row["data"] is None or len(row["data"]) < w * h * n:
                     continue
                 raster = np.frombuffer(row["data"], np.uint8, w * h * n).reshape(h, w, n)
                 step = max(1, _BAND // w)
@@ -351,6 +351,8 @@ def ssim_packed(pairs: DataFrame, max_pixels: int = MAX_METRIC_PIXELS) -> DataFr
 def _score_pair(w: int, h: int, ref: pa.Scalar, out: pa.Scalar, max_pixels: int):
     if ref.as_buffer() is None or out.as_buffer() is None:
         return None, "one side has no pixels"
+    if w is None or h is None:
+        return None, "no size"
     if w <= 0 or h <= 0:
         return None, "image has no area"
     if min(ref.as_buffer().size, out.as_buffer().size) < w * h * 4:

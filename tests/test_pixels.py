@@ -158,3 +158,15 @@ def test_packed_score_equals_the_pixel_table(spark, size, budget):
     pairs = spark.createDataFrame([(1, w, h, pack(a), pack(b))], "image_id bigint, width int, height int, ref binary, out binary")
     want = pixels.measure_ssim(a, b, budget).first().ssim
     assert pixels.ssim_packed(pairs, budget).first().ssim == pytest.approx(want, abs=1e-9)
+
+
+def test_images_without_a_size_are_rejected(spark):
+    rows = [("a", None, 2, bytearray(16)), ("b", 2, None, bytearray(16)), ("c", 2, 2, bytearray(16)), ("d", None, None, None)]
+    images = spark.createDataFrame(rows, "image_id string, width int, height int, data binary")
+    arrays = images.withColumn("data", F.when(F.col("data").isNotNull(), F.array_repeat(F.lit(7), 16)))
+    for table in (images, arrays):
+        assert {r.image_id for r in pixels.explode_pixels(table).collect()} == {"c"}
+        assert {(r.image_id, r.error) for r in pixels.explode_rejects(table).collect()} == {("a", "no size"), ("b", "no size"), ("d", "no samples")}
+    pairs = images.select("image_id", "width", "height", F.col("data").alias("ref"), F.col("data").alias("out"))
+    got = {r.image_id: (r.ssim, r.error) for r in pixels.ssim_packed(pairs).collect()}
+    assert got == {"a": (None, "no size"), "b": (None, "no size"), "c": (1.0, None), "d": (None, "one side has no pixels")}
