@@ -5,16 +5,18 @@ edge is a repeat if a document with a smaller id holds it too; the words of repe
 
 The graph is never written out edge by edge. As in minimum-substring partitioning, each edge belongs to its anchor: the
 least of its ``anchor``-word k-mers by hash. The consecutive edges of a document with one anchor
-form a nonbranching path, some twenty edges long, kept as one row with a 128-bit fingerprint of its
-words and its source coordinates (document, first word). Then
+form a short path, some twenty edges long, kept as one row with a 128-bit fingerprint of its
+words, its source coordinates (document, first word) and the paths before and after it. Then
 
 1. anchors that occur in one document only hold no repeats and are dropped (a semi-join);
-2. equal paths compact into one, with the least document (an aggregate);
-3. an anchor with a single compacted path does not branch: all edges of the path have that document;
-4. the paths of other anchors branch. Their edges are opened by reading the words at the source
+2. equal paths compact into one, with the least document and the least and greatest neighbour on either side: the
+   node between two paths has one path in and one out where these agree on both sides;
+3. such paths compact further, by pointer doubling over joins, into nonbranching paths of any length. Their parts always
+   occur together, so an occurrence of the first stands for all: a long passage is one row a document;
+4. the paths of an anchor with several paths branch. Their edges are opened by reading the words at the source
    coordinates of one occurrence, verified against the path's fingerprint, and
    joined by a 128-bit fingerprint of their own 50 words;
-5. joined back to the occurrences, edges give the spans to remove in each document.
+5. joined back to the occurrences, edges and long paths give the spans to remove in each document.
 
 Groups of copies collapse in the partial aggregates of steps 1 and 2; no step brings the rows of an
 anchor, path or edge together, so a hot one can be split. Equal means equal in two independent
@@ -38,7 +40,7 @@ from assetlane.llm.words import Spans, Words, chunks, mix, normal_text, split
 SIZE, ANCHOR = 50, 12
 _LOW = np.uint64(0xFFFFFF)
 _PATH = pa.struct([("anchor", pa.int64()), ("path", pa.int64()), ("proof", pa.int64()),
-                   ("start", pa.int32()), ("edges", pa.int32())])
+                   ("before", pa.int64()), ("after", pa.int64()), ("start", pa.int32()), ("edges", pa.int32())])
 _SPAN = "array<struct<lo:int,hi:int>>"
 
 
@@ -99,9 +101,14 @@ def paths(docs: DataFrame, size: int, anchor: int) -> DataFrame:
                 first, edges, anchors = paths_of(w, spans, size, anchor)
                 doc = w.doc[first] if len(first) else first
                 length = edges + (size - 1)
+                path = signed(spans.of(first, length))
+                # the neighbours in the document; 0 at its ends
+                before, after = np.zeros_like(path), np.zeros_like(path)
+                same = doc[1:] == doc[:-1]
+                before[1:][same], after[:-1][same] = path[:-1][same], path[1:][same]
                 rows = pa.StructArray.from_arrays([
-                    pa.array(signed(anchors)), pa.array(signed(spans.of(first, length))),
-                    pa.array(signed(proof.of(first, length))),
+                    pa.array(signed(anchors)), pa.array(path), pa.array(signed(proof.of(first, length))),
+                    pa.array(before), pa.array(after),
                     pa.array((first - w.first[doc]).astype(np.int32)),
                     pa.array(edges.astype(np.int32))], fields=list(_PATH))
                 bounds = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
@@ -109,7 +116,7 @@ def paths(docs: DataFrame, size: int, anchor: int) -> DataFrame:
                     [batch.column(0).slice(lo, hi - lo), pa.array(doc_keys(w, spans)),
                      pa.ListArray.from_arrays(pa.array(bounds), rows)], ["doc_id", "key", "paths"])
 
-    item = "anchor:bigint,path:bigint,proof:bigint,start:int,edges:int"
+    item = "anchor:bigint,path:bigint,proof:bigint,before:bigint,after:bigint,start:int,edges:int"
     return (docs.where("doc_id IS NOT NULL")
             .mapInArrow(run, f"doc_id bigint, key bigint, paths array<struct<{item}>>")
             .where(F.size("paths") > 0))
@@ -166,8 +173,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, size: int = SIZE, ancho
     rows = store(spark, rows.join(if_small(shared, 8), "anchor", "left_semi"), "repeated-anchors")
     path = ["anchor", "path", "proof"]
     compact = rows.groupBy(*path).agg(
-        F.min("doc_id").alias("first"), F.min_by("key", "doc_id").alias("key"),
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("key", "doc_id").alias("key"),
         F.min_by("start", "doc_id").alias("start"), F.max("edges").alias("edges"),
+        *[f(c).alias(f"{c}_{n}") for c in ("before", "after") for n, f in (("lo", F.min), ("hi", F.max))],
     ).withColumn("number", F.monotonically_increasing_id())
     compact = store(spark, compact, "compact-paths")
     branching = store(spark, compact.groupBy("anchor").count().where("count > 1").select("anchor"), "branching-anchors")
@@ -180,20 +188,44 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, size: int = SIZE, ancho
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "shared-edges")
     late = (edges.join(merged, ["edge", "edge_proof"]).where("lo < doc_id")
             .groupBy("number").agg(F.collect_list("step").alias("steps")))
-    known = compact.join(late, "number", "left").select(*path, "first", "steps")
-
-    whole = F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("edges") + size - 1).alias("hi")))
-    some = F.transform("steps", lambda s: F.struct((F.col("start") + s).alias("lo"),
-                                                   (F.col("start") + s + size).alias("hi")))
-    found = (rows.join(known, path)
-             .where("first < doc_id OR steps IS NOT NULL")
-             .withColumn("span", F.explode(F.when(F.col("first") < F.col("doc_id"), whole).otherwise(some)))
-             .groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans")))
+    longest = long_paths(spark, compact.where("first < last"))
+    span = F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("edges") + size - 1).alias("hi"))
+    whole = (rows.drop("edges").join(longest.select(*path, "first", "edges"), path).where("first < doc_id")
+             .select("doc_id", "key", span.alias("span")))
+    # in the first document of a path some edges may still have a smaller one
+    some = F.transform("steps", lambda s: F.struct((F.col("start") + s).alias("lo"), (F.col("start") + s + size).alias("hi")))
+    partly = compact.join(late, "number").select(*path, F.col("first").alias("doc_id"), "steps")
+    part = rows.join(partly, [*path, "doc_id"]).select("doc_id", "key", F.explode(some).alias("span"))
+    found = whole.unionByName(part).groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans"))
     return store(spark, found.select("doc_id", "key", _union("spans").alias("spans"))
                  .groupBy("doc_id").agg(F.collect_list(F.struct("key", "spans")).alias("cuts")),
                  "cuts")
 
 
+def long_paths(spark: SparkSession, compact: DataFrame) -> DataFrame:
+    """Paths that always follow each other, compacted: the row of the first, with the edges of all.
+
+    A path goes on into another if every occurrence of the one is followed by the other and every occurrence of
+    the other preceded by the one. Texts end, so such links form no circle. Each round doubles how far a path sees
+    towards the first one; rows are compacted paths, never occurrences.
+    """
+    ends = compact.where("after_lo = after_hi AND after_lo <> 0").select(
+        F.col("number").alias("up"), F.col("path").alias("from"), F.col("after_lo").alias("to"))
+    begins = compact.where("before_lo = before_hi AND before_lo <> 0").select(
+        F.col("number").alias("member"), F.col("before_lo").alias("from"), F.col("path").alias("to"))
+    links = store(spark, begins.join(ends, ["from", "to"]).select("member", "up"), "path-links")
+    while True:
+        above = links.select(F.col("member").alias("up"), F.col("up").alias("further"))
+        step = store(spark, links.join(above, "up", "left").select(
+            "member", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved")), "path-links")
+        links = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
+    whole = compact.select(F.col("number").alias("member"), "edges").join(links, "member", "left").groupBy(
+        F.coalesce("up", "member").alias("number")).agg(F.sum("edges").cast("int").alias("edges"))
+    return store(spark, compact.drop("edges").join(whole, "number"), "long-paths")
+
+
 def _union(spans: str) -> Column:
     """Disjoint ranges, in order, that cover the same positions."""
     @F.pandas_udf(_SPAN)

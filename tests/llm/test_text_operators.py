@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from assetlane.llm.components import components
 from assetlane.llm.jaccard import near_duplicates
 from assetlane.llm.quality_rules import fit_accuracies, log_odds, quality_rules
+from assetlane.llm import substring
 from assetlane.llm.substring import substring_dedup
 from assetlane.llm.words import chunks, normal_text, split
 
@@ -187,3 +188,28 @@ def test_near_duplicates_on_no_rows(spark, no_docs):
 def test_components_of_a_long_path(spark):
     links = spark.range(40).selectExpr("id + 1 AS x", "id AS y")
     assert {(r["node"], r["comp"]) for r in components(spark, links).collect()} == {(i, 0) for i in range(41)}
+
+
+def test_a_long_passage_is_one_path(spark, monkeypatch):
+    """200 common words in 40 documents, in two of them twice: paths that always follow each other are one row."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(200)]
+    rows = [(d, " ".join([f"a{d}.{i}" for i in range(rng.randint(0, 70))] + passage + [f"b{d}.{i}" for i in range(rng.randint(60, 90))]
+                         + (passage if d % 20 == 5 else []))) for d in range(40)]
+    seen = []
+    real = substring.long_paths
+    monkeypatch.setattr(substring, "long_paths", lambda s, c: (seen.append((c.count(), real(s, c))), seen[-1][1])[1])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.n_removed for r in substring_dedup(spark, docs).collect()}
+    assert got == {d: 0 if d == 0 else 400 if d % 20 == 5 else 200 for d in range(40)}
+    (parts, long), = seen
+    edges = sorted(r.edges for r in long.collect())
+    assert parts > 4 and len(edges) <= 3 and edges[-1] > 100
+
+
+def test_copies_of_a_very_long_text(spark):
+    """Hundreds of paths in a row, over several rounds of doubling; the second copy ends early."""
+    words = [f"w{i}" for i in range(9000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:8000])), (3, " ".join(words)), (4, " ".join(words[500:] + words[:500]))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 0, 2: 8000, 3: 9000, 4: 9000}
