@@ -1,6 +1,7 @@
 """Word operators against brute force: rules (2), substrings (5), Jaccard (9)."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -204,7 +205,8 @@ def test_a_long_passage_is_one_path(spark, monkeypatch):
     assert got == {d: 0 if d == 0 else 400 if d % 20 == 5 else 200 for d in range(40)}
     (parts, long), = seen
     edges = sorted(r.edges for r in long.collect())
-    assert parts > 4 and len(edges) <= 3 and edges[-1] > 100
+    # what is left besides is where the passage meets the start or the end of a text
+    assert parts > 4 and len(edges) <= 3 and edges[-1] > 80
 
 
 def test_copies_of_a_very_long_text(spark):
