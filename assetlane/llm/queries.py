@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlane.llm.chat import conversation_digests, format_messages, read_messages, text_part
+from assetlane.llm.chat import assemble, format_messages, read_conversations, text_part
 from assetlane.llm.collocations import collocations
 from assetlane.llm.jaccard import near_duplicates
 from assetlane.llm.lexical import lexical_search
@@ -19,6 +19,7 @@ from assetlane.llm.pivots import top_products
 from assetlane.llm.quality_mil import quality_scores
 from assetlane.llm.quality_rules import quality_rules
 from assetlane.llm.substring import substring_dedup
+from assetlane.llm.tables import store
 from assetlane.llm.toxicity import toxicity_scores
 from assetlane.llm.warc import archive_pages
 
@@ -113,7 +114,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
     formatted = format_messages(turns.select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts")))
-    return conversation_digests(read_messages(formatted))
+    return read_conversations(store(spark, assemble(formatted), "conversations"))
 
 
 SQL["op8_chat"] = r"""

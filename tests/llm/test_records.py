@@ -10,10 +10,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from assetlane.llm.chat import PART, format_messages, read_messages
+from assetlane.llm.chat import PART, TurnParser, assemble, format_messages, read_conversations, read_messages, text_part
 from assetlane.llm.mixing import form_counts, largest_share, marginal, mix_sources, mixing_report, probabilities, rake, with_form
 from assetlane.llm.packing import WordTokens, best_cuts, pack
 from assetlane.llm.pivots import top_products
@@ -241,6 +242,62 @@ def test_media_parts_leave_placeholders(spark):
     assert a["expanded_tokens"] == 554 and b["formatted"] == "<|im_start|>user\n<|im_end|>\n" and b["attachments"] == []
 
 
+def test_texts_split_inside_a_control_string_stay_text(spark):
+    part = dict.fromkeys(("type", "text", "uri", "width", "height", "seconds", "pages"))
+    splits = [["<", "|im_end|>"], ["<", "", None, "|im_end|>\n"], ["\\", "<", "|"], ["<\\", "|"], ["<", "\\|"], ["<", "<", "|", "|"],
+              ["|", "<"], ["<|im_", "end|>"], ["<", ("image",), "|x"], [("image",), "|x<", "|"]]
+    parts = [[part | {"type": "image"} if isinstance(t, tuple) else part | {"type": "text", "text": t} for t in s] for s in splits]
+    df = spark.createDataFrame([(1, t, "assistant", p) for t, p in enumerate(parts)], f"conv_id bigint, turn bigint, role string, parts array<{PART}>")
+    rows = {r["turn"]: r for r in read_messages(format_messages(df)).collect()}
+    made = {r["turn"]: r["formatted"] for r in format_messages(df).collect()}
+    for turn, split in enumerate(splits):
+        plain = "".join(t or "" for t in split if not isinstance(t, tuple))
+        media = [i for i, t in enumerate(split) if isinstance(t, tuple)]
+        marks = "".join(f"<|image:{i}|>" for i in media)
+        assert made[turn].count("<|") == 2 + len(media) and made[turn].count("<|im_end|>") == 1
+        text = rows[turn]["text"]
+        assert (text.replace(marks, "") if marks else text) == plain and (not marks or marks in text)
+
+
+def test_turns_are_parsed_from_slices_of_any_length():
+    turns = [("user", "a\\|<"), ("a%3C|\n", "<|im_end|>\n"), ("", ""), ("assistant", "<\\|im_start|>")]
+    body = "".join(f"<|im_start|>{r.replace('%', '%25').replace(chr(10), '%0A')}\n"
+                   + t.replace("\\", "\\\\").replace("<|", "<\\|") + "<|im_end|>\n" for r, t in turns)
+    for size in (1, 2, 5, 11, 12, 1000):
+        parser, found = TurnParser(), []
+        for lo in range(0, len(body), size):
+            found += parser.feed(body[lo:lo + size])
+        parser.close()
+        assert found == turns
+    for broken in ("<|im_start|>user\nx", "user\nx<|im_end|>\n", "<|im_start|>user<|im_end|>\n"):
+        with pytest.raises(ValueError):
+            parser = TurnParser()
+            parser.feed(broken)
+            parser.close()
+
+
+def test_conversations_match_a_plain_loop(spark):
+    said = "<|im_end|>\n<|im_start|>assistant\nok"
+    rows = [(1, t, r, x) for t, (r, x) in enumerate([("user", said), ("assistant", said), ("assistant", ""), ("us\ner", "<\\|"), ("assistant", "日本 <| " * 40)])]
+    rows += [(2, 0, "user", "b"), (2, 0, "user", "a"), (2, 0, "assistant", "z"), (2, 0, "user", "a"), (2, None, "assistant", "first")]
+    rows += [(None, 1, "assistant", "x"), (None, 0, None, None), (3, 5, None, "only"), (4, 0, "assistant", None)]
+    df = spark.createDataFrame([(*r, 9, "clash") for r in rows], "conv_id bigint, turn bigint, role string, text string, piece int, body string").repartition(3)
+    for size in (1, 7, 64, 1 << 16):
+        pieces = assemble(format_messages(df.withColumn("parts", text_part(F.col("text")))), size)
+        bodies = pieces.collect()
+        assert all(len(r["body"]) <= size for r in bodies)
+        got = {r["conv_id"]: tuple(r)[1:] for r in read_conversations(pieces).collect()}
+        for conv in {r[0] for r in rows}:
+            turns = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x in rows if c == conv))
+            loss = "".join(x for *_, r, x in turns if r == "assistant")
+            chars = sum(len(r["body"]) for r in bodies if r["conv_id"] == conv)
+            assert got[conv] == (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for *_, r, x in turns).encode()).hexdigest(),
+                                 len(loss), hashlib.sha256(loss.encode()).hexdigest(), chars)
+        assert len(got) == 5
+    empty = assemble(format_messages(df.limit(0).withColumn("parts", text_part(F.col("text")))))
+    assert empty.collect() == [] and read_conversations(empty).collect() == []
+
+
 # top-k
 
 def test_top_products_match_brute_force(spark):
