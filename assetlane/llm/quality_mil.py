@@ -8,9 +8,10 @@ and a hashed bag of words, then by a learned layer r = tanh(E x + e). Gated atte
 weighs the passages, and the weighted representation sum_i a_i r_i gives the score through a
 logistic unit. All parameters are learned from document labels in numpy.
 
-The model is fitted on the driver from at most ``max_labels`` labelled documents, of each at most
-``max_passages`` passages, evenly spaced; that bound holds for fitting only. Scoring is one pass
-over all whole texts, without a shuffle.
+The model is fitted on the driver, in minibatches of whole bags, from at most ``max_labels``
+labelled documents: in the order of a hash of their ids, until their texts have ``max_bytes``. A
+document is taken with all its passages or not at all; the bounds hold for fitting only. Scoring is
+one pass over all whole texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from assetlane.llm.tables import small_batches
 from assetlane.llm.words import LETTER, chunks, mix, split
 
 PASSAGE, HASHED, HIDDEN, GATES = 64, 24, 24, 12
-MAX_LABELS, MAX_PASSAGES, EPOCHS = 6000, 96, 30
+MAX_LABELS, MAX_BYTES, EPOCHS = 6000, 64 << 20, 30
 
 
 def _flags(*chars: bytes) -> np.ndarray:
@@ -72,8 +73,9 @@ def encode(texts: list[bytes], passage: int = PASSAGE) -> tuple[np.ndarray, np.n
     again = np.zeros(len(size), dtype=bool)
     if len(size) >= 3:
         three = mix(mix(mix(w.code[:-2] ^ mix(doc[:-2].astype(np.uint64))) + w.code[1:-1]) + w.code[2:])
-        again[:-2] = True
-        again[np.unique(three, return_index=True)[1]] = False
+        inside = np.flatnonzero(doc[:-2] == doc[2:])  # a window never reaches into the next text
+        again[inside] = True
+        again[inside[np.unique(three[inside], return_index=True)[1]]] = False
     bytes_in = np.maximum(per_passage(size), 1.0)
     share = [
         np.log1p(stop - begin) / 4, bytes_in / n / 10, per_passage(symbols) / n,
@@ -158,25 +160,35 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.col(text_col).cast("binary").alias("text"))
 
 
+def whole_rows(docs: DataFrame, sample: DataFrame, max_bytes: int) -> DataFrame:
+    """The rows of ``sample`` (doc_id, label), in hash order, until their texts have ``max_bytes``.
+
+    The row that reaches the bound is the last one taken, so no text is cut.
+    """
+    sizes = (docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label")
+             .agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("bigint").alias("size")))
+    rows = sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # as many as sample has at most
+    before = np.concatenate([[0], np.cumsum([r["size"] for r in rows])])[:-1]
+    taken = [(r["doc_id"], r["label"]) for r, b in zip(rows, before) if b < max_bytes]
+    return docs.sparkSession.createDataFrame(taken, "doc_id bigint, label int")
+
+
 def train(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "quality",
-          max_labels: int = MAX_LABELS, max_passages: int = MAX_PASSAGES) -> Attention | None:
+          max_labels: int = MAX_LABELS, max_bytes: int = MAX_BYTES) -> Attention | None:
     """Fits the model on a bounded sample of the labels for which ``training`` holds."""
-    sample = label_sample(labels, label_col, training, max_labels)
+    sample = whole_rows(docs, label_sample(labels, label_col, training, max_labels), max_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             for lo, hi in chunks(texts):
                 x, first = encode(texts[lo:hi])
-                out = []
-                for a, b in zip(first[:-1], first[1:]):
-                    take = np.unique(np.linspace(a, b - 1, min(b - a, max_passages)).astype(int))
-                    out.append(x[take].tobytes())
+                out = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(out, pa.binary())],
                     ["doc_id", "label", "x"])
 
-    # at most max_labels rows, so it may be broadcast
+    # at most max_labels rows, so it may be broadcast; a text makes features of under half its bytes
     rows = (docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
             .mapInArrow(run, "doc_id bigint, label int, x binary").toPandas().sort_values(["doc_id", "x"]))
     width = encode([b""])[0].shape[1]

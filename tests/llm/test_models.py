@@ -1,8 +1,9 @@
 """Held-out accuracy and defined edge cases of the classifiers (4, 7)."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from assetlane.llm.quality_mil import Attention, encode, quality_scores
+from assetlane.llm.quality_mil import Attention, encode, fit, quality_scores, train, whole_rows
 from assetlane.llm.toxicity import toxicity_scores
 
 LABELS = "doc_id bigint, quality int, toxic int, lang string"
@@ -59,6 +60,58 @@ def test_edge_rows_and_missing_labels(spark, docs, no_docs, texts):
             assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_quality_learns_from_every_passage(spark):
+    """Labels that rest on one passage among hundreds, at places an even choice of 96 would miss."""
+    rng = np.random.default_rng(5)
+    plain = " ".join(["plain", "words", "of", "prose", "here"] * 13)[:330].split()[:64]
+    junk = ["#$%&*"] * 64
+    rows, labels = [], []
+    for i in range(40):
+        bag = [plain] * 301
+        if i % 2 == 0:
+            bag = bag[:1 + 3 * int(rng.integers(1, 90)) + 1] + [junk] * 2 + bag[:20]
+        rows.append((i, " ".join(" ".join(p) for p in bag)))
+        labels.append((i, 1 - (i % 2 == 0), 0, "en"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marked = spark.createDataFrame(labels, LABELS)
+    model = train(docs.withColumn("text", F.col("text").cast("binary")), marked, F.lit(True))
+    bags = [encode([t.encode()])[0] for _, t in rows]
+    want = fit([bags[i] for i in range(40)], np.array([float(q) for _, q, *_ in labels]))
+    assert all(np.allclose(model.p[k], want.p[k], atol=1e-6) for k in model.p)
+    assert len(bags[1]) == 301
+
+
+def test_features_do_not_depend_on_the_other_texts():
+    texts = [b"a b a b a b", b"a b a", b"", b"b a", b"a b a b"]
+    x, first = encode(texts)
+    for i, text in enumerate(texts):
+        assert np.array_equal(x[first[i]:first[i + 1]], encode([text])[0])
+
+
+def test_rows_are_taken_whole_until_the_bytes_are_reached(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(10)] + [(3, "y" * 5), (4, None)], "doc_id bigint, text string")
+    sample = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, label int")
+    sizes = {i: 100 + 5 * (i == 3) for i in range(10)}
+    for bound in (1, 100, 250, 10 ** 6):
+        taken = [r["doc_id"] for r in whole_rows(docs, sample, bound).collect()]
+        total = sum(sizes[i] for i in taken)
+        assert len(taken) == 10 if bound > 1005 else bound <= total < bound + 106
+
+
+def test_scores_match_a_plain_loop(spark):
+    docs, labels, _ = read(spark, "/root/testdata/sf0.001")
+    texts = docs.selectExpr("doc_id", "CAST(text AS BINARY) AS text")
+    p = (model := train(texts, labels, F.expr("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 <> 1"))).p
+    got = {r["doc_id"]: r["score"] for r in quality_scores(spark, docs, labels).collect()}
+    for row in texts.collect():
+        x = np.clip((encode([bytes(row["text"] or b"")])[0] - model.mean) / model.scale, -8, 8)
+        r = [np.tanh(v @ p["E"] + p["e"]) for v in x]
+        e = np.array([np.tanh(v @ p["V"]) * (1 / (1 + np.exp(-(v @ p["U"])))) @ p["w"] for v in r])
+        a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        z = sum(w * v for w, v in zip(a, r)) @ p["c"] + p["b"][0]
+        assert abs(got[row["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
 def test_attention_gradient_is_the_slope():
     x, first = encode([b"a b c " * 40, b"", b"X!! Y!! " * 70])
     model = Attention(x.mean(axis=0), x.std(axis=0) + 1e-3)
