@@ -98,7 +98,8 @@ def resolve_mime(
     """``+mime, +mime_source, +unsupported``.
 
     ``order="editor"`` trusts magic, declared type, extension; ``order="batch"`` trusts magic,
-    extension, then any declared ``image/*``.
+    extension, then any declared ``image/*``; ``order="exact"`` trusts magic, the declared type where it is, as
+    it stands, one of the known image types (no parameters, no blanks, no other case), then extension.
     """
     dec = F.coalesce(F.col(declared), F.lit(""))
     by_magic = "__magic"
@@ -110,8 +111,11 @@ def resolve_mime(
     elif order == "batch":
         any_image = F.when(dec.startswith("image/"), dec).otherwise("")
         second, third = (ext, "extension"), (any_image, "file-type")
+    elif order == "exact":
+        known = F.when(dec.isin(IMAGE_TYPES), dec).otherwise("")
+        second, third = (known, "file-type"), (ext, "extension")
     else:
-        raise ValueError("order must be 'editor' or 'batch'")
+        raise ValueError("order must be 'editor', 'batch' or 'exact'")
     pdf = magic == "application/pdf"
     mime = (
         F.when(pdf, "").when(magic != "", magic).when(second[0] != "", second[0]).otherwise(third[0])

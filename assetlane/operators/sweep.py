@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from assetlane.functions.encoders import (
 )
 from assetlane.functions.numbers import clamp, dbl, js_round
 from assetlane.functions.savings import GOOD, SAVINGS_FLOOR, saved_percent, verdict
+from assetlane.session import hand_over
 
 # The default sweep.
 SWEEP_ENCODERS = ["mozjpeg", "webp", "avif", "jxl", "oxipng"]
@@ -165,6 +166,50 @@ def lowest_quality(
     )
 
 
+def search_quality(
+    images: DataFrame, probe: Callable[[DataFrame], DataFrame], target: float = 0.99,
+    low: int = 30, high: int = 95, encodes: int = 6,
+) -> DataFrame:
+    """W2 as a search: ``(image_id, step, size, ssim, encodes, exact)`` with at most ``encodes`` encodes an image.
+
+    Each round halves the range of steps of all images at once: ``probe`` gets ``(image_id, step)``, encodes
+    and measures, and returns ``(image_id, step, size, ssim)``. A step that reaches the target becomes the
+    pick and the search goes on below it, otherwise above. As in any bisection, quality is taken to rise with
+    the step. ``step`` is null where no probe reached the target. ``exact`` tells whether the range is used up; 66
+    steps can need a seventh encode. Without it the pick is the least step known to do, at most one above the
+    least; it is null where ``high`` alone is left untried.
+
+    A null, NaN or missing ``ssim`` reaches nothing; of several measures of one step the worst counts. Repeated
+    ids are searched once, null ids not at all. A round is two key-co-located joins and one stored table of a
+    row an image, so lineage stays short; images that are done are not probed again.
+    """
+    if low > high or encodes < 0:
+        raise ValueError("the range of steps must not be empty, nor the number of encodes negative")
+    nothing = {"step": "int", "size": "bigint", "ssim": "double"}
+    state = images.select("image_id").where("image_id IS NOT NULL").distinct().withColumns({
+        "__low": F.lit(low), "__high": F.lit(high), **{c: F.lit(None).cast(t) for c, t in nothing.items()}, "encodes": F.lit(0)})
+    state = hand_over(state, "quality-search")
+    for _ in range(encodes):
+        active = F.col("__low") <= F.col("__high")
+        middle = F.floor((F.col("__low") + F.col("__high")) / 2).cast("int")
+        found = probe(state.where(active).select("image_id", middle.alias("step")))
+        worst = F.when(~F.isnan("ssim"), F.col("ssim"))
+        found = found.groupBy("image_id").agg(
+            F.max_by(F.col("size").cast("bigint"), F.struct(worst.isNull(), -worst)).alias("__size"),
+            F.when(F.count_if(worst.isNull()) == 0, F.min(worst)).cast("double").alias("__ssim"))
+        reached = active & F.coalesce(F.col("__ssim") >= dbl(target), F.lit(False))
+        rows = state.join(found, "image_id", "left").select(
+            "image_id",
+            F.when(active & ~reached, middle + 1).otherwise(F.col("__low")).alias("__low"),
+            F.when(reached, middle - 1).otherwise(F.col("__high")).alias("__high"),
+            F.when(reached, middle).otherwise(F.col("step")).alias("step"),
+            F.when(reached, F.col("__size")).otherwise(F.col("size")).alias("size"),
+            F.when(reached, F.col("__ssim")).otherwise(F.col("ssim")).alias("ssim"),
+            (F.col("encodes") + active.cast("int")).alias("encodes"))
+        state = hand_over(rows, "quality-search")  # no encode is made again, whatever is read from the result
+    return state.select("image_id", "step", "size", "ssim", "encodes", (F.col("__low") > F.col("__high")).alias("exact"))
+
+
 def bar_percent(cells: DataFrame) -> DataFrame:
     """``+row_max, +bar_pct`` against the largest encode of the (image, encoder) row.
 

@@ -230,6 +230,46 @@ def attempt_outcomes(attempts: DataFrame) -> DataFrame:
     return calls.select("bridge", "call_id", outcome.alias("outcome"), "attempts")
 
 
+def latched_outcomes(attempts: DataFrame) -> DataFrame:
+    """T7 with the latch: ``(bridge, call_id, outcome, attempts, mode)`` of each call.
+
+    Input (bridge, call_id, seq, failed, retryable), one row per attempt; ``seq`` orders the attempts of a
+    bridge. The first failure of a bridge latches it for good: later calls run ``single`` threaded,
+    earlier ones ``threads``, and the call that failed is ``switched``. Only that call may run again, once,
+    and only if it is retryable: ``retried-ok``, or ``load-error`` if it fails again, or ``unfinished`` if
+    the log holds no second attempt. Any other failure is a ``load-error`` at its first attempt. ``attempts``
+    counts those that these rules allow; others in the log are ignored.
+
+    A null ``failed`` is no failure, a null ``retryable`` is retryable, rows without bridge or seq are left out.
+    Attempts are combined per call and first failures per bridge before each shuffle; one row a bridge is
+    joined back, so a busy bridge can be split by the skew join.
+    """
+    made = attempts.where("bridge IS NOT NULL AND seq IS NOT NULL").select(
+        "bridge", "call_id", "seq", F.coalesce("failed", F.lit(False)).alias("failed"),
+        F.coalesce("retryable", F.lit(True)).alias("retryable"),
+    )
+    step = F.struct("seq", "failed", "retryable")
+    calls = made.groupBy("bridge", "call_id").agg(F.min_by(step, "seq").alias("one"))
+    # of a call that latches, the attempt after the first; its first attempt is the one that failed
+    latch = made.where("failed").groupBy("bridge").agg(F.min("seq").alias("latched"))
+    tried = made.join(latch, "bridge", "left").where("seq > latched").groupBy("bridge", "call_id").agg(
+        F.min_by("failed", "seq").alias("lost"))
+    rows = calls.join(latch, "bridge", "left").join(
+        tried, calls["call_id"].eqNullSafe(tried["call_id"]) & (calls["bridge"] == tried["bridge"]), "left"
+    ).select(calls["bridge"], calls["call_id"], "one", "latched", "lost")
+    failed, switched = F.col("one.failed"), F.col("one.failed") & (F.col("one.seq") == F.col("latched"))
+    again = switched & F.col("one.retryable")
+    outcome = (
+        F.when(~failed, "ok").when(again & F.col("lost").isNull(), "unfinished")
+        .when(again & ~F.col("lost"), "retried-ok").otherwise("load-error")
+    )
+    mode = F.when(switched, "switched").when(F.col("one.seq") > F.col("latched"), "single").otherwise("threads")
+    return rows.select(
+        "bridge", "call_id", outcome.alias("outcome"),
+        F.when(again & F.col("lost").isNotNull(), 2).otherwise(1).alias("attempts"), mode.alias("mode"),
+    )
+
+
 # ------------------------------------------------------------------------------------ T8 intake
 
 
@@ -265,6 +305,6 @@ def intake_stream(
 __all__ = [
     "attempt_outcomes", "busy_sessions", "by_time", "call_budget", "debounce_edits",
     "debounce_edits_batch", "drop_superseded", "drop_superseded_batch", "idle_sessions",
-    "idle_sessions_batch", "immediate", "intake_stream", "latest_status", "overdue_calls",
+    "idle_sessions_batch", "immediate", "intake_stream", "latched_outcomes", "latest_status", "overdue_calls",
     "progress_stream", "watch_calls",
 ]

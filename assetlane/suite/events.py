@@ -285,6 +285,25 @@ def _(spark, sf_dir):
     return jobs.attempt_outcomes(first.unionByName(second))
 
 
+@case(
+    "latched_outcomes",
+    """WITH a AS (SELECT user_id AS bridge, event_id AS call_id, 2 * event_id AS seq, event_type = 'error' AS failed, event_id % 5 <> 0 AS retryable FROM events
+  UNION ALL SELECT user_id, event_id, 2 * event_id + 1, event_id % 3 = 0, event_id % 5 <> 0 FROM events WHERE event_type = 'error' AND event_id % 7 <> 0),
+ l AS (SELECT *, min(seq) FILTER (failed) OVER (PARTITION BY bridge) AS latched, row_number() OVER (PARTITION BY bridge, call_id ORDER BY seq) AS k FROM a),
+ c AS (SELECT x.*, y.failed AS lost, x.failed AND x.seq = x.latched AS switched FROM l AS x LEFT JOIN l AS y ON y.bridge = x.bridge AND y.call_id = x.call_id AND y.k = 2 WHERE x.k = 1)
+ SELECT bridge, call_id, CASE WHEN NOT failed THEN 'ok' WHEN NOT (switched AND retryable) THEN 'load-error' WHEN lost IS NULL THEN 'unfinished' WHEN lost THEN 'load-error' ELSE 'retried-ok' END AS outcome,
+  CAST(CASE WHEN switched AND retryable AND lost IS NOT NULL THEN 2 ELSE 1 END AS INTEGER) AS attempts,
+  CASE WHEN coalesce(switched, false) THEN 'switched' WHEN seq > latched THEN 'single' ELSE 'threads' END AS mode FROM c""",
+)
+def _(spark, sf_dir):
+    """Every event as a first attempt, and second ones where a first was lost, whether or not the rules allow them."""
+    rows = _events(spark, sf_dir)
+    first = rows.selectExpr("user_id AS bridge", "event_id AS call_id", "2 * event_id AS seq", "event_type = 'error' AS failed", "event_id % 5 <> 0 AS retryable")
+    second = rows.where("event_type = 'error' AND event_id % 7 <> 0").selectExpr(
+        "user_id AS bridge", "event_id AS call_id", "2 * event_id + 1 AS seq", "event_id % 3 = 0 AS failed", "event_id % 5 <> 0 AS retryable")
+    return jobs.latched_outcomes(first.unionByName(second))
+
+
 @case(
     "intake_stream",
     f"SELECT folder, CAST(1 AS INTEGER) AS depth, CAST(length(text) AS BIGINT) AS bytes, sha256(text) AS digest, '' AS mime, 'unknown' AS mime_source FROM ({PAGE_FILES})",

@@ -223,6 +223,21 @@ def _(spark, sf_dir):
     )
 
 
+@case(
+    "resolve_mime_exact",
+    f"""{_EVIDENCE}, v AS (SELECT *, CASE file_id % 4 WHEN 0 THEN concat(declared, '; q=1') WHEN 1 THEN upper(declared) ELSE declared END AS said FROM r),
+ k AS (SELECT *, CASE WHEN said IN ({_TYPES}) THEN said ELSE '' END AS t FROM v)
+ SELECT file_id, CASE WHEN m = 'application/pdf' THEN '' WHEN m <> '' THEN m WHEN t <> '' THEN t ELSE x END AS mime,
+ CASE WHEN m <> '' THEN 'magic-number' WHEN t <> '' THEN 'file-type' WHEN x <> '' THEN 'extension' ELSE 'unknown' END AS mime_source, unsupported FROM k""",
+)
+def _(spark, sf_dir):
+    """Declared types partly with parameters or in upper case, which only the editor's order reads."""
+    said = F.expr("CASE file_id % 4 WHEN 0 THEN concat(declared, '; q=1') WHEN 1 THEN upper(declared) ELSE declared END")
+    return filetypes.resolve_mime(_heads(spark, sf_dir).withColumn("declared", said), order="exact").select(
+        "file_id", "mime", "mime_source", "unsupported"
+    )
+
+
 @case(
     "mime_census",
     f"""{_EVIDENCE} SELECT mime, mime_source, count(*) AS n, CAST(sum(length(head_hex) // 2) AS BIGINT) AS bytes,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assetlane.functions import report, savings
 from assetlane.functions.encoders import ENCODERS
 from assetlane.operators import sweep
-from assetlane.suite.fixtures import view, with_views
+from assetlane.suite.fixtures import read, view, with_views
 from assetlane.suite.registry import case
 
 _CELLS = with_views("v_cells")
@@ -173,6 +173,41 @@ def _(spark, sf_dir):
     return sweep.lowest_quality(view(spark, sf_dir, "v_cells"))
 
 
+def _coefficients(spark, sf_dir):
+    whole = "transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT))"
+    return read(spark, sf_dir, "embeddings").selectExpr("vec_id AS image_id", f"{whole} AS k")
+
+
+@case(
+    "search_quality",
+    """WITH RECURSIVE e AS (SELECT vec_id AS image_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS k FROM embeddings),
+ q AS (SELECT CAST(unnest(range(30, 96)) AS INTEGER) AS step),
+ c AS (SELECT image_id, unnest(k) AS k FROM e),
+ t AS (SELECT image_id, step, count(*) FILTER (abs(k) >= 96 - step) * 3 AS size, CAST(coalesce(sum(k * k) FILTER (abs(k) >= 96 - step), 0) AS DOUBLE) / nullif(CAST(sum(k * k) AS DOUBLE), 0) AS ssim
+   FROM c, q GROUP BY ALL),
+ s(image_id, low, high, step, encodes) AS (SELECT image_id, 30, 95, CAST(NULL AS INTEGER), 0 FROM e
+   UNION ALL SELECT s.image_id, CASE WHEN ok THEN low ELSE mid + 1 END, CASE WHEN ok THEN mid - 1 ELSE high END, CASE WHEN ok THEN mid ELSE s.step END, encodes + 1
+   FROM (SELECT s.*, CAST((low + high) // 2 AS INTEGER) AS mid, coalesce(t.ssim >= 0.95, false) AS ok FROM s LEFT JOIN t ON t.image_id = s.image_id AND t.step = (low + high) // 2 WHERE low <= high AND encodes < 6) AS s),
+ f AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY encodes DESC) AS back FROM s)
+ SELECT f.image_id, CAST(f.step AS INTEGER) AS step, t.size, t.ssim, CAST(encodes AS INTEGER) AS encodes, low > high AS exact FROM f LEFT JOIN t ON t.image_id = f.image_id AND t.step = f.step WHERE back = 1""",
+)
+def _(spark, sf_dir):
+    """Vectors coded by leaving out small coefficients, as many as the step allows; kept energy is the measure."""
+    coded = _coefficients(spark, sf_dir)
+
+    def probe(wanted):
+        stays = F.filter("k", lambda k: F.abs(k) >= 96 - F.col("step"))
+
+        def energy(k):
+            return F.aggregate(k, F.lit(0).cast("bigint"), lambda n, v: n + v * v).cast("double")
+
+        total = energy(F.col("k"))
+        return wanted.join(coded, "image_id").select(
+            "image_id", "step", (F.size(stays) * 3).alias("size"), F.when(total > 0, energy(stays) / total).alias("ssim"))
+
+    return sweep.search_quality(coded, probe, target=0.95)
+
+
 @case(
     "bar_percent",
     f"""{_CELLS}, c AS (SELECT image_id, row, col, CASE WHEN status = 'done' THEN size END AS size FROM v_cells),

@@ -28,6 +28,11 @@ def test_magic_beats_labels_and_orders_differ(spark):
     pick = lambda order: [tuple(r) for r in filetypes.resolve_mime(df, order=order).select("mime", "mime_source").collect()]
     assert pick("editor") == [("image/jpeg", "magic-number"), ("image/png", "file-type"), ("", "unknown"),
                               ("", "magic-number"), ("", "unknown")]
+    assert pick("exact") == pick("editor")
+    odd = rows(spark, "head binary, declared string, name string", [
+        (b"1", "image/png; q=1", "a.gif"), (b"1", "IMAGE/PNG", ""), (b"1", " image/png", ""), (None, None, None)])
+    assert [tuple(r) for r in filetypes.resolve_mime(odd, order="exact").select("mime", "mime_source").collect()] == [
+        ("image/gif", "extension"), ("", "unknown"), ("", "unknown"), ("", "unknown")]
     assert pick("batch")[1:3] == [("image/gif", "extension"), ("image/x-odd", "file-type")]
 
 

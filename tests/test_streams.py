@@ -70,3 +70,24 @@ def test_latest_status_in_update_mode(spark, sf):
     query.awaitTermination()
     got = spark.table("latest_status_now").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert sorted(map(repr, got.collect())) == sorted(map(repr, load_cases()["latest_status"].run(spark, sf).collect()))
+
+
+def test_latch_is_one_way_and_only_its_call_runs_again(spark):
+    rows = [
+        ("a", 1, 1, False, True), ("a", 2, 2, True, True), ("a", 2, 3, False, True),   # latches, retried
+        ("a", 3, 4, True, True), ("a", 3, 5, False, True),                             # after the latch: no retry
+        ("a", 4, 6, False, True),
+        ("b", 5, 1, True, False), ("b", 5, 2, False, False), ("b", 6, 3, True, True),  # not retryable, but it latches
+        ("c", 7, 1, True, None), ("c", 7, 2, True, True), ("c", 7, 3, False, True),    # no third attempt
+        ("d", 8, 1, True, True), ("e", 9, 1, None, None), ("e", None, 2, True, True), ("e", None, 3, False, True),
+        (None, 1, 1, True, True), ("f", 1, None, True, True),
+    ]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "bridge string, call_id int, seq int, failed boolean, retryable boolean, latched string")
+    got = {(r["bridge"], r["call_id"]): (r["outcome"], r["attempts"], r["mode"]) for r in jobs.latched_outcomes(df).collect()}
+    assert got == {
+        ("a", 1): ("ok", 1, "threads"), ("a", 2): ("retried-ok", 2, "switched"), ("a", 3): ("load-error", 1, "single"),
+        ("a", 4): ("ok", 1, "single"), ("b", 5): ("load-error", 1, "switched"), ("b", 6): ("load-error", 1, "single"),
+        ("c", 7): ("load-error", 2, "switched"), ("d", 8): ("unfinished", 1, "switched"), ("e", 9): ("ok", 1, "threads"),
+        ("e", None): ("retried-ok", 2, "switched"),
+    }
+    assert jobs.latched_outcomes(df.limit(0)).collect() == []

@@ -1,7 +1,10 @@
 import random
 
+import pytest
+
 from assetlane.functions import savings
 from assetlane.operators import sweep
+from assetlane.operators.sweep import search_quality
 from assetlane.suite import load_cases
 
 CELL = ("image_id int, row int, col int, encoder string, step int, lossless boolean, original_bytes bigint, status string, "
@@ -83,3 +86,54 @@ def test_bars(spark):
 def test_every_image_with_a_done_cell_has_one_pick(spark, sf):
     rows = load_cases()["sweep_summary"].run(spark, sf).collect()
     assert rows and all((r.completed > 0) == (r.recommended is not None) for r in rows)
+
+
+@pytest.mark.parametrize("encodes", [0, 1, 3, 6, 7])
+def test_search_finds_what_the_whole_sweep_finds(spark, encodes):
+    least = {i: 30 + i for i in range(66)} | {66: None, 67: None}
+    images = spark.createDataFrame([(i, "x") for i in [*least, 5, 5, None]], "image_id int, step string")
+    asked = []
+
+    def probe(wanted):
+        rows = wanted.collect()
+        assert all(r["image_id"] is not None for r in rows) and len({r["image_id"] for r in rows}) == len(rows)
+        asked.extend((r["image_id"], r["step"]) for r in rows)
+        out = []
+        for i, step in rows:
+            good = least[i] is not None and step >= least[i]
+            out.append((i, step, step * 10, 0.995 if good else 0.5))
+            if i == 3:  # measured twice: the worst counts
+                out.append((i, step, step * 10 + 1, 0.999))
+            if i == 66:
+                out[-1] = (i, step, 1, [None, float("nan")][step % 2])
+        return spark.createDataFrame([r for r in out if r[0] != 67], "image_id int, step int, size int, ssim double")
+
+    found = {r["image_id"]: r for r in search_quality(images, probe, encodes=encodes).collect()}
+    assert set(found) == set(least) and len(asked) == len(set(asked)) == sum(r["encodes"] for r in found.values())
+    for i, r in found.items():
+        low, high, step = 30, 95, None
+        for used in range(encodes):
+            if low > high:
+                break
+            mid = (low + high) // 2
+            if least[i] is not None and mid >= least[i]:
+                step, high = mid, mid - 1
+            else:
+                low = mid + 1
+        assert (r["step"], r["exact"]) == (step, low > high) and r["encodes"] <= encodes
+        assert r["size"] == (step and step * 10) and r["ssim"] == (step and 0.995)
+        if r["exact"]:
+            assert r["step"] == least[i]
+        elif encodes == 6 and least[i] is not None:
+            assert r["step"] - least[i] in (0, 1)
+    assert encodes < 7 or all(r["exact"] for r in found.values())
+
+
+def test_search_of_nothing(spark):
+    def probe(wanted):
+        return wanted.selectExpr("image_id", "step", "1 AS size", "CAST(1 AS DOUBLE) AS ssim")
+
+    images = spark.createDataFrame([], "image_id int")
+    assert search_quality(images, probe).collect() == []
+    with pytest.raises(ValueError):
+        search_quality(images, probe, low=9, high=8)
