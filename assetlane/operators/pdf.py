@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlane.functions.encoders import lookup
@@ -123,6 +123,31 @@ def effective_dpi(placements: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
+def page_ranges(placements: DataFrame, block: int = 4096) -> DataFrame:
+    """D4, page sets as ranges: ``(doc_id, ref, first, last)``, one row per run of pages an image is drawn on.
+
+    Page numbers are cut into blocks of ``block``; the distinct pages of an image in a block (at most
+    ``block`` of them) become runs in one cell, and only runs that touch a block's edge, two a block at most, meet
+    in a window per image. So a logo on a million pages costs a few hundred rows there and is one row of the result.
+    Repeated draws count once; rows without page or ref are left out; a null doc_id is a document too.
+    """
+    keys = ["doc_id", "ref"]
+    pages = placements.where("page IS NOT NULL AND ref IS NOT NULL").select(*keys, F.col("page").cast("bigint").alias("page"))
+    sets = pages.withColumn("block", F.floor(F.col("page") / F.lit(block))).groupBy(*keys, "block").agg(
+        F.sort_array(F.collect_set("page")).alias("set"))
+    at = F.col("set")
+    begins = F.filter(at, lambda p, i: F.coalesce(F.get(at, i - 1) != p - 1, F.lit(True)))
+    stops = F.filter(at, lambda p, i: F.coalesce(F.get(at, i + 1) != p + 1, F.lit(True)))
+    runs = sets.select(*keys, "block", F.explode(F.arrays_zip(begins.alias("first"), stops.alias("last"))).alias("run")).select(
+        *keys, "run.first", "run.last",
+        ((F.col("run.first") == F.col("block") * block) | (F.col("run.last") == F.col("block") * block + block - 1)).alias("edge"))
+    order = Window.partitionBy(*keys).orderBy("first")
+    joined = runs.where("edge").withColumn("new", F.coalesce(F.col("first") != F.lag("last").over(order) + 1, F.lit(True)).cast("int"))
+    merged = joined.withColumn("run", F.sum("new").over(order)).groupBy(*keys, "run").agg(
+        F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+    return runs.where("NOT edge").drop("edge").unionByName(merged)
+
+
 def skip_reason_of(s: PdfSettings) -> Column:
     space, filt = F.col("color_space"), F.col("filter")
     flate_off = F.lit(not s.flate_to_jpeg) & (filt == "FlateDecode")

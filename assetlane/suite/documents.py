@@ -64,6 +64,17 @@ def _(spark, sf_dir):
     return found.select("doc_id", "ref", F.array_join("pages", ",").alias("pages"), F.round("dpi", 6).alias("dpi"))
 
 
+@case(
+    "page_ranges",
+    f"""{with_views('v_pdf_placements')}, p AS (SELECT DISTINCT doc_id, ref, page FROM v_pdf_placements WHERE page IS NOT NULL AND ref IS NOT NULL),
+ g AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id, ref ORDER BY page) AS island FROM p)
+ SELECT doc_id, ref, CAST(min(page) AS BIGINT) AS first, CAST(max(page) AS BIGINT) AS last FROM g GROUP BY doc_id, ref, island""",
+)
+def _(spark, sf_dir):
+    """Blocks of two pages, so that runs meet block edges in these short documents."""
+    return pdf.page_ranges(view(spark, sf_dir, "v_pdf_placements"), block=2)
+
+
 _SKIP = """CASE WHEN is_mask THEN 'mask' WHEN color_space = '/DeviceCMYK' THEN 'cmyk' WHEN filter NOT IN ('DCTDecode', 'FlateDecode') {flate} THEN 'no-decoder'
  WHEN bpc <> 8 OR color_space NOT IN ('/DeviceRGB', '/DeviceGray') OR custom_decode THEN 'colorspace' WHEN src_bytes < 4096 THEN 'too-small' END"""
 

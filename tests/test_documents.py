@@ -190,3 +190,27 @@ def test_pruning_keeps_metadata_unless_asked(spark):
     replaced = spark.createDataFrame([(1, 1)], "doc_id int, ref int")
     left = lambda strip: sorted(r.obj_no for r in pdf.prune_objects(df, none, replaced, strip).collect())
     assert left(True) == [1] and left(False) == [1, 3, 4]
+
+
+def test_page_ranges_match_a_plain_loop(spark):
+    rng = random.Random(2)
+    sets = {(1, 1): set(range(20)), (1, 2): {0, 2, 4, 6}, (1, 3): {3, 4, 7, 8, 9}, (None, 1): {-3, -2, -1, 0, 1}, (2, 1): {rng.randrange(60) for _ in range(40)}}
+    rows = [(d, r, p, "x") for (d, r), pages in sets.items() for p in pages for _ in range(1 + p % 2)] + [(1, 1, None, "x"), (1, None, 3, "x")]
+    df = spark.createDataFrame(rows, "doc_id int, ref int, page int, block string").repartition(3)
+    want = set()
+    for key, pages in sets.items():
+        for p in sorted(pages):
+            if p - 1 not in pages:
+                last = p
+                while last + 1 in pages:
+                    last += 1
+                want.add((*key, p, last))
+    for block in (1, 2, 4, 7, 4096):
+        got = [tuple(r) for r in pdf.page_ranges(df, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert pdf.page_ranges(df.limit(0)).collect() == []
+
+
+def test_a_logo_on_a_million_pages_is_one_range(spark):
+    df = spark.range(1_000_000).selectExpr("1 AS doc_id", "7 AS ref", "id AS page")
+    assert [tuple(r) for r in pdf.page_ranges(df).collect()] == [(1, 7, 0, 999_999)]
