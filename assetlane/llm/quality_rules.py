@@ -143,8 +143,8 @@ def fit_accuracies(votes: np.ndarray, weight: np.ndarray, rounds: int = 300,
     """Share of good documents, accuracies on good and on bad ones, by expectation-maximisation.
 
     ``votes`` has a row for each pattern, ``weight`` its count. Accuracies start at the priors and
-    have Beta priors of ``strength`` votes there, so that "good" keeps its meaning; a rule condemns at most 3 in 100 good documents. Without votes
-    the start is returned.
+    have Beta priors of ``strength`` votes there, so that "good" keeps its meaning; beyond them the data decide, also that a rule condemns good
+    documents often. Without votes the start is returned.
     """
     up, down = (votes > 0).astype(float), (votes < 0).astype(float)
     share, good, bad = 0.8, np.full(votes.shape[1], good_prior), np.full(votes.shape[1], bad_prior)
@@ -154,7 +154,7 @@ def fit_accuracies(votes: np.ndarray, weight: np.ndarray, rounds: int = 300,
         is_bad = weight - is_good
         new_good = (is_good @ up + good_prior * strength) / (is_good @ (up + down) + strength)
         new_bad = (is_bad @ down + bad_prior * strength) / (is_bad @ (up + down) + strength)
-        new_good, new_bad = np.clip(new_good, 0.97, 0.9999), np.clip(new_bad, 0.02, 0.99)
+        new_good, new_bad = np.clip(new_good, 0.02, 0.9999), np.clip(new_bad, 0.02, 0.99)
         new_share = float(np.clip((is_good.sum() + 8) / (weight.sum() + 10), 0.05, 0.95))
         moved = max(abs(new_good - good).max(), abs(new_bad - bad).max(), abs(new_share - share))
         share, good, bad = new_share, new_good, new_bad

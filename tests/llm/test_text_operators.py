@@ -215,3 +215,34 @@ def test_copies_of_a_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:8000])), (3, " ".join(words)), (4, " ".join(words[500:] + words[:500]))]
     got = {r.doc_id: r.n_removed for r in substring_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: 0, 2: 8000, 3: 9000, 4: 9000}
+
+
+def test_a_rule_may_condemn_many_good_documents():
+    """Data that show it take a rule's accuracy on good documents far below its prior."""
+    rng = np.random.default_rng(11)
+    is_good = rng.random(40000) < 0.8
+    g, b = np.array([0.99, 0.98, 0.99, 0.7]), np.array([0.6, 0.7, 0.65, 0.9])
+    right = rng.random((len(is_good), 4)) < np.where(is_good[:, None], g, b)
+    votes = np.where(right, 1, -1) * np.where(is_good, 1, -1)[:, None]
+    patterns, n = np.unique(votes, axis=0, return_counts=True)
+    share, good, bad = fit_accuracies(patterns.astype(float), n.astype(float))
+    assert abs(good - g).max() < 0.03 and abs(bad - b).max() < 0.05 and abs(share - 0.8) < 0.03
+
+
+def test_posterior_and_verdict_match_a_plain_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r.asDict() for r in quality_rules(spark, docs).collect()]
+    names = [c for c in rows[0] if c.startswith("vote_")]
+    seen = {}
+    for r in rows:
+        key = tuple(r[c] for c in names)
+        seen[key] = seen.get(key, 0) + 1
+    share, good, bad = fit_accuracies(np.array(list(seen), dtype=float), np.array(list(seen.values()), dtype=float))
+    for r in rows:
+        odds = share / (1 - share)
+        for c, g, b in zip(names, good, bad):
+            odds *= {1: g / (1 - b), -1: (1 - g) / b, 0: 1}[r[c]]
+        failed = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+        assert abs(r["quality"] - odds / (1 + odds)) < 1e-9 and r["base_failed"] == failed
+        assert r["kept"] == (not failed and r["quality"] >= 0.5)
+    assert len({r["kept"] for r in rows}) == 2
