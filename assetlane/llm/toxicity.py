@@ -8,9 +8,10 @@ unlabelled loss, and where that estimate of the negative risk falls below zero t
 
 Features are hashed words (runs of letters, lower-cased) and their first 4 to 7 bytes, so that forms
 of one stem share a feature. The ``features`` slots that stand out most
-among the positives are kept, as the logarithm of their count in the whole text; a linear model over
-them is fitted in numpy on the driver from at most ``max_positive`` positives and ``max_unlabelled``
-other documents. Scoring is one pass over all whole texts, without a shuffle.
+among the positives are kept, as the logarithm of their count in the whole text; slots are counted
+and chosen in Spark, so that the driver gets the chosen ones only, at most ``features`` numbers a
+document. A linear model over them is fitted there in numpy from at most ``max_positive`` positives
+and ``max_unlabelled`` other documents. Scoring is one pass over all whole texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlane.llm.learning import Adam, label_sample, remainder, sigmoid
-from assetlane.llm.tables import small_batches
+from assetlane.llm.tables import small_batches, store
 from assetlane.llm.words import chunks, codes_of, mix, split
 
 PREFIXES = (4, 5, 6, 7)
@@ -55,13 +56,29 @@ class Linear:
         return sigmoid(part[first[1:]] - part[first[:-1]] + self.bias)
 
 
-def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int) -> np.ndarray:
+def document_counts(rows: DataFrame) -> DataFrame:
+    """(slot, p, u): in how many positives and other documents of ``rows`` (label, x) each slot is found.
+
+    A task adds up its documents in two tables of fixed size before the shuffle.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, SLOTS), dtype=np.int64)
+        for batch in batches:
+            for label, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found[label, np.frombuffer(x.as_buffer(), dtype=np.int32)[::2]] += 1
+        slot = np.flatnonzero(found.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(slot), *(pa.array(found[i, slot]) for i in (1, 0))], ["slot", "p", "u"])
+
+    per_task = rows.select("label", "x").mapInArrow(run, "slot bigint, p bigint, u bigint")
+    return per_task.groupBy("slot").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def choose(counts: DataFrame, positives: int, others: int, features: int) -> np.ndarray:
     """Slots found in more positives than the unlabelled rate explains, by standard score."""
-    p, u = (np.bincount(np.concatenate(x), minlength=SLOTS) for x in (positive, unlabelled))
-    rate = (u + p + 1) / (len(unlabelled) + len(positive) + 2)
-    z = (p - len(positive) * rate) / np.sqrt(len(positive) * rate * (1 - rate) + 1)
-    best = np.argsort(-z, kind="stable")[:features]
-    return best[(z[best] > 2) & (p[best] >= 3)]
+    rate = (F.col("u") + F.col("p") + 1) / (others + positives + 2)
+    z = (F.col("p") - positives * rate) / F.sqrt(positives * rate * (1 - rate) + 1)
+    best = counts.withColumn("z", z).orderBy(F.desc("z"), "slot").limit(features)
+    return np.array([r["slot"] for r in best.where("z > 2 AND p >= 3").orderBy(F.desc("z"), "slot").collect()], dtype=np.int64)
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS,
@@ -83,13 +100,28 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return p["w"], float(p["b"][0])
 
 
-def _dense(rows: list[tuple[np.ndarray, np.ndarray]], chosen: np.ndarray) -> np.ndarray:
-    place = np.full(SLOTS, -1)
+def chosen_counts(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """``rows`` (doc_id, label, x) with x cut to the chosen slots: pairs of their place in ``chosen`` and their count."""
+    place = np.full(SLOTS, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
-    out = np.zeros((len(rows), len(chosen)), dtype=np.float32)
-    for i, (slot, count) in enumerate(rows):
-        at = place[slot]
-        out[i, at[at >= 0]] = np.log1p(count[at >= 0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column(2):
+                slot, count = np.frombuffer(x.as_buffer(), dtype=np.int32).reshape(-1, 2).T
+                at = place[slot]
+                out.append(np.stack([at[at >= 0], count[at >= 0]], axis=1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "label", "x"])
+
+    return rows.select("doc_id", "label", "x").mapInArrow(run, "doc_id bigint, label int, x binary")
+
+
+def _dense(rows: list[bytes], features: int) -> np.ndarray:
+    out = np.zeros((len(rows), features), dtype=np.float32)
+    for i, x in enumerate(rows):
+        at, count = np.frombuffer(x, dtype=np.int32).reshape(-1, 2).T
+        out[i, at] = np.log1p(count)
     return out
 
 
@@ -118,16 +150,15 @@ def train(spark: SparkSession, texts: DataFrame, labels: DataFrame, folds: int,
 
     # at most max_positive + max_unlabelled rows, so it may be broadcast
     sample = F.broadcast(positive.unionByName(other))
-    rows = (texts.join(sample, "doc_id").select("doc_id", "text", "label")
-            .mapInArrow(run, "doc_id bigint, label int, x binary").toPandas().sort_values(["label", "doc_id", "x"]))
-    sides = []
-    for label in (1, 0):
-        found = [np.frombuffer(x, dtype=np.int32).reshape(-1, 2) for x in rows["x"][rows["label"] == label]]
-        sides.append([(x[:, 0], x[:, 1]) for x in found])
-    if not sides[0] or not sides[1]:
+    rows = store(spark, texts.join(sample, "doc_id").select("doc_id", "text", "label")
+                 .mapInArrow(run, "doc_id bigint, label int, x binary"), "sample-slots")
+    found = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not found.get(0) or not found.get(1):
         return None
-    chosen = choose([s for s, _ in sides[0]], [s for s, _ in sides[1]], features)
-    return Linear(chosen, *fit(_dense(sides[0], chosen), _dense(sides[1], chosen), float(prior)))
+    chosen = choose(document_counts(rows), found[1], found[0], features)
+    taken = chosen_counts(rows, chosen).toPandas().sort_values(["label", "doc_id", "x"])
+    positive, unlabelled = (_dense(list(taken["x"][taken["label"] == label]), len(chosen)) for label in (1, 0))
+    return Linear(chosen, *fit(positive, unlabelled, float(prior)))
 
 
 def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,

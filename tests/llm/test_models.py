@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from assetlane.llm.quality_mil import Attention, encode, fit, quality_scores, train, whole_rows
+from assetlane.llm import toxicity
 from assetlane.llm.toxicity import toxicity_scores
 
 LABELS = "doc_id bigint, quality int, toxic int, lang string"
@@ -134,3 +135,43 @@ def test_attention_gradient_is_the_slope():
             down = loss()
             flat[i] = keep
             assert abs((up - down) / 2e-5 - slopes[name].reshape(-1)[i]) < 1e-5
+
+
+def test_slots_are_chosen_as_a_plain_loop_does(spark):
+    docs, labels, known = read(spark, "/root/testdata/sf0.01")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.select("doc_id", "text").collect()}
+    toxic = {r["doc_id"] for r in known if r["toxic"] == 1}
+    rows, seen = [], {0: {}, 1: {}}
+    for doc, text in texts.items():
+        slot, count, _ = toxicity.slots([text])
+        label = int(doc in toxic)
+        rows.append((doc, label, bytearray(np.stack([slot, count], axis=1).astype(np.int32).tobytes())))
+        for s in slot.tolist():
+            seen[label][s] = seen[label].get(s, 0) + 1
+    stored = spark.createDataFrame(rows, "doc_id bigint, label int, x binary").repartition(3)
+    n1, n0 = len(toxic & set(texts)), len(set(texts) - toxic)
+    score = {}
+    for s in set(seen[0]) | set(seen[1]):
+        p, u = seen[1].get(s, 0), seen[0].get(s, 0)
+        rate = (u + p + 1) / (n0 + n1 + 2)
+        score[s] = (p - n1 * rate) / np.sqrt(n1 * rate * (1 - rate) + 1)
+    best = sorted(score, key=lambda s: (-score[s], s))[:64]
+    want = [s for s in best if score[s] > 2 and seen[1].get(s, 0) >= 3]
+    chosen = toxicity.choose(toxicity.document_counts(stored), n1, n0, 64)
+    assert len(want) > 3 and chosen.tolist() == want
+    for r in toxicity.chosen_counts(stored, chosen).collect():
+        slot, count, _ = toxicity.slots([texts[r["doc_id"]]])
+        have = dict(zip(slot.tolist(), count.tolist()))
+        pairs = np.frombuffer(r["x"], dtype=np.int32).reshape(-1, 2).tolist()
+        assert {want[at]: c for at, c in pairs} == {s: have[s] for s in want if s in have}
+
+
+def test_toxicity_scores_match_a_plain_loop(spark):
+    docs, labels, known = read(spark, "/root/testdata/sf0.01")
+    texts = docs.selectExpr("doc_id", "CAST(text AS BINARY) AS text")
+    model = toxicity.train(spark, texts, labels, 5, 0)
+    got = {r["doc_id"]: r["score"] for r in toxicity_scores(spark, docs, labels).collect()}
+    for row in texts.collect():
+        slot, count, _ = toxicity.slots([bytes(row["text"] or b"")])
+        z = model.bias + sum(float(model.weight[s]) * np.log1p(c) for s, c in zip(slot, count))
+        assert abs(got[row["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-6
