@@ -150,28 +150,35 @@ def mime_census(
 
 def _box_number(data: Column, offset: int) -> Column:
     """The 16-bit number ``offset`` bytes after the first 'colrnclx' mark, null when cut off."""
-    at = F.instr(latin1(data, HDR_BYTES), "colrnclx")
-    complete = (at > 0) & (F.least(F.length(data), F.lit(HDR_BYTES)) >= at + F.lit(11))
+    at = F.instr(F.decode(data, "ISO-8859-1"), "colrnclx")
+    complete = (at > 0) & (F.length(data) >= at + F.lit(11))
     return F.when(
         complete, F.conv(F.hex(F.substring(data, at + F.lit(8 + offset), F.lit(2))), 16, 10).cast("int")
     )
 
 
-def hdr_flags(df: DataFrame, head: str = "head", mime: str = "mime") -> DataFrame:
-    """``+hdr_kind, +hdr_label``."""
-    data = F.col(head)
+def _searched(head: str, scan_bytes: int | None) -> Column:
+    return F.col(head) if scan_bytes is None else F.substring(head, 1, scan_bytes)
+
+
+def hdr_flags(df: DataFrame, head: str = "head", mime: str = "mime", scan_bytes: int | None = None) -> DataFrame:
+    """``+hdr_kind, +hdr_label``, from all bytes of ``head`` or its first ``scan_bytes``.
+
+    The application looks at ``HDR_BYTES``: read that much with ``read_heads``, or pass it here.
+    """
+    data = _searched(head, scan_bytes)
     boxed = F.col(mime).isin(BOXED_TYPES)
     transfer = F.when(boxed, _box_number(data, 2))
     marked = F.lit(False)
     for mark in GAIN_MAP_MARKS:
-        marked = marked | F.contains(F.substring(data, 1, HDR_BYTES), F.lit(mark.encode()))
+        marked = marked | F.contains(data, F.lit(mark.encode()))
     kind = F.coalesce(lookup(TRANSFER_KINDS, transfer), F.when(marked, "gainmap"))
     return df.withColumns({"hdr_kind": kind, "hdr_label": lookup(HDR_LABELS, kind)})
 
 
-def gamut_space(df: DataFrame, head: str = "head", mime: str = "mime") -> DataFrame:
-    """C4: ``+color_space``."""
-    primaries = F.when(F.col(mime).isin(BOXED_TYPES), _box_number(F.col(head), 0))
+def gamut_space(df: DataFrame, head: str = "head", mime: str = "mime", scan_bytes: int | None = None) -> DataFrame:
+    """C4: ``+color_space``; ``scan_bytes`` as in :func:`hdr_flags`."""
+    primaries = F.when(F.col(mime).isin(BOXED_TYPES), _box_number(_searched(head, scan_bytes), 0))
     return df.withColumn(
         "color_space", F.when(primaries.isin(WIDE_PRIMARIES), "display-p3").otherwise("srgb")
     )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def scan_assets(
 
     ``root`` may be relative or hold wildcards; paths are then relative to its fixed part. A file in
     the root has depth 0; ``max_depth`` leaves out what lies deeper. Columns not used are pruned: without ``content`` (or a column
-    made from it) no file is opened. To type files again and again, store a 32-byte ``head`` once.
+    made from it) no file is opened. A ``content`` is the whole file; :func:`read_heads` reads first bytes only.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -58,6 +60,48 @@ def with_name_and_head(assets: DataFrame, n: int = 32) -> DataFrame:
     ).drop("content")
 
 
+def read_heads(
+    spark: SparkSession, root: str, n: int = 32, glob: str | None = None, max_depth: int | None = None
+) -> DataFrame:
+    """As :func:`scan_assets`, but with ``head``, the first ``n`` bytes, for ``content``.
+
+    Spark lists the files and opens none; each task then asks the file system for the first bytes of its
+    own, so a file of any size costs one small read (``n=256 * 1024`` is what HDR marks are looked for in).
+    Spark's listing leaves empty files out, here and in :func:`scan_assets`; a file gone since it was listed fails the task.
+    """
+    files = scan_assets(spark, root, glob, max_depth).drop("content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        systems: dict = {}
+        for batch in batches:
+            # heads are up to n bytes each: a few MB go out at a time
+            step = max(1, (4 << 20) // max(n, 1))
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                heads = [_first_bytes(systems, path, n) for path in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(heads, pa.binary())], [*part.schema.names, "head"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
+    return files.mapInArrow(run, f"{fields}, head binary")
+
+
+def _first_bytes(systems: dict, path: str, n: int) -> bytes:
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    whole = re.match(r"([A-Za-z][A-Za-z0-9+.\-]*)://([^/]+)/(.*)", path, re.S)
+    if whole is None or whole[1] == "file":
+        system, inner = systems.setdefault("file", LocalFileSystem()), re.sub(r"^file:/*", "/", path)
+    else:
+        scheme = "s3" if whole[1] in ("s3a", "s3n") else whole[1]
+        at = f"{scheme}://{whole[2]}/"
+        if at not in systems:
+            systems[at] = FileSystem.from_uri(at)
+        system, base = systems[at]
+        inner = f"{base.rstrip('/')}/{whole[3]}"
+    with system.open_input_file(inner) as file:
+        return file.read_at(n, 0)
+
+
 def read_presets(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
     """Presets with ``valid`` and ``reject_reason``.
 

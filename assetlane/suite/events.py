@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from assetlane.operators.reuse import recent_results
 from assetlane.session import scratch_folder
 from assetlane.sources.assets import scan_assets
-from assetlane.streaming import jobs
+from assetlane.streaming import jobs, stored
 from assetlane.streaming.timers import timers_enabled
 from assetlane.suite.files import PAGE_FILES, page_files, page_folders
 from assetlane.suite.fixtures import read
@@ -160,6 +160,14 @@ def _(spark, sf_dir):
     return _naive(jobs.latest_status(_item_events(_events(spark, sf_dir))), "ts")
 
 
+@case("latest_status_stored_stream", _LATEST)
+def _(spark, sf_dir):
+    """The stream's state as stored batch by batch, read back."""
+    folder, events = scratch_folder(spark, "status"), _item_events(_stream(spark, sf_dir))
+    stored.store_status(events, folder).awaitTermination()
+    return _naive(stored.stored_status(spark, folder, events.schema), "ts")
+
+
 @case(
     "busy_sessions",
     f"WITH l AS ({_LATEST}) SELECT item_id % 20 AS session, bool_or(status IN ('queued', 'processing')) AS busy FROM l GROUP BY 1",
@@ -192,6 +200,14 @@ def _(spark, sf_dir):
     return _naive(out.where("run_id >= 0"), "window_start", "window_end")
 
 
+@case("progress_stored_stream", _ROLLING)
+def _(spark, sf_dir):
+    """All events in one batch, so none is late."""
+    folder, events = scratch_folder(spark, "progress"), _run_events(_stream(spark, sf_dir))
+    stored.store_progress(events, folder, "6 hours").awaitTermination()
+    return _naive(stored.stored_progress(spark, folder, events.schema), "window_start", "window_end")
+
+
 # a side's results belong to the newest start, or to the one before it for every third event
 def _side_events(events):
     return events.where("event_type IN ('view', 'purchase')").selectExpr(

@@ -11,7 +11,7 @@ from assetlane.functions import filetypes, paths
 from assetlane.functions.encoders import ENCODERS, encoder_dim, _FIELDS
 from assetlane.operators import intake
 from assetlane.session import scratch_folder
-from assetlane.sources.assets import scan_assets
+from assetlane.sources.assets import read_heads, scan_assets
 from assetlane.suite.fixtures import read, view, with_views
 from assetlane.suite.registry import case
 
@@ -79,6 +79,19 @@ def _(spark, sf_dir):
     return sizes.join(page_folders(files), "folder").select("folder", "depth", "bytes", "digest")
 
 
+@case("scan_heads", """SELECT chunk, CAST(length(text) AS BIGINT) AS bytes, substr(text, 1, 64) AS head FROM (
+ SELECT page_id // 32 AS chunk, string_agg(concat(lower(hex(encode(html))), chr(10)), '' ORDER BY page_id) AS text FROM pages GROUP BY 1)""")
+def _(spark, sf_dir):
+    """Files of 32 pages each, typed by their first bytes without reading the rest."""
+    folder = scratch_folder(spark, "heads")
+    pages = read(spark, sf_dir, "pages").selectExpr("lower(hex(encode(html, 'utf-8'))) AS value", "page_id", "page_id div 32 AS chunk")
+    (pages.repartition("chunk").sortWithinPartitions("chunk", "page_id").select("value", "chunk")
+     .write.partitionBy("chunk").text(folder))
+    heads = read_heads(spark, folder, 64, glob="*.txt")
+    return heads.select(F.regexp_extract("rel_path", r"^chunk=(-?\d+)/", 1).cast("bigint").alias("chunk"), "bytes",
+                        F.decode("head", "UTF-8").alias("head"))
+
+
 _TAKEN = f"""{with_views('v_files')}, t AS (SELECT *, coalesce(nullif({_SAFE}, ''), path) AS taken_path FROM v_files),
  k AS (SELECT *, regexp_extract(taken_path, '([^/]*)$', 1) AS base FROM t),
  ok AS (SELECT * FROM k WHERE base NOT IN ('__MACOSX', '.DS_Store', 'Thumbs.db', 'desktop.ini') AND base NOT LIKE '.%'
