@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetlane.functions.numbers import dbl
-from assetlane.session import hand_over
+from assetlane.session import hand_over, spread
 
 # Fixed value: how deep forms may nest.
 MAX_FORM_DEPTH = 8
@@ -188,7 +188,7 @@ def starting_states(chunks: DataFrame, fan: int = FAN) -> DataFrame:
         if above is None:
             rows = rows.withColumns({"ctm": F.lit(None).cast(MATRIX), "saved": F.lit(None).cast(PLAIN)})
         else:
-            rows = rows.join(above.select("doc_id", "owner", F.col("chunk").alias("up"), "ctm", F.col("stack").alias("saved")),
+            rows = rows.join(spread(above.select("doc_id", "owner", F.col("chunk").alias("up"), "ctm", F.col("stack").alias("saved"))),
                              ["doc_id", "owner", "up"])
         above = rows.groupBy("doc_id", "owner", "up").applyInArrow(
             _started, f"doc_id {kind}, owner string, chunk bigint, ctm {MATRIX}, stack {PLAIN}")
@@ -249,8 +249,8 @@ def stream_draws(ops: DataFrame, chunk_ops: int = CHUNK_OPS) -> DataFrame:
     long = chunks.where("chunk > 0").select(*stream).distinct()
     if long.isEmpty():
         return replay(chunks.withColumns({"ctm": F.lit(None).cast(MATRIX), "stack": F.lit(None).cast(PLAIN)}))
-    starts = starting_states(chunks.join(long, stream, "left_semi"))
-    return replay(chunks.join(starts, [*stream, "chunk"], "left"))
+    starts = starting_states(chunks.join(spread(long), stream, "left_semi"))
+    return replay(chunks.join(spread(starts), [*stream, "chunk"], "left"))
 
 
 def _followed(
@@ -262,7 +262,7 @@ def _followed(
     forms = form_ops.withColumn("owner", F.concat(F.lit("f"), F.col("form").cast("string")))
     named = xobjects.select("doc_id", "owner", "name", "kind", "ref", "matrix")
     drawn, inside = (
-        stream_draws(ops.select(*cols), chunk_ops).join(named, ["doc_id", "owner", "name"]) for ops in (pages, forms)
+        stream_draws(ops.select(*cols), chunk_ops).join(spread(named), ["doc_id", "owner", "name"]) for ops in (pages, forms)
     )
     return drawn, hand_over(inside, "form-draws")
 
@@ -279,7 +279,7 @@ def _through(edges: DataFrame, reached: DataFrame, again: bool) -> DataFrame:
     in between and must not come ``again``."""
     inner = reached.select(
         "doc_id", F.col("owner").alias("inner"), "name", "ref", F.col("m").alias("rel"), "path")
-    met = edges.join(inner, ["doc_id", "inner"])
+    met = edges.join(spread(inner), ["doc_id", "inner"])
     if not again:
         met = met.where(~F.array_contains("path", F.col("owner")))
     path = F.array_append("path", F.col("owner")) if not again else F.col("path")
@@ -343,12 +343,12 @@ def cut_draws(
             if step.isEmpty():
                 break
             level = step.select("doc_id", "page", F.col("inner").alias("form"), "path").distinct().join(
-                nested, ["doc_id", "form"]).select("doc_id", "page", "form", "inner", "path").distinct()
+                spread(nested), ["doc_id", "form"]).select("doc_id", "page", "form", "inner", "path").distinct()
             depth += 1
         out = level
     while max_depth is None:
         step = hand_over(level, "form-level")
-        met = step.select("doc_id", "page", F.col("inner").alias("form"), "path").join(nested, ["doc_id", "form"])
+        met = step.select("doc_id", "page", F.col("inner").alias("form"), "path").join(spread(nested), ["doc_id", "form"])
         inside_itself = F.array_contains("path", F.col("inner"))
         cut = met.where(inside_itself).select("doc_id", "page", "form", "inner")
         out = cut if out is None else out.unionByName(cut)
