@@ -13,3 +13,9 @@ def plan_of(spark, sf, name):
 def test_stored_draws_are_not_broadcast(spark, sf, name):
     plan = plan_of(spark, sf, name)
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["ssim_packed", "score_sweep", "bar_percent", "sweep_summary"])
+def test_exploded_tables_are_not_broadcast(spark, sf, name):
+    plan = plan_of(spark, sf, name)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
