@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assetlane.functions.encoders import lookup
 from assetlane.functions.numbers import dbl, js_round
 from assetlane.functions.report import DASH, TIMES, format_bytes, format_savings, format_ssim
+from assetlane.session import spread
 
 # Known filters, the two that can be redone, the size floor.
 KNOWN_FILTERS = [
@@ -111,7 +112,7 @@ def effective_dpi(placements: DataFrame, images: DataFrame) -> DataFrame:
         F.collect_set("page").alias("pages"),
     )
     facts = images.select("doc_id", "ref", "width", "height")
-    per_unit = facts.join(least, ["doc_id", "ref"], "left")
+    per_unit = facts.join(spread(least), ["doc_id", "ref"], "left")
     inch = dbl(POINTS_PER_INCH)
     dpi = F.greatest(
         F.col("width").cast("double") * inch / F.col("wide"),
@@ -198,11 +199,11 @@ def resolve_outcomes(
     """
     if refusals is not None:
         refused = refusals.where(F.col("refusal").isNotNull()).select("doc_id")
-        planned = planned.join(refused, "doc_id", "left_anti")
+        planned = planned.join(spread(refused), "doc_id", "left_anti")
     given = encodes.select(
         "doc_id", "ref", "enc_bytes", F.col("ssim").alias("__ssim"), F.col("error").alias("__error")
     )
-    joined = planned.join(given, ["doc_id", "ref"], "left")
+    joined = planned.join(spread(given), ["doc_id", "ref"], "left")
     skipped = F.col("skip").isNotNull()
     failed = ~skipped & (F.col("__error").isNotNull() | F.col("enc_bytes").isNull())
     replaced = ~skipped & ~failed & (F.col("enc_bytes") < F.col("src_bytes"))
@@ -237,7 +238,7 @@ def dedupe_images(objects: DataFrame, contents: str = "contents") -> DataFrame:
     groups = hashed.groupBy(*keys).agg(
         F.min("obj_no").alias("canonical_ref"), F.count(F.lit(1)).alias("__n")
     ).where(F.col("__n") > 1).drop("__n")
-    return hashed.join(groups, keys).where(F.col("obj_no") != F.col("canonical_ref")).select(
+    return hashed.join(spread(groups), keys).where(F.col("obj_no") != F.col("canonical_ref")).select(
         "doc_id", F.col("obj_no").alias("dup_ref"), "canonical_ref"
     )
 
@@ -245,7 +246,7 @@ def dedupe_images(objects: DataFrame, contents: str = "contents") -> DataFrame:
 def repoint_refs(edges: DataFrame, dup_map: DataFrame) -> DataFrame:
     """Consumers ``(doc_id, owner, slot, ref)`` with refs to duplicates made canonical."""
     renamed = dup_map.select("doc_id", F.col("dup_ref").alias("ref"), "canonical_ref")
-    return edges.join(renamed, ["doc_id", "ref"], "left").withColumn(
+    return edges.join(spread(renamed), ["doc_id", "ref"], "left").withColumn(
         "ref", F.coalesce("canonical_ref", "ref")
     ).select(*edges.columns)
 
@@ -262,14 +263,14 @@ def prune_objects(
     masks = (
         objects.where(F.col("smask_ref").isNotNull())
         .select("doc_id", F.col("obj_no").alias("ref"), F.col("smask_ref").alias("obj_no"))
-        .join(replaced.select("doc_id", "ref"), ["doc_id", "ref"], "left_semi")
+        .join(spread(replaced.select("doc_id", "ref")), ["doc_id", "ref"], "left_semi")
         .select("doc_id", "obj_no")
     )
     kept = objects
     if strip_metadata:
         kept = kept.where(~F.col("is_metadata") & ~F.col("is_thumb"))
     gone = duplicates.unionByName(masks)
-    return kept.join(gone, ["doc_id", "obj_no"], "left_anti").select(*objects.columns)
+    return kept.join(spread(gone), ["doc_id", "obj_no"], "left_anti").select(*objects.columns)
 
 
 def pdf_summary(
@@ -289,14 +290,14 @@ def pdf_summary(
         F.sum(F.when(F.col("out_bytes").isNotNull(), F.col("src_bytes") - F.col("out_bytes")))
         .cast("bigint").alias("saved_bytes"),
     )
-    out = per_doc.join(done, "doc_id", "left")
+    out = per_doc.join(spread(done), "doc_id", "left")
     if dup_map is not None:
         out = out.join(
-            dup_map.groupBy("doc_id").agg(F.count(F.lit(1)).alias("deduped")), "doc_id", "left"
+            spread(dup_map.groupBy("doc_id").agg(F.count(F.lit(1)).alias("deduped"))), "doc_id", "left"
         )
     if pages is not None:
         out = out.join(
-            pages.groupBy("doc_id").agg(F.count_distinct("page").alias("pages")), "doc_id", "left"
+            spread(pages.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))), "doc_id", "left"
         )
     have = set(out.columns)
     count = lambda c: (F.coalesce(F.col(c), zero) if c in have else zero).alias(c)
@@ -325,7 +326,7 @@ def outcome_table(images: DataFrame, outcomes: DataFrame, seq: str = "seq") -> D
     last = outcomes.groupBy("doc_id", "ref").agg(
         F.max_by(F.struct("out_bytes", "skip", "ssim"), seq).alias("o")
     )
-    joined = images.join(last, ["doc_id", "ref"], "left")
+    joined = images.join(spread(last), ["doc_id", "ref"], "left")
     target = F.concat(
         F.lit("→ "), F.col("out_w").cast("string"), F.lit(f" {TIMES} "), F.col("out_h").cast("string")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assetlane.functions import report
 from assetlane.operators import drawing, pdf
+from assetlane.session import spread
 from assetlane.suite.fixtures import read, view, with_views
 from assetlane.suite.registry import case
 from assetlane.suite.sweeps import _sql_bytes, _sql_signed, sql_fixed
@@ -100,7 +101,7 @@ _TARGET = """scaled AS (SELECT i.*, dpi.pages, dpi.dpi, CASE WHEN dpi.dpi IS NOT
 def _planned(spark, sf_dir):
     images = view(spark, sf_dir, "v_pdf_images")
     placed = pdf.effective_dpi(view(spark, sf_dir, "v_pdf_placements"), images)
-    return pdf.resample_target(pdf.skip_reason(images.join(placed, ["doc_id", "ref"])))
+    return pdf.resample_target(pdf.skip_reason(images.join(spread(placed), ["doc_id", "ref"])))
 
 
 @case("resample_target", f"{_PICTURES}, {_DPI}, {_TARGET} SELECT doc_id, ref, out_w, out_h FROM plan")

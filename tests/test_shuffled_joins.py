@@ -15,7 +15,8 @@ def test_stored_draws_are_not_broadcast(spark, sf, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["ssim_packed", "score_sweep", "bar_percent", "sweep_summary"])
+@pytest.mark.parametrize("name", ["ssim_packed", "score_sweep", "bar_percent", "sweep_summary",
+                                  "dedupe_images", "repoint_refs", "prune_objects", "pdf_summary", "resolve_outcomes"])
 def test_exploded_tables_are_not_broadcast(spark, sf, name):
     plan = plan_of(spark, sf, name)
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
