@@ -89,3 +89,25 @@ def test_empty_and_unmatched_tables(spark):
     assert resample.resize_kernel(spark.createDataFrame([], PX), targets).count() == 0
     one = spark.createDataFrame([("other", 1, 1, 0, 0, 1, 2, 3, 4), (None, 2, 1, 0, 0, 9, 9, 9, 255)], PX)
     assert sorted(map(repr, resample.resize_kernel(one, targets).collect())) == sorted(map(repr, one.collect()))
+
+
+@pytest.mark.parametrize("method", ["lanczos3", "mitchell", "triangle"])
+def test_many_strips_at_once_equal_one_at_a_time(method):
+    import pyarrow as pa
+
+    rng, rows = random.Random(3), []
+    for image in (None, "a", "b", "c", "d"):
+        w, h, ow, oh = (rng.randint(1, 30) for _ in range(4))
+        for strip in range(-(-oh // 4)):
+            for y in range(h):
+                line = [{"x": x, "c": rng.randrange(1 << 32)} for x in range(w) if rng.random() < 0.9]
+                if line:
+                    rows.append({"image_id": image, "y": y, "line": line + line[:1], "__sx": 0, "__sy": 0, "__sw": w, "__sh": h,
+                                 "__ow": ow, "__oh": oh, "__tall": 4, "__strip": strip})
+    lines = pa.Table.from_pylist(rows)
+    starts = resample._strip_starts(lines)
+    ends = [*starts[1:], lines.num_rows]
+    want = [r for a, b in zip(starts, ends) for r in resample.resample_strip(lines.slice(a, b - a), method, True, True).to_pylist()]
+    got = resample.resample_strips(lines, starts, method, True, True).to_pylist()
+    order = lambda r: (str(r["image_id"]), r["y"], r["x"])
+    assert len(starts) > 5 and sorted(got, key=order) == sorted(want, key=order)
