@@ -5,7 +5,7 @@ import pytest
 from assetlane.suite import fixtures
 
 
-@pytest.mark.parametrize("name", ["v_cells", "v_px", "v_pdf_objects"])
+@pytest.mark.parametrize("name", ["v_cells", "v_px", "v_pdf_objects", "v_settings"])
 def test_tasks_of_exploded_views_hold_a_bounded_number_of_rows(spark, sf, monkeypatch, name):
     monkeypatch.setattr(fixtures, "TASK_CELLS", 1000)
     rows = fixtures.view(spark, sf, name)
