@@ -279,8 +279,7 @@ def _linked(x: list, y: list, keys: list, xs: pa.Array, ys: pa.Array, n: int, pe
 def link_classes(spark: SparkSession, classes: DataFrame, entries: DataFrame, parts: DataFrame, texts: DataFrame,
                  n: int, percent: int, slack: int = 4) -> DataFrame:
     """Components (node, comp) of the classes, from ``entries`` (token, node, n, pos), a stored table."""
-    done = links = None
-    comps = None
+    done = comps = None
     live = entries.withColumn("comp", F.col("node"))
     before = None
     while True:
@@ -314,8 +313,8 @@ def link_classes(spark: SparkSession, classes: DataFrame, entries: DataFrame, pa
         close = store(spark, suffix_filter(spark, pairs, parts, percent), "close-pairs")
         found = verify(spark, close, classes, texts, n, percent)
         done = pairs if done is None else done.union(pairs)
-        links = found if links is None else links.union(found)
-        comps = components(spark, links)
+        if comps is None or not found.isEmpty():
+            comps = components(spark, found, comps)
         if last:
             break
         named = (live.drop("comp").join(if_small(comps, 16), "node", "left")

@@ -6,7 +6,8 @@ edge is a repeat if a document with a smaller id holds it too; the words of repe
 The graph is never written out edge by edge. As in minimum-substring partitioning, each edge belongs to its anchor: the
 least of its ``anchor``-word k-mers by hash. The consecutive edges of a document with one anchor
 form a short path, some twenty edges long, kept as one row with a 128-bit fingerprint of its
-words, its source coordinates (document, first word) and the paths before and after it. Then
+words, its source coordinates (document, first words) and the paths before and after it. A path that
+comes back in its document, as every period of a text that runs in circles does, is still one row. Then
 
 1. anchors that occur in one document only hold no repeats and are dropped (a semi-join);
 2. equal paths compact into one, with the least document and the least and greatest neighbour on either side: the
@@ -39,8 +40,9 @@ from assetlane.llm.words import Spans, Words, chunks, mix, normal_text, split
 
 SIZE, ANCHOR = 50, 12
 _LOW = np.uint64(0xFFFFFF)
-_PATH = pa.struct([("anchor", pa.int64()), ("path", pa.int64()), ("proof", pa.int64()),
-                   ("before", pa.int64()), ("after", pa.int64()), ("start", pa.int32()), ("edges", pa.int32())])
+_SIDES = ["before_lo", "before_hi", "after_lo", "after_hi"]
+_PATH = pa.struct([(c, pa.int64()) for c in ("anchor", "path", "proof", *_SIDES)]
+                  + [("starts", pa.list_(pa.int32())), ("edges", pa.int32())])
 _SPAN = "array<struct<lo:int,hi:int>>"
 
 
@@ -91,7 +93,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def paths(docs: DataFrame, size: int, anchor: int) -> DataFrame:
-    """doc_id, key and the nonbranching paths of every document that has an edge and an id."""
+    """doc_id, key and the distinct nonbranching paths of every document that has an edge and an id, each with all its
+    starts and the least and greatest neighbour on either side."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
@@ -101,22 +104,30 @@ def paths(docs: DataFrame, size: int, anchor: int) -> DataFrame:
                 first, edges, anchors = paths_of(w, spans, size, anchor)
                 doc = w.doc[first] if len(first) else first
                 length = edges + (size - 1)
-                path = signed(spans.of(first, length))
+                path, check = signed(spans.of(first, length)), signed(proof.of(first, length))
                 # the neighbours in the document; 0 at its ends
                 before, after = np.zeros_like(path), np.zeros_like(path)
                 same = doc[1:] == doc[:-1]
                 before[1:][same], after[:-1][same] = path[:-1][same], path[1:][same]
-                rows = pa.StructArray.from_arrays([
-                    pa.array(signed(anchors)), pa.array(path), pa.array(signed(proof.of(first, length))),
-                    pa.array(before), pa.array(after),
-                    pa.array((first - w.first[doc]).astype(np.int32)),
-                    pa.array(edges.astype(np.int32))], fields=list(_PATH))
+                order = np.lexsort((first, check, path, anchors, doc))
+                again = np.zeros(len(order), dtype=bool)
+                again[1:] = np.all([c[order][1:] == c[order][:-1] for c in (doc, anchors, path, check)], axis=0)
+                at = np.flatnonzero(~again)
+                one = order[at]
+                sides = [f.reduceat(c[order], at) if len(at) else c
+                         for c in (before, after) for f in (np.minimum, np.maximum)]
+                starts = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)),
+                                                  pa.array((first - w.first[doc])[order].astype(np.int32)))
+                doc = doc[one]
+                rows = pa.StructArray.from_arrays(
+                    [*map(pa.array, (signed(anchors)[one], path[one], check[one], *sides)), starts,
+                     pa.array(edges[one].astype(np.int32))], fields=list(_PATH))
                 bounds = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(doc_keys(w, spans)),
                      pa.ListArray.from_arrays(pa.array(bounds), rows)], ["doc_id", "key", "paths"])
 
-    item = "anchor:bigint,path:bigint,proof:bigint,before:bigint,after:bigint,start:int,edges:int"
+    item = ",".join(f"{c}:bigint" for c in ("anchor", "path", "proof", *_SIDES)) + ",starts:array<int>,edges:int"
     return (docs.where("doc_id IS NOT NULL")
             .mapInArrow(run, f"doc_id bigint, key bigint, paths array<struct<{item}>>")
             .where(F.size("paths") > 0))
@@ -174,8 +185,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, size: int = SIZE, ancho
     path = ["anchor", "path", "proof"]
     compact = rows.groupBy(*path).agg(
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("key", "doc_id").alias("key"),
-        F.min_by("start", "doc_id").alias("start"), F.max("edges").alias("edges"),
-        *[f(c).alias(f"{c}_{n}") for c in ("before", "after") for n, f in (("lo", F.min), ("hi", F.max))],
+        F.min_by(F.get("starts", 0), "doc_id").alias("start"), F.max("edges").alias("edges"),
+        *[(F.min if c.endswith("lo") else F.max)(c).alias(c) for c in _SIDES],
     ).withColumn("number", F.monotonically_increasing_id())
     compact = store(spark, compact, "compact-paths")
     branching = store(spark, compact.groupBy("anchor").count().where("count > 1").select("anchor"), "branching-anchors")
@@ -189,14 +200,14 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, size: int = SIZE, ancho
     late = (edges.join(merged, ["edge", "edge_proof"]).where("lo < doc_id")
             .groupBy("number").agg(F.collect_list("step").alias("steps")))
     longest = long_paths(spark, compact.where("first < last"))
-    span = F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("edges") + size - 1).alias("hi"))
+    span = lambda lo, words: F.struct(lo.alias("lo"), (lo + words).alias("hi"))
     whole = (rows.drop("edges").join(longest.select(*path, "first", "edges"), path).where("first < doc_id")
-             .select("doc_id", "key", span.alias("span")))
+             .select("doc_id", "key", F.transform("starts", lambda at: span(at, F.col("edges") + size - 1)).alias("spans")))
     # in the first document of a path some edges may still have a smaller one
-    some = F.transform("steps", lambda s: F.struct((F.col("start") + s).alias("lo"), (F.col("start") + s + size).alias("hi")))
+    some = F.flatten(F.transform("starts", lambda at: F.transform("steps", lambda s: span(at + s, F.lit(size)))))
     partly = compact.join(late, "number").select(*path, F.col("first").alias("doc_id"), "steps")
-    part = rows.join(partly, [*path, "doc_id"]).select("doc_id", "key", F.explode(some).alias("span"))
-    found = whole.unionByName(part).groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans"))
+    part = rows.join(partly, [*path, "doc_id"]).select("doc_id", "key", some.alias("spans"))
+    found = whole.unionByName(part).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return store(spark, found.select("doc_id", "key", _union("spans").alias("spans"))
                  .groupBy("doc_id").agg(F.collect_list(F.struct("key", "spans")).alias("cuts")),
                  "cuts")
