@@ -31,6 +31,8 @@ MATRIX = "array<double>"
 PLAIN = f"array<{MATRIX}>"
 #: summaries merged at once
 FAN = 64
+#: levels of forms that are met before they are stored
+LAZY_LEVELS = 4
 
 
 def multiply(m: Column, n: Column) -> Column:
@@ -321,39 +323,70 @@ def ctm_walk(
     )
 
 
+@dataclass(frozen=True)
+class FormDraws:
+    """Which forms streams draw, each once, by number: ``pages(doc_id, page, inner)`` and ``forms(doc_id, form, inner)``."""
+
+    pages: DataFrame
+    forms: DataFrame
+
+
+def form_draws(page_ops: DataFrame, form_ops: DataFrame, xobjects: DataFrame) -> FormDraws:
+    """The forms that streams draw, stored. Where a form is drawn depends on no matrix, so no stream is replayed."""
+    def drawn(ops: DataFrame, side: str) -> DataFrame:
+        number = F.substring("owner", 2, 20).try_cast("bigint")
+        named = xobjects.where((F.col("kind") == "form") & (F.col("owner") == F.concat(F.lit(side[0]), number.cast("string")))).select(
+            "doc_id", number.alias(side), "name", F.col("ref").cast("bigint").alias("inner"))
+        met = ops.where((F.col("op") == "Do") & F.col("name").isNotNull()).select("doc_id", F.col(side).cast("bigint"), "name").distinct()
+        return met.join(spread(named), ["doc_id", side, "name"]).select("doc_id", side, "inner").distinct()
+
+    return FormDraws(hand_over(drawn(page_ops, "page"), "page-forms"), hand_over(drawn(form_ops, "form"), "form-edges"))
+
+
 def cut_draws(
     page_ops: DataFrame, form_ops: DataFrame, xobjects: DataFrame, max_depth: int | None = MAX_FORM_DEPTH,
-    chunk_ops: int = CHUNK_OPS,
 ) -> DataFrame:
     """D3: ``(doc_id, page, form, inner)``: form draws that ``ctm_walk`` does not follow, each once.
 
     ``form`` is followed on that page and draws ``inner``, which would lie beyond ``max_depth``; with ``max_depth=None``
     those are the draws of a form inside itself. ``form`` is null where a page's own form is cut.
     """
-    drawn, inside = _followed(page_ops, form_ops, xobjects, chunk_ops)
-    nested = hand_over(_edges(inside).select("doc_id", F.col("owner").alias("form"), "inner").distinct(), "form-edges")
-    number = lambda c: F.substring(c, 2, 20).cast("int")
-    path = F.array("inner") if max_depth is None else F.array().cast("array<string>")
-    level = _edges(drawn).select(
-        "doc_id", number("owner").alias("page"), F.lit(None).cast("string").alias("form"), "inner", path.alias("path")).distinct()
-    out, depth = None, 1
-    if max_depth is not None:
-        while depth <= max_depth:
-            step = hand_over(level, "form-level")
-            if step.isEmpty():
+    return cut_among(form_draws(page_ops, form_ops, xobjects), max_depth)
+
+
+def cut_among(draws: FormDraws, max_depth: int | None = MAX_FORM_DEPTH) -> DataFrame:
+    """``cut_draws`` of stored form draws, for more than one depth."""
+    found = _cut_inside(draws) if max_depth is None else _cut_below(draws, max_depth)
+    return found.select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("page", "form", "inner")]).distinct()
+
+
+def _inside(level: DataFrame, draws: FormDraws, first: bool) -> DataFrame:
+    """What the forms drawn on a level draw; dealt as the join asks for, so that a level is shuffled once."""
+    keep = [c for c in level.columns if c == "path"]
+    at = level.select("doc_id", "page", F.col("inner").alias("form"), *keep).repartition("doc_id", "form")
+    return (at if first else at.distinct()).join(spread(draws.forms), ["doc_id", "form"]).select("doc_id", "page", "form", "inner", *keep)
+
+
+def _cut_below(draws: FormDraws, max_depth: int) -> DataFrame:
+    """Draws by the forms that lie ``max_depth`` deep."""
+    level = draws.pages.select("doc_id", "page", F.lit(None).cast("bigint").alias("form"), "inner")
+    for depth in range(max_depth):
+        level = _inside(level, draws, depth == 0)
+        if depth % LAZY_LEVELS == LAZY_LEVELS - 1 and depth < max_depth - 1:
+            level = hand_over(level, "form-level")
+            if level.isEmpty():
                 break
-            level = step.select("doc_id", "page", F.col("inner").alias("form"), "path").distinct().join(
-                spread(nested), ["doc_id", "form"]).select("doc_id", "page", "form", "inner", "path").distinct()
-            depth += 1
-        out = level
-    while max_depth is None:
-        step = hand_over(level, "form-level")
-        met = step.select("doc_id", "page", F.col("inner").alias("form"), "path").join(spread(nested), ["doc_id", "form"])
-        inside_itself = F.array_contains("path", F.col("inner"))
-        cut = met.where(inside_itself).select("doc_id", "page", "form", "inner")
+    return level
+
+
+def _cut_inside(draws: FormDraws) -> DataFrame:
+    """Draws of a form by itself or by a form within it, along every way that comes to no form twice."""
+    level, out = draws.pages.select("doc_id", "page", "inner", F.array("inner").alias("path")), None
+    while True:
+        met = _inside(level, draws, out is None).withColumn("again", F.array_contains("path", F.col("inner")))
+        step = hand_over(met, "form-level")
+        cut = step.where("again").select("doc_id", "page", "form", "inner")
         out = cut if out is None else out.unionByName(cut)
-        level = met.where(~inside_itself).select(
-            "doc_id", "page", "form", "inner", F.array_append("path", F.col("inner")).alias("path")).distinct()
         if step.isEmpty():
-            break
-    return out.select("doc_id", "page", number("form").alias("form"), number("inner").alias("inner")).distinct()
+            return out
+        level = step.where("NOT again").select("doc_id", "page", "inner", F.array_append("path", F.col("inner")).alias("path"))

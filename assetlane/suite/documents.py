@@ -326,8 +326,8 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """What is not followed without a depth limit, and with one of 4."""
-    tables = _nested(spark, sf_dir)
-    found = [drawing.cut_draws(*tables, max_depth=d).withColumn("reason", F.lit(r)) for d, r in ((None, "inside itself"), (4, "below 4"))]
+    draws = drawing.form_draws(*_nested(spark, sf_dir))
+    found = [drawing.cut_among(draws, d).withColumn("reason", F.lit(r)) for d, r in ((None, "inside itself"), (4, "below 4"))]
     return found[0].unionByName(found[1])
 
 
