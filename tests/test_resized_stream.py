@@ -65,3 +65,18 @@ def test_images_of_all_kinds_side_by_side(spark, conf, monkeypatch, strip):
             want = packed.resample(want, *goals[i], "mitchell", True, False)
         h, w = want.shape[:2]
         assert got[i] == {(x, y): (w, h, *want[y, x].tolist()) for y in range(h) for x in range(w)}
+
+
+def test_packed_rows_hold_one_channel_after_the_other(spark):
+    """Alike levels lie together, and rows come apart as they were."""
+    import pyarrow as pa
+
+    from assetlane.operators import pixels
+
+    px = spark.createDataFrame([("b", 2, 2, k % 2, k // 2, 10 + k, 20 + k, 30 + k, 255) for k in range(4)] + [("a", 1, 1, 0, 0, 1, 2, 3, 4)], PX).coalesce(1)
+    runs = pixels._pixel_runs(px, 2)
+    held = {r.image_id: bytes(r.data) for r in runs.collect()}
+    assert held["b"] == bytes([10, 11, 12, 13, 20, 21, 22, 23, 30, 31, 32, 33, 255, 255, 255, 255]) and held["a"] == bytes([1, 2, 3, 4])
+    of, found = pixels._flat_runs(pa.Table.from_batches(runs.toArrow().to_batches()))
+    rows = {(int(i), *(found[c][k].as_py() for c in "xyrgba")) for k, i in enumerate(of)}
+    assert len(rows) == 5 and sum((0, 0, 1, 2, 3, 4) == r[1:] for r in rows) == 1 and sum((1, 1, 13, 23, 33, 255) == r[1:] for r in rows) == 1
