@@ -1,10 +1,10 @@
 """Replaying the matrix operators of content streams (D3).
 
-A stream is cut into chunks of operators. Each chunk is first summed up on its own: what it does
-to any matrix stack it might start with. Summaries can be merged (an associative operation), so those of a
-long stream are merged in levels of ``FAN``, and the starting states are handed down the same levels:
-a scan in which no task holds more than ``FAN`` summaries. Then the chunks are replayed in parallel to
-emit draws. No stream, however long, is replayed in one piece.
+A stream is cut into chunks of operators. Each chunk is met once, on its own: its draws, relative to the state it might start
+with, and what it does to any matrix stack. Such effects can be merged (an associative operation), so those of a long
+stream are merged in levels of ``FAN``, and the starting states are handed down the same levels: a scan in which no
+task holds more than ``FAN`` effects. Then the draws of later chunks are seen from the states found. No stream, however
+long, is replayed in one piece.
 """
 
 from __future__ import annotations
